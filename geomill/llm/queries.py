@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, token_counts
+from . import bpe_codec, language_id, mixing, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -31,6 +31,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score_texts(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_file("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -49,4 +56,4 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op6_token_counts, op7_language_id, op8_bpe_codec)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec)}
