@@ -59,56 +59,62 @@ class Codec:
         for token in ranks:
             self.auto.add_word(token.decode("latin-1"), len(token))
         self.auto.make_automaton()
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
 
-    def reachable(self, token: bytes) -> bool:
+    def reachable(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
         if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = merge_by_rank(token, self.ranks) == [token]
+            data = self.bytes_of[token]
+            known = self.whole[token] = merge_by_rank(data, self.ranks) == [data]
         return known
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 4 * MEMO:
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether both are reachable and merging their joint bytes gives just them; left -1: the start."""
+        if left < 0:
+            return self.reachable(right)
+        key = left << 32 | right
+        if (known := self.fits.get(key)) is None:
+            if len(self.fits) > 2 * MEMO:
                 self.fits.clear()
-            known = self.fits[left, right] = merge_by_rank(left + right, self.ranks) == [left, right]
+            pair = [self.bytes_of[left], self.bytes_of[right]]
+            known = self.fits[key] = self.reachable(right) and merge_by_rank(pair[0] + pair[1], self.ranks) == pair
         return known
 
     def encode_match(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern; a match that is a token itself is that token."""
-        ranks = self.ranks
+        ranks, compatible = self.ranks, self.compatible
         if (own := ranks.get(data)) is not None:
             return [own]
-        n = len(data)
-        longest = [0] * n
-        for end, size in self.auto.iter(data.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        dead = bytearray(n + 1)
-        out: list[bytes] = []
-        at, size = 0, longest[0]
+        text, n = data.decode("latin-1"), len(data)
+        dead: set[int] = set()
+        out: list[int] = []
+        ends: list[int] = [0]
+        longest, synced = self.auto.iter_long(text), 0  # gives the longest token at ``synced``, then at its end, ...
+        last, at, end = -1, 0, None
         while at < n:
-            found = None
-            while size > 0:
-                token = data[at : at + size]
-                if token in ranks and not dead[at + size] and self.reachable(token) and (not out or self.compatible(out[-1], token)):
-                    found = token
+            if end is None:
+                if at != synced:
+                    longest = self.auto.iter_long(text, at)
+                end = synced = next(longest)[0] + 1
+            while end > at:
+                token = ranks.get(data[at:end])
+                if token is not None and end not in dead and compatible(last, token):
                     break
-                size -= 1
-            if found:
-                out.append(found)
-                at += size
-                size = longest[at] if at < n else 0
-            elif not out:
-                raise ValueError("the vocabulary lacks a byte of the text")
+                end -= 1
+            if end > at:
+                out.append(token)
+                ends.append(end)
+                last, at, end = token, end, None
+            elif out:
+                dead.add(at)
+                out.pop()
+                end = ends.pop() - 1  # try the next shorter one there
+                at, last = ends[-1], out[-1] if out else -1
+                synced = -1
             else:
-                dead[at] = 1
-                size = len(out.pop())
-                at -= size
-                size -= 1
-        return [ranks[t] for t in out]
+                raise ValueError("the vocabulary lacks a byte of the text")
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for m in self.split(text) for i in self.encode_match(m.encode())]
