@@ -127,5 +127,6 @@ def mix_documents(docs: DataFrame, stages: Stages, **how) -> DataFrame:
 
 
 def first_words(text, n):
-    """The text up to its n-th word's end; the text is no longer than that if n is its size or more."""
-    return F.when(n <= 0, F.lit("")).otherwise(F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}")), 0))
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
