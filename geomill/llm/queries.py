@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, near_dedup, token_counts, toxicity
+from . import bpe_codec, language_id, mixing, near_dedup, ogg_media, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -31,6 +31,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ogg_media.read_media(ogg_media.store(docs).select("doc_id", "n_bytes", "media"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -60,4 +66,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op10_near_dedup)}
