@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_texts(docs, net, score="__score").filter("__score < 0.5").select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score_texts(docs.select("doc_id", "text"), net)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

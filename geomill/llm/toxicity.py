@@ -325,15 +325,22 @@ def evidence(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nda
     return np.sign(pos / n_pos - neg / n_neg) * np.clip((root - 3) / 2, 0, 4)
 
 
-def learn(rows: DataFrame, per_class: int = 1200, most_chars: int = 20_000, rounds: int = 2, epochs: int = 2, seed: int = 11) -> Network | None:
-    """Fit on a bounded sample of (id, text, toxic): about ``per_class`` rows of either label, chosen by
-    a threshold on the id's hash, none longer than ``most_chars`` characters.  None if a label is missing."""
-    rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 1200, most_chars: int = 20_000, rounds: int = 2, epochs: int = 2, seed: int = 11) -> Network | None:
+    """Fit on a bounded sample of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
+
+    Rows: about ``per_class`` of either label, chosen by a threshold on the id's hash in the narrow
+    label table, whose crc32 fold isn't ``held``; texts of more than ``most_chars`` characters are left
+    out.  So the broadcast side has about 2 * per_class rows and the driver gets 2 * per_class texts,
+    whatever the input's size.  None if a label is missing.
+    """
+    y = labels.select(F.col("doc_id").alias("id"), "toxic").filter(F.col("toxic").isin(0, 1) & (fold(F.col("id"), folds) != held))
+    counts = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
-    sample = sorted((int(r["id"]), r["text"], int(r["toxic"])) for r in rows.filter(unit_hash(F.col("id"), F.lit(seed)) < share).collect())
+    picked = y.filter(unit_hash(F.col("id"), F.lit(seed)) < share)
+    d = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    sample = sorted((int(r["id"]), r["text"], int(r["toxic"])) for r in d.join(F.broadcast(picked), "id").collect())
     return fit(sample, rounds, epochs, seed)
 
 
@@ -423,13 +430,6 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 2, epochs: int = 2, se
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """(id, text, toxic) of the labelled rows that may be learned from."""
-    y = labels.select(F.col("doc_id").alias("y_id"), "toxic").filter(F.col("toxic").isNotNull() & (fold(F.col("y_id"), folds) != held))
-    d = docs.select(F.col("doc_id").alias("id"), "text").filter(fold(F.col("id"), folds) != held)
-    return d.join(y, F.col("id") == F.col("y_id")).drop("y_id")
-
-
 def score_texts(docs: DataFrame, net: Network | None, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the toxicity score (0 to 1) of every whole text."""
     if net is None:
