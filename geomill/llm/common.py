@@ -51,9 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Stages:
     """Stage tables as Parquet in the shared folder: they cut lineage and outlive executors.
 
-    ``with Stages(spark) as st: t = st.keep(df)``.  ``drop`` removes a table that no later
-    plan reads; what is left at the end stays for the lazily evaluated result and is removed
-    when the next ``Stages`` of the same session starts with ``sweep=True``.
+    ``t = stages.keep(df)`` writes and reads back; ``drop`` removes a table that no later plan
+    reads.  What a lazily evaluated result still reads stays in the folder, which the cluster
+    owns and clears.
     """
 
     def __init__(self, spark: SparkSession):
