@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, near_dedup, ogg_media, quality_lm, token_counts, toxicity
+from . import ann, bpe_codec, language_id, mixing, near_dedup, ogg_media, quality_lm, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -68,8 +68,12 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), Stages(spark), lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup)}
