@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, language_id, mixing, near_dedup, ogg_media, quality_lm, token_counts, toxicity
+from . import ann, bpe_codec, language_id, license_scan, mixing, near_dedup, ogg_media, quality_lm, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -31,6 +31,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", "n_licenses", "license", "coverage", "first_word", "last_word")
+
+
 def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality_lm.classify(docs.select("doc_id", "lang", "text"), labels.filter("quality = 1").select("doc_id"), Stages(spark))
@@ -76,4 +81,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup)}
