@@ -13,9 +13,11 @@ Candidates must also be near in the b-bit signature (b = 2 bits of all SIZE valu
 alike) and in set size; each is confirmed on the full sets of 64-bit shingle hashes.
 
 Copies (equal sets) are one class from the start and stand as its smallest doc_id.  Within a
-key not all pairs are tried: first every member against the key's smallest one; then, with the
-components found so far, just the pairs of different components.  Every candidate pair is thus
-either confirmed, refused or already connected, and no link is lost to a cap.
+key not all pairs are tried.  Each member is first compared, by signature, with three members
+of the key (the smallest id and two by hash); in a few waves each document's nearest one of
+these in another component is confirmed and components are merged.  At last just those pairs
+of a key whose components still differ are tried, each at the first key it shares.  Every
+candidate pair is thus confirmed, refused or already connected, and no link is lost to a cap.
 
 Cases: null or empty text, or only white space: set size 0, no links, its own component; a
 null doc_id gets a null component and is kept; rows that repeat an id repeat its document
@@ -24,7 +26,9 @@ and share its component; an empty table gives an empty result.  Other columns ar
 
 from __future__ import annotations
 
-from math import comb
+from functools import reduce
+from math import exp, lgamma, log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import types as T
 from .common import Stages, byte_view, map_arrow, semi
 from .components import components
 
-SHINGLE, SIZE, MISS = 5, 128, 1e-7
+SHINGLE, SIZE, INDEX, MISS, WAVES = 5, 512, 128, 1e-7, 4
 MEMO, BLOCK = 200_000, 4096
 _U = np.uint64
 
@@ -93,7 +97,7 @@ def over(n: int, p: float, miss: float = MISS) -> int:
     tail, d = 1.0, -1
     while tail >= miss:
         d += 1
-        tail -= comb(n, d) * p**d * (1 - p) ** (n - d)
+        tail -= exp(lgamma(n + 1) - lgamma(d + 1) - lgamma(n - d + 1) + d * log(p) + (n - d) * log(1 - p)) if 0 < p < 1 else float(d == n * p)
         if d == n:
             break
     return d
@@ -101,14 +105,14 @@ def over(n: int, p: float, miss: float = MISS) -> int:
 
 def chunks(percent: int) -> list[tuple[int, int]]:
     """The chunks (first, end) of the index for a similarity of ``percent`` in 100."""
-    places = 64 if percent >= 85 else SIZE
+    places = 64 if percent >= 85 else INDEX
     m = over(places, 1 - percent / 100) // 2 + 1
     cuts = [places * i // m for i in range(m + 1)]
     return list(zip(cuts, cuts[1:], strict=False))
 
 
 def index_keys(values: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
-    """(rows, keys) of signatures (rows, SIZE): for each chunk, without each of its values in turn."""
+    """(rows, keys) of signatures (rows, INDEX): for each chunk, without each of its values in turn."""
     out = []
     for c, (lo, hi) in enumerate(parts):
         for skip in range(lo, hi):
@@ -121,7 +125,8 @@ def index_keys(values: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     return np.stack(out, 1)
 
 
-PLANES = ["p0", "p1", "q0", "q1"]
+WORDS = SIZE // 64
+PLANES = [f"{x}{w}" for x in "pq" for w in range(WORDS)]
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in PLANES])
 SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("items", T.ArrayType(T.LongType(), False))])
 
@@ -143,10 +148,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     prints[i] = s.sum(), (mixed(s * POLY + _U(7)) ^ s).sum()
                     sigs[i] = minhash(s)
             bits = [np.packbits(((sigs >> _U(11 + j)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(2)]
-            short = (sigs >> _U(16)).astype(np.uint32)
+            short = (sigs[:, :INDEX] >> _U(16)).astype(np.uint32)
             sig = pa.array([short[i].tobytes() if n[i] else None for i in range(k)], pa.binary())
             cols = [b.column(0), pa.array(n), pa.array(prints[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(prints[:, 1]).view(np.int64)), sig]
-            return pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(bits[j][:, w])) for j in range(2) for w in range(2)], names=SIGNED.names)
+            return pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(bits[j][:, w])) for j in range(2) for w in range(WORDS)], names=SIGNED.names)
 
         return one
 
@@ -154,18 +159,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def keyed(classes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(key, rep): the index entries of every class."""
+    """(key, rep, place): the index entries of every class; place counts a class's keys from 1."""
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, SIZE).astype(np.uint64)
+            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, INDEX).astype(np.uint64)
             keys = index_keys(values, parts)
             rep = np.repeat(b.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            place = np.tile(np.arange(1, keys.shape[1] + 1, dtype=np.int32), b.num_rows)
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep), pa.array(place)], names=["key", "rep", "place"])
 
         return one
 
-    return map_arrow(classes.select("rep", "sig"), make, T.StructType([T.StructField("key", T.LongType()), T.StructField("rep", T.LongType())]))
+    return map_arrow(classes.select("rep", "sig"), make, T.StructType([T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("place", T.IntegerType())]))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -189,8 +195,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def distance(a: str, b: str) -> F.Column:
     """Differing places of the b-bit signatures in structs or tables a and b."""
     col = lambda t, c: F.col(f"{t}.{c}")
-    parts = [F.bit_count((col(a, f"p{w}").bitwiseXOR(col(b, f"p{w}"))).bitwiseOR(col(a, f"q{w}").bitwiseXOR(col(b, f"q{w}")))) for w in range(2)]
-    return parts[0] + parts[1]
+    parts = [F.bit_count((col(a, f"p{w}").bitwiseXOR(col(b, f"p{w}"))).bitwiseOR(col(a, f"q{w}").bitwiseXOR(col(b, f"q{w}")))) for w in range(WORDS)]
+    return reduce(add, parts)
 
 
 def near(a: str, b: str, percent: int) -> F.Column:
@@ -215,30 +221,44 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
     classes = stages.keep(classes, "classes")
     marks = classes.select("rep", "n", *PLANES)
 
-    w = Window.partitionBy("key").orderBy("rep")
-    hits = keyed(classes, chunks(percent)).select("key", "rep", F.first("rep").over(w).alias("head"), F.lead("rep").over(w).alias("next"))
-    hits = stages.keep(hits.filter("head <> rep OR next IS NOT NULL").select("key", "rep", "head"), "hits")
-
-    pairs = hits.filter("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.alias("p").join(marks.alias("y"), F.col("p.b") == F.col("y.rep")).join(marks.alias("x"), F.col("p.a") == F.col("x.rep"))
-    tried = stages.keep(pairs.filter(near("x", "y", percent)).select("p.a", "p.b"), "tried")
-    active = hits.select("rep").distinct()
-    active = stages.keep(active, "active")
+    w = Window.partitionBy("key")
+    pivot = lambda seed: F.min(F.struct(F.xxhash64("rep", "key", F.lit(seed)).alias("h"), "rep")).over(w)["rep"]
+    hits = keyed(classes, chunks(percent)).select("key", "rep", "place", F.array(F.min("rep").over(w), pivot(1), pivot(2)).alias("pivots"), F.count("*").over(w).alias("members"))
+    hits = stages.keep(hits.filter("members > 1").select("key", "rep", "place", "pivots"), "hits")
+    active = stages.keep(hits.select("rep").distinct(), "active")
     text = semi(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL"), active, "rep", active.count())
     sets = stages.keep(shingle_sets(text.groupBy("rep").agg(F.first("text").alias("text"))), "sets")
-    links = stages.keep(confirmed(tried, sets, percent), "links")
-    comp = components(links, stages)
 
-    placed = hits.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    offers = hits.select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
+    offers = offers.join(marks.alias("x"), F.col("o.rep") == F.col("x.rep")).join(marks.alias("y"), F.col("o.cand") == F.col("y.rep"))
+    offers = stages.keep(offers.filter(near("x", "y", percent)).select("o.rep", "o.cand", distance("x", "y").alias("far")), "offers")
+    links, comp = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "id long, comp long")
+    tried = links
+    for _ in range(WAVES):
+        mine = offers.join(comp.withColumnsRenamed({"id": "rep", "comp": "c"}), "rep", "left").join(comp.withColumnsRenamed({"id": "cand", "comp": "d"}), "cand", "left")
+        mine = mine.filter(F.coalesce("c", "rep") != F.coalesce("d", "cand")).select(F.least("rep", "cand").alias("a"), F.greatest("rep", "cand").alias("b"), "rep", "far")
+        best = mine.join(tried, ["a", "b"], "left_anti").groupBy("rep").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        best = stages.keep(best, "wave")
+        new = stages.keep(confirmed(best, sets, percent), "links")
+        tried = tried.unionByName(best)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        comp = components(links, stages)
+
+    placed = hits.select("key", "rep", "place").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "place", F.coalesce("comp", "rep").alias("comp"))
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = stages.keep(placed.join(mixed_keys, "key").join(marks, "rep"), "open")
+    open_rows = stages.keep(placed.join(mixed_keys, "key"), "open")
+    all_keys = open_rows.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("ks")).select("rep", F.col("ks.place").alias("places"), F.col("ks.key").alias("keys"))
+    open_rows = stages.keep(open_rows.join(all_keys, "rep").join(marks, "rep"), "wide")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y", percent))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    earlier = lambda t: F.slice(f"{t}.keys", F.lit(1), F.array_position(f"{t}.places", F.col(f"{t}.place")).cast("int") - 1)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y", percent) & ~F.arrays_overlap(earlier("x"), earlier("y")))
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = stages.keep(confirmed(stages.keep(rest, "rest"), sets, percent), "more")
     if not more.isEmpty():
         comp = components(links.unionByName(more), stages)
-    stages.drop(hits, tried, active, sets, open_rows)
+    stages.drop(hits, active, sets, offers, open_rows)
 
     of = classes.select("h1", "h2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left")
