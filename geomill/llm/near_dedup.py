@@ -234,9 +234,13 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
     offers = stages.keep(offers.filter(near("x", "y", percent)).select("o.rep", "o.cand", distance("x", "y").alias("far")), "offers")
     links, comp = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "id long, comp long")
     tried = links
-    for _ in range(WAVES):
-        mine = offers.join(comp.withColumnsRenamed({"id": "rep", "comp": "c"}), "rep", "left").join(comp.withColumnsRenamed({"id": "cand", "comp": "d"}), "cand", "left")
-        mine = mine.filter(F.coalesce("c", "rep") != F.coalesce("d", "cand")).select(F.least("rep", "cand").alias("a"), F.greatest("rep", "cand").alias("b"), "rep", "far")
+    for wave in range(WAVES):
+        if wave:  # components only grow: what they have joined needs no further look
+            mine = offers.join(comp.withColumnsRenamed({"id": "rep", "comp": "c"}), "rep", "left").join(comp.withColumnsRenamed({"id": "cand", "comp": "d"}), "cand", "left")
+            still = stages.keep(mine.filter(F.coalesce("c", "rep") != F.coalesce("d", "cand")).select("rep", "cand", "far"), "offers")
+            stages.drop(offers)
+            offers = still
+        mine = offers.select(F.least("rep", "cand").alias("a"), F.greatest("rep", "cand").alias("b"), "rep", "far")
         best = mine.join(tried, ["a", "b"], "left_anti").groupBy("rep").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         best = stages.keep(best, "wave")
         new = stages.keep(confirmed(best, sets, percent), "links")
