@@ -108,7 +108,7 @@ def address_key(street_text: Column, number: Column) -> Column:
 def clean_number(c: Column) -> Column:
     """First run of digits without leading zeros; null if there is none or it has over six."""
     d = F.regexp_extract(c, "([0-9]+)", 1)
-    d = F.when(d != "", F.when(F.ltrim(F.lit("0"), d) == "", "0").otherwise(F.ltrim(F.lit("0"), d)))
+    d = F.when(d != "", F.when(F.ltrim(d, F.lit("0")) == "", "0").otherwise(F.ltrim(d, F.lit("0"))))
     return F.when(F.length(d) <= 6, d)
 
 
@@ -121,7 +121,7 @@ def number_agrees(registered: Column, installed: Column) -> Column:
     ni, nr = inst.try_cast("bigint"), reg.try_cast("bigint")
     none = inst.isNull() | reg.isNull() | (inst == "") | (reg == "") | (ni == 0)
     in_range = (lo < hi) & (hi - lo <= 40) & ni.between(lo, hi)
-    odd = (nr == 0) | (F.length(F.ltrim(F.lit("0"), reg)) > 6)
+    odd = (nr == 0) | (F.length(F.ltrim(reg, F.lit("0"))) > 6)
     return F.when(none, "no_number").when(F.coalesce(in_range, F.lit(False)), "equal").when(odd, "no_number").when(nr == ni, "equal").otherwise("different")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def fuzzy_street(rows: DataFrame, register: DataFrame, least: float = 85.0) -> D
 PASSES = [("exact", ["postcode", "street", "number"], False), ("core", ["postcode", "core", "number"], False), ("city_exact", ["city", "street", "number"], False), ("near_number", ["postcode", "street"], True), ("city_near_number", ["city", "street"], True), ("postcode_number", ["postcode", "number"], False), ("street", ["city", "core"], True), ("postcode", ["postcode"], True)]
 
 
-def match_address(rows: DataFrame, register: DataFrame, most_apart: int = 200) -> DataFrame:
+def match_address(rows: DataFrame, register: DataFrame, keep: Callable[[DataFrame], DataFrame], most_apart: int = 200) -> DataFrame:
     """(id, right_id, step, apart): eight passes of falling strictness; numbers at most so far apart where they may differ.
 
-    Both sides: id, postcode, street, core, city, number.
+    Both sides: id, postcode, street, core, city, number.  ``keep`` writes what each pass matched and left.
     """
     rest, out = rows, None
     for name, keys, loose in PASSES:
@@ -52,8 +54,9 @@ def match_address(rows: DataFrame, register: DataFrame, most_apart: int = 200) -
         hit = rest.dropna(subset=keys).join(r, keys).withColumn("apart", F.abs(F.col("number") - F.col("rn")) if loose else F.lit(0).cast("bigint"))
         hit = hit.filter(F.coalesce(F.col("apart"), F.lit(0)) <= most_apart)
         hit = hit.groupBy("id").agg(F.min(F.struct(F.coalesce("apart", F.lit(1 << 40)).alias("x"), "right_id", "apart")).alias("h")).select("id", F.col("h.right_id").alias("right_id"), F.lit(name).alias("step"), F.col("h.apart").alias("apart"))
+        hit = keep(hit)
         out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select("id"), "id", "left_anti")
+        rest = keep(rest.join(hit.select("id"), "id", "left_anti"))
     return out
 
 

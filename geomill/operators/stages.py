@@ -9,13 +9,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a local folder is set only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        found = "file://" + tempfile.mkdtemp(prefix="geomill-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared place."""
+    return f"{base(spark)}/files-{uuid.uuid4().hex[:12]}"
+
+
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a table under spark.checkpoint.dir and reads it back; a local folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="geomill-")
-        spark.sparkContext.setCheckpointDir(base)
-    root, n = f"{base.rstrip('/')}/steps-{uuid.uuid4().hex[:12]}", iter(range(1 << 30))
+    """A function that writes a table under the shared folder and reads it back, which cuts its lineage."""
+    root, n = f"{base(spark)}/steps-{uuid.uuid4().hex[:12]}", iter(range(1 << 30))
 
     def keep(df: DataFrame) -> DataFrame:
         path = f"{root}/{next(n):04d}"

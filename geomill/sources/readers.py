@@ -46,9 +46,13 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, sep: st
     return spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=header, mode="PERMISSIVE")
 
 
-def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";", encoding: str = "UTF-8", rows_a_batch: int = 20_000) -> DataFrame:
-    """(member, the named columns) of every CSV in ZIP files: a task unpacks a file as a stream and yields only these columns."""
-    schema = T.StructType([T.StructField("member", T.StringType())] + [T.StructField(c, T.StringType()) for c in columns])
+def member_schema(columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField("member", T.StringType())] + [T.StructField(c, T.StringType()) for c in columns])
+
+
+def unzipper(columns: Sequence[str], sep: str, encoding: str, rows_a_batch: int):
+    """A function for mapInArrow over archives' contents: rows of their CSV members, only these columns, as a stream."""
+    schema = member_schema(columns)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,8 +70,13 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep:
                             if held:
                                 yield _batch(held, schema)
 
+    return unpack
+
+
+def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";", encoding: str = "UTF-8", rows_a_batch: int = 20_000) -> DataFrame:
+    """(member, the named columns) of every CSV in ZIP files; a task unpacks one file after another."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("content").mapInArrow(unpack, schema)
+    return files.select("content").mapInArrow(unzipper(columns, sep, encoding, rows_a_batch), member_schema(columns))
 
 
 def _batch(rows: list[list[str | None]], schema: T.StructType) -> pa.RecordBatch:
