@@ -34,25 +34,33 @@ from pyspark.sql import types as T
 
 from .common import SMALL_ROWS, Stages, by_bytes, byte_view
 
-ORDER, BLOCK_BYTES, ANY = 4, 8 << 20, "*"
+ORDER, BLOCK_BYTES, ANY = 4, 4 << 20, "*"
 PART_ROWS = 1 << 24  # blocks of a scan partition at most
 
 
 def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each byte, as uint32, and each row's number of bytes."""
     lens = np.diff(offsets)
-    pad = ORDER - 1
     total = int(lens.sum())
-    row_start = np.cumsum(lens) - lens
-    at = np.arange(total) + np.repeat((np.arange(len(lens)) + 1) * pad, lens)
-    buf = np.zeros(total + pad * (len(lens) + 1), np.uint32)
-    buf[at] = data[np.arange(total) - np.repeat(row_start, lens) + np.repeat(offsets[:-1], lens)]
-    code = np.zeros(total, np.uint32)
-    for i in range(ORDER):
-        code |= buf[at - i] << np.uint32(8 * i)
+    text = data[offsets[0] : offsets[-1]].astype(np.uint32)
+    code = text.copy()
+    first = np.cumsum(lens) - lens  # a row's bytes have no context from the row before
+    for i in range(1, ORDER):
+        back = np.zeros(total, np.uint32)
+        back[i:] = text[: max(total - i, 0)]
+        for j in range(i):
+            back[np.minimum(first + j, first + np.maximum(lens - 1, 0))[lens > j]] = 0
+        code |= back << np.uint32(8 * i)
     return code, lens
 
 
+def by_lang(langs: pa.Array):
+    """(language, places) of a column."""
+    names = np.array(langs.to_pylist(), object).astype(str)
+    for lang in np.unique(names):
+        yield str(lang), pa.array(np.flatnonzero(names == lang))
+
+
 def blocks(batches):
     """(block number, slice of the batch) of a task's input, text in the last column."""
     first = TaskContext.get().partitionId() * PART_ROWS
@@ -75,17 +83,16 @@ def grams(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for number, b in blocks(batches):
-            data, offsets = byte_view(b.column(3))
-            code, lens = codes_of(data, offsets)
-            langs = np.array(b.column(1).to_pylist(), object)
-            trusted = np.repeat(b.column(2).to_numpy(zero_copy_only=False).astype(bool), lens)
-            which = np.repeat(np.unique(langs.astype(str), return_inverse=True)[1], lens)
-            for i, lang in enumerate(np.unique(langs.astype(str))):
-                mine = which == i
-                kinds, where = np.unique(code[mine], return_inverse=True)
-                seen = np.bincount(where[trusted[mine]], minlength=len(kinds))
+            for lang, rows_ in by_lang(b.column(1)):
+                part = b.take(rows_)  # one language at a time, as a block's n-grams are held in memory
+                code, lens = codes_of(*byte_view(part.column(3)))
+                trusted = np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(bool), lens)
+                good, times = np.unique(code[trusted], return_counts=True)
+                kinds = np.unique(code)
+                seen = np.zeros(len(kinds), np.int64)
+                seen[np.searchsorted(kinds, good)] = times
                 n = len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([str(lang)] * n, pa.string()), pa.array(kinds.astype(np.int64)), pa.array(seen.astype(np.int64))], names=GRAMS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([lang] * n, pa.string()), pa.array(kinds.astype(np.int64)), pa.array(seen)], names=GRAMS.names)
 
     return rows.mapInArrow(run, GRAMS)
 
@@ -140,7 +147,7 @@ class Lookup:
         pairs = np.unique(np.concatenate([self.code >> np.uint32(16), self.code & np.uint32(65535)]))
         self.n = len(pairs)
         self.dense = None
-        if self.n**2 <= 1 << 23:
+        if self.n**2 <= 1 << 22:
             self.at = np.zeros(65536, np.int32)
             self.at[pairs] = np.arange(self.n)
             self.dense = np.zeros(self.n**2, np.float32)
@@ -174,17 +181,17 @@ def scored(both: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for texts, entries in zip(b.column(0), b.column(1), strict=True):
-                tables = {e["lang"]: Lookup(np.frombuffer(e["codes"], np.uint32), np.frombuffer(e["logps"], np.float32)) for e in entries.as_py() or []}
+                tables = {e["lang"]: e for e in entries.as_py() or []}
                 rows = pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
-                data, offsets = byte_view(rows.column(3))
-                code, lens = codes_of(data, offsets)
-                langs = rows.column(1).to_pylist()
-                total = np.zeros(len(lens))
-                ends = np.cumsum(lens)
-                for i, lang in enumerate(langs):
-                    if lens[i] and lang in tables:
-                        total[i] = tables[lang](code[ends[i] - lens[i] : ends[i]]).sum(dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(lens), pa.array(total)], names=SCORED.names)
+                for lang, places in by_lang(rows.column(1)):
+                    part = rows.take(places)
+                    code, lens = codes_of(*byte_view(part.column(3)))
+                    total, ends = np.zeros(len(lens)), np.cumsum(lens)
+                    if lang in tables:
+                        look = Lookup(np.frombuffer(tables[lang]["codes"], np.uint32), np.frombuffer(tables[lang]["logps"], np.float32))
+                        for i in np.flatnonzero(lens).tolist():
+                            total[i] = look(code[ends[i] - lens[i] : ends[i]]).sum(dtype=np.float64)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lens), pa.array(total)], names=SCORED.names)
 
     return both.mapInArrow(run, SCORED)
 
