@@ -136,3 +136,27 @@ def ring_area(ring: Column) -> Column:
     n = F.size(ring)
     corner = lambda i: F.element_at(ring, (F.pmod(i, n) + 1).cast("int"))
     return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + corner(i)["lng"] * corner(i + 1)["lat"] - corner(i + 1)["lng"] * corner(i)["lat"])) / 2
+
+
+def project(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
+    """Struct (x, y) in metres around an origin."""
+    return F.struct(((lng - lng0) * (DEGREE_M * math.cos(math.radians(lat0)))).alias("x"), ((lat - lat0) * DEGREE_M).alias("y"))
+
+
+def destination(lat: Column, lng: Column, heading: Column, m: float) -> Column:
+    """Struct (lat, lng) of the point so many metres away at a bearing."""
+    d, p = m / EARTH_M, F.radians(lat)
+    la = F.asin(F.sin(p) * math.cos(d) + F.cos(p) * math.sin(d) * F.cos(F.radians(heading)))
+    lo = F.radians(lng) + F.atan2(F.sin(F.radians(heading)) * math.sin(d) * F.cos(p), math.cos(d) - F.sin(p) * F.sin(la))
+    return F.struct(F.degrees(la).alias("lat"), F.degrees(lo).alias("lng"))
+
+
+def inner_point(ring: Column) -> Column:
+    """Struct (lat, lng) of a point inside a ring: on the middle line, halfway between its first two crossings."""
+    n = F.size(ring)
+    corner = lambda i: F.element_at(ring, (F.pmod(i, n) + 1).cast("int"))
+    lats = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["lat"])))
+    y = (F.element_at(lats, 1) + F.element_at(lats, 2)) / 2  # between the two lowest corners, so off all corners
+    at = lambda i: corner(i)["lng"] + (y - corner(i)["lat"]) / (corner(i + 1)["lat"] - corner(i)["lat"]) * (corner(i + 1)["lng"] - corner(i)["lng"])
+    xs = F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (corner(i)["lat"] > y) != (corner(i + 1)["lat"] > y)), at))
+    return F.struct(y.alias("lat"), ((xs[0] + xs[1]) / 2).alias("lng"))

@@ -250,3 +250,94 @@ def column_name(raw: str, used: set[str]) -> str:
         out, i = f"{name}_{i}", i + 1
     used.add(out)
     return out
+
+
+# Portuguese numerals by value, for spelling numbers out.
+ONES = ("zero", "um", "dois", "tres", "quatro", "cinco", "seis", "sete", "oito", "nove", "dez", "onze", "doze", "treze", "quatorze", "quinze", "dezesseis", "dezessete", "dezoito", "dezenove")
+TENS = ("", "", "vinte", "trinta", "quarenta", "cinquenta", "sessenta", "setenta", "oitenta", "noventa")
+HUNDREDS = ("", "cento", "duzentos", "trezentos", "quatrocentos", "quinhentos", "seiscentos", "setecentos", "oitocentos", "novecentos")
+
+
+def spelt(n: Column) -> Column:
+    """Portuguese words of 0 to 1999; null outside."""
+    pick = lambda t, i: F.element_at(F.array(*map(F.lit, t)), (i + 1).cast("int"))
+    rest = n % 1000
+    small = rest % 100
+    two = F.when(small < 20, pick(ONES, F.least(small, F.lit(19)))).when(small % 10 == 0, pick(TENS, F.floor(small / 10))).otherwise(F.concat_ws(" e ", pick(TENS, F.floor(small / 10)), pick(ONES, small % 10)))
+    hundreds = F.when(rest == 100, "cem").otherwise(pick(HUNDREDS, F.floor(rest / 100)))
+    below = F.when(rest < 100, two).when(small == 0, hundreds).otherwise(F.concat_ws(" e ", hundreds, two))
+    joined = F.when((rest < 100) | (small == 0), " e ").otherwise(" ")
+    return F.when(~n.between(0, 1999), None).when(n < 1000, below).when(rest == 0, "mil").otherwise(F.concat(F.lit("mil"), joined, below))
+
+
+def city_state(c: Column) -> Column:
+    """Struct (city, state) named in an address as ``..., City - ST``."""
+    g = lambda i: F.nullif(F.regexp_extract(c, r",\s*([^,]+?)\s+-\s+([A-Z]{2})(?:,|$)", i), F.lit(""))
+    return F.struct(g(1).alias("city"), g(2).alias("state"))
+
+
+def door_number(c: Column) -> Column:
+    """First number of a free address that isn't part of a postcode; null without one."""
+    plain = F.regexp_replace(c, r"[0-9]{5}-?[0-9]{3}", " ")
+    return F.try_element_at(F.regexp_extract_all(plain, F.lit(r"\b([0-9]{1,6})\b"), F.lit(1)), F.lit(1))
+
+
+def house_number(c: Column) -> Column:
+    """Struct (base, suffix, kind) of a house number: plain, none (S/N), range, km or other."""
+    t = F.upper(F.trim(c))
+    base = F.nullif(F.regexp_extract(t, "([0-9]+)", 1), F.lit("")).try_cast("bigint")
+    kind = F.when(t.isNull() | t.rlike(r"^(S[/. ]?N[.º°]?|SN|0+|)$"), "none").when(t.rlike(r"^KM\s*[0-9]"), "km").when(t.rlike(r"^[0-9]+\s*(-|/|A|AO)\s*[0-9]+$"), "range").when(t.rlike(r"^[0-9]+\s*[A-Z]?$"), "plain").otherwise("other")
+    suffix = F.nullif(F.regexp_extract(t, r"^[0-9]+\s*([A-Z])$", 1), F.lit(""))
+    return F.struct(F.when(kind != "none", base).alias("base"), suffix.alias("suffix"), kind.alias("kind"))
+
+
+#: Layers of a complement and the names that stand for them, in the order in which they are tried.
+LAYERS = {"block": ("BLOCO", "TORRE", "PREDIO"), "unit": ("APARTAMENTO", "CASA", "SALA", "LOJA"), "floor": ("ANDAR", "PAVIMENTO"), "lot": ("LOTE", "QUADRA"), "back": ("FUNDOS", "SUBSOLO")}
+
+
+def complement_layers(names: Column, contents: Column) -> Column:
+    """Struct of layers from arrays of names and values; the first pair of a layer counts."""
+    pairs = F.arrays_zip(names.alias("n"), contents.alias("v"))
+
+    def first(known: tuple[str, ...]) -> Column:
+        return F.get(F.filter(pairs, lambda p: F.upper(p["n"]).isin(*known)), F.lit(0))["v"]
+
+    return F.struct(*[first(known).alias(layer) for layer, known in LAYERS.items()])
+
+
+def block_lot(number: Column, block: Column, lot: Column, house: Column) -> Column:
+    """The number itself if positive, else a key such as Q15/L8/C3; null without any part."""
+    part = lambda p, c: F.when(F.trim(c) != "", F.concat(F.lit(p), F.trim(c)))
+    key = F.nullif(F.concat_ws("/", part("Q", block), part("L", lot), part("C", house)), F.lit(""))
+    return F.when(number > 0, number.cast("string")).otherwise(key)
+
+
+def tidy_street(c: Column) -> Column:
+    """Without parentheses, a repeated type and trailing punctuation."""
+    x = F.regexp_replace(F.lower(c), r"\([^)]*\)?", " ")
+    x = F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"[\s,.;:-]+$", ""))
+    return F.regexp_replace(x, r"^(\w+) \1 ", "$1 ")
+
+
+def without_document(c: Column) -> Column:
+    """A name without the document number glued to it."""
+    return F.trim(F.regexp_replace(c, r"[0-9][0-9.\-/]{7,}", ""))
+
+
+def mentions_address(c: Column, street_core_text: Column, number: Column, city: Column) -> Column:
+    """A text holds the street, the number as a word of its own, and the city."""
+    t = F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    has = lambda x: F.contains(t, F.concat(F.lit(" "), x, F.lit(" ")))
+    return F.coalesce(has(street_core_text) & has(number) & has(norm_name(city)), F.lit(False))
+
+
+def source_class(url: Column) -> Column:
+    """Kind of a page by its host."""
+    h = domain(url)
+    return F.when(h == "", "platform").when(h.rlike(r"(^|\.)gov\."), "official").when(h.rlike(r"(cnpj|empresa|consulta)"), "registry").otherwise("own")
+
+
+def same_shop(a: Column, b: Column) -> Column:
+    """One name's words hold all of the other's."""
+    x, y = tokens(a), tokens(b)
+    return F.coalesce((F.least(F.size(x), F.size(y)) > 0) & (F.size(F.array_intersect(x, y)) == F.least(F.size(x), F.size(y))), F.lit(False))

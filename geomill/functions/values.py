@@ -73,3 +73,18 @@ def years_active(since: Column, at: Column) -> Column:
 def local_period(c: Column, zone: str) -> Column:
     """Start of the local day of a UTC time, as UTC."""
     return F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(c, zone)), zone)
+
+
+# Portuguese month names by their first three letters.
+MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
+
+
+def snippet_date(c: Column) -> Column:
+    """First date in a text: dd/mm/yyyy, yyyy-mm-dd, or ``12 de março de 2024``."""
+    t = F.lower(c)
+    day = F.nullif(F.regexp_extract(t, r"([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})", 1), F.lit(""))
+    iso = F.nullif(F.regexp_extract(t, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit(""))
+    long = r"([0-9]{1,2}) de ([a-zç]{3})[a-zç]* de ([0-9]{4})"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(t, long, 2))
+    spelt = F.when(month > 0, F.make_date(F.regexp_extract(t, long, 3).try_cast("int"), month.cast("int"), F.regexp_extract(t, long, 1).try_cast("int")))
+    return F.coalesce(date_of(day), date_of(iso), spelt)
