@@ -69,3 +69,31 @@ def medoids(points: DataFrame, group: str, top: int = 1) -> DataFrame:
     d = (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y")) + (F.col("lng") - F.col("x")) * (F.col("lng") - F.col("x"))
     w = Window.partitionBy(group).orderBy("d", "id")
     return points.join(mid, group).withColumn("d", d).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(group, "id", "rank")
+
+
+def label_components(images: DataFrame, height: int, width: int) -> DataFrame:
+    """(tile, label, pixels): 4-connected regions of images given as arrays ``on`` of coloured pixels (y, x).
+
+    A tile has a fixed number of pixels, so one is labelled whole; labels count regions by their first pixel.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for tile, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mask = np.zeros((height + 2, width + 2), bool)
+                for p in on or []:
+                    mask[p["y"] + 1, p["x"] + 1] = True
+                label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
+                while True:  # every pixel takes the smallest label next to it
+                    new = label.copy()
+                    for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
+                        new = np.minimum(new, np.roll(label, step, axis))
+                    new = np.where(mask, new, mask.size)
+                    if (new == label).all():
+                        break
+                    label = new
+                _, sizes = np.unique(label[mask], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(sizes), pa.string()), pa.array(np.arange(len(sizes)), pa.int64()), pa.array(sizes, pa.int64())], names=["tile", "label", "pixels"])
+
+    return images.select("tile", "on").mapInArrow(run, "tile string, label bigint, pixels bigint")

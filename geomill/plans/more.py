@@ -199,3 +199,14 @@ def e08(t: Tables) -> DataFrame:
 
 both("e04_nearest_ranked", "SELECT street, id, rn FROM (SELECT street, id, row_number() OVER (PARTITION BY street ORDER BY abs(lat + 29.99), id) AS rn FROM poi) q WHERE rn = 1")
 both("c09_lateral_nearest", "SELECT p.id, q.door FROM poi p LEFT JOIN (SELECT street, min(id) AS door FROM door GROUP BY street) q ON q.street = p.street WHERE p.id % 11 = 0")
+
+
+both("h513_same_roof", "SELECT a.id AS a, b.id AS b FROM (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) a JOIN (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) b ON a.y = b.y AND a.x = b.x AND a.id < b.id")
+
+
+@query("h514_image_components")
+def h514(t: Tables) -> DataFrame:
+    # a raster made from the points: 100 x 100 cells, coloured where a point falls
+    pixels = t.poi.select(F.floor((F.col("lat") + 30) * 5000).cast("int").alias("y"), F.floor((F.col("lng") + 51.2) * 5000).cast("int").alias("x")).distinct()
+    image = pixels.agg(F.collect_list(F.struct("y", "x")).alias("on")).select(F.lit("tile").alias("tile"), "on")
+    return cluster.label_components(image, 101, 101)

@@ -158,3 +158,66 @@ def a30(t: Tables) -> DataFrame:
 
 both("a31_semi_join_export", "SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
 both("a22_client_types", "SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS balance, upper(c_mktsegment) AS segment FROM customer")
+
+
+@query("a04_encoded_csv", "SELECT id::VARCHAR AS id, name || ' é' AS name FROM poi WHERE id < 200")
+def a04(t: Tables) -> DataFrame:
+    path = folder(t.spark)
+    t.poi.filter("id < 200").select("id", F.concat(F.col("name"), F.lit(" é\x00")).alias("name")).write.csv(path, sep="|", encoding="ISO-8859-1", header=True)
+    return readers.read_raw_csv(t.spark, path, sep="|", encoding="ISO-8859-1")
+
+
+@query("a08_registry_layout", "SELECT id::VARCHAR AS root, name, city FROM poi WHERE city = 7")
+def a08(t: Tables) -> DataFrame:
+    # files without a header; the column order is the declared schema's
+    path = folder(t.spark)
+    t.poi.select(F.col("id").cast("string"), "name", "city").write.csv(path, sep=";", header=False, encoding="ISO-8859-1")
+    schema = T.StructType([T.StructField("root", T.StringType()), T.StructField("name", T.StringType()), T.StructField("city", T.IntegerType())])
+    return readers.read_typed_csv(t.spark, path, schema, encoding="ISO-8859-1", header=False).filter("city = 7")
+
+
+@query("a09_partitioned_census", "SELECT city, count(*) AS n, min(number) AS lo FROM door WHERE city IN (5, 10) GROUP BY city")
+def a09(t: Tables) -> DataFrame:
+    path = folder(t.spark)
+    writers.write_partitioned(t.door.select("id", "number", "city"), path, ["city"])
+    return t.spark.read.parquet(path).filter("city IN (5, 10)").groupBy("city").agg(F.count("*").alias("n"), F.min("number").alias("lo"))
+
+
+@query("a13_projected_member", "SELECT n_name FROM nation")
+def a13(t: Tables) -> DataFrame:
+    path = folder(t.spark)
+    t.nation.write.csv(path, header=True, sep=";")
+    return t.spark.read.csv(path, header=True, sep=";").select("n_name")
+
+
+@query("a24_consolidated", "SELECT source, id FROM poi WHERE id % 2 = 0")
+def a24(t: Tables) -> DataFrame:
+    base = folder(t.spark)
+    for k in range(3):
+        t.poi.filter(f"id % 6 = {2 * k}").select("source", "id").write.parquet(f"{base}/shard={k}")
+    writers.write_partitioned(t.spark.read.parquet(base).select("source", "id"), f"{base}-all", ["source"])
+    return t.spark.read.parquet(f"{base}-all").select("source", "id")
+
+
+@query("a26_staged_load", "SELECT count(*) AS n, sum(id)::BIGINT AS total FROM poi")
+def a26(t: Tables) -> DataFrame:
+    base = folder(t.spark)
+    p = t.poi.select("id")
+    writers.load_staged(p, f"{base}/staging", f"{base}/table", p.count())
+    return t.spark.read.parquet(f"{base}/table").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+@query("a27_swapped", "SELECT id FROM poi WHERE id % 2 = 1")
+def a27(t: Tables) -> DataFrame:
+    base = folder(t.spark)
+    for k in (0, 1):
+        t.poi.filter(f"id % 2 = {k}").select("id").write.parquet(f"{base}/new{k}")
+        writers.swap(t.spark, f"{base}/new{k}", f"{base}/live")
+    return t.spark.read.parquet(f"{base}/live")
+
+
+@query("a28_ordered_sheets", "SELECT 'nations' AS sheet, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 'regions', r_regionkey, r_name FROM region")
+def a28(t: Tables) -> DataFrame:
+    # the engine supplies ordered result sets; a spreadsheet writer is the caller's
+    n = t.nation.select(F.lit("nations").alias("sheet"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return n.unionByName(t.region.select(F.lit("regions").alias("sheet"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).orderBy("sheet", "k")
