@@ -12,9 +12,14 @@ from . import text
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of the names' words; with a single word on either side only equal names count."""
-    x, y = text.tokens(text.void_to_null(a)), text.tokens(text.void_to_null(b))
+    a, b = text.void_to_null(a), text.void_to_null(b)
+    return jaccard_of(text.tokens(a), text.tokens(b), text.norm_name(a), text.norm_name(b))
+
+
+def jaccard_of(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """The same from the names' words and normal forms."""
     short = F.least(F.size(x), F.size(y)) < 2
-    whole = F.when(text.norm_name(a) == text.norm_name(b), 1.0).otherwise(0.0)
+    whole = F.when(a == b, 1.0).otherwise(0.0)
     ratio = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
     empty = F.coalesce(F.size(x) < 1, F.lit(True)) | F.coalesce(F.size(y) < 1, F.lit(True))
     return F.when(empty, 0.0).when(short, whole).otherwise(ratio)

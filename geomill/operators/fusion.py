@@ -14,36 +14,42 @@ POINTS = {"address": 5, "street": 2, "site": 4, "phone": 2, "name": 3, "category
 NEAR_M, ASK, MERGE, SAME_NAME, NO_NUMBER_M = 20.0, 4, 8, 0.85, 1000.0
 
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """The normal forms that ``score_pairs`` compares, once a row instead of once a pair.
+
+    ``rows``: id, name, street, number, phone, site, category, lat, lng."""
+    name = text.void_to_null(F.col("name"))
+    return rows.select(
+        "id", "lat", "lng", text.norm_name(name).alias("name_key"), text.tokens(name).alias("name_words"), F.coalesce(text.norm_name(text.void_to_null(F.col("street"))), F.lit("")).alias("street_key"),
+        F.coalesce(text.digits(F.col("number")), F.lit("")).alias("number_key"), text.phone_key(F.col("phone")).alias("phone_key"), text.domain(F.col("site")).alias("site_key"), F.coalesce(text.norm_name(F.col("category")), F.lit("")).alias("category_key"),
+    )
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (columns of both sides with prefixes a_ and b_: id, name, street, number, phone, site, category, lat, lng)
-    with m, points, name_similarity, decision (merge, ask, discard) and confidence."""
+    """``pairs`` of prepared rows (columns of both sides with prefixes a_ and b_) with m, points, name_similarity,
+    decision (merge, ask, discard) and confidence."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    m = geo.haversine(a("lat"), a("lng"), b("lat"), b("lng"))
-    p = pairs.withColumn("m", m).withColumn("name_similarity", similarity.jaccard(a("name"), b("name")))
+    p = pairs.withColumn("m", geo.haversine(a("lat"), a("lng"), b("lat"), b("lng")))
+    p = p.withColumn("name_similarity", similarity.jaccard_of(a("name_words"), b("name_words"), a("name_key"), b("name_key")))
+    same = lambda c: (a(f"{c}_key") != "") & (a(f"{c}_key") == b(f"{c}_key"))
     near = F.coalesce(F.col("m") <= NEAR_M, F.lit(False))
-    sa, sb = text.norm_name(F.coalesce(text.void_to_null(a("street")), F.lit(""))), text.norm_name(F.coalesce(text.void_to_null(b("street")), F.lit("")))
-    na, nb = F.coalesce(text.digits(a("number")), F.lit("")), F.coalesce(text.digits(b("number")), F.lit(""))
-    street, number = (sa != "") & (sa == sb), (na != "") & (na == nb)
-    site = (text.domain(a("site")) != "") & (text.domain(a("site")) == text.domain(b("site"))) & near
-    pa, pb = text.phone_key(a("phone")), text.phone_key(b("phone"))
-    phone = F.coalesce((F.length(pa) >= 8) & (pa == pb), F.lit(False)) & near
-    ca, cb = text.norm_name(a("category")), text.norm_name(b("category"))
-    category = F.coalesce((ca != "") & (ca == cb), F.lit(False))
-    similar = F.col("name_similarity")
+    street, number, similar = same("street"), same("number"), F.col("name_similarity")
+    phone = same("phone") & (F.length(a("phone_key")) >= 8) & near
     give = lambda cond, n: F.when(cond, n).otherwise(0)
-    points = F.when(street & number, POINTS["address"]).when(street, POINTS["street"]).otherwise(0) + give(site, POINTS["site"]) + give(phone, POINTS["phone"]) + give(similar >= 0.8, POINTS["name"]) + give(category, POINTS["category"])
-    p = p.withColumn("points", points).withColumn("_street", street).withColumn("_near", near)
+    points = F.when(street & number, POINTS["address"]).when(street, POINTS["street"]).otherwise(0) + give(same("site") & near, POINTS["site"]) + give(phone, POINTS["phone"]) + give(similar >= 0.8, POINTS["name"]) + give(same("category"), POINTS["category"])
+    p = p.withColumn("points", points)
     only_phone = phone & (F.col("points") == POINTS["phone"])
-    certain = street & (similar >= SAME_NAME) & (number | (~((na != "") & (nb != "")) & F.coalesce(F.col("m") <= NO_NUMBER_M, F.lit(False))))
+    numbered = (a("number_key") != "") & (b("number_key") != "")
+    certain = street & (similar >= SAME_NAME) & (number | (~numbered & F.coalesce(F.col("m") <= NO_NUMBER_M, F.lit(False))))
     decision = (
         F.when(only_phone, "discard").when(certain, "merge").when(F.col("points") >= MERGE, "merge").when(F.col("points") >= ASK, "ask")
-        .when(F.col("_street") & F.col("_near"), "ask").otherwise("discard")
+        .when(street & near, "ask").otherwise("discard")
     )
     confidence = (
         F.when(only_phone, 1).when(certain, 10).when(F.col("points") >= MERGE, F.least(F.lit(10), 8 + F.floor((F.col("points") - MERGE) / 2)))
-        .when(F.col("points") >= ASK, 5).when(F.col("_street") & F.col("_near"), 4).otherwise(F.greatest(F.lit(1), F.col("points")))
+        .when(F.col("points") >= ASK, 5).when(street & near, 4).otherwise(F.greatest(F.lit(1), F.col("points")))
     )
-    return p.withColumn("decision", decision).withColumn("confidence", confidence.cast("int")).drop("_street", "_near")
+    return p.withColumn("decision", decision).withColumn("confidence", confidence.cast("int"))
 
 
 def both_sides(pairs: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame:

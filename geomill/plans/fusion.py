@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geomill.functions import text
 from geomill.functions import text
 from geomill.operators import address, cluster, fusion, joins, lexicon
 from geomill.operators.stages import keeper
@@ -31,7 +32,7 @@ SELECT a, b, points, decision FROM d"""
 def decided(t: Tables) -> DataFrame:
     p = t.poi
     pairs = joins.near_pairs(p, 0.001).unionByName(joins.capped_key_pairs(p, ["name", "street"], 10_000)[0]).dropDuplicates(["a", "b"])
-    return fusion.score_pairs(fusion.both_sides(pairs, p.select("id", "name", "street", "number", "phone", "site", "category", "lat", "lng")))
+    return fusion.score_pairs(fusion.both_sides(pairs, fusion.prepared(p)))
 
 
 @query("i01_pair_decisions", DECIDED)
@@ -77,7 +78,7 @@ def i07(t: Tables) -> DataFrame:
     from geomill.functions import geo
 
     far = geo.metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) > 85
-    return d.filter(far & (text.phone_key(F.col("a_phone")) != text.phone_key(F.col("b_phone")))).select("a", "b")
+    return d.filter(far & (F.col("a_phone_key") != F.col("b_phone_key"))).select("a", "b")
 
 
 @query("i09_upsert", "WITH t AS (SELECT id, name, site FROM poi WHERE id < 1000), n AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE upper(name) END AS name, CASE WHEN id % 2 = 0 THEN 'new' END AS site FROM poi WHERE id >= 500) SELECT coalesce(n.id, t.id) AS id, coalesce(nullif(trim(n.name), ''), t.name) AS name, coalesce(n.site, t.site) AS site FROM t FULL OUTER JOIN n ON t.id = n.id")
