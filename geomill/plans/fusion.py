@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.functions import text
 from geomill.functions import text
 from geomill.operators import address, cluster, fusion, joins, lexicon
 from geomill.operators.stages import keeper
