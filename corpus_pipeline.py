@@ -30,6 +30,8 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(language_id.training_rows(docs))
+    if not model.labels:  # nothing to learn a language from: only texts without a letter go
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     marked = language_id.identify(docs, model, pred="__lang", score="__score")
     return marked.filter((F.col("__lang") != language_id.UND) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -73,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
-    return bpe_codec.encode_digest(docs, vocabulary, pattern).select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
+    return bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True).select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_dedup", dedup), ("mix", mix), ("encode", encode)]

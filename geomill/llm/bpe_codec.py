@@ -154,7 +154,7 @@ def codec_of(file: str, pattern: str) -> tuple[Codec, _Memo]:
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
 
 
-def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", drop: bool = False) -> DataFrame:
     """``docs`` with the token count, digests of ids and of decoded bytes, and whether they equal the text."""
     file = share_file(docs, vocabulary)
 
@@ -176,7 +176,7 @@ def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
 
         return each
 
-    return append_columns(docs, text, make, ADDED)
+    return append_columns(docs, text, make, ADDED, drop)
 
 
 def encode_ids(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

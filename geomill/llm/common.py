@@ -113,6 +113,17 @@ def by_bytes(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+#: Rows of an Arrow batch, where the session leaves it open: texts are large, and the JVM, the
+#: channel and the Python worker each hold a batch at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with state made once for each task by ``make``."""
 
@@ -122,18 +133,20 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             if b.num_rows:
                 yield each(b)
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 
-def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], added: list[T.StructField]) -> DataFrame:
+def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], added: list[T.StructField], drop: bool = False) -> DataFrame:
     """``df`` with columns computed from the column ``text``; the other columns pass through untouched.
 
-    An existing column of an added name is replaced.
+    An existing column of an added name is replaced.  ``drop`` leaves out the column ``text`` itself,
+    which then isn't sent back from Python.
     """
-    names = {f.name for f in added}
-    kept = [f for f in df.schema.fields if f.name not in names]
-    if text in names:
+    if text in {f.name for f in added}:
         raise ValueError(f"the text column can't be named {text}")
+    names = {f.name for f in added} | ({text} if drop else set())
+    kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(kept + added)
     where = [i for i, f in enumerate(df.schema.fields) if f.name not in names]
     at = [f.name for f in df.schema.fields].index(text)

@@ -123,6 +123,8 @@ def scorer(model: ByteCNN, chunk: int = 128):
 
     def score(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = byte_view(arr)
+        if not model.labels:
+            return np.zeros(len(arr), np.int64), np.zeros(len(arr)), np.zeros(len(arr), bool)
         row, start, length = windows_of(data, offsets)
         total = np.zeros((len(arr), len(model.labels)))
         z = np.empty((PLACES, chunk, 3 * FILTERS), np.float32)
@@ -142,9 +144,9 @@ def scorer(model: ByteCNN, chunk: int = 128):
             np.add.at(total, row[lo : lo + n], o[:n] * length[lo : lo + n, None])
         lens = np.diff(offsets)
         total /= np.maximum(lens, 1)[:, None]
-        best = total.argmax(1) if len(model.labels) else np.zeros(len(arr), np.int64)
+        best = total.argmax(1)
         letters = np.fromiter((t is not None and letter(t) is not None for t in arr.to_pylist()), bool, len(arr))
-        return best, (total.max(1) if len(model.labels) else np.zeros(len(arr))), letters
+        return best, total.max(1), letters
 
     return score
 
@@ -207,7 +209,7 @@ def training_rows(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held)).select(F.col("doc_id").alias("id"), "text", "lang")
 
 
-def identify(docs: DataFrame, model: ByteCNN, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: ByteCNN, text: str = "text", pred: str = "lang_pred", score: str = "score", drop: bool = False) -> DataFrame:
     """``docs`` with the predicted language and its score (0 to 1) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -217,9 +219,9 @@ def identify(docs: DataFrame, model: ByteCNN, text: str = "text", pred: str = "l
 
         def each(arr: pa.Array) -> dict[str, pa.Array]:
             best, top, letters = f(arr)
-            names = [m.labels[b] if ok and m.labels else UND for b, ok in zip(best, letters, strict=True)]
+            names = [m.labels[b] if ok else UND for b, ok in zip(best, letters, strict=True)]
             return {pred: pa.array(names, pa.string()), score: pa.array(np.where(letters, np.round(top, 6), 0.0), pa.float64())}
 
         return each
 
-    return append_columns(docs, text, make, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return append_columns(docs, text, make, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], drop)

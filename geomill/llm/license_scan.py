@@ -172,7 +172,7 @@ ADDED = [
 ]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, text: str = "text", drop: bool = False) -> DataFrame:
     """``docs`` with all finds, their number and the best one."""
 
     def make():
@@ -189,7 +189,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
         return each
 
-    return append_columns(docs, text, make, ADDED)
+    return append_columns(docs, text, make, ADDED, drop)
 
 
 def finds(scanned: DataFrame, id: str = "doc_id") -> DataFrame:

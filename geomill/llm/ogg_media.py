@@ -202,7 +202,7 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)
 
 
-def store(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
+def store(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes", drop: bool = False) -> DataFrame:
     """``docs`` with the Ogg stream of every whole text as UTF-8, and the unpadded size."""
 
     def make():
@@ -213,7 +213,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: st
 
         return each
 
-    return append_columns(docs, text, make, [T.StructField(n_bytes, T.LongType()), T.StructField(media, T.BinaryType())])
+    return append_columns(docs, text, make, [T.StructField(n_bytes, T.LongType()), T.StructField(media, T.BinaryType())], drop)
 
 
 READ = [
@@ -222,7 +222,7 @@ READ = [
 ]
 
 
-def read_media(df: DataFrame, media: str = "media") -> DataFrame:
+def read_media(df: DataFrame, media: str = "media", drop: bool = False) -> DataFrame:
     """``df`` with what the stored bytes hold when read back."""
 
     def one(raw: bytes | None) -> tuple:
@@ -241,7 +241,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
 
         return each
 
-    return append_columns(df, media, make, READ)
+    return append_columns(df, media, make, READ, drop)
 
 
 PACKETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("packet", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])

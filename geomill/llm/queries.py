@@ -33,7 +33,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan_licenses(docs).select("doc_id", "n_licenses", "license", "coverage", "first_word", "last_word")
+    return license_scan.scan_licenses(docs, drop=True).select("doc_id", "n_licenses", "license", "coverage", "first_word", "last_word")
 
 
 def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,32 +44,32 @@ def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = ogg_media.read_media(ogg_media.store(docs).select("doc_id", "n_bytes", "media"))
+    out = ogg_media.read_media(ogg_media.store(docs, drop=True), drop=True)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    out = toxicity.score_texts(docs.select("doc_id", "text"), net)
+    out = toxicity.score_texts(docs.select("doc_id", "text"), net, drop=True)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, tokenizer_file("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts.count_tokens(docs, tokenizer_file("word_bpe_49k.json"), drop=True).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(language_id.training_rows(docs))
-    out = language_id.identify(docs.select("doc_id", "text"), model)
+    out = language_id.identify(docs.select("doc_id", "text"), model, drop=True)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe_codec.encode_digest(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
+    out = bpe_codec.encode_digest(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern(), drop=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -78,7 +78,7 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", drop: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit of every whole text."""
     file = share_file(docs, tokenizer)
 
@@ -96,4 +96,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
 
         return each
 
-    return append_columns(docs, text, make, ADDED)
+    return append_columns(docs, text, make, ADDED, drop)

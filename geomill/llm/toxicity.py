@@ -430,10 +430,10 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 2, epochs: int = 2, se
     return net
 
 
-def score_texts(docs: DataFrame, net: Network | None, text: str = "text", score: str = "score") -> DataFrame:
+def score_texts(docs: DataFrame, net: Network | None, text: str = "text", score: str = "score", drop: bool = False) -> DataFrame:
     """``docs`` with the toxicity score (0 to 1) of every whole text."""
     if net is None:
-        return docs.withColumn(score, F.lit(0.0))
+        return (docs.drop(text) if drop else docs).withColumn(score, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
@@ -448,4 +448,4 @@ def score_texts(docs: DataFrame, net: Network | None, text: str = "text", score:
 
         return each
 
-    return append_columns(docs, text, make, [T.StructField(score, T.DoubleType())])
+    return append_columns(docs, text, make, [T.StructField(score, T.DoubleType())], drop)
