@@ -14,8 +14,8 @@ alike) and in set size; each is confirmed on the full sets of 64-bit shingle has
 
 Copies (equal sets) are one class from the start and stand as its smallest doc_id.  Within a
 key not all pairs are tried.  Each member is first compared, by signature, with three members
-of the key (the smallest id and two by hash); in a few waves each document's nearest one of
-these in another component is confirmed and components are merged.  At last just those pairs
+of the key (the smallest id and two by hash), of which it keeps the nearest few; in waves its nearest one in another component is
+confirmed and components are merged.  At last just those pairs
 of a key whose components still differ are tried, each at the first key it shares.  Every
 candidate pair is thus confirmed, refused or already connected, and no link is lost to a cap.
 
@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 from .common import Stages, byte_view, map_arrow, semi
 from .components import components
 
-SHINGLE, SIZE, INDEX, MISS, WAVES = 5, 512, 128, 1e-7, 4
+SHINGLE, SIZE, INDEX, MISS = 5, 512, 128, 1e-7
+#: Waves of merging, and nearest candidates that a document keeps for them; what they leave, the last pass tries.
+WAVES, NEAREST = 3, 6
 MEMO, BLOCK = 200_000, 4096
 _U = np.uint64
 
@@ -231,7 +233,9 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
 
     offers = hits.select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
     offers = offers.join(marks.alias("x"), F.col("o.rep") == F.col("x.rep")).join(marks.alias("y"), F.col("o.cand") == F.col("y.rep"))
-    offers = stages.keep(offers.filter(near("x", "y", percent)).select("o.rep", "o.cand", distance("x", "y").alias("far")), "offers")
+    offers = offers.filter(near("x", "y", percent)).select("o.rep", distance("x", "y").alias("far"), "o.cand")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cand"))), 1, NEAREST)  # of three a key at most
+    offers = stages.keep(offers.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.cand", "b.far"), "offers")
     links, comp = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "id long, comp long")
     tried = links
     for wave in range(WAVES):
