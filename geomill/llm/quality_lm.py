@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_ROWS, Stages, by_bytes, byte_view
+from .common import SMALL_ROWS, Stages, by_bytes, byte_view, small_batches
 
-ORDER, BLOCK_BYTES, ANY = 4, 4 << 20, "*"
+ORDER, BLOCK_BYTES, PIECE_BYTES, ANY = 4, 4 << 20, 1 << 18, "*"
 PART_ROWS = 1 << 24  # blocks of a scan partition at most
 
 
@@ -85,15 +85,21 @@ def grams(rows: DataFrame) -> DataFrame:
         for number, b in blocks(batches):
             for lang, rows_ in by_lang(b.column(1)):
                 part = b.take(rows_)  # one language at a time, as a block's n-grams are held in memory
-                code, lens = codes_of(*byte_view(part.column(3)))
-                trusted = np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(bool), lens)
-                good, times = np.unique(code[trusted], return_counts=True)
-                kinds = np.unique(code)
-                seen = np.zeros(len(kinds), np.int64)
-                seen[np.searchsorted(kinds, good)] = times
+                data, offsets = byte_view(part.column(3))
+                good = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                found, plain = [], []
+                for lo, hi in by_bytes(offsets, PIECE_BYTES):
+                    code, lens = codes_of(data, offsets[lo : hi + 1])
+                    trusted = np.repeat(good[lo:hi], lens)
+                    found.append(np.unique(code[trusted], return_counts=True))
+                    plain.append(np.unique(code[~trusted]))
+                kinds, at = np.unique(np.concatenate([*(k for k, _ in found), *plain]), return_inverse=True)
+                times = np.concatenate([*(c for _, c in found), np.zeros(len(at) - sum(len(c) for _, c in found), np.int64)])
+                seen = np.bincount(at, times, len(kinds)).astype(np.int64)
                 n = len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([lang] * n, pa.string()), pa.array(kinds.astype(np.int64)), pa.array(seen)], names=GRAMS.names)
 
+    small_batches(rows)
     return rows.mapInArrow(run, GRAMS)
 
 
@@ -134,7 +140,10 @@ def probabilities(asked: DataFrame, counts: DataFrame, stages: Stages) -> DataFr
         else:
             x = x.withColumn("key", F.col("code").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(p.withColumnsRenamed({"code": "key", "p": "lower"}), ["lang", "key"])
         value = F.coalesce(F.col("share") / F.col("total"), F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("lower")
-        p = stages.keep(x.select("lang", "code", value.alias("p")), f"p{k}")
+        q = stages.keep(x.select("lang", "code", value.alias("p")), f"p{k}")
+        if p is not None:
+            stages.drop(p)
+        p = q
     return p.select("lang", "code", F.log("p").cast("float").alias("logp"))
 
 
@@ -168,10 +177,11 @@ def packed(rows: DataFrame) -> DataFrame:
     def run(batches):
         for number, b in blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as w:
                 w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
+    small_batches(rows)
     return rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("texts", T.BinaryType())]))
 
 
@@ -185,12 +195,16 @@ def scored(both: DataFrame) -> DataFrame:
                 rows = pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
                 for lang, places in by_lang(rows.column(1)):
                     part = rows.take(places)
-                    code, lens = codes_of(*byte_view(part.column(3)))
-                    total, ends = np.zeros(len(lens)), np.cumsum(lens)
+                    data, offsets = byte_view(part.column(3))
+                    lens = np.diff(offsets)
+                    total = np.zeros(len(lens))
                     if lang in tables:
                         look = Lookup(np.frombuffer(tables[lang]["codes"], np.uint32), np.frombuffer(tables[lang]["logps"], np.float32))
-                        for i in np.flatnonzero(lens).tolist():
-                            total[i] = look(code[ends[i] - lens[i] : ends[i]]).sum(dtype=np.float64)
+                        for lo, hi in by_bytes(offsets, PIECE_BYTES):
+                            logp = look(codes_of(data, offsets[lo : hi + 1])[0])
+                            ends = offsets[lo : hi + 1] - offsets[lo]
+                            for i in np.flatnonzero(lens[lo:hi]).tolist():
+                                total[lo + i] = logp[ends[i] : ends[i + 1]].sum(dtype=np.float64)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lens), pa.array(total)], names=SCORED.names)
 
     return both.mapInArrow(run, SCORED)
@@ -248,8 +262,9 @@ def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: floa
     if counts.isEmpty():
         out = rows.select("doc_id", "lang", "trusted", F.octet_length("text").cast("long").alias("n_bytes"))
         return out.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.col("n_bytes") > 0).alias("kept"))
-    logp = probabilities(asked.select("lang", "code"), counts, stages)
-    answers = bundled(found.select("block", "lang", "code").join(logp, ["lang", "code"]))
+    logp = stages.keep(probabilities(asked.select("lang", "code"), counts, stages), "logp")
+    small = logp.count() <= SMALL_ROWS
+    answers = bundled(found.select("block", "lang", "code").join(F.broadcast(logp) if small else logp, ["lang", "code"]))
     both = packed(rows).join(answers, "block", "left").select("texts", "table")
     score = stages.keep(scored(both), "scores")
     perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("total") / F.col("n_bytes")), 6))
