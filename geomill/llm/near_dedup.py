@@ -9,12 +9,12 @@ Index.  The first ``places`` values are split into m chunks.  For a distance of
 them with 2 m > d, some chunk has at most one error (pigeonhole); the one allowed error is
 enumerated by leaving out each value of a chunk in turn, so such a pair shares a key.  d is
 set so that a pair at the similarity bound exceeds it with a probability below ``MISS``.
-Candidates must also be near in the b-bit signature (b = 2 bits of all SIZE values, bounded
+Candidates must also be near in the b-bit signature (b = BITS bits of all SIZE values, bounded
 alike) and in set size; each is confirmed on the full sets of 64-bit shingle hashes.
 
 Copies (equal sets) are one class from the start and stand as its smallest doc_id.  Within a
-key not all pairs are tried.  Each member is first compared, by signature, with three members
-of the key (the smallest id and two by hash), of which it keeps the nearest few; in waves its nearest one in another component is
+key not all pairs are tried.  Each member is first compared, by signature, with two members of
+the key (the smallest id and one by hash), of which it keeps the nearest few; in waves its nearest one in another component is
 confirmed and components are merged.  At last just those pairs
 of a key whose components still differ are tried, each at the first key it shares.  Every
 candidate pair is thus confirmed, refused or already connected, and no link is lost to a cap.
@@ -127,8 +127,9 @@ def index_keys(values: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     return np.stack(out, 1)
 
 
-WORDS = SIZE // 64
-PLANES = [f"{x}{w}" for x in "pq" for w in range(WORDS)]
+#: Bits kept of each value in the b-bit signature, one plane of SIZE bits for each.
+BITS, WORDS = 4, SIZE // 64
+PLANES = [f"p{j}_{w}" for j in range(BITS) for w in range(WORDS)]
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in PLANES])
 SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("items", T.ArrayType(T.LongType(), False))])
 
@@ -149,11 +150,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n[i] = len(s)
                     prints[i] = s.sum(), (mixed(s * POLY + _U(7)) ^ s).sum()
                     sigs[i] = minhash(s)
-            bits = [np.packbits(((sigs >> _U(11 + j)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(2)]
+            bits = [np.packbits(((sigs >> _U(11 + j)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(BITS)]
             short = (sigs[:, :INDEX] >> _U(16)).astype(np.uint32)
             sig = pa.array([short[i].tobytes() if n[i] else None for i in range(k)], pa.binary())
             cols = [b.column(0), pa.array(n), pa.array(prints[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(prints[:, 1]).view(np.int64)), sig]
-            return pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(bits[j][:, w])) for j in range(2) for w in range(WORDS)], names=SIGNED.names)
+            return pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(bits[j][:, w])) for j in range(BITS) for w in range(WORDS)], names=SIGNED.names)
 
         return one
 
@@ -197,12 +198,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def distance(a: str, b: str) -> F.Column:
     """Differing places of the b-bit signatures in structs or tables a and b."""
     col = lambda t, c: F.col(f"{t}.{c}")
-    parts = [F.bit_count((col(a, f"p{w}").bitwiseXOR(col(b, f"p{w}"))).bitwiseOR(col(a, f"q{w}").bitwiseXOR(col(b, f"q{w}")))) for w in range(WORDS)]
+    plane = lambda j, w: col(a, f"p{j}_{w}").bitwiseXOR(col(b, f"p{j}_{w}"))
+    parts = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [plane(j, w) for j in range(BITS)])) for w in range(WORDS)]
     return reduce(add, parts)
 
 
 def near(a: str, b: str, percent: int) -> F.Column:
-    most = over(SIZE, 0.75 * (1 - percent / 100))
+    most = over(SIZE, (1 - 0.5**BITS) * (1 - percent / 100))
     size = lambda t: F.col(f"{t}.n")
     return (distance(a, b) <= most) & (100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b)))
 
@@ -225,7 +227,7 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
 
     w = Window.partitionBy("key")
     pivot = lambda seed: F.min(F.struct(F.xxhash64("rep", "key", F.lit(seed)).alias("h"), "rep")).over(w)["rep"]
-    hits = keyed(classes, chunks(percent)).select("key", "rep", "place", F.array(F.min("rep").over(w), pivot(1), pivot(2)).alias("pivots"), F.count("*").over(w).alias("members"))
+    hits = keyed(classes, chunks(percent)).select("key", "rep", "place", F.array(F.min("rep").over(w), pivot(1)).alias("pivots"), F.count("*").over(w).alias("members"))
     hits = stages.keep(hits.filter("members > 1").select("key", "rep", "place", "pivots"), "hits")
     active = stages.keep(hits.select("rep").distinct(), "active")
     text = semi(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL"), active, "rep", active.count())
@@ -234,7 +236,7 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
     offers = hits.select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
     offers = offers.join(marks.alias("x"), F.col("o.rep") == F.col("x.rep")).join(marks.alias("y"), F.col("o.cand") == F.col("y.rep"))
     offers = offers.filter(near("x", "y", percent)).select("o.rep", distance("x", "y").alias("far"), "o.cand")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cand"))), 1, NEAREST)  # of three a key at most
+    best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cand"))), 1, NEAREST)  # of two a key at most
     offers = stages.keep(offers.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.cand", "b.far"), "offers")
     links, comp = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "id long, comp long")
     tried = links
