@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import SMALL_ROWS, Stages, by_bytes, byte_view, small_batches
 
-ORDER, BLOCK_BYTES, PIECE_BYTES, ANY = 4, 4 << 20, 1 << 18, "*"
+ORDER, BLOCK_BYTES, PIECE_BYTES, ANY = 4, 12 << 20, 1 << 18, "*"
 PART_ROWS = 1 << 24  # blocks of a scan partition at most
 
 
@@ -62,15 +62,23 @@ def by_lang(langs: pa.Array):
 
 
 def blocks(batches):
-    """(block number, slice of the batch) of a task's input, text in the last column."""
+    """(block number, rows) of a task's input, text in the last column: about BLOCK_BYTES a block, over batches' bounds."""
     first = TaskContext.get().partitionId() * PART_ROWS
-    k = 0
+    k, size = 0, 0
+    held: list[pa.RecordBatch] = []
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for b in batches:
-        if b.num_rows:
-            _, offsets = byte_view(b.column(b.num_columns - 1))
-            for lo, hi in by_bytes(offsets, BLOCK_BYTES):
-                yield first + k, b.slice(lo, hi - lo)
-                k += 1
+        if not b.num_rows:
+            continue
+        _, offsets = byte_view(b.column(b.num_columns - 1))
+        for lo, hi in by_bytes(offsets, BLOCK_BYTES):
+            held.append(b.slice(lo, hi - lo))
+            size += int(offsets[hi] - offsets[lo])
+            if size >= BLOCK_BYTES:
+                yield first + k, joined()
+                k, size, held = k + 1, 0, []
+    if held:
+        yield first + k, joined()
 
 
 GRAMS = T.StructType([T.StructField("block", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("code", T.LongType()), T.StructField("seen", T.LongType())])
