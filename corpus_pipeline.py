@@ -57,8 +57,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stages = Stages(spark)
-    # ids may be null or repeat; a row's number in the scan of the written stage is the same each time
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    # ids may be null or repeat; a row's number depends on how the files are split, so it is stored with the row
+    rows = stages.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     plan = mixing.draw(mixing.with_sizes(rows.select("doc_id", "source", "text", "__row")).select("doc_id", "source", "size", "__row"), stages)
     plan = stages.keep(plan.filter("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "plan")
     out = rows.join(F.broadcast(plan) if plan.count() <= SMALL_ROWS else plan, "__row")

@@ -234,3 +234,22 @@ def test_pipeline_takes_nulls_and_nothing(spark, tmp_path):
         n = corpus_pipeline.run(spark, sf).count()
         assert n > 0 if len(some) > 4 else n < 10
         assert some or n == 0
+
+
+def test_mix_survives_other_file_splits(spark, tmp_path):
+    """The plan and the texts meet by stored numbers, so a later scan may split the files otherwise."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    path, r = f"file://{tmp_path}/docs", random.Random(4)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(r.randint(1, 60))), "en", f"s{i % 3}", 0) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(12).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        out = corpus_pipeline.mix(spark, spark.read.parquet(path), "")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # as if executors had come or gone
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    sizes = {s: sum(len(t.split()) for _, t, _, x, _ in rows if x == s) for s in ("s0", "s1", "s2")}
+    for s, goal in mixing.targets_of(sizes).items():
+        assert abs(sum(len(x.text.split()) for x in got if x.source == s) - goal) < 1
