@@ -13,8 +13,9 @@ n-gram probabilities (tables sharded by language and n-gram); the probabilities
 the blocks that asked for them, and there give each document's perplexity.  A document is
 kept if its perplexity is at most its language's quantile ``quantile`` over trusted documents.
 
-Blocks are numbered by scan partition and place, the same each time the files are scanned, so
-the second scan and recomputed tasks find their blocks again.
+Blocks are numbered and written once, packed, by one scan of the documents; both passes read
+them from there, so a block's texts and its n-grams belong together however files are split.
+An n-gram that a block's table lacks is an error.
 
 Cases: null or empty text: n_bytes 0, null perplexity, not kept; a null language, or one
 without trusted text, uses the model and the quantile of all trusted text (``ANY``); without
@@ -84,13 +85,18 @@ def blocks(batches):
 GRAMS = T.StructType([T.StructField("block", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("code", T.LongType()), T.StructField("seen", T.LongType())])
 
 
-def grams(rows: DataFrame) -> DataFrame:
+def unpacked(texts: pa.Scalar) -> pa.RecordBatch:
+    """The rows that ``packed`` wrote."""
+    return pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
+
+
+def grams(texts: DataFrame) -> DataFrame:
     """(block, lang, code, seen): the n-grams of each block and their occurrences in trusted texts.
 
-    ``rows``: doc_id, lang, trusted, text."""
+    ``texts``: (block, texts) of ``packed``, whose rows are doc_id, lang, trusted, text."""
 
     def run(batches):
-        for number, b in blocks(batches):
+        for number, b in ((k.as_py(), unpacked(t)) for batch in batches for k, t in zip(batch.column(0), batch.column(1), strict=True)):
             for lang, rows_ in by_lang(b.column(1)):
                 part = b.take(rows_)  # one language at a time, as a block's n-grams are held in memory
                 data, offsets = byte_view(part.column(3))
@@ -107,8 +113,7 @@ def grams(rows: DataFrame) -> DataFrame:
                 n = len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([lang] * n, pa.string()), pa.array(kinds.astype(np.int64)), pa.array(seen)], names=GRAMS.names)
 
-    small_batches(rows)
-    return rows.mapInArrow(run, GRAMS)
+    return texts.mapInArrow(run, GRAMS)
 
 
 def discounts(counts: DataFrame, order: int) -> list[tuple]:
@@ -165,15 +170,22 @@ class Lookup:
         self.n = len(pairs)
         self.dense = None
         if self.n**2 <= 1 << 22:
-            self.at = np.zeros(65536, np.int32)
-            self.at[pairs] = np.arange(self.n)
-            self.dense = np.zeros(self.n**2, np.float32)
+            self.n += 1  # a last place for pairs that the table lacks
+            self.at = np.full(65536, self.n - 1, np.int32)
+            self.at[pairs] = np.arange(self.n - 1)
+            self.dense = np.full(self.n**2, np.nan, np.float32)
             self.dense[self.at[self.code >> np.uint32(16)].astype(np.int64) * self.n + self.at[self.code & np.uint32(65535)]] = self.logp
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
         if self.dense is None:
-            return self.logp[np.searchsorted(self.code, code)]
-        return self.dense[self.at[code >> np.uint32(16)] * np.int32(self.n) + self.at[code & np.uint32(65535)]]
+            at = np.searchsorted(self.code, code)
+            if len(code) and (at.max() >= len(self.code) or (self.code[at] != code).any()):
+                raise KeyError("an n-gram isn't in its block's table")
+            return self.logp[at]
+        out = self.dense[self.at[code >> np.uint32(16)] * np.int32(self.n) + self.at[code & np.uint32(65535)]]
+        if np.isnan(out).any():
+            raise KeyError("an n-gram isn't in its block's table")
+        return out
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("trusted", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("total", T.DoubleType())])
@@ -200,13 +212,13 @@ def scored(both: DataFrame) -> DataFrame:
         for b in batches:
             for texts, entries in zip(b.column(0), b.column(1), strict=True):
                 tables = {e["lang"]: e for e in entries.as_py() or []}
-                rows = pa.ipc.open_stream(texts.as_py()).read_all().combine_chunks().to_batches()[0]
+                rows = unpacked(texts)
                 for lang, places in by_lang(rows.column(1)):
                     part = rows.take(places)
                     data, offsets = byte_view(part.column(3))
                     lens = np.diff(offsets)
                     total = np.zeros(len(lens))
-                    if lang in tables:
+                    if lens.any():  # without a table of the language: KeyError
                         look = Lookup(np.frombuffer(tables[lang]["codes"], np.uint32), np.frombuffer(tables[lang]["logps"], np.float32))
                         for lo, hi in by_bytes(offsets, PIECE_BYTES):
                             logp = look(codes_of(data, offsets[lo : hi + 1])[0])
@@ -261,7 +273,8 @@ def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: floa
     lang = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)) if known else F.lit(ANY)
     rows = rows.select("doc_id", lang.alias("lang"), ok.alias("trusted"), F.coalesce("text", F.lit("")).alias("text"))
 
-    found = stages.keep(grams(rows), "grams")
+    texts = stages.keep(packed(rows), "blocks")
+    found = stages.keep(grams(texts), "grams")
     asked = stages.keep(found.groupBy("lang", "code").agg(F.sum("seen").alias("c")), "asked")
     counts = asked.filter("c > 0")
     if not asked.filter(F.col("lang") == ANY).isEmpty():
@@ -273,7 +286,7 @@ def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: floa
     logp = stages.keep(probabilities(asked.select("lang", "code"), counts, stages), "logp")
     small = logp.count() <= SMALL_ROWS
     answers = bundled(found.select("block", "lang", "code").join(F.broadcast(logp) if small else logp, ["lang", "code"]))
-    both = packed(rows).join(answers, "block", "left").select("texts", "table")
+    both = texts.join(answers, "block", "left").select("texts", "table")
     score = stages.keep(scored(both), "scores")
     perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("total") / F.col("n_bytes")), 6))
     score = score.select("doc_id", "lang", "trusted", "n_bytes", perplexity.alias("perplexity"))

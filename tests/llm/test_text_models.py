@@ -185,3 +185,39 @@ def test_quality_against_definition(spark):
     assert quality_lm.classify(df.limit(0), trusted, Stages(spark)).count() == 0
     untrained = quality_lm.classify(df, trusted.limit(0), Stages(spark))
     assert untrained.filter(F.col("perplexity").isNotNull()).count() == 0 and untrained.filter("kept").count() == len(docs) - 2
+
+
+def test_quality_survives_other_file_splits(spark, tmp_path):
+    """Blocks are numbered once: files that are split otherwise after the first pass give the same result."""
+    r = random.Random(2)
+    path = f"file://{tmp_path}/docs"
+    docs = [(i, ("en", "fr", "de")[i % 3], invented(("en", "fr", "de")[i % 3], r.randint(5, 60), r)) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").repartition(9).write.parquet(path)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 90, 2)], "doc_id bigint")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    class Moved(Stages):
+        def keep(self, df, name="t"):
+            out = super().keep(df, name)
+            if name == "grams":
+                spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+            return out
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        want = {x.doc_id: x.perplexity for x in quality_lm.classify(spark.read.parquet(path), trusted, Stages(spark)).collect()}
+        got = {x.doc_id: x.perplexity for x in quality_lm.classify(spark.read.parquet(path), trusted, Moved(spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("pairs", [3, 3000])
+def test_lookup_refuses_absent_grams(pairs):
+    code = np.arange(pairs, dtype=np.uint32) * np.uint32(65537) + np.uint32(7)
+    look = quality_lm.Lookup(code, np.linspace(-2, -1, pairs).astype(np.float32))
+    assert (look.dense is None) == (pairs == 3000)
+    assert look(code[::-1]).tolist() == np.linspace(-2, -1, pairs).astype(np.float32)[::-1].tolist()
+    for absent in (0, 8, 2**32 - 1):
+        with pytest.raises(KeyError):
+            look(np.array([code[0], absent], np.uint32))
