@@ -95,6 +95,19 @@ def capped_key_pairs(rows: DataFrame, keys: Sequence[str], cap: int, id: str = "
     return pairs, n.filter(F.col("n") > cap)
 
 
+def key_pairs(rows: DataFrame, keys: Sequence[str], block: int = 10_000, id: str = "id", columns: Sequence[str] = ()) -> DataFrame:
+    """(a, b) with a < b: all pairs of rows with equal keys, with ``columns`` of both sides (prefixes a_ and b_).
+
+    Groups of more than ``block`` rows are dealt into parts of about that size; each part meets each, so no
+    task holds a whole large group and none is left out.
+    """
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys, F.ceil(F.col("n") / block).cast("int").alias("_parts"))
+    r = rows.select(*keys, F.col(id).alias("_id"), *columns).join(n, list(keys)).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    side = lambda p, own, other: r.select(*keys, F.col("_id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns], F.col("_part").alias(own), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias(other))
+    pairs = side("a", "_l", "_r").join(side("b", "_r", "_l"), [*keys, "_l", "_r"]).filter("a < b")
+    return pairs.select("a", "b", *[f"{p}_{c}" for p in "ab" for c in columns])
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, max_polygons: int = 10_000) -> DataFrame:
     """The first polygon (smallest name) that holds each point: (id, name); points outside get none.
 
@@ -167,16 +180,19 @@ def rare_token_pairs(a: DataFrame, b: DataFrame, most: int, at_least: int = 1) -
 
 
 def offset_block_pairs(rows: DataFrame, radius_m: float, cap: int, across: str | None = None) -> DataFrame:
-    """Pairs of rows with the same number within the radius: blocks by (number, cell), half-plane steps, a cap on blocks.
+    """Pairs of rows with the same number within the radius: blocks by (number, cell), half-plane steps.
 
+    Blocks of more than ``cap`` rows are dealt into parts of about that size, each tried with all their neighbours.
     Rows have id, number, x and y in metres; ``across`` names a column that must differ.
     """
     r = rows.withColumn("cx", F.floor(F.col("x") / radius_m)).withColumn("cy", F.floor(F.col("y") / radius_m))
-    n = r.groupBy("number", "cx", "cy").count().filter(F.col("count") <= cap).drop("count")
-    r = r.join(n, ["number", "cx", "cy"], "left_semi")
+    n = r.groupBy("number", "cx", "cy").agg(F.ceil(F.count("*") / cap).cast("int").alias("parts"))
+    r = r.join(n, ["number", "cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     keep = ["id", "number", "x", "y"] + ([across] if across else [])
     left = with_offsets(r.select(*keep, "cx", "cy"), F.col("cy"), F.col("cx"), HALF_STEPS).select(*[F.col(c).alias(f"l_{c}") for c in keep], F.col("cx").alias("lx"), F.col("cy").alias("ly"), "_cx", "_cy")
-    j = left.join(r, (F.col("l_number") == r["number"]) & (F.col("_cx") == r["cx"]) & (F.col("_cy") == r["cy"]))
+    left = left.join(n.select(F.col("number").alias("l_number"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "parts"), ["l_number", "_cx", "_cy"])
+    left = left.withColumn("l_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    j = left.join(r, (F.col("l_number") == r["number"]) & (F.col("_cx") == r["cx"]) & (F.col("_cy") == r["cy"]) & (F.col("l_part") == r["part"]))
     j = j.filter((F.col("lx") != F.col("cx")) | (F.col("ly") != F.col("cy")) | (F.col("l_id") < F.col("id")))
     j = j.filter(F.hypot(F.col("x") - F.col("l_x"), F.col("y") - F.col("l_y")) <= radius_m)
     if across:

@@ -30,7 +30,7 @@ SELECT a, b, points, decision FROM d"""
 
 def decided(t: Tables) -> DataFrame:
     p = t.poi
-    pairs = joins.near_pairs(p, 0.001).unionByName(joins.capped_key_pairs(p, ["name", "street"], 10_000)[0]).dropDuplicates(["a", "b"])
+    pairs = joins.near_pairs(p, 0.001).unionByName(joins.key_pairs(p, ["name", "street"])).dropDuplicates(["a", "b"])
     return fusion.score_pairs(fusion.both_sides(pairs, fusion.prepared(p)))
 
 

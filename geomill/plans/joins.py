@@ -50,7 +50,7 @@ def c02b(t: Tables) -> DataFrame:
 @query("c03_candidate_union", f"SELECT * FROM ({NEAR}) UNION SELECT a.id AS a, b.id AS b FROM poi a JOIN poi b ON a.name = b.name AND a.street = b.street AND a.id < b.id")
 def c03(t: Tables) -> DataFrame:
     p = t.poi
-    return joins.near_pairs(p, 0.001).unionByName(joins.capped_key_pairs(p, ["name", "street"], 10_000)[0]).dropDuplicates(["a", "b"])
+    return joins.near_pairs(p, 0.001).unionByName(joins.key_pairs(p, ["name", "street"])).dropDuplicates(["a", "b"])
 
 
 @query("c04_same_document", f"SELECT a.id AS a_id, b.id AS b_id, 1.0::DOUBLE AS score, round({METRES}, 3) AS m FROM poi a JOIN door b ON a.postcode = b.postcode WHERE b.id % 100 = 0 AND a.id % 10 = 0")

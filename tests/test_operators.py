@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -188,3 +189,35 @@ def test_pairs_are_unordered(spark):
     cell = {i: (int(y / 0.001), int(x / 0.001)) for i, y, x in rows}
     want = {(i, j) for i, j in itertools.combinations(range(80), 2) if abs(cell[i][0] - cell[j][0]) <= 1 and abs(cell[i][1] - cell[j][1]) <= 1}
     assert got == want
+
+
+def test_key_pairs_leave_no_group_out(spark):
+    rows = [(i, "hot" if i < 120 else f"k{i % 9}" if i < 160 else f"one{i}", i % 5) for i in range(170)] + [(500, None, 0), (501, None, 0)]
+    df = spark.createDataFrame(rows, "id bigint, k string, v int")
+    want = sorted((a, b) for a, k, _ in rows for b, l, _ in rows if k is not None and k == l and a < b)
+    for block in (7, 10_000):
+        out = joins.key_pairs(df, ["k"], block, columns=["v"]).collect()
+        assert sorted((r.a, r.b) for r in out) == want
+        assert all(r.a_v == r.a % 5 and r.b_v == r.b % 5 for r in out)
+
+
+def test_offset_blocks_leave_no_block_out(spark):
+    rows = [(i, "7" if i % 4 else "8", float(i * 37 % 400), float(i * 53 % 300)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, number string, x double, y double")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 <= 150)
+    for cap in (3, 5000):
+        assert sorted(map(tuple, joins.offset_block_pairs(df, 150.0, cap).collect())) == want
+
+
+def test_decisions_do_not_depend_on_the_block(spark, monkeypatch):
+    """A group over the block's size keeps its pairs: i01 asks for all, its SQL has no cap."""
+    from geomill.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    run = lambda: sorted(map(tuple, registry.queries()["i01_pair_decisions"](spark, sf).collect()))
+    whole = run()
+    pairs = joins.key_pairs
+    monkeypatch.setattr(joins, "key_pairs", lambda rows, keys: pairs(rows, keys, 1))
+    assert run() == whole
