@@ -145,26 +145,27 @@ _TOK = f"list_distinct(list_filter({WORDS}, lambda x: length(x) > 2))"
 _PAIRS = "poi a JOIN poi b ON a.street = b.street AND a.id < b.id AND a.id % 10 = 0"
 
 
-def name_pairs(t: Tables) -> DataFrame:
+def name_pairs(t: Tables, left: str = "true") -> DataFrame:
+    """Pairs of one street; ``left`` is the condition on the smaller id where a query's SQL has one."""
     p = t.poi.select("id", "name", "street")
-    a, b = p.filter("id % 10 = 0").select(F.col("id").alias("a"), F.col("name").alias("na"), "street"), p.select(F.col("id").alias("b"), F.col("name").alias("nb"), "street")
+    a, b = p.filter(left).select(F.col("id").alias("a"), F.col("name").alias("na"), "street"), p.select(F.col("id").alias("b"), F.col("name").alias("nb"), "street")
     return a.join(b, "street").filter("a < b")
 
 
 @query("h201_jaccard", f"WITH p AS (SELECT a.id AS a, b.id AS b, {_TOK.format('a.name')} AS x, {_TOK.format('b.name')} AS y, a.name AS na, b.name AS nb FROM {_PAIRS}) SELECT a, b, CASE WHEN least(len(x), len(y)) < 2 THEN (lower(na) = lower(nb))::INT::DOUBLE ELSE round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) END AS s FROM p")
 def h201(t: Tables) -> DataFrame:
-    return name_pairs(t).select("a", "b", F.round(similarity.jaccard(F.col("na"), F.col("nb")), 6).alias("s"))
+    return name_pairs(t, "id % 10 = 0").select("a", "b", F.round(similarity.jaccard(F.col("na"), F.col("nb")), 6).alias("s"))
 
 
 @query("h202_overlap", f"WITH p AS (SELECT a.id AS a, b.id AS b, list_distinct({WORDS.format('a.name')}) AS x, list_distinct({WORDS.format('b.name')}) AS y FROM {_PAIRS}) SELECT a, b, CASE WHEN len(list_intersect(x, y)) >= 2 THEN round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) ELSE 0 END AS s FROM p")
 def h202(t: Tables) -> DataFrame:
     w = lambda c: F.array_distinct(text.words(F.col(c)))
-    return name_pairs(t).select("a", "b", F.round(similarity.overlap(w("na"), w("nb")), 6).alias("s"))
+    return name_pairs(t, "id % 10 = 0").select("a", "b", F.round(similarity.overlap(w("na"), w("nb")), 6).alias("s"))
 
 
 @query("h203_idf_overlap", f"WITH w AS (SELECT unnest(list_distinct(list_filter({WORDS.format('name')}, lambda x: length(x) > 1))) AS token FROM poi), i AS (SELECT token, ln((SELECT count(*) FROM poi)::DOUBLE / (1 + count(*))) AS weight FROM w GROUP BY token), p AS (SELECT a.id * 1000000 + b.id AS pair_id, unnest(list_intersect(list_distinct(list_filter({WORDS.format('a.name')}, lambda x: length(x) > 1)), list_distinct(list_filter({WORDS.format('b.name')}, lambda x: length(x) > 1)))) AS token FROM {_PAIRS}) SELECT pair_id, round(sum(weight), 5) AS shared_weight FROM p JOIN i USING (token) GROUP BY pair_id")
 def h203(t: Tables) -> DataFrame:
-    p = name_pairs(t).select((F.col("a") * 1000000 + F.col("b")).alias("pair_id"), "na", "nb")
+    p = name_pairs(t, "id % 10 = 0").select((F.col("a") * 1000000 + F.col("b")).alias("pair_id"), "na", "nb")
     out = similarity.idf_overlap(p, similarity.idf(t.poi, "name"), "na", "nb")
     return out.filter("shared_weight > 0").select("pair_id", F.round("shared_weight", 5).alias("shared_weight"))
 
