@@ -55,11 +55,10 @@ def decayed(support: DataFrame, today: int, half_life: int = 180, least: float =
 
 def equivalences(streets: DataFrame, near_m: float = 300.0) -> DataFrame:
     """(a, b, degree): streets of one sound key; 2 if also near each other, else 1.  Columns: id, name, lat, lng."""
-    k = streets.withColumn("k", text.equivalence_key(F.col("name"))).filter("k <> ''")
-    x, y = k.alias("x"), k.alias("y")
-    p = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (text.norm_name(F.col("x.name")) != text.norm_name(F.col("y.name"))))
-    m = geo.haversine(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng"))
-    return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.when(m <= near_m, 2).otherwise(1).alias("degree"))
+    k = streets.select("id", "lat", "lng", text.equivalence_key(F.col("name")).alias("k"), text.norm_name(F.col("name")).alias("plain")).filter("k <> ''")
+    p = joins.key_pairs(k, ["k"], 1_000, columns=["plain", "lat", "lng"]).filter("a_plain <> b_plain")
+    m = geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
+    return p.select("a", "b", F.when(m <= near_m, 2).otherwise(1).alias("degree"))
 
 
 def apply_lexicon(names: DataFrame, rules: DataFrame, most_rules: int = 50_000) -> DataFrame:

@@ -248,3 +248,20 @@ def test_name_pairs_cover_the_table(spark, name):
 
 def text_words(name):
     return [w for w in name.lower().split() if len(w) > 1]
+
+
+def test_equivalences_cover_the_table(spark):
+    from geomill.plans import registry
+    from geomill.plans.inputs import Tables
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    at = {r.id: (r.lat, r.lng) for r in Tables(spark, sf).poi.select("id", "lat", "lng").collect()}
+
+    def m(p, q):
+        (a, b), (c, d) = [map(math.radians, x) for x in (p, q)]
+        return 2 * 6371000 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    want = sorted((a, b, 2 if m(at[a], at[b]) <= 300 else 1) for a in at for b in at if a < b and a % 2 != b % 2)
+    assert sorted(map(tuple, registry.queries()["k06_equivalences"](spark, sf).collect())) == want
