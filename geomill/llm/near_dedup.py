@@ -12,16 +12,19 @@ set so that a pair at the similarity bound exceeds it with a probability below `
 Candidates must also be near in the b-bit signature (b = BITS bits of all SIZE values, bounded
 alike) and in set size; each is confirmed on the full sets of 64-bit shingle hashes.
 
-Copies (equal sets) are one class from the start and stand as its smallest doc_id.  Within a
-key not all pairs are tried.  Each member is first compared, by signature, with two members of
-the key (the smallest id and one by hash), of which it keeps the nearest few; in waves its nearest one in another component is
+Copies (equal sets) are one class from the start; classes are numbered once, with their table.
+Keys of one class only are left out first, by partial counts.  Within a key not all pairs are
+tried.  Each member is first compared, by signature, with two members of
+the key (the smallest number and one by hash), of which it keeps the nearest few; in waves its nearest one in another component is
 confirmed and components are merged.  At last just those pairs
 of a key whose components still differ are tried, each at the first key it shares.  Every
 candidate pair is thus confirmed, refused or already connected, and no link is lost to a cap.
 
 Cases: null or empty text, or only white space: set size 0, no links, its own component; a
-null doc_id gets a null component and is kept; rows that repeat an id repeat its document
-and share its component; an empty table gives an empty result.  Other columns are ignored.
+null doc_id gets a null component and is kept; rows that repeat an id share its component, and
+where their texts differ, each of these texts links (``link``: ids are documents) or stands for
+itself (``one_of_each``: rows are documents); an empty table gives an empty result.  ``link``
+ignores other columns, ``one_of_each`` returns them.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stages, byte_view, map_arrow, semi
+from .common import SMALL_ROWS, Stages, append_columns, byte_view, map_arrow, semi
 from .components import components
 
 SHINGLE, SIZE, INDEX, MISS = 5, 512, 128, 1e-7
@@ -131,9 +134,15 @@ def index_keys(values: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
 BITS, WORDS = 4, SIZE // 64
 PLANES = [f"p{j}_{w}" for j in range(BITS) for w in range(WORDS)]
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in PLANES])
+PRINT = ["n", "h1", "h2"]
 SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("items", T.ArrayType(T.LongType(), False))])
 
 
+def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set, as two sums over its items."""
+    return s.sum(), (mixed(s * POLY + _U(7)) ^ s).sum()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, fingerprint of the set (128 bits) and signature of every (doc_id, text)."""
 
@@ -148,7 +157,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(data[offsets[i] : offsets[i + 1]].tobytes(), memo)
                 if len(s):
                     n[i] = len(s)
-                    prints[i] = s.sum(), (mixed(s * POLY + _U(7)) ^ s).sum()
+                    prints[i] = fingerprint(s)
                     sigs[i] = minhash(s)
             bits = [np.packbits(((sigs >> _U(11 + j)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(BITS)]
             short = (sigs[:, :INDEX] >> _U(16)).astype(np.uint32)
@@ -177,22 +186,42 @@ def keyed(classes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     return map_arrow(classes.select("rep", "sig"), make, T.StructType([T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("place", T.IntegerType())]))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(rep, items): the whole set of every (rep, text)."""
+def prints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with set size and fingerprint as columns n, h1, h2."""
+
+    def make():
+        memo = _WordHash()
+
+        def each(arr: pa.Array) -> dict[str, pa.Array]:
+            data, offsets = byte_view(arr)
+            sets = [shingle_set(data[offsets[i] : offsets[i + 1]].tobytes(), memo) for i in range(len(arr))]
+            both = np.array([fingerprint(x) if len(x) else (0, 0) for x in sets], np.uint64).reshape(-1, 2)
+            return {"n": pa.array([len(x) for x in sets], pa.int64()), "h1": pa.array(both[:, 0].copy().view(np.int64)), "h2": pa.array(both[:, 1].copy().view(np.int64))}
+
+        return each
+
+    return append_columns(docs, text, make, [T.StructField(c, T.LongType()) for c in PRINT])
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(rep, items): the whole set of every class, from (rep, h1, h2, text); a text that repeats the id
+    of another class is told apart by the fingerprint."""
 
     def make():
         memo = _WordHash()
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            data, offsets = byte_view(b.column(1))
-            sets = [shingle_set(data[offsets[i] : offsets[i + 1]].tobytes(), memo).view(np.int64) for i in range(b.num_rows)]
-            ends = np.cumsum([0] + [len(s) for s in sets])
-            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-            return pa.RecordBatch.from_arrays([b.column(0), items], names=["rep", "items"])
+            data, offsets = byte_view(b.column(3))
+            wanted = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1).view(np.uint64)
+            sets = [shingle_set(data[offsets[i] : offsets[i + 1]].tobytes(), memo) for i in range(b.num_rows)]
+            own = [i for i, s in enumerate(sets) if len(s) and fingerprint(s) == tuple(wanted[i])]
+            ends = np.cumsum([0] + [len(sets[i]) for i in own])
+            items = np.concatenate([np.zeros(0, np.int64), *(sets[i].view(np.int64) for i in own)])
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items))], names=["rep", "items"])
 
         return one
 
-    return map_arrow(docs, make, SET)
+    return map_arrow(texts, make, SET)
 
 
 def distance(a: str, b: str) -> F.Column:
@@ -217,29 +246,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.filter(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
-def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    signed = stages.keep(signatures(docs), "signed")
+def grouped(docs: DataFrame, signed: DataFrame, stages: Stages, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (n, h1, h2, rep, id: smallest doc_id) of ``signed`` and components (rep, comp) of those with links.
+
+    ``by_id`` links the classes of rows that repeat an id as well."""
     first = [F.first(c).alias(c) for c in ["sig", *PLANES]]
-    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *first)
+    whole = signed.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = whole.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), *first).withColumn("rep", F.monotonically_increasing_id())
     classes = stages.keep(classes, "classes")
     marks = classes.select("rep", "n", *PLANES)
 
-    w = Window.partitionBy("key")
-    pivot = lambda seed: F.min(F.struct(F.xxhash64("rep", "key", F.lit(seed)).alias("h"), "rep")).over(w)["rep"]
-    hits = keyed(classes, chunks(percent)).select("key", "rep", "place", F.array(F.min("rep").over(w), pivot(1)).alias("pivots"), F.count("*").over(w).alias("members"))
-    hits = stages.keep(hits.filter("members > 1").select("key", "rep", "place", "pivots"), "hits")
-    active = stages.keep(hits.select("rep").distinct(), "active")
-    text = semi(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL"), active, "rep", active.count())
-    sets = stages.keep(shingle_sets(text.groupBy("rep").agg(F.first("text").alias("text"))), "sets")
-
-    offers = hits.select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
+    entries = keyed(classes, chunks(percent))
+    busy = stages.keep(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "busy")
+    hits = stages.keep(semi(entries, busy, "key", busy.count()), "hits")
+    active = stages.keep(hits.select("rep").distinct().join(classes.select("rep", "id", "h1", "h2"), "rep"), "active")
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL")
+    text = text.join(F.broadcast(active) if active.count() <= SMALL_ROWS else active, "id").select("rep", "h1", "h2", "text")
+    sets = stages.keep(shingle_sets(text.dropDuplicates(["rep", "text"])), "sets")
+
+    other = F.min_by("rep", F.xxhash64("rep", "key"))
+    pivots = hits.groupBy("key").agg(F.array(F.min("rep"), other).alias("pivots"))
+    offers = hits.join(pivots, "key").select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
     offers = offers.join(marks.alias("x"), F.col("o.rep") == F.col("x.rep")).join(marks.alias("y"), F.col("o.cand") == F.col("y.rep"))
     offers = offers.filter(near("x", "y", percent)).select("o.rep", distance("x", "y").alias("far"), "o.cand")
     best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cand"))), 1, NEAREST)  # of two a key at most
     offers = stages.keep(offers.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.cand", "b.far"), "offers")
-    links, comp = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "id long, comp long")
+    spark = docs.sparkSession
+    links, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")
     tried = links
+    if by_id and not (same := stages.keep(same_ids(whole, classes, stages), "same")).isEmpty():
+        links, comp = same, components(same, stages)
     for wave in range(WAVES):
         if wave:  # components only grow: what they have joined needs no further look
             mine = offers.join(comp.withColumnsRenamed({"id": "rep", "comp": "c"}), "rep", "left").join(comp.withColumnsRenamed({"id": "cand", "comp": "d"}), "cand", "left")
@@ -268,9 +304,52 @@ def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
     more = stages.keep(confirmed(stages.keep(rest, "rest"), sets, percent), "more")
     if not more.isEmpty():
         comp = components(links.unionByName(more), stages)
-    stages.drop(hits, active, sets, offers, open_rows)
+    stages.drop(busy, hits, active, sets, offers, open_rows)
+    return classes.select(*PRINT, "rep", "id"), comp.withColumnRenamed("id", "rep")
+
+
+def same_ids(whole: DataFrame, classes: DataFrame, stages: Stages) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat an id with different texts."""
+    lows, highs = [F.min(c).alias(f"lo_{c}") for c in PRINT], [F.max(c).alias(f"hi_{c}") for c in PRINT]
+    ids = whole.groupBy("doc_id").agg(*lows, *highs).filter(" OR ".join(f"lo_{c} <> hi_{c}" for c in PRINT)).select("doc_id")
+    ids = stages.keep(ids, "repeated")
+    own = semi(whole.select("doc_id", *PRINT), ids, "doc_id", ids.count()).distinct().join(classes.select(*PRINT, "rep"), PRINT).select("doc_id", "rep")
+    own = stages.keep(own, "own")
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
 
-    of = classes.select("h1", "h2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left")
+
+def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    signed = stages.keep(signatures(docs), "signed")
+    classes, comp = grouped(docs, signed, stages, percent, by_id=True)
+    named = comp.join(classes.select("rep", "id"), "rep").groupBy("comp").agg(F.min("id").alias("least"))
+    least = comp.join(named, "comp").select("rep", "least")
+    of = classes.join(least, "rep", "left").select(*PRINT, F.coalesce("least", "id").alias("comp"))
+    out = signed.select("doc_id", *PRINT).join(of, PRINT, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, stages: Stages, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without their near copies.
+
+    Of a group the row with the smallest doc_id stays; of rows that repeat this id with the same
+    set, the one with the smallest text.  Rows without an id all stay."""
+    signed = stages.keep(signatures(docs.select("doc_id", "text")), "signed")
+    classes, comp = grouped(docs, signed, stages, percent, by_id=False)
+    first = comp.join(classes.select("rep", "id"), "rep").groupBy("comp").agg(F.min(F.struct("id", "rep"))["rep"].alias("first"))
+    gone = comp.join(first, "comp").filter("rep <> first").select("rep", F.lit(True).alias("gone"))
+    of = classes.join(gone, "rep", "left").select(*PRINT, "id", F.coalesce("gone", F.lit(False)).alias("gone"))
+    rows = signed.filter("doc_id IS NOT NULL").select("doc_id", *PRINT).join(of, PRINT, "left")
+    rows = rows.select("doc_id", *PRINT, (~F.coalesce("gone", F.lit(False)) & F.coalesce(F.col("id") == F.col("doc_id"), F.lit(True))).alias("stays"))
+    rows = stages.keep(rows, "rows")
+    dropped = stages.keep(rows.filter("NOT stays").select("doc_id").distinct(), "dropped")
+    again = stages.keep(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    n_again = again.count()
+    kept = semi(docs, dropped, "doc_id", dropped.count(), "left_anti")
+    if n_again:  # a row of a repeated id is known by its set as well
+        stay = stages.keep(semi(rows.filter("stays"), again, "doc_id", n_again).select("doc_id", *PRINT).distinct(), "stay")
+        known = prints(semi(docs, again, "doc_id", n_again).select("doc_id", "text", F.struct(*docs.columns).alias("row"))).join(stay, ["doc_id", *PRINT])
+        once = known.groupBy("doc_id", *PRINT).agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+        kept = semi(kept, again, "doc_id", n_again, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
