@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -35,11 +36,14 @@ def unit_hash(*cols: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder is made and set;
+    on a cluster a folder of one machine would lose rows, so there it is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="geomill-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -65,8 +69,23 @@ class Stages:
         out._geomill_path = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, key: str, name: str = "t") -> DataFrame:
+        """``keep``, bucketed and sorted by ``key``: later joins on it don't shuffle this table.
+
+        As many buckets as the session has shuffle partitions.  The catalog's entry is a name of
+        the session for files in the shared folder; ``drop`` removes both."""
+        self.n += 1
+        path, label = f"{self.root}/{self.n:03d}-{name}", f"geomill_{uuid.uuid4().hex[:12]}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(label)
+        out = self.spark.table(label)
+        out._geomill_path, out._geomill_table = path, label
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            if label := getattr(t, "_geomill_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {label}")
             if path := getattr(t, "_geomill_path", None):
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,14 +11,19 @@ documents.  Texts are taken in blocks of about ``BLOCK_BYTES``; a block hands on
 n-grams with their trusted counts.  The counts of all blocks are joined, order by order, to
 n-gram probabilities (tables sharded by language and n-gram); the probabilities go back to
 the blocks that asked for them, and there give each document's perplexity.  A document is
-kept if its perplexity is at most its language's quantile ``quantile`` over trusted documents.
+kept if its perplexity is at most its language's quantile ``quantile`` over the trusted documents
+that the model has not seen: one trusted id in ``HELD`` is held out from the counts (by crc32).
+The quantile is Spark's approximate one, within 1/10 000 of the rank.
 
 Blocks are numbered and written once, packed, by one scan of the documents; both passes read
 them from there, so a block's texts and its n-grams belong together however files are split.
+That table is bucketed by block, so the join with the probabilities doesn't shuffle the texts.
 An n-gram that a block's table lacks is an error.
 
 Cases: null or empty text: n_bytes 0, null perplexity, not kept; a null language, or one
-without trusted text, uses the model and the quantile of all trusted text (``ANY``); without
+without trusted text, uses the model and the quantile of all trusted text (``ANY``); a language
+without held-out text uses the quantile over all held-out text, and if there is none at all, that
+over the texts of its model; without
 any trusted text every perplexity is null and every document with text is kept; several
 labels of one id: trusted if any says so; rows that repeat an id are scored one by one; an
 empty table gives an empty result; other columns are ignored.
@@ -33,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_ROWS, Stages, by_bytes, byte_view, small_batches
+from .common import SMALL_ROWS, Stages, by_bytes, byte_view, fold, small_batches
 
 ORDER, BLOCK_BYTES, PIECE_BYTES, ANY = 4, 12 << 20, 1 << 18, "*"
 PART_ROWS = 1 << 24  # blocks of a scan partition at most
+HELD = 10
 
 
 def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +99,15 @@ def unpacked(texts: pa.Scalar) -> pa.RecordBatch:
 def grams(texts: DataFrame) -> DataFrame:
     """(block, lang, code, seen): the n-grams of each block and their occurrences in trusted texts.
 
-    ``texts``: (block, texts) of ``packed``, whose rows are doc_id, lang, trusted, text."""
+    ``texts``: (block, texts) of ``packed``, whose rows are doc_id, lang, trusted, held, text; trusted and not held-out texts are counted."""
 
     def run(batches):
         for number, b in ((k.as_py(), unpacked(t)) for batch in batches for k, t in zip(batch.column(0), batch.column(1), strict=True)):
             for lang, rows_ in by_lang(b.column(1)):
                 part = b.take(rows_)  # one language at a time, as a block's n-grams are held in memory
-                data, offsets = byte_view(part.column(3))
-                good = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                data, offsets = byte_view(part.column(4))
+                flag = lambda c: part.column(c).to_numpy(zero_copy_only=False).astype(bool)  # noqa: B023, E731
+                good = flag(2) & ~flag(3)
                 found, plain = [], []
                 for lo, hi in by_bytes(offsets, PIECE_BYTES):
                     code, lens = codes_of(data, offsets[lo : hi + 1])
@@ -188,7 +195,7 @@ class Lookup:
         return out
 
 
-SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("trusted", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("total", T.DoubleType())])
+SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("trusted", T.BooleanType()), T.StructField("held", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("total", T.DoubleType())])
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -215,7 +222,7 @@ def scored(both: DataFrame) -> DataFrame:
                 rows = unpacked(texts)
                 for lang, places in by_lang(rows.column(1)):
                     part = rows.take(places)
-                    data, offsets = byte_view(part.column(3))
+                    data, offsets = byte_view(part.column(4))
                     lens = np.diff(offsets)
                     total = np.zeros(len(lens))
                     if lens.any():  # without a table of the language: KeyError
@@ -225,7 +232,7 @@ def scored(both: DataFrame) -> DataFrame:
                             ends = offsets[lo : hi + 1] - offsets[lo]
                             for i in np.flatnonzero(lens[lo:hi]).tolist():
                                 total[lo + i] = logp[ends[i] : ends[i + 1]].sum(dtype=np.float64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lens), pa.array(total)], names=SCORED.names)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(lens), pa.array(total)], names=SCORED.names)
 
     return both.mapInArrow(run, SCORED)
 
@@ -263,17 +270,18 @@ def bundled(answers: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: float = 0.995) -> DataFrame:
-    """(doc_id, lang, trusted, n_bytes, perplexity, threshold, kept) of ``docs`` (doc_id, lang, text);
+    """(doc_id, lang, trusted, held, n_bytes, perplexity, threshold, kept) of ``docs`` (doc_id, lang, text);
     ``trusted`` holds the doc_id of trusted documents."""
     ids = stages.keep(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)), "trusted")
     side = F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(side, "doc_id", "left")
     ok = F.coalesce("trusted", F.lit(False)) & (F.coalesce(F.octet_length("text"), F.lit(0)) > 0)
-    known = sorted(r["lang"] for r in rows.filter(ok & F.col("lang").isNotNull()).select("lang").distinct().collect())
+    held = ok & (fold(F.col("doc_id"), HELD) == 0)
+    known = sorted(r["lang"] for r in rows.filter(ok & ~held & F.col("lang").isNotNull()).select("lang").distinct().collect())
     lang = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)) if known else F.lit(ANY)
-    rows = rows.select("doc_id", lang.alias("lang"), ok.alias("trusted"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", lang.alias("lang"), ok.alias("trusted"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
 
-    texts = stages.keep(packed(rows), "blocks")
+    texts = stages.keep_bucketed(packed(rows), "block", "blocks")
     found = stages.keep(grams(texts), "grams")
     asked = stages.keep(found.groupBy("lang", "code").agg(F.sum("seen").alias("c")), "asked")
     counts = asked.filter("c > 0")
@@ -281,17 +289,19 @@ def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: floa
         every = counts.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit(ANY).alias("lang"), "code", "c")
         counts = stages.keep(counts.filter(F.col("lang") != ANY).unionByName(every), "counts")
     if counts.isEmpty():
-        out = rows.select("doc_id", "lang", "trusted", F.octet_length("text").cast("long").alias("n_bytes"))
+        out = rows.select("doc_id", "lang", "trusted", "held", F.octet_length("text").cast("long").alias("n_bytes"))
         return out.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.col("n_bytes") > 0).alias("kept"))
     logp = stages.keep(probabilities(asked.select("lang", "code"), counts, stages), "logp")
     small = logp.count() <= SMALL_ROWS
     answers = bundled(found.select("block", "lang", "code").join(F.broadcast(logp) if small else logp, ["lang", "code"]))
     both = texts.join(answers, "block", "left").select("texts", "table")
     score = stages.keep(scored(both), "scores")
+    stages.drop(texts, found)
     perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("total") / F.col("n_bytes")), 6))
-    score = score.select("doc_id", "lang", "trusted", "n_bytes", perplexity.alias("perplexity"))
+    score = score.select("doc_id", "lang", "trusted", "held", "n_bytes", perplexity.alias("perplexity"))
     good = score.filter("trusted")
-    cut = lambda d: d.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    limits = cut(good.filter(F.col("lang") != ANY).groupBy("lang")).unionByName(cut(good).select(F.lit(ANY).alias("lang"), "threshold"))
+    cut = lambda d, name: d.agg(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), quantile, 10_000).alias(name), F.percentile_approx("perplexity", quantile, 10_000).alias(f"{name}_seen"))
+    langs = score.select("lang").distinct().join(cut(good.groupBy("lang"), "own"), "lang", "left").crossJoin(cut(good, "any"))  # a row a language and one row
+    limits = langs.select("lang", F.coalesce(F.when(F.col("lang") != ANY, F.col("own")), "any", F.when(F.col("lang") != ANY, F.col("own_seen")), "any_seen").alias("threshold"))
     out = score.join(F.broadcast(limits), "lang", "left")
-    return out.select("doc_id", "lang", "trusted", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "lang", "trusted", "held", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
