@@ -33,7 +33,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan_licenses(docs, drop=True).select("doc_id", "n_licenses", "license", "coverage", "first_word", "last_word")
+    return license_scan.scan_licenses(docs, drop=True).select("doc_id", "n_licenses", "license", "coverage", "first_word", "last_word", "found")
 
 
 def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
