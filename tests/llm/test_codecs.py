@@ -108,7 +108,7 @@ def test_ogg_damage_is_seen():
     media[len(media) // 2] ^= 1
     d = ogg_media.demux(bytes(media))
     assert d.damaged == 1 and d.lost >= 1
-    assert ogg_media.demux(b"").pages == 0 and ogg_media.demux(b"junk" + bytes(media[:40])).packets == {} or True
+    assert ogg_media.demux(b"").pages == 0
     again = ogg_media.demux(b"junk" + ogg_media.encode(b"\xff" * 576))
     assert ogg_media.samples(again)[0] == b"\xff" * 576
 

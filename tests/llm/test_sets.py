@@ -65,6 +65,28 @@ def test_near_dedup_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (3, 1, False), (4, 4, True)]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Every text of a repeated id links; none is taken by chance."""
+    r = random.Random(5)
+    a, b = ([f"{k}{r.randint(0, 9999)}" for _ in range(60)] for k in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a[:-1], "x"])), (9, " ".join([*b[:-1], "y"])), (7, " ".join(a).upper()), (20, "alone and by itself it stands here")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "doc_id bigint, text string").withColumn("rep", F.lit(1)).repartition(3)
+        out = near_dedup.link(df, Stages(spark)).collect()
+        assert sorted((x.doc_id, x.component_id) for x in out) == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (20, 20)]
+        stay = near_dedup.one_of_each(df, Stages(spark)).collect()  # rows are documents: both texts of id 7 stay, copies go
+        assert sorted((x.doc_id, x.text) for x in stay) == sorted([(7, " ".join(a).upper()), (7, " ".join(b)), (20, rows[5][1])])
+        assert stay[0].rep == 1
+
+
+def test_one_of_each_edges(spark):
+    schema = "doc_id bigint, text string, n int"
+    assert near_dedup.one_of_each(spark.createDataFrame([], schema), Stages(spark)).count() == 0
+    rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (3, None, 3), (3, None, 3), (4, "", 4), (5, "a b c d e f", 5), (6, "a b c d e f", 6)]
+    out = near_dedup.one_of_each(spark.createDataFrame(rows, schema), Stages(spark)).collect()
+    assert sorted((r.n for r in out)) == [1, 2, 3, 4, 5]
+
+
 def test_pigeonhole_covers_the_distance():
     """Signatures that differ in at most d places always share a key."""
     r = np.random.default_rng(1)
@@ -171,6 +193,59 @@ def test_rising_and_alignment():
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
+def plain_alignment(a, b):
+    """Length of the patience alignment of two word lists, by the definition and without speed."""
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    shared = [w for w in b if a.count(w) == 1 and b.count(w) == 1]
+    if not shared:
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        return n + int(t[-1, -1])
+    anchors = [shared[i] for i in license_scan.rising([a.index(w) for w in shared])]
+    for w in anchors:
+        i, j = a.index(w), b.index(w)
+        n += 1 + plain_alignment(a[:i], b[:j])
+        a, b = a[i + 1 :], b[j + 1 :]
+    return n + plain_alignment(a, b)
+
+
+def test_scan_against_every_window(spark):
+    """The best coverage at any place of a text, tried word by word without passing windows over."""
+    r = random.Random(21)
+    templates = {k: license_scan.TEMPLATES[k] for k in ("MIT-notice", "CC-BY-4.0-notice", "MPL-2.0")}
+    words = {k: license_scan.words_of(v) for k, v in templates.items()}
+    texts = [""]
+    for _ in range(60):
+        t = [r.choice("the a of under license this work is".split()) for _ in range(r.randint(0, 25))]
+        k = r.choice(list(templates))
+        body = [w if r.random() > 0.12 else r.choice(["x", "license", ""]) for w in words[k]]
+        at = r.randint(0, len(t))
+        texts.append(" ".join(t[:at] + body + t[at:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {x.doc_id: x.found for x in license_scan.scan_licenses(df, templates).collect()}
+    for i, t in enumerate(texts):
+        w = license_scan.words_of(t)
+        for k, m in words.items():
+            best = max([plain_alignment(w[p : p + len(m) + len(m) // 2 + 4], m) / len(m) for p in range(len(w))], default=0)
+            mine = max([f.coverage for f in out[i] if f.license == k], default=0)
+            assert (best >= 0.8) == (mine > 0) and mine <= best + 1e-6
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause"])
+def test_license_without_anchors(name):
+    """No word of the window is unique in text and template, so one large gap is aligned."""
+    words = license_scan.words_of(license_scan.TEMPLATES[name])
+    once = sorted({w for w in words if words.count(w) == 1} - {words[0]})  # the changed word would be an anchor itself
+    text = " ".join(["changed", *words[1:], *once])
+    assert any(f.license == name and f.coverage > 0.97 for f in license_scan.Scanner().scan(text))
+
+
 def test_licenses(spark):
     mit, apache = license_scan.TEMPLATES["MIT-notice"], license_scan.TEMPLATES["Apache-2.0"]
     broken = " ".join(w for i, w in enumerate(license_scan.TEMPLATES["GPL-3.0"].split()) if i % 12)

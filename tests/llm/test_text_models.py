@@ -1,6 +1,7 @@
 """Language ID, toxicity, quality model: gradients, held-out accuracy, edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,33 @@ def test_toxicity_accuracy_and_edges(spark):
     assert toxicity.score_texts(d.limit(3), None).filter("score = 0").count() == 3
 
 
+def test_score_equals_the_definition():
+    """The fast forward pass against the network written as plain loops over one window."""
+    h, span = toxicity.HIDDEN, toxicity.SPAN
+    net = toxicity.fit([(i, ("idiot " if i % 2 else "nice ") + invented("en", 30, random.Random(i)), i % 2) for i in range(60)], 1, 1)
+    p, sig = net.p, lambda x: 1 / (1 + np.exp(-x))
+    for n in (1, 5, span):
+        words = invented("de", n, random.Random(n)).split()[:n]
+        vec = []
+        for w in words:
+            grams = toxicity.ngram_ids([w])[0]
+            vec.append(np.concatenate([p["word"][net.ids.get(w, 0)], p["char"][np.unique(grams)].max(0)]).astype(float))
+        states = np.zeros((n, 2 * h))
+        for d, lo, order in (("f", 0, range(n)), ("b", h, range(n - 1, -1, -1))):
+            s, u = np.zeros(h), p[f"U{d}"].astype(float)
+            for t in order:
+                g = vec[t] @ p[f"W{d}"] + p[f"b{d}"]
+                z, r = sig(g[:h] + s @ u[:, :h]), sig(g[h : 2 * h] + s @ u[:, h : 2 * h])
+                s = (1 - z) * s + z * np.tanh(g[2 * h :] + (r * s) @ u[:, 2 * h :])
+                states[t, lo : lo + h] = s
+        a = np.exp([np.tanh(x @ p["Wa"] + p["ba"]) @ p["va"] for x in states])
+        want = sig((a[:, None] * states).sum(0) / a.sum() @ p["wo"] + p["bo"])[0]
+        gates = np.zeros((span, 1, 6 * h), np.float32)
+        gates[:n, 0] = net.inputs(words)
+        there = (np.arange(span) < n).astype(np.float32)[:, None]
+        assert net.score(gates, there)[0] == pytest.approx(want, abs=1e-4)
+
+
 def test_all_windows_count():
     """A text's score is the largest over windows that start every STEP tokens and one that ends with it."""
     net = toxicity.fit([(i, ("idiot " if i % 2 else "nice ") + invented("en", 30, random.Random(i)), i % 2) for i in range(60)], 1, 1)
@@ -172,7 +200,9 @@ def test_quality_against_definition(spark):
     trusted = spark.createDataFrame([(i,) for i in (*range(8), 20)], "doc_id bigint")
     out = quality_lm.classify(df, trusted, Stages(spark)).collect()
     assert len(out) == len(docs)
-    own = {"en": [t.encode() for i, g, t in docs if i < 8], "fr": [docs[12][2].encode()]}
+    held = {i for i in (*range(8), 20) if zlib.crc32(str(i).encode()) % quality_lm.HELD == 0}
+    assert held == {i for i in held if i < 8} and {x.doc_id for x in out if x.held} == held
+    own = {"en": [t.encode() for i, g, t in docs if i < 8 and i not in held], "fr": [docs[12][2].encode()]}
     own["*"] = own["en"] + own["fr"]
     text = {(i, len((t or "").encode())): (g, t) for i, g, t in docs}
     for x in out:
@@ -182,6 +212,14 @@ def test_quality_against_definition(spark):
             continue
         logs = brute_kneser_ney(own.get(lang, own["*"]), t.encode())
         assert x.perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4)
+    by = {}
+    for x in out:
+        if x.held or (not held and x.trusted):
+            by.setdefault(x.lang, []).append(x.perplexity)
+    for x in out:
+        if x.lang == "en" and by:
+            assert x.threshold == max(by["en"])
+            assert x.kept == (x.n_bytes > 0 and x.perplexity <= x.threshold)
     assert quality_lm.classify(df.limit(0), trusted, Stages(spark)).count() == 0
     untrained = quality_lm.classify(df, trusted.limit(0), Stages(spark))
     assert untrained.filter(F.col("perplexity").isNotNull()).count() == 0 and untrained.filter("kept").count() == len(docs) - 2
