@@ -4,7 +4,9 @@
 samples (packets of ``PACKET`` 8-bit samples; granule position: samples so far) and an index
 (one packet for each page of samples: its granule and the CRC-32 of its body).  ``read_media``
 verifies each page's checksum, splits pages into logical streams by serial number, reassembles
-packets from the lacing values (a packet may span pages), and derives times from granules.
+packets from the lacing values (a packet may span pages), and derives times from granules.  The
+pages of samples are then held against the index: an entry that differs in granule or body
+checksum, and a page or an entry without its counterpart, count as faults.
 
 The page checksum (polynomial 04C11DB7, most significant bit first, no inversions) is the one
 of zlib for bit-reversed bytes, so both run in C.
@@ -114,10 +116,12 @@ class Packet(NamedTuple):
     number: int
     data: bytes
     granule: int | None  # position at the end of the last packet that ends on the page, else None
+    page: int  # number of the page where it ends
 
 
 class Demuxed(NamedTuple):
     packets: dict[int, list[Packet]]
+    bodies: dict[int, dict[int, tuple[int, int]]]  # (granule, CRC-32 of the body) by stream and page number
     pages: int
     damaged: int
     lost: int
@@ -127,6 +131,7 @@ def demux(media: bytes) -> Demuxed:
     """The packets of each logical stream, reassembled; a packet with a missing part is dropped."""
     sound, damaged = pages(media)
     packets: dict[int, list[Packet]] = {}
+    bodies: dict[int, dict[int, tuple[int, int]]] = {}
     held: dict[int, list[bytes] | None] = {}
     following: dict[int, int] = {}
     lost = 0
@@ -136,6 +141,7 @@ def demux(media: bytes) -> Demuxed:
             held[p.serial] = None
         following[p.serial] = p.number + 1
         stream = packets.setdefault(p.serial, [])
+        bodies.setdefault(p.serial, {})[p.number] = p.granule, zlib.crc32(p.body)
         part: list[bytes] | None = held.get(p.serial) if p.flags & CONTINUED else []
         at, last_end, start = 0, max((i for i, x in enumerate(p.lacing) if x < 255), default=-1), 0
         for i, x in enumerate(p.lacing):
@@ -143,7 +149,7 @@ def demux(media: bytes) -> Demuxed:
             if x < 255:
                 if part is not None:
                     part.append(p.body[start:at])
-                    stream.append(Packet(p.serial, len(stream), b"".join(part), p.granule if i == last_end else None))
+                    stream.append(Packet(p.serial, len(stream), b"".join(part), p.granule if i == last_end else None, p.number))
                 part, start = [], at
         if start < at or (p.lacing and p.lacing[-1] == 255):
             if part is not None:
@@ -151,7 +157,7 @@ def demux(media: bytes) -> Demuxed:
             held[p.serial] = part
         else:
             held[p.serial] = []
-    return Demuxed(packets, len(sound) + damaged, damaged, lost)
+    return Demuxed(packets, bodies, len(sound) + damaged, damaged, lost)
 
 
 def samples(d: Demuxed) -> tuple[bytes, int, int]:
@@ -164,6 +170,13 @@ def samples(d: Demuxed) -> tuple[bytes, int, int]:
     return b"".join(p.data for p in stream[1:]), rate, max(ends, default=0)
 
 
+def index_faults(d: Demuxed) -> int:
+    """Pages of samples that the index doesn't confirm, and entries without their page."""
+    entries = {p.page: struct.unpack("<qI", p.data) for p in d.packets.get(INDEX, [])[1:] if len(p.data) == 12}
+    mine = {k: v for k, v in d.bodies.get(SAMPLES, {}).items() if k}  # page 0 is the head
+    return sum(entries.get(k) != mine.get(k) for k in entries.keys() | mine.keys())
+
+
 def timestamps(d: Demuxed) -> list[tuple[int, float, float]]:
     """(packet, start, end) in seconds, from the granules; packets between two granules count samples."""
     stream = d.packets.get(SAMPLES, [])
@@ -219,6 +232,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: st
 READ = [
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("duration_s", T.DoubleType()), T.StructField("damaged_pages", T.LongType()), T.StructField("lost_pages", T.LongType()),
+    T.StructField("index_faults", T.LongType()),
 ]
 
 
@@ -231,7 +245,7 @@ def read_media(df: DataFrame, media: str = "media", drop: bool = False) -> DataF
         d = demux(raw)
         payload, rate, granule = samples(d)
         sha = hashlib.sha256
-        return len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha(raw).hexdigest(), feature(payload, rate, granule), granule / rate if rate else 0.0, d.damaged, d.lost
+        return len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha(raw).hexdigest(), feature(payload, rate, granule), granule / rate if rate else 0.0, d.damaged, d.lost, index_faults(d)
 
     def make():
         def each(arr: pa.Array) -> dict[str, pa.Array]:

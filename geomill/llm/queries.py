@@ -45,7 +45,7 @@ def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = ogg_media.read_media(ogg_media.store(docs, drop=True), drop=True)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "damaged_pages", "lost_pages", "index_faults")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
