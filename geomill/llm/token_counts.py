@@ -1,7 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-White space is dropped by the tokenizer and never joins two tokens, so a text may be cut at
-every run of ASCII white space: its count is the sum over the pieces.  The pieces of a batch
+Where white space is dropped by the tokenizer and never joins two tokens, a text may be cut at
+every run of ASCII white space: its count is the sum over the pieces.  ``cuts_at_space`` reads
+from the tokenizer's file whether that is so; texts of any other tokenizer go to it whole.  The pieces of a batch
 that are new to the task go to the library in batches of about ``BATCH_BYTES`` bytes, so a
 long text neither holds up a batch of short ones nor makes one large request; counts of short
 pieces are memoised.  A long piece without white space is encoded by itself.
@@ -15,7 +16,9 @@ repeated rows get equal counts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,31 @@ def batches(pieces: list[bytes], most: int = BATCH_BYTES):
         yield out
 
 
+def never_space(regex: str) -> bool:
+    """Whether no match of a pattern can hold white space; patterns of other forms count as if they could."""
+    return not re.search(r" |\\[sSWDPtnrfvxu]|\.|\[\^", regex.replace(r"[^\s", "["))
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file gives a text the tokens of its white-space separated pieces.
+
+    That holds where the normalizer works within words (or collapses white space), the first
+    pre-tokenizer removes all white space, and no added token holds some or takes it from its
+    neighbours.  A file of another form counts as if it didn't hold."""
+    steps = lambda x, many: x[many] if x and many in x else [x] if x else []
+    normal, pre = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    collapses = lambda n: n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+    if not pre or not all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") or collapses(n) for n in normal):
+        return False
+    first = pre[0]
+    removes = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    if first["type"] == "Split" and first["behavior"] == "Removed":
+        regex = first["pattern"].get("Regex", "")
+        removes = never_space(regex) if first["invert"] else regex == r"\s+"
+    alone = lambda t: not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]))
+    return removes and all(map(alone, spec.get("added_tokens") or []))
+
+
 class Counter:
     """Token counts of texts by a tokenizer file of the library ``tokenizers``."""
 
@@ -52,6 +80,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_at_space(json.loads(self.tokenizer.to_str()))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.memo: dict[bytes, int] = {}
@@ -60,7 +89,7 @@ class Counter:
         return [len(e) for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
     def count(self, raw: list[bytes]) -> list[int]:
-        words = [r.split() for r in raw]
+        words = [r.split() if self.cuts else [r] for r in raw]
         new = set().union(*words).difference(self.memo)
         extra: dict[bytes, int] = {}
         for batch in batches(list(new)):
