@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -154,29 +155,34 @@ def codec_of(file: str, pattern: str) -> tuple[Codec, _Memo]:
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
 
 
-def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", drop: bool = False) -> DataFrame:
-    """``docs`` with the token count, digests of ids and of decoded bytes, and whether they equal the text."""
+def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", drop: bool = False, with_ids: bool = False) -> DataFrame:
+    """``docs`` with the token count, digests of ids and of decoded bytes, and whether they equal the text;
+    ``with_ids`` adds the ids themselves as an array."""
     file = share_file(docs, vocabulary)
 
     def make():
         codec, memo = codec_of(file, pattern)
 
         def each(arr: pa.Array) -> dict[str, pa.Array]:
-            counts, ids_sha, back_sha, same = [], [], [], []
+            counts, ids_sha, back_sha, same, arrays = [], [], [], [], []
             for t in arr:
                 t = t.as_py() or ""
                 made = [memo[m] for m in codec.split(t)]
                 ids = ",".join([m[0] for m in made])
                 back = b"".join([m[1] for m in made])
                 counts.append(ids.count(",") + 1 if ids else 0)
+                if with_ids:
+                    arrays.append(np.fromiter(map(int, ids.split(",") if ids else ()), np.int32, counts[-1]))
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back_sha.append(hashlib.sha256(back).hexdigest())
                 same.append(back == t.encode())
-            return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
+            out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
+            return out | ({"ids": pa.array(arrays, pa.list_(pa.int32()))} if with_ids else {})
 
         return each
 
-    return append_columns(docs, text, make, ADDED, drop)
+    ids = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    return append_columns(docs, text, make, ADDED + ids, drop)
 
 
 def encode_ids(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
