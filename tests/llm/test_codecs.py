@@ -48,6 +48,8 @@ def test_codec_frames(spark):
     out = bpe_codec.encode_digest(df, path, public.PATTERN).collect()
     assert len(out) == 5 and all(r.round_trip for r in out)
     assert {r.n_tokens for r in out if r.doc_id in (2, 3)} == {0}
+    arrays = {(r.doc_id, r.n_tokens): r.ids for r in bpe_codec.encode_digest(df, path, public.PATTERN, with_ids=True).collect()}
+    assert all(len(ids) == n for (_, n), ids in arrays.items()) and arrays[2, 0] == []
     back = bpe_codec.decode_ids(bpe_codec.encode_ids(df, path, public.PATTERN), path, public.PATTERN)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
     assert bpe_codec.encode_digest(df.limit(0), path, public.PATTERN).count() == 0
@@ -69,6 +71,18 @@ def test_token_counts_equal_library(spark):
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    """A byte-level tokenizer takes white space into its tokens, so its texts aren't cut."""
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert token_counts.Counter(public.path("word_bpe_49k.json")).cuts and not token_counts.Counter(path).cuts
+    texts = ["a  b\n\nc", " lead and trail  ", "", None, "word " * 3000]
+    out = {x.doc_id: x.n_tokens for x in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path).collect()}
+    assert [out[i] for i in range(len(texts))] == [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
+
+
 def test_batches_hold_all_pieces():
     pieces = [b"x" * n for n in (1, 5, 300, 2, 90, 1000)]
     made = list(token_counts.batches(pieces, 300))
@@ -107,7 +121,16 @@ def test_ogg_damage_is_seen():
     media = bytearray(ogg_media.encode(ogg_media.padded(os.urandom(200_000))))
     media[len(media) // 2] ^= 1
     d = ogg_media.demux(bytes(media))
-    assert d.damaged == 1 and d.lost >= 1
+    assert d.damaged == 1 and d.lost >= 1 and ogg_media.index_faults(d) >= 1
+    sound = bytearray(ogg_media.encode(ogg_media.padded(os.urandom(200_000))))
+    assert ogg_media.index_faults(ogg_media.demux(bytes(sound))) == 0
+    found, _ = ogg_media.pages(bytes(sound))
+    p = next(x for x in found if x.serial == ogg_media.SAMPLES and x.number == 1)
+    forged = ogg_media.page(p.flags, p.granule, p.serial, p.number, p.lacing, b"\0" * len(p.body))  # a right page checksum over other samples
+    at = sound.find(p.body) - 27 - len(p.lacing)
+    sound[at : at + len(forged)] = forged
+    d = ogg_media.demux(bytes(sound))
+    assert d.damaged == 0 and ogg_media.index_faults(d) == 1
     assert ogg_media.demux(b"").pages == 0
     again = ogg_media.demux(b"junk" + ogg_media.encode(b"\xff" * 576))
     assert ogg_media.samples(again)[0] == b"\xff" * 576
