@@ -5,11 +5,12 @@ toxicity      documents that the network takes for toxic (score 0.5 or more) go
 near_dedup    one document of each group of near copies (five-word shingles, 0.8 or more) stays
 mix           each source is repeated or cut to its target; the document at the cut keeps its
               first words up to the budget
-encode        the texts' byte-level BPE ids, and whether decoding them gives the text
+encode        the texts' byte-level BPE ids with their digest, and whether decoding them gives the text
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents.  A null text is rejected by the first stage; rows without an id pass the
-third one by one; an empty table passes all stages empty.  ``ORACLE_SQL`` is None: SQL can't
+columns of documents, so a repeated document's rows carry no epoch number: they are equal but for
+the last, cut one.  A null text is rejected by the first stage; rows without an id pass the third
+one by one, rows that repeat an id with other texts are documents of their own; an empty table passes all stages empty.  ``ORACLE_SQL`` is None: SQL can't
 express the networks; the stages are tested against brute-force versions in ``tests/llm``.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.llm import bpe_codec, language_id, mixing, near_dedup, toxicity
-from geomill.llm.common import SMALL_ROWS, Stages, semi, table
+from geomill.llm.common import SMALL_ROWS, Stages, table
 from geomill.llm.queries import tokenizer_file, tokenizer_pattern
 
 #: A prediction whose share of the windows' weight is below this counts as "can't tell".
@@ -42,17 +43,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stages = Stages(spark)
-    groups = near_dedup.link(docs.select("doc_id", "text"), stages, percent=80)
-    dropped = stages.keep(groups.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    kept = semi(docs, dropped, "doc_id", dropped.count(), "left_anti")
-    # rows that repeat an id are copies of one document: one of them stays
-    again = stages.keep(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    n = again.count()
-    if n:
-        once = semi(kept, again, "doc_id", n).dropDuplicates(["doc_id"])
-        kept = semi(kept, again, "doc_id", n, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return near_dedup.one_of_each(docs, Stages(spark), percent=80).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +66,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
-    return bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True).select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
+    out = bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True, with_ids=True)
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_dedup", dedup), ("mix", mix), ("encode", encode)]
