@@ -43,18 +43,28 @@ def idf(names: DataFrame, column: str) -> DataFrame:
     return t.groupBy("token").agg(F.log(F.lit(float(n)) / (1 + F.count("*"))).alias("weight"))
 
 
-def idf_overlap(pairs: DataFrame, weights: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``shared_weight``, and ``top_shared``: whether the heaviest word of either name is shared.
-
-    ``pairs`` needs a unique ``pair_id``."""
-    side = lambda c: pairs.select("pair_id", F.explode(text.tokens(F.col(c), 1)).alias("token")).join(weights, "token")
-    x, y = side(a), side(b)
-    shared = x.join(y.select("pair_id", "token"), ["pair_id", "token"])
-    total = shared.groupBy("pair_id").agg(F.sum("weight").alias("shared_weight"))
-    best = lambda s: s.groupBy("pair_id").agg(F.max(F.struct("weight", "token"))["token"].alias("token"))
-    top = best(x).unionByName(best(y)).join(shared.select("pair_id", "token"), ["pair_id", "token"], "left_semi").select("pair_id").distinct()
-    out = pairs.join(total, "pair_id", "left").join(top.withColumn("hit", F.lit(True)), "pair_id", "left")
-    return out.withColumn("shared_weight", F.coalesce("shared_weight", F.lit(0.0))).withColumn("top_shared", F.coalesce("hit", F.lit(False))).drop("hit")
+def with_weights(rows: DataFrame, weights: DataFrame, column: str, id: str = "id", most: int = 500_000) -> DataFrame:
+    """``rows`` with ``weighted``: the (token, weight) of the column's distinct words, once a row and not once a pair.
+
+    ``weights`` (token, weight) is broadcast if counted to be small."""
+    w = F.broadcast(weights) if weights.count() <= most else weights
+    t = rows.select(id, F.explode(text.tokens(F.col(column), 1)).alias("token")).join(w, "token")
+    t = t.groupBy(id).agg(F.collect_list(F.struct("token", "weight")).alias("weighted"))
+    return rows.join(t, id, "left").withColumn("weighted", F.coalesce("weighted", F.array().cast("array<struct<token:string,weight:double>>")))
+
+
+def shared_weight(x: Column, y: Column) -> Column:
+    """Sum of the weights of the words that two ``weighted`` lists share."""
+    words = F.transform(y, lambda t: t["token"])
+    shared = F.filter(x, lambda t: F.array_contains(words, t["token"]))
+    return F.aggregate(F.array_sort(F.transform(shared, lambda t: t["weight"])), F.lit(0.0), lambda a, w: a + w)
+
+
+def top_shared(x: Column, y: Column) -> Column:
+    """Whether the heaviest word of either list (ties: the larger word) is in the other one."""
+    top = lambda c: F.array_max(F.transform(c, lambda t: F.struct(t["weight"].alias("w"), t["token"].alias("t"))))["t"]
+    has = lambda c, t: F.coalesce(F.array_contains(F.transform(c, lambda e: e["token"]), t), F.lit(False))
+    return has(y, top(x)) | has(x, top(y))
 
 
 def common_length(a: str, b: str) -> int:

@@ -20,14 +20,16 @@ def dbscan(points: DataFrame, eps_m: float, least: int, keep: Callable[[DataFram
     Neighbours come from a band join; cores with ``least`` points in reach (the own one included) are
     connected; a border point joins its nearest core (ties: smaller id).
     """
-    near = keep(joins.within(points, points, eps_m, geo.haversine))
-    core = keep(near.groupBy("a_id").count().filter(F.col("count") >= least).select(F.col("a_id").alias("id")))
-    c = lambda name: core.withColumnRenamed("id", name)
-    edges = near.join(c("a_id"), "a_id").join(c("b_id"), "b_id").filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    comp = fusion.components(edges, keep)
+    near = keep(joins.within(points, points, eps_m, geo.haversine).filter("a_id < b_id"))  # each pair once
+    ends = near.select(F.explode(F.array("a_id", "b_id")).alias("id")).unionByName(points.filter("lat IS NOT NULL AND lng IS NOT NULL").select("id"))
+    core = keep(ends.groupBy("id").count().filter(F.col("count") >= least).select("id"))
+    mark = lambda e: core.select(F.col("id").alias(f"{e}_id"), F.lit(True).alias(f"{e}_core"))
+    near = near.join(mark("a"), "a_id", "left").join(mark("b"), "b_id", "left").select("a_id", "b_id", "m", *[F.coalesce(f"{e}_core", F.lit(False)).alias(f"{e}_core") for e in "ab"])
+    near = keep(near.filter("a_core OR b_core"))
+    comp = fusion.components(near.filter("a_core AND b_core").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), keep)
     cores = core.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"), F.lit(True).alias("core"))
-    border = near.join(c("b_id"), "b_id").join(core.withColumnRenamed("id", "a_id"), "a_id", "left_anti")
-    border = border.groupBy("a_id").agg(F.min_by("b_id", F.struct("m", "b_id")).alias("b_id")).join(cores.select(F.col("id").alias("b_id"), "cluster"), "b_id").select(F.col("a_id").alias("id"), "cluster", F.lit(False).alias("core"))
+    border = near.filter("a_core <> b_core").select(F.when(F.col("a_core"), F.col("b_id")).otherwise(F.col("a_id")).alias("id"), F.when(F.col("a_core"), F.col("a_id")).otherwise(F.col("b_id")).alias("to"), "m")
+    border = border.groupBy("id").agg(F.min(F.struct("m", "to"))["to"].alias("to")).join(cores.select(F.col("id").alias("to"), "cluster"), "to").select("id", "cluster", F.lit(False).alias("core"))
     done = cores.unionByName(border)
     return points.select("id").join(done, "id", "left").select("id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 

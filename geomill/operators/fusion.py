@@ -61,19 +61,28 @@ def both_sides(pairs: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame:
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component): the smallest id of each connected group of edges (a, b).
 
-    Rounds of taking the neighbours' smallest label and following labels of labels, each round's table
-    written by ``keep``, until no label changes.
+    ``keep`` writes a round's table.  Edges are written once; each round points every class of ids to its
+    smallest neighbour, follows the pointers to their ends and contracts the edges, so at least half of the
+    classes that still have an edge vanish.
     """
-    both = keep(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
-    label = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")))
+    links = keep(edges.select("a", "b").filter("a <> b").distinct())
+    now, label = links, None
     while True:
-        seen = both.join(label.withColumnsRenamed({"a": "b", "l": "n"}), "b").groupBy("a").agg(F.min("n").alias("n"))
-        low = label.join(seen, "a").select("a", F.least("l", "n").alias("n"), F.col("l").alias("was"))
-        jump = low.join(low.select(F.col("a").alias("n"), F.col("n").alias("nn")), "n", "left")
-        new = keep(jump.select("a", F.least("n", F.coalesce("nn", "n")).alias("l"), "was"))
-        if new.filter("l <> was").isEmpty():
-            return new.select(F.col("a").alias("id"), F.col("l").alias("component"))
-        label = new.select("a", "l")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to"))))
+        point = keep(now.select(ends.alias("e")).select("e.*").groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("to")))
+        while True:
+            far = point.select(F.col("id").alias("to"), F.col("to").alias("far"))
+            moved = keep(point.join(far, "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            point = moved.select("id", "to")
+            if moved.filter("moved").isEmpty():
+                break
+        over = point.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        label = point if label is None else keep(label.join(over, "to", "left").select("id", F.coalesce("far", "to").alias("to")))
+        end = lambda c: point.select(F.col("id").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
+        left = now.join(end("a"), "a").join(end("b"), "b").filter("_a <> _b")
+        now = keep(left.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        if now.isEmpty():
+            return label.select("id", F.col("to").alias("component"))
 
 
 def survivors(members: DataFrame) -> DataFrame:

@@ -30,17 +30,19 @@ def near_pairs(points: DataFrame, cell: float, id: str = "id") -> DataFrame:
     return left.join(right, ["_cy", "_cx"]).filter("a < b").select("a", "b").distinct()
 
 
-def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres) -> DataFrame:
+def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres, on: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Band join: (a_id, b_id, m) of the points of both sides at most so many metres apart.
 
     Sides have id, lat and lng.  Cells are as high and, at the latitude's cosine, at least as wide as the
     radius, so neighbours suffice; the equi-join on cells shuffles both sides once and AQE splits hot cells.
+    ``on`` names columns that must be equal and are part of the join's key; the columns ``carry`` of both
+    sides come along with prefixes a_ and b_.
     """
     size = radius_m / geo.DEGREE_M * 1.0001
     wide = lambda lat: F.greatest(F.cos(F.radians(F.abs(F.floor(lat)) + 2)), F.lit(0.01))
     # the width depends on the row's whole-degree band, so a point is tried in its own and the next bands
-    x = a.filter("lat IS NOT NULL AND lng IS NOT NULL").select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
-    y = b.filter("lat IS NOT NULL AND lng IS NOT NULL").select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    side = lambda d, p: d.filter("lat IS NOT NULL AND lng IS NOT NULL").select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng", *carry)])
+    x, y = side(a, "a"), side(b, "b")
     band = lambda d, c: d.withColumn("band", F.floor(c))
     x = band(x, F.col("a_lat")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     x = x.filter(F.col("a_lat").between(F.col("band") - size, F.col("band") + 1 + size))
@@ -50,7 +52,8 @@ def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres) ->
     x = with_offsets(x, cy(F.col("a_lat")), cx(F.col("a_lng")))
     y = y.withColumn("_cy", cy(F.col("b_lat"))).withColumn("_cx", cx(F.col("b_lng")))
     m = distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    return x.join(y, ["band", "_cy", "_cx"]).select("a_id", "b_id", m.alias("m")).filter(F.col("m") <= radius_m)
+    pairs = x.join(y, ["band", "_cy", "_cx", *on]).withColumn("m", m).filter(F.col("m") <= radius_m)
+    return pairs.select("a_id", "b_id", "m", *on, *[f"{p}_{c}" for p in "ab" for c in carry])
 
 
 def nearest(a: DataFrame, b: DataFrame, radius_m: float, tie_m: float = 5.0) -> DataFrame:
@@ -60,6 +63,18 @@ def nearest(a: DataFrame, b: DataFrame, radius_m: float, tie_m: float = 5.0) ->
     return n.filter("rn = 1").select("a_id", "b_id", "m", (1 - F.col("m") / radius_m).alias("score"), (F.col("n") - 1).alias("rivals"), F.coalesce(F.col("second") - F.col("m") < tie_m, F.lit(False)).alias("ambiguous"))
 
 
+def ranked_near(a: DataFrame, b: DataFrame, radius_m: float, top: int, on: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, m, rank): the ``top`` nearest b of each a within the radius, ties to the smaller b."""
+    w = Window.partitionBy("a_id").orderBy("m", "b_id")
+    return within(a, b, radius_m, on=on).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("a_id", "b_id", "m", "rank")
+
+
+def lateral_nearest(a: DataFrame, b: DataFrame, radius_m: float, on: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, m) of every a: its nearest b within the radius with equal columns ``on``, or nulls."""
+    best = within(a, b, radius_m, on=on).groupBy("a_id").agg(F.min(F.struct("m", "b_id")).alias("h"))
+    return a.select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", F.col("h.b_id").alias("b_id"), F.col("h.m").alias("m"))
+
+
 def by_document(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of equal documents; the distance is evidence only."""
     x, y = a.filter(F.col(key).isNotNull()).alias("x"), b.filter(F.col(key).isNotNull()).alias("y")
@@ -79,9 +94,8 @@ def by_address(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
 
 def by_name(a: DataFrame, b: DataFrame, radius_m: float, least: float, tie: float) -> DataFrame:
     """Similar names near each other: the best b of each a and those within ``tie`` of it.  Sides have id, lat, lng, words."""
-    pairs = within(a, b, radius_m)
-    pairs = pairs.join(a.select(F.col("id").alias("a_id"), F.col("words").alias("wa")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("words").alias("wb")), "b_id")
-    pairs = pairs.select("a_id", "b_id", "m", similarity.overlap(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= least)
+    pairs = within(a, b, radius_m, carry=["words"])
+    pairs = pairs.select("a_id", "b_id", "m", similarity.overlap(F.col("a_words"), F.col("b_words")).alias("score")).filter(F.col("score") >= least)
     top = pairs.withColumn("best", F.max("score").over(Window.partitionBy("a_id"))).filter(F.col("best") - F.col("score") <= tie)
     n = F.count("*").over(Window.partitionBy("a_id"))
     return top.select("a_id", "b_id", "m", "score", (n > 1).alias("ambiguous"), (n - 1).alias("rivals"))
@@ -200,11 +214,14 @@ def offset_block_pairs(rows: DataFrame, radius_m: float, cap: int, across: str |
     return j.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
 
 
-def substitution_pairs(rows: DataFrame, block: Sequence[str], cap: int) -> DataFrame:
-    """Pairs of different texts of a block that differ in exactly one word.  Rows have the block's columns and ``name``."""
-    d = rows.select(*block, "name").distinct()
-    n = d.groupBy(*block).count().filter((F.col("count") > 1) & (F.col("count") <= cap)).drop("count")
-    d = d.join(n, list(block), "left_semi").withColumn("w", text.words(F.col("name")))
-    x, y = d.select(*block, F.col("name").alias("a"), F.col("w").alias("wa")), d.select(*block, F.col("name").alias("b"), F.col("w").alias("wb"))
-    p = x.join(y, list(block)).filter("a < b").withColumn("s", similarity.single_substitution(F.col("wa"), F.col("wb"))).filter("s IS NOT NULL")
-    return p.select(*block, "a", "b", F.col("s.a").alias("word_a"), F.col("s.b").alias("word_b"))
+def substitution_pairs(rows: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Pairs of different texts of a block that differ in exactly one word.  Rows have the block's columns and ``name``.
+
+    Texts meet by what is left without one of their words, at its place, so only pairs of the result are made.
+    """
+    d = rows.select(*block, "name").distinct().dropna().withColumn("w", text.words(F.col("name")))
+    d = d.select(*block, "name", "w", F.posexplode("w").alias("i", "word"))
+    context = F.array_join(F.transform("w", lambda t, i: F.when(i == F.col("i"), F.lit("{}")).otherwise(t)), " ")
+    d = d.select(*block, "name", "word", context.alias("context"))
+    p = key_pairs(d, [*block, "context"], id="name", columns=["word", *block]).filter("a_word <> b_word")
+    return p.select(*[F.col(f"a_{c}").alias(c) for c in block], "a", "b", F.col("a_word").alias("word_a"), F.col("b_word").alias("word_b"))

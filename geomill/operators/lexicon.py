@@ -17,9 +17,9 @@ def context_frequency(names: DataFrame) -> DataFrame:
     return w.select(context.alias("context"), "token", "weight").groupBy("context", "token").agg(F.sum("weight").alias("weight"))
 
 
-def candidates(names: DataFrame, block: list[str], cap: int = 200) -> DataFrame:
+def candidates(names: DataFrame, block: list[str]) -> DataFrame:
     """Plausible substitutions (block, a, b, word_a, word_b) among the names of a block."""
-    p = joins.substitution_pairs(names, block, cap)
+    p = joins.substitution_pairs(names, block)
     return p.filter(similarity.plausible(F.col("word_a"), F.col("word_b")))
 
 
@@ -32,9 +32,7 @@ def direction(authority_a: Column, authority_b: Column, freq_a: Column, freq_b:
 def independent_support(votes: DataFrame, radius_m: float) -> DataFrame:
     """(rule, support): votes (rule, id, number, lat, lng) that no earlier vote with the same number lies within the radius of."""
     a = votes.select("rule", "number", "id", "lat", "lng")
-    earlier = joins.within(a, a, radius_m)
-    x, y = a.select(F.col("id").alias("a_id"), F.col("rule").alias("ra"), F.col("number").alias("na")), a.select(F.col("id").alias("b_id"), F.col("rule").alias("rb"), F.col("number").alias("nb"))
-    blocked = earlier.filter("b_id < a_id").join(x, "a_id").join(y, "b_id").filter("ra = rb AND na = nb").select(F.col("a_id").alias("id")).distinct()
+    blocked = joins.within(a, a, radius_m, on=["rule", "number"]).filter("b_id < a_id").select(F.col("a_id").alias("id")).distinct()
     return a.join(blocked, "id", "left_anti").groupBy("rule").agg(F.count("*").alias("support"))
 
 

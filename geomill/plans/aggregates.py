@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, nested, similarity, text
-from geomill.operators import address, changes, cluster, fusion, lexicon
+from geomill.operators import address, changes, cluster, fusion, joins, lexicon
 
 from .inputs import Tables
 from .joins import RINGS
@@ -73,17 +73,17 @@ def d16(t: Tables) -> DataFrame:
     return lexicon.modal_spelling(t.poi, ["postcode"], "street")
 
 
-both("d17_block_aggregate", f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS plain, min(l_linenumber) AS first_line, {_MONEY.format('l_extendedprice')} AS price FROM lineitem WHERE l_orderkey % 10 = 3 GROUP BY l_orderkey")
+both("d17_block_aggregate", f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS plain, min(l_linenumber) AS first_line, {_MONEY.format('l_extendedprice')} AS price FROM lineitem GROUP BY l_orderkey")
 both("d18_group_transform", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 
 
-@query("d19_merge_by_proximity", "WITH c AS (SELECT street, lat AS y FROM (SELECT street, avg(lat) AS lat FROM poi GROUP BY street) q) SELECT a.street AS a, b.street AS b FROM c a JOIN c b ON a.street < b.street AND abs(a.y - b.y) * 111000 < 40")
+@query("d19_merge_by_proximity", "WITH c AS (SELECT street, avg(lat) AS y, avg(lng) AS x FROM poi GROUP BY street) SELECT a.street AS a, b.street AS b FROM c a JOIN c b ON a.street < b.street AND abs(a.y - b.y) * 111000 < 200 AND abs(a.x - b.x) * 96000 < 200")
 def d19(t: Tables) -> DataFrame:
-    c = t.poi.groupBy("street").agg(F.avg("lat").alias("y"))
-    cell = F.floor(F.col("y") * 111000 / 40)
-    a = c.select(F.col("street").alias("a"), F.col("y").alias("ya"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("k"))
-    b = c.select(F.col("street").alias("b"), F.col("y").alias("yb"), cell.alias("k"))
-    return a.join(b, "k").filter("a < b AND abs(ya - yb) * 111000 < 40").select("a", "b")
+    c = t.poi.groupBy("street").agg(F.avg("lat").alias("y"), F.avg("lng").alias("x"))
+    cy, cx = F.floor(F.col("y") * 111000 / 200), F.floor(F.col("x") * 96000 / 200)
+    a = joins.with_offsets(c.select(F.col("street").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"), cy.alias("cy"), cx.alias("cx")), F.col("cy"), F.col("cx"))
+    b = c.select(F.col("street").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"), cy.alias("_cy"), cx.alias("_cx"))
+    return a.join(b, ["_cy", "_cx"]).filter("a < b AND abs(ya - yb) * 111000 < 200 AND abs(xa - xb) * 96000 < 200").select("a", "b")
 
 
 @query("d20_profile", "SELECT 'phone' AS field, count(*) AS n, count(phone) AS filled FROM poi UNION ALL SELECT 'site', count(*), count(nullif(site, 'nan')) FROM poi")
@@ -160,9 +160,9 @@ both("e10_order_agreement", "SELECT street, count(*) FILTER (WHERE dn * dy > 0)
 both("e11_tied_winners", "SELECT id, city FROM (SELECT id, city, evidence, max(evidence) OVER (PARTITION BY city) AS best FROM poi) q WHERE best - evidence <= 1")
 
 
-@query("e12_sequence_gaps", "WITH u AS (SELECT street, list_sort(list(DISTINCT number)) AS v FROM door WHERE id % 7 = 0 GROUP BY street) SELECT street, CASE WHEN len(v) > 1 AND v[-1] - v[1] + 1 <= 3 * len(v) THEN list_filter(range(v[1], v[-1] + 1), lambda x: NOT list_contains(v, x)) ELSE [] END AS missing FROM u")
+@query("e12_sequence_gaps", "WITH u AS (SELECT street, list_sort(list(DISTINCT number)) AS v FROM door GROUP BY street) SELECT street, CASE WHEN len(v) > 1 AND v[-1] - v[1] + 1 <= 3 * len(v) THEN list_filter(range(v[1], v[-1] + 1), lambda x: NOT list_contains(v, x)) ELSE [] END AS missing FROM u")
 def e12(t: Tables) -> DataFrame:
-    v = t.door.filter("id % 7 = 0").groupBy("street").agg(F.array_sort(F.collect_set("number")).alias("v"))
+    v = t.door.groupBy("street").agg(F.array_sort(F.collect_set("number")).alias("v"))
     return v.select("street", nested.gaps(F.col("v")).alias("missing"))
 
 

@@ -80,11 +80,11 @@ def i07(t: Tables) -> DataFrame:
     return d.filter(far & (F.col("a_phone_key") != F.col("b_phone_key"))).select("a", "b")
 
 
-@query("i09_upsert", "WITH t AS (SELECT id, name, site FROM poi WHERE id < 1000), n AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE upper(name) END AS name, CASE WHEN id % 2 = 0 THEN 'new' END AS site FROM poi WHERE id >= 500) SELECT coalesce(n.id, t.id) AS id, coalesce(nullif(trim(n.name), ''), t.name) AS name, coalesce(n.site, t.site) AS site FROM t FULL OUTER JOIN n ON t.id = n.id")
+@query("i09_upsert", "WITH t AS (SELECT id, name, site FROM poi WHERE id % 3 <> 1), n AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE upper(name) END AS name, CASE WHEN id % 2 = 0 THEN 'new' END AS site FROM poi WHERE id % 4 <> 1) SELECT coalesce(n.id, t.id) AS id, coalesce(nullif(trim(n.name), ''), t.name) AS name, coalesce(n.site, t.site) AS site FROM t FULL OUTER JOIN n ON t.id = n.id")
 def i09(t: Tables) -> DataFrame:
     p = t.poi.select("id", "name", "site")
-    new = p.filter("id >= 500").select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.upper("name")).alias("name"), F.when(F.col("id") % 2 == 0, "new").alias("site"))
-    return fusion.upsert(p.filter("id < 1000"), new, ["id"])
+    new = p.filter("id % 4 <> 1").select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.upper("name")).alias("name"), F.when(F.col("id") % 2 == 0, "new").alias("site"))
+    return fusion.upsert(p.filter("id % 3 <> 1"), new, ["id"])
 
 
 both("i08_source_links", "SELECT DISTINCT id AS poi, source, concat(source, ':', CAST(id AS VARCHAR(20))) AS source_id FROM poi UNION SELECT id, 'src9', concat('src9:', CAST(id AS VARCHAR(20))) FROM poi WHERE id % 3 = 0")
@@ -100,26 +100,27 @@ def i14(t: Tables) -> DataFrame:
 
 
 # ---- location ----------------------------------------------------------------------------------
-@query(
-    "j01_resolve_street",
-    f"""WITH reg AS (SELECT street, postcode, lat, lng FROM door WHERE id % 50 = 0), one AS (SELECT postcode, min(street) AS found FROM reg GROUP BY postcode HAVING count(DISTINCT street) = 1), a AS (SELECT p.id, found AS street, 'postcode' AS how FROM poi p JOIN one USING (postcode)),
-named AS (SELECT {core('street')} AS k, min(street) AS found FROM reg WHERE postcode < '90040' GROUP BY 1), b AS (SELECT p.id, found AS street, 'written' AS how FROM poi p JOIN named ON k = {core('p.street')} WHERE p.id NOT IN (SELECT id FROM a) AND p.id % 2 = 0)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE false""",
-)
+_XY_METRES = METRES.replace("a.", "x.").replace("b.", "y.")
+_STREETS = f"""WITH one AS (SELECT postcode, min(street) AS found FROM door GROUP BY postcode HAVING count(DISTINCT street) = 1), a AS (SELECT p.id, found AS street, 'postcode' AS how FROM poi p JOIN one USING (postcode)),
+named AS (SELECT {core('street')} AS k, min(street) AS found FROM door GROUP BY 1), b AS (SELECT p.id, found AS street, 'written' AS how FROM poi p JOIN named ON k = {core('p.street')} WHERE p.id NOT IN (SELECT id FROM a)),
+done AS (SELECT id FROM a UNION ALL SELECT id FROM b),
+c AS (SELECT x.id, y.street, row_number() OVER (PARTITION BY x.id ORDER BY {_XY_METRES}, y.street) AS rn FROM poi x JOIN door y ON abs(x.lat - y.lat) < 0.0003 AND abs(x.lng - y.lng) < 0.0004 WHERE {_XY_METRES} <= 20 AND x.id NOT IN (SELECT id FROM done))"""
+
+
+@query("j01_resolve_street", _STREETS + " SELECT * FROM a")
 def j01(t: Tables) -> DataFrame:
-    reg = t.door.filter("id % 50 = 0").select("street", "postcode", "lat", "lng")
-    return address.resolve_street(t.poi.select("id", "street", "postcode", "lat", "lng"), reg).filter("how = 'postcode'")
+    return j01b(t).filter("how = 'postcode'")
 
 
-@query("j01_resolve_cascade")
+@query("j01_resolve_cascade", _STREETS + " SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT id, street, 'nearest' AS how FROM c WHERE rn = 1")
 def j01b(t: Tables) -> DataFrame:
     return address.resolve_street(t.poi.select("id", "street", "postcode", "lat", "lng"), t.door.select("street", "postcode", "lat", "lng"))
 
 
 @query("j02_fuzzy_street")
 def j02(t: Tables) -> DataFrame:
-    rows = t.poi.select("id", F.lit(0).alias("block"), F.concat(F.col("street"), F.lit("s")).alias("name"))
-    return address.fuzzy_street(rows, t.door.select(F.lit(0).alias("block"), "street"), 80.0)
+    rows = t.poi.select("id", F.col("postcode").alias("block"), F.concat(F.col("street"), F.lit("s")).alias("name"))
+    return address.fuzzy_street(rows, t.door.select(F.col("postcode").alias("block"), "street"), 80.0)
 
 
 both("j03_area_choice", "SELECT id, coalesce(CASE WHEN id % 4 = 0 THEN 'published' END, CASE WHEN id % 3 = 0 THEN 'reverse' END, 'sieve') AS chosen, id % 4 = 0 AND id % 3 = 0 AND evidence < 2 AS doubt FROM poi")
@@ -153,7 +154,7 @@ def j07(t: Tables) -> DataFrame:
     return address.reverse_door(t.poi, t.door).withColumn("m", F.round("m", 3))
 
 
-both("j06_preference_order", "SELECT id, door FROM (SELECT p.id, d.id AS door, row_number() OVER (PARTITION BY p.id ORDER BY CASE WHEN d.street = p.street THEN 0 ELSE 1 END, d.id) AS rn FROM poi p JOIN door d ON d.postcode = p.postcode WHERE p.id % 5 = 0) q WHERE rn = 1")
+both("j06_preference_order", "SELECT id, door FROM (SELECT p.id, d.id AS door, row_number() OVER (PARTITION BY p.id ORDER BY CASE WHEN d.street = p.street THEN 0 ELSE 1 END, d.id) AS rn FROM poi p JOIN door d ON d.postcode = p.postcode ) q WHERE rn = 1")
 
 
 @query("j09_conformity", "SELECT id, CASE WHEN id % 7 = 0 THEN 'unknown' WHEN id % 100 <= 3 * (evidence + 1) * 5 THEN 'confirmed' ELSE 'disagrees' END AS verdict FROM poi")
@@ -174,11 +175,11 @@ def j12(t: Tables) -> DataFrame:
     return address.first_donor(p.select("id"), [("door", t.door, "id"), ("twin", p.filter("id % 2 = 0"), "id")]).select("id", "lat", "donor")
 
 
-@query("j13_area_of_point")
+@query("j13_area_of_point", "WITH c AS (SELECT postcode AS id, avg(lat) AS lat, avg(lng) AS lng FROM poi GROUP BY postcode) SELECT id, CASE WHEN lat > -29.995 AND lat <= -29.985 AND lng >= -51.195 AND lng < -51.185 THEN 'centre' ELSE 'triangle' END AS name FROM c WHERE (lat > -29.995 AND lat < -29.985 AND lng > -51.195 AND lng < -51.185) OR (lat >= -30.0 AND lng >= -51.2 AND lat + 30.0 + lng + 51.2 < 0.01)")
 def j13(t: Tables) -> DataFrame:
     from .joins import polygons
 
-    return joins.in_polygons(t.poi.groupBy(F.col("city").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), polygons(t))
+    return joins.in_polygons(t.poi.groupBy(F.col("postcode").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), polygons(t))
 
 
 both("j14_search_text", "SELECT concat(street, ', ', min(number), ' - Canoas') AS search FROM poi WHERE number <> '' GROUP BY street")
@@ -227,9 +228,9 @@ def k05(t: Tables) -> DataFrame:
     return lexicon.decayed(v, 1500).withColumn("strength", F.round("strength", 6))
 
 
-@query("k06_equivalences")
+@query("k06_equivalences", f"SELECT a.id AS a, b.id AS b, CASE WHEN {_HAV} <= 300 THEN 2 ELSE 1 END::INT AS degree FROM poi a JOIN poi b ON a.id // 20 = b.id // 20 AND a.id < b.id AND a.id % 2 <> b.id % 2")
 def k06(t: Tables) -> DataFrame:
-    s = t.poi.select("id", F.when(F.col("id") % 2 == 0, F.lit("Ayrton Senna")).otherwise(F.lit("Airton Sena")).alias("name"), "lat", "lng")
+    s = t.poi.select("id", F.concat(F.when(F.col("id") % 2 == 0, "Ayrton Senna ").otherwise("Airton Sena "), F.floor(F.col("id") / 20).cast("string")).alias("name"), "lat", "lng")
     return lexicon.equivalences(s)
 
 

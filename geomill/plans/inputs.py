@@ -1,7 +1,8 @@
 """Inputs of the queries: the given tables, and points, names and addresses derived from them by integer arithmetic.
 
 The derivations are SQL that Spark and DuckDB read alike, so a query and the SQL that checks it start from
-the same rows.
+the same rows.  Rows are dealt into quarters of 500 points and 5000 doors, each a box of 2 km with its own
+streets, postcodes and phones, so pairs, groups and links grow with the tables and not with their square.
 """
 
 from __future__ import annotations
@@ -17,33 +18,54 @@ def _pick(options: str, index: str, n: int) -> str:
     return f"split_part('{options}', ',', CAST(({index}) % {n} + 1 AS INT))"
 
 
-def _point(k: str) -> str:
+def _word(n: str) -> str:
+    """A word of three syllables for a number; 8000 different ones."""
+    syllables = "ba,ce,di,fo,gu,ja,le,mi,no,pu,ra,se,ti,vo,xu,za,te,li,mo,du"
+    part = lambda d: f"CAST(FLOOR(({n}) / {d}) AS BIGINT)"
+    return f"concat({_pick(syllables, n, 20)}, {_pick(syllables, part(20), 20)}, {_pick(syllables, part(400), 20)})"
+
+
+def _quarter(k: str, size: int) -> str:
+    return f"CAST(FLOOR({k} / {size}) AS BIGINT)"
+
+
+def _point(k: str, q: str) -> str:
+    """A point in the box of quarter ``q``; boxes lie 0.03 degrees apart, 50 in a column."""
     return (
-        f"CAST(-30 AS DOUBLE) + CAST(({k}*{k} + 7919*{k}) % 2003 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lat, "
-        f"CAST(-51.2 AS DOUBLE) + CAST((3*{k}*{k} + 104729*{k} + 17) % 1999 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lng"
+        f"CAST(-30 AS DOUBLE) + CAST(3000 * ({q} % 50) + ({k}*{k} + 7919*{k}) % 2003 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lat, "
+        f"CAST(-51.2 AS DOUBLE) + CAST(3000 * (CAST(FLOOR({q} / 50) AS BIGINT) % 600) + (3*{k}*{k} + 104729*{k} + 17) % 1999 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lng"
     )
 
 
+def _postcode(k: str, q: str, street: str) -> str:
+    """Most postcodes of a quarter belong to one street (index ``street``), the last 20 to all."""
+    place = f"CASE WHEN {k} % 7 < 4 THEN ({street}) * 7 + {k} % 7 ELSE 77 + {k} % 20 END"
+    digits = f"lpad(CAST((({q} * 97 + {place}) * 7919) % 9999991 AS VARCHAR(10)), 7, '0')"
+    return f"concat('9', substring({digits}, 1, 4), '-', substring({digits}, 5, 3))"
+
+
 NAMES, SECOND, STREETS, KINDS = "Padaria,Mercado,Farmacia,Oficina,Salao,Loja,Bar", "Silva,Central,do Porto,Nova Era,Souza,Apolo,Bom Dia,Estrela,Uniao,Sol,Verde", "Rua Brasil,R. Quinze,Av. Central,Avenida Getulio,Travessa Sete,Rua das Flores,Rod. Sul,Rua Onze,Av Norte,Alameda Um,Rua Bahia", "comida,compras,saude,servico"
+_PQ, _DQ = _quarter("c_custkey", 500), _quarter("o_orderkey", 5000)
 
 POI = f"""
-SELECT c_custkey AS id, {_point('c_custkey')},
-  concat({_pick(NAMES, 'c_custkey', 7)}, ' ', {_pick(SECOND, 'c_custkey * 5', 11)}) AS name,
-  {_pick(STREETS, 'c_custkey * c_custkey', 11)} AS street,
-  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE CAST((c_custkey * 3) % 40 + 1 AS VARCHAR(10)) END AS number,
-  concat('(51) 3', CAST(1000000 + (c_custkey * 37) % 300 AS VARCHAR(10))) AS phone,
-  CASE WHEN c_custkey % 4 = 0 THEN 'nan' ELSE concat('https://www.site', CAST(c_custkey % 60 AS VARCHAR(10)), '.com.br/p?x=1') END AS site,
+SELECT c_custkey AS id, {_point('c_custkey', _PQ)},
+  concat({_pick(NAMES, 'c_custkey', 7)}, ' ', {_pick(SECOND, 'c_custkey * 5', 11)}, CASE WHEN c_custkey % 3 = 0 THEN concat(' ', {_word(_quarter('c_custkey', 50))}) ELSE '' END) AS name,
+  CASE WHEN c_custkey % 17 = 0 THEN concat('Beco ', {_word(_quarter('c_custkey', 17))}) ELSE concat({_pick(STREETS, 'c_custkey * c_custkey', 11)}, ' ', {_word(_PQ)}) END AS street,
+  CASE WHEN c_custkey % 10 = 7 THEN '' ELSE CAST((c_custkey * 3) % 22 + 1 AS VARCHAR(10)) END AS number,
+  concat('(51) 3', CAST(1000000 + ({_PQ} * 700 + CASE WHEN c_custkey % 10 = 3 THEN 154 + c_custkey % 500 ELSE (c_custkey * 37) % 154 END) % 9000000 AS VARCHAR(10))) AS phone,
+  CASE WHEN c_custkey % 4 = 0 THEN 'nan' ELSE concat('https://www.site', CAST({_PQ} * 60 + c_custkey % 60 AS VARCHAR(10)), '.com.br/p?x=1') END AS site,
   {_pick(KINDS, 'c_custkey', 4)} AS category,
   CASE WHEN c_custkey % 3 = 0 THEN concat('ChIJ', CAST(c_custkey AS VARCHAR(10))) ELSE concat('osm:', CAST(c_custkey AS VARCHAR(10))) END AS place,
   CAST(c_custkey % 5 AS INT) AS evidence, concat('src', CAST(c_custkey % 3 AS VARCHAR(10))) AS source,
-  concat('9', lpad(CAST(c_custkey % 70 AS VARCHAR(10)), 4, '0'), '-', '000') AS postcode, c_nationkey AS city
+  {_postcode('c_custkey', _PQ, '(c_custkey * c_custkey) % 11')} AS postcode,
+  CAST(CASE WHEN c_custkey % 9 = 4 THEN c_nationkey ELSE {_PQ} % 25 END AS INT) AS city
 FROM customer""".strip()
 
 DOOR = f"""
-SELECT o_orderkey AS id, {_point('o_orderkey')}, {_pick(STREETS, 'o_orderkey', 11)} AS street,
-  CAST((o_orderkey * 7) % 60 + 1 AS BIGINT) AS number, concat('9', lpad(CAST(o_orderkey % 70 AS VARCHAR(10)), 4, '0'), '-', '000') AS postcode,
-  CAST(o_orderkey % 25 AS INT) AS city
-FROM orders WHERE o_orderkey % 5 = 0""".strip()
+SELECT o_orderkey AS id, {_point('o_orderkey', _DQ)}, concat({_pick(STREETS, 'o_orderkey', 11)}, ' ', {_word(_DQ)}) AS street,
+  CAST(FLOOR((o_orderkey * 7) % 40 * 1.5) AS BIGINT) + 1 AS number, {_postcode('o_orderkey', _DQ, 'o_orderkey % 11')} AS postcode,
+  CAST({_DQ} % 25 AS INT) AS city
+FROM orders""".strip()
 
 CTES = {"poi": POI, "door": DOOR}
 

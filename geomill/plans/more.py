@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, identifiers, similarity, text, values
-from geomill.operators import changes, cluster, rules
+from geomill.operators import changes, cluster, joins, rules
 from geomill.operators.stages import keeper
 
 from .inputs import Tables
-from .joins import core, polygons
+from .joins import METRES, core, polygons
 from .registry import both, query
 
 
@@ -110,7 +110,8 @@ def h135b(t: Tables) -> DataFrame:
 @query("h209_street_penalty")
 def h209(t: Tables) -> DataFrame:
     s = t.poi.select("street").distinct()
-    p = s.select(F.col("street").alias("a")).join(s.select(F.col("street").alias("b")), F.col("a") < F.col("b"))
+    s = s.withColumn("quarter", F.substring_index("street", " ", -1))  # only streets of one quarter are compared
+    p = s.select(F.col("street").alias("a"), "quarter").join(s.select(F.col("street").alias("b"), "quarter"), "quarter").filter("a < b")
     kind = lambda c: F.split_part(text.street(F.col(c)), F.lit(" "), F.lit(1))
     score = F.greatest(similarity.token_sort(text.street(F.col("a")), text.street(F.col("b"))), similarity.token_sort(text.street_core(F.col("a")), text.street_core(F.col("b"))))
     return p.withColumn("s", score).select("a", "b", F.round(F.col("s") - F.when(kind("a") != kind("b"), 6).otherwise(0), 4).alias("score"))
@@ -197,8 +198,17 @@ def e08(t: Tables) -> DataFrame:
     return cluster.hulls(t.poi.join(c.select("id", "cluster"), "id"), "cluster")
 
 
-both("e04_nearest_ranked", "SELECT street, id, rn FROM (SELECT street, id, row_number() OVER (PARTITION BY street ORDER BY abs(lat + 29.99), id) AS rn FROM poi) q WHERE rn = 1")
-both("c09_lateral_nearest", "SELECT p.id, q.door FROM poi p LEFT JOIN (SELECT street, min(id) AS door FROM door GROUP BY street) q ON q.street = p.street WHERE p.id % 11 = 0")
+_M = f"SELECT a.id AS a_id, b.id AS b_id, {METRES} AS m FROM poi a JOIN door b ON abs(a.lat - b.lat) < 0.0007 AND abs(a.lng - b.lng) < 0.0008"
+
+
+@query("e04_nearest_ranked", f"WITH p AS ({_M}), r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY m, b_id)::INT AS rank FROM p WHERE m <= 60) SELECT a_id, b_id, round(m, 3) AS m, rank FROM r WHERE rank <= 3")
+def e04(t: Tables) -> DataFrame:
+    return joins.ranked_near(t.poi, t.door, 60.0, 3).withColumn("m", F.round("m", 3))
+
+
+@query("c09_lateral_nearest", f"WITH p AS ({_M} WHERE a.street = b.street), r AS (SELECT a_id, b_id, m, row_number() OVER (PARTITION BY a_id ORDER BY m, b_id) AS rn FROM p WHERE m <= 60) SELECT q.id AS a_id, r.b_id, round(r.m, 3) AS m FROM poi q LEFT JOIN r ON r.a_id = q.id AND r.rn = 1")
+def c09(t: Tables) -> DataFrame:
+    return joins.lateral_nearest(t.poi, t.door, 60.0, ["street"]).withColumn("m", F.round("m", 3))
 
 
 both("h513_same_roof", "SELECT a.id AS a, b.id AS b FROM (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) a JOIN (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) b ON a.y = b.y AND a.x = b.x AND a.id < b.id")
@@ -206,7 +216,8 @@ both("h513_same_roof", "SELECT a.id AS a, b.id AS b FROM (SELECT id, floor(lat *
 
 @query("h514_image_components")
 def h514(t: Tables) -> DataFrame:
-    # a raster made from the points: 100 x 100 cells, coloured where a point falls
-    pixels = t.poi.select(F.floor((F.col("lat") + 30) * 5000).cast("int").alias("y"), F.floor((F.col("lng") + 51.2) * 5000).cast("int").alias("x")).distinct()
-    image = pixels.agg(F.collect_list(F.struct("y", "x")).alias("on")).select(F.lit("tile").alias("tile"), "on")
-    return cluster.label_components(image, 101, 101)
+    # rasters made from the points: tiles of 200 x 200 cells of about 20 m, coloured where a point falls
+    y, x = F.floor((F.col("lat") + 30) * 5000).cast("int"), F.floor((F.col("lng") + 51.2) * 5000).cast("int")
+    pixels = t.poi.select(F.concat_ws("/", F.floor(y / 200).cast("int"), F.floor(x / 200).cast("int")).alias("tile"), (y % 200).alias("y"), (x % 200).alias("x")).distinct()
+    images = pixels.groupBy("tile").agg(F.collect_list(F.struct("y", "x")).alias("on"))  # a tile has 40,000 pixels at most
+    return cluster.label_components(images, 200, 200)

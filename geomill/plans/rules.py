@@ -84,7 +84,7 @@ def h716(t: Tables) -> DataFrame:
     return rules.anomaly_signals(r).select("id", "s1", "s2", "s3", "s4")
 
 
-both("h718_declared_vs_counted", "SELECT street, count(*) AS counted, max(evidence) AS declared, CASE WHEN count(*) = max(evidence) THEN 'agrees' WHEN count(*) > max(evidence) THEN 'more' ELSE 'fewer' END AS verdict FROM poi WHERE id % 30 = 0 GROUP BY street")
+both("h718_declared_vs_counted", "SELECT street, count(*) AS counted, max(evidence) AS declared, CASE WHEN count(*) = max(evidence) THEN 'agrees' WHEN count(*) > max(evidence) THEN 'more' ELSE 'fewer' END AS verdict FROM poi GROUP BY street")
 
 _UNITS = "SELECT city AS building, CAST((id % 6 + 1) * 100 + id % 5 + 1 AS INT) AS unit FROM poi WHERE id % 8 = 3"
 
@@ -95,9 +95,9 @@ def h719(t: Tables) -> DataFrame:
     return rules.unit_grid(t.poi.filter("id % 8 = 3").select(F.col("city").alias("building"), ((i % 6 + 1) * 100 + i % 5 + 1).cast("int").alias("unit")))
 
 
-@query("h720_inferred_rows", "WITH v AS (SELECT street, list_sort(list(DISTINCT number)) AS v FROM door WHERE id % 7 = 0 GROUP BY street) SELECT street, unnest(list_filter(range(v[1], v[-1] + 1), lambda x: NOT list_contains(v, x))) AS number, NULL::DOUBLE AS lat FROM v WHERE len(v) > 1 AND v[-1] - v[1] + 1 <= 3 * len(v)")
+@query("h720_inferred_rows", "WITH v AS (SELECT street, list_sort(list(DISTINCT number)) AS v FROM door GROUP BY street) SELECT street, unnest(list_filter(range(v[1], v[-1] + 1), lambda x: NOT list_contains(v, x))) AS number, NULL::DOUBLE AS lat FROM v WHERE len(v) > 1 AND v[-1] - v[1] + 1 <= 3 * len(v)")
 def h720(t: Tables) -> DataFrame:
-    v = t.door.filter("id % 7 = 0").groupBy("street").agg(F.array_sort(F.collect_set("number")).alias("v"))
+    v = t.door.groupBy("street").agg(F.array_sort(F.collect_set("number")).alias("v"))
     return v.select("street", F.explode(nested.gaps(F.col("v"))).alias("number"), F.lit(None).cast("double").alias("lat"))
 
 

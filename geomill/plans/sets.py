@@ -30,9 +30,9 @@ def g03(t: Tables) -> DataFrame:
 both("g04_keep_first", "SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source, phone ORDER BY id) AS rn FROM poi) q WHERE rn = 1")
 
 
-@query("g05_key_coverage", "SELECT count(*) FILTER (WHERE postcode NOT IN (SELECT postcode FROM door WHERE id % 45 = 0)) AS missing, count(*) AS total FROM (SELECT DISTINCT postcode FROM poi) q")
+@query("g05_key_coverage", "SELECT count(*) FILTER (WHERE postcode NOT IN (SELECT postcode FROM poi)) AS missing, count(*) AS total FROM (SELECT DISTINCT postcode FROM door) q")
 def g05(t: Tables) -> DataFrame:
-    return changes.coverage_gate(t.poi, t.door.filter("id % 45 = 0"), "postcode")
+    return changes.coverage_gate(t.door, t.poi, "postcode")
 
 
 @query("g06_common_units", "WITH u AS (SELECT city, list(DISTINCT evidence) AS e FROM poi WHERE id % 4 = 0 GROUP BY city), v AS (SELECT city, list(DISTINCT evidence) AS e FROM poi WHERE id % 5 < 3 GROUP BY city) SELECT city, list_sort(list_intersect(u.e, v.e)) AS both_sides FROM u JOIN v USING (city)")
@@ -42,23 +42,23 @@ def g06(t: Tables) -> DataFrame:
     return u.join(v, "city").select("city", F.array_sort(F.array_intersect("u", "v")).alias("both_sides"))
 
 
-_EDGES = "SELECT id AS a, (id * 7 + 3) % 1400 AS b FROM poi WHERE id % 3 = 0 AND id < 1400"
+_EDGES = "SELECT id AS a, id - id % 500 + (id * 7 + 3) % 500 AS b FROM poi WHERE id % 3 = 0"
 
 
 @query("g07_components", f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id".replace("WITH RECURSIVE e", "WITH RECURSIVE e"))
 def g07(t: Tables) -> DataFrame:
-    e = t.poi.filter("id % 3 = 0 AND id < 1400").select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % 1400).alias("b"))
+    e = t.poi.filter("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 500 + (F.col("id") * 7 + 3) % 500).alias("b"))
     n = fusion.components(e, keeper(t.spark))
     return n
 
 
-_MERGED = "SELECT id, id - id % 10 - CASE WHEN id % 10 = 0 THEN 10 ELSE 0 END AS dest FROM poi WHERE id BETWEEN 1 AND 200 AND id % 10 IN (0, 3, 7)"
+_MERGED = "SELECT id, id - id % 10 - CASE WHEN id % 10 = 0 THEN 10 ELSE 0 END AS dest FROM poi WHERE id > 0 AND id % 10 IN (0, 3, 7)"
 
 
-@query("g08_merge_chains", "SELECT id, 0::BIGINT AS dest FROM poi WHERE id BETWEEN 1 AND 200 AND id % 10 IN (0, 3, 7)")
+@query("g08_merge_chains", "SELECT id, 0::BIGINT AS dest FROM poi WHERE id > 0 AND id % 10 IN (0, 3, 7)")
 def g08(t: Tables) -> DataFrame:
     i = F.col("id")
-    m = t.poi.filter("id BETWEEN 1 AND 200 AND id % 10 IN (0, 3, 7)").select("id", (i - i % 10 - F.when(i % 10 == 0, 10).otherwise(0)).alias("into"))
+    m = t.poi.filter("id > 0 AND id % 10 IN (0, 3, 7)").select("id", (i - i % 10 - F.when(i % 10 == 0, 10).otherwise(0)).alias("into"))
     return fusion.resolve_chains(m, keeper(t.spark)).select("id", F.col("into").alias("dest"))
 
 

@@ -15,11 +15,15 @@ from .registry import both, query
 
 
 def stream(t: Tables) -> DataFrame:
-    """The events as a file stream: written to the shared folder in four files, so that there are several batches."""
+    """The events as a file stream: written to the shared folder in four steps of time, so that there are several batches."""
     path = folder(t.spark)
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return flows.file_stream(t.spark, path, events.schema, files_a_trigger=2)
+    at = F.unix_micros("ts")
+    cuts = [None, *events.select(at.cast("double").alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01), None]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # one after the other, as a stream takes older files first
+        step = F.lit(True) if lo is None else at >= F.lit(int(lo))
+        events.filter(step if hi is None else step & (at < F.lit(int(hi)))).coalesce(1).write.mode("append").parquet(path)
+    return flows.file_stream(t.spark, path, events.schema, files_a_trigger=1)
 
 
 def drained(t: Tables, df: DataFrame, mode: str) -> DataFrame:
@@ -42,9 +46,11 @@ def m02(t: Tables) -> DataFrame:
     return flows.requeue(jobs, "2024-01-15 00:00:00", 600).select("id", "state")
 
 
-@query("m02_overdue_stream")
+@query("m02_overdue_stream", "WITH j AS (SELECT user_id * 100 + (event_type = 'click')::INT AS job, ts::DATE AS day, ts FROM events), k AS (SELECT job * 1000 + date_diff('day', DATE '2024-01-01', day) AS job, max(ts) AS ts FROM j GROUP BY 1) SELECT job::BIGINT AS job, date_trunc('milliseconds', ts)::TIMESTAMP AS last_seen FROM k WHERE ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def m02b(t: Tables) -> DataFrame:
-    return drained(t, flows.overdue(stream(t), "user_id", "ts", 6 * 3600, "10 minutes"), "append")
+    # a job is what a user does on a day, by clicks or otherwise; its beats end with the day
+    job = (F.col("user_id").cast("bigint") * 100 + (F.col("event_type") == "click").cast("int")) * 1000 + F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return drained(t, flows.overdue(stream(t).withColumn("job", job), "job", "ts", 6 * 3600, "10 minutes"), "append")
 
 
 @query("m03_ready_tasks", "SELECT event_id AS id FROM events e WHERE event_type = 'view' AND event_id > 3 AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_id IN (e.event_id - 1, e.event_id - 2) AND n.event_type <> 'click')")
@@ -61,9 +67,9 @@ def m04(t: Tables) -> DataFrame:
     return flows.expired_leases(leases, "2024-01-10 00:00:00", 3600).select("event_id")
 
 
-@query("m05_fan_out", "SELECT event_id, o.origin AS target FROM events e JOIN (VALUES (0), (1), (2)) AS o(origin) ON o.origin <> e.event_id % 3 WHERE e.event_id < 1000")
+@query("m05_fan_out", "SELECT event_id, o.origin AS target FROM events e JOIN (VALUES (0), (1), (2)) AS o(origin) ON o.origin <> e.event_id % 3")
 def m05(t: Tables) -> DataFrame:
-    e = t.events.filter("event_id < 1000").select("event_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("target"))
+    e = t.events.select("event_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("target"))
     return e.filter(F.col("target") != F.col("event_id") % 3)
 
 
@@ -104,7 +110,7 @@ def m08c(t: Tables) -> DataFrame:
     return flows.sessions(t.events, "ts", "4 hours", "1 hour", "user_id")
 
 
-@query("m08_tumbling_stream")
+@query("m08_tumbling_stream", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'")
 def m08d(t: Tables) -> DataFrame:
     return drained(t, flows.tumbling(stream(t), "ts", "1 day", "1 hour").select("start", "n"), "append")
 
