@@ -1,15 +1,20 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Equal vectors are one node, so a very common vector costs no more than another.  Nodes are
-scaled and get one more component, which turns the largest inner product into the nearest
-neighbour; the graph holds ``K`` neighbours a node.
+dealt into shards by length, each spanning a factor of four, so that a few very long vectors
+don't make all others look alike.  Within its shard a node is scaled by the shard's length and
+gets one more component, which turns the largest inner product into the nearest neighbour; the
+graph holds ``K`` neighbours a node, all of its shard.
 
 Start: several random orderings (signs of random projections, then one projection); in each,
-runs of ``CHUNK`` nodes give each other's best.  NN-descent: each node collects its neighbours
-and up to ``REVERSE`` nodes that name it, with their vectors, and offers every pair of them to
-each other; a node keeps the best ``K`` of what it has and is offered.  Search: a query starts
-at its own node and keeps the best ``BEAM`` nodes seen; in each round the neighbours of its
-best unexpanded ones are scored, until all are expanded.
+runs of ``CHUNK`` nodes of a shard give each other's best.  NN-descent: each node collects its
+neighbours and up to ``REVERSE`` nodes that name it, new ones first, with their vectors, and
+offers those pairs of them to each other that hold a new edge; a node keeps the best ``K`` of
+what it has and is offered.  Rounds go on until one changes less than ``DELTA`` of all edges.
+Search: shards are taken from the longest on.  A query starts at its own node and at the best
+of ``PILOTS`` nodes of the shard and keeps the best ``BEAM`` nodes seen; in each round the
+neighbours of its best unexpanded ones are scored, until all are expanded.  A query is done
+with when no vector of the next shard is long enough to reach its nearest ones.
 
 Both steps are joins on node ids.  The graph with its neighbours' vectors is written once,
 bucketed by node, so a round of search shuffles only its requests.  Vectors travel as half
@@ -27,27 +32,28 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stages
 
-K, REVERSE, CHUNK, ORDERINGS, ROUNDS = 32, 16, 2048, 6, 2
-BEAM, WIDTH, HOPS = 192, 64, 24
-NODES_PER_TASK = 8_000
-LONG, FLOAT = T.LongType(), T.FloatType()
+K, REVERSE, CHUNK, ORDERINGS, DELTA = 32, 16, 2048, 6, 0.005
+BEAM, WIDTH, PILOTS, STARTS = 192, 64, 256, 16
+NODES_PER_TASK, ELEMENTS = 8_000, 500_000
+#: Lengths are counted in steps of a quarter of an octave; a shard spans so many of them.
+STEPS, SPAN = 4, 8
+LONG, FLOAT, BYTES = T.LongType(), T.FloatType(), T.BinaryType()
 
 
 def fields(*pairs) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in pairs])
 
 
-EDGES = fields(("u", LONG), ("vs", T.ArrayType(LONG)), ("ss", T.ArrayType(FLOAT)))
+#: Lists of a node or query, best first; ``new``: an edge that no round has used, a node that isn't expanded.
+LISTS = fields(("u", LONG), ("vs", T.ArrayType(LONG)), ("ss", T.ArrayType(FLOAT)), ("new", T.ArrayType(T.BooleanType())))
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
@@ -61,72 +67,131 @@ def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def length(x: str) -> Column:
+    """Euclidean length of a vector that isn't zero, by its largest component so that no square over- or underflows."""
+    most = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+    return most * F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / most) * (v / most)))
+
+
 def nodes_of(rows: DataFrame, top: int) -> DataFrame:
-    """(id, embedding, members): one row for each different vector, with its top + 1 smallest ids."""
+    """(id, embedding, length, members): one row for each different vector, with its top + 1 smallest ids."""
     w = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top + 1)
-    return few.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members")).select("id", "embedding", "members")
+    nodes = few.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members"))
+    return nodes.select("id", "embedding", length("embedding").alias("length"), "members")
+
+
+def shards_of(nodes: DataFrame) -> list[int]:
+    """The largest step of length in each shard, longest first; there are at most some thousand steps in doubles."""
+    tops: list[int] = []
+    for r in sorted((r["step"] for r in nodes.select(F.floor(F.log2("length") * STEPS).cast("long").alias("step")).distinct().collect()), reverse=True):
+        if not tops or r <= tops[-1] - SPAN:
+            tops.append(r)
+    return tops
+
 
+def scale_of(top: int) -> float:
+    return 2.0 ** ((top + 1) / STEPS)
 
-def halves(nodes: DataFrame, scale: float) -> DataFrame:
-    """(id, vec): the scaled vectors with one more component, as half floats."""
+
+def halves(nodes: DataFrame, tops: list[int]) -> DataFrame:
+    """(id, shard, vec): the scaled vectors as half floats."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), np.float64) / scale
-                more = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-                x = np.concatenate([x, more[:, None]], 1).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+                n = b.column(2).to_numpy()
+                shard = np.maximum((np.array(tops)[None] >= np.floor(np.log2(n) * STEPS)[:, None]).sum(1) - 1, 0)
+                scale = np.array([scale_of(t) for t in tops])[shard]
+                x = (np.array(b.column(1).to_pylist(), np.float64) / scale[:, None]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard.astype(np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "shard", "vec"])
 
-    return nodes.select("id", "embedding").mapInArrow(run, fields(("id", LONG), ("vec", T.BinaryType())))
+    return nodes.select("id", "embedding", "length").mapInArrow(run, fields(("id", LONG), ("shard", LONG), ("vec", BYTES)))
 
 
-def matrix(col: pa.Array) -> np.ndarray:
-    rows = col.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+def matrix(rows: list[bytes]) -> np.ndarray:
+    """The vectors with one more component that makes their length 1 (or leaves it, where it is more by rounding)."""
+    x = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", x, x)))[:, None]], 1)
 
 
-def lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owners, ends, v, s): the k best different v of each u, best first."""
-    o = np.lexsort((-s, v, u))
-    u, v, s = u[o], v[o], s[o]
+def lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best different v of each u, best first; of equal ones that which isn't new counts."""
+    o = np.lexsort((new, v, u))
+    u, v, s, new = u[o], v[o], s[o], new[o]
     first = np.ones(len(u), bool)
     first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    u, v, s = u[first], v[first], s[first]
+    u, v, s, new = u[first], v[first], s[first], new[first]
     o = np.lexsort((v, -s, u))
-    u, v, s = u[o], v[o], s[o]
+    u, v, s, new = u[o], v[o], s[o], new[o]
     owners, starts = np.unique(u, return_index=True)
     rank = np.arange(len(u)) - np.repeat(starts, np.diff(np.append(starts, len(u))))
-    u, v, s = u[rank < k], v[rank < k], s[rank < k]
-    return owners, np.searchsorted(u, owners, side="right"), v, s
+    u, v, s, new = u[rank < k], v[rank < k], s[rank < k], new[rank < k]
+    return list_batch(owners, np.searchsorted(u, owners, side="right"), v, s, new)
 
 
-def edge_batch(owners: np.ndarray, ends: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+def list_batch(owners: np.ndarray, ends: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
     offs = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(owners), pa.ListArray.from_arrays(offs, pa.array(v)), pa.ListArray.from_arrays(offs, pa.array(s.astype(np.float32)))], names=EDGES.names)
+    return pa.RecordBatch.from_arrays([pa.array(owners), *(pa.ListArray.from_arrays(offs, pa.array(x)) for x in (v, s.astype(np.float32), new))], names=LISTS.names)
 
 
-def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    vs, ss = b.column(1), b.column(2)
+def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    vs, ss, new = b.column(1), b.column(2), b.column(3)
     n = np.diff(vs.offsets.to_numpy())
-    return np.repeat(b.column(0).to_numpy(), n), vs.flatten().to_numpy(), ss.flatten().to_numpy()
+    return np.repeat(b.column(0).to_numpy(), n), vs.flatten().to_numpy(), ss.flatten().to_numpy(), new.flatten().to_numpy(zero_copy_only=False)
 
 
-def best_of(edges: DataFrame, k: int, parts: int) -> DataFrame:
-    """The k best edges of each node from rows of lists; a task holds NODES_PER_TASK nodes' lists."""
+def groups(batches, key: int = 0):
+    """Consecutive rows of one key, whole, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        if held and held[-1].column(key)[0].as_py() != ids[0]:
+            yield held
+            held = []
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield [*held, b.slice(lo, hi - lo)]
+            held = []
+        held.append(b.slice(cuts[-2], cuts[-1] - cuts[-2]))
+    if held:
+        yield held
+
+
+def whole(batches, most: int):
+    """Lists of sorted batches that hold about ``most`` list elements, and all rows of every key they hold."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if size >= most:
+            u = b.column(0).to_numpy()
+            cut = int(np.searchsorted(u, held[-1].column(0)[-1].as_py(), side="right"))
+            if cut < len(u):
+                yield [*held, b.slice(0, cut)] if cut else held
+                held, size, b = [], 0, b.slice(cut)
+        held.append(b)
+        size += len(b.column(1).flatten())
+    if held:
+        yield held
+
+
+def best_of(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """The k best of each node or query from rows of lists; a task holds about ELEMENTS list elements at once."""
 
     def run(batches):
-        held = [flat(b) for b in batches if b.num_rows]
-        if held:
-            yield edge_batch(*lists(*(np.concatenate(x) for x in zip(*held, strict=True)), k))
+        for some in whole(batches, ELEMENTS):
+            yield lists(*(np.concatenate(x) for x in zip(*map(flat, some), strict=True)), k)
 
-    return edges.repartition(parts, "u").mapInArrow(run, EDGES)
+    return rows.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(run, LISTS)
 
 
 def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
-    """Edges within runs of CHUNK nodes of each random ordering."""
-    bits = max(0, min(12, int(np.log2(max(1, n / CHUNK)))))
+    """Edges within runs of CHUNK nodes of each shard in each random ordering."""
+    bits = max(0, min(40, int(np.log2(max(1, n / CHUNK)))))
 
     def keyed(batches):
         rng = np.random.default_rng(seed)
@@ -134,22 +199,23 @@ def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column(1))
+            x = matrix(b.column(2).to_pylist())
             if planes is None:
                 planes = rng.normal(size=(ORDERINGS, x.shape[1], bits + 1)).astype(np.float32)
             for t in range(ORDERINGS):
                 z = x @ planes[t]
                 code = ((z[:, :bits] > 0) * (1 << np.arange(bits))).sum(1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int64)), pa.array(code), pa.array(z[:, bits]), b.column(0), b.column(1)], names=["t", "code", "z", "id", "vec"])
+                run = pa.array(b.column(1).to_numpy() * ORDERINGS + t)
+                yield pa.RecordBatch.from_arrays([run, pa.array(code), pa.array(z[:, bits]), b.column(0), b.column(2)], names=["run", "code", "z", "id", "vec"])
 
     def near(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        ids, x = b.column(3).to_numpy(), matrix(b.column(4))
+        ids = np.concatenate([b.column(3).to_numpy() for b in rows])
+        x = matrix([v for b in rows for v in b.column(4).to_pylist()])
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
-        k = min(K // 2 if n > CHUNK else K, len(ids) - 1)
+        k = min(K, len(ids) - 1)
         at = np.argpartition(-s, k - 1, 1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
-        return edge_batch(ids, np.arange(1, len(ids) + 1) * k, ids[at].ravel(), np.take_along_axis(s, at, 1).ravel())
+        return list_batch(ids, np.arange(1, len(ids) + 1) * k, ids[at].ravel(), np.take_along_axis(s, at, 1).ravel(), np.ones(at.size, bool))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -168,74 +234,75 @@ def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
         if size:
             yield near(held)
 
-    rows = vecs.mapInArrow(keyed, fields(("t", LONG), ("code", LONG), ("z", FLOAT), ("id", LONG), ("vec", T.BinaryType())))
+    rows = vecs.mapInArrow(keyed, fields(("run", LONG), ("code", LONG), ("z", FLOAT), ("id", LONG), ("vec", BYTES)))
     parts = max(1, -(-ORDERINGS * n // (4 * CHUNK)))
-    order = ["t", "code", "z", "id"]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, EDGES)
+    order = ["run", "code", "z", "id"]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, LISTS)
 
 
 def both_ways(graph: DataFrame, seed: int) -> DataFrame:
-    """(center, member): a node's neighbours and up to REVERSE nodes that name it, chosen by hash."""
-    ahead = graph.select(F.col("u").alias("center"), F.explode("vs").alias("member"))
-    back = ahead.select(F.col("member").alias("center"), F.col("center").alias("member"))
-    w = Window.partitionBy("center").orderBy(F.xxhash64("center", "member", F.lit(seed)), "member")
-    back = back.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= REVERSE).drop("rn")
-    return ahead.unionByName(back)
+    """(center, members): a node's neighbours and up to REVERSE nodes that name it, new ones first, then by hash.
 
-
-def groups(batches, key: int = 0):
-    """Consecutive rows of one key, whole, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        if held and held[-1].column(key)[0].as_py() != ids[0]:
-            yield held
-            held = []
-        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield [*held, b.slice(lo, hi - lo)]
-            held = []
-        held.append(b.slice(cuts[-2], cuts[-1] - cuts[-2]))
-    if held:
-        yield held
+    members: array of (member, new).  The limit is applied before the shuffle as well, so a node
+    that very many name sends no more than REVERSE rows of each task."""
+    back = graph.select(F.col("u").alias("member"), F.explode(F.arrays_zip("vs", "new")).alias("e")).select(F.col("e.vs").alias("center"), "member", F.col("e.new").alias("new"))
+    w = Window.partitionBy("center").orderBy(F.desc("new"), F.xxhash64("center", "member", F.lit(seed)), "member")
+    back = back.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= REVERSE)
+    back = back.groupBy("center").agg(F.collect_list(F.struct("member", "new")).alias("back"))
+    own = graph.select(F.col("u").alias("center"), F.transform(F.arrays_zip("vs", "new"), lambda e: F.struct(e["vs"].alias("member"), e["new"].alias("new"))).alias("ahead"))
+    return own.join(back, "center", "left").select("center", F.when(F.col("back").isNull(), F.col("ahead")).otherwise(F.concat("ahead", "back")).alias("members"))
 
 
 def descend(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> DataFrame:
-    """One round of NN-descent."""
+    """One round of NN-descent over the pairs with a new edge."""
     worst = graph.select(F.col("u").alias("member"), F.when(F.size("ss") >= K, F.element_at("ss", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    own = vecs.withColumnRenamed("id", "member").join(worst, "member")
-    rows = both_ways(graph, seed).join(own, "member").select("center", "member", "worst", "vec")
+    own = vecs.select(F.col("id").alias("member"), "vec").join(worst, "member")
+    around = both_ways(graph, seed).filter(F.exists("members", lambda m: m["new"]))
+    rows = around.select("center", F.explode("members").alias("m")).select("center", "m.member", "m.new").join(own, "member").select("center", "member", "worst", "new", "vec")
 
     def run(batches):
-        u, v, s, n = [], [], [], 0
+        held, n = [], 0
         for g in groups(batches):
             ids = np.concatenate([b.column(1).to_numpy() for b in g])
             low = np.concatenate([b.column(2).to_numpy() for b in g])
-            x = np.concatenate([matrix(b.column(3)) for b in g])
-            ids, at = np.unique(ids, return_index=True)
-            low, x = low[at], x[at]
+            new = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in g])
+            o = np.lexsort((~new, ids))  # of an edge both ways, the new one counts
+            raw = [x for b in g for x in b.column(4).to_pylist()]
+            at = o[np.unique(ids[o], return_index=True)[1]]
+            ids, low, new, x = ids[at], low[at], new[at], matrix([raw[i] for i in at])
             p = x @ x.T
             np.fill_diagonal(p, -np.inf)
-            i, j = np.nonzero(p > low[:, None])
-            u.append(ids[i])
-            v.append(ids[j])
-            s.append(p[i, j])
+            i, j = np.nonzero((p > low[:, None]) & (new[:, None] | new[None]))
+            held.append((ids[i], ids[j], p[i, j], np.ones(len(i), bool)))
             n += len(i)
-            if n > 500_000:
-                yield edge_batch(*lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), K))
-                u, v, s, n = [], [], [], 0
+            if n > ELEMENTS:
+                yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)), K)
+                held, n = [], 0
         if n:
-            yield edge_batch(*lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), K))
+            yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)), K)
 
-    offers = rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(run, EDGES)
-    return best_of(graph.unionByName(offers), K, parts)
+    offers = rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(run, LISTS)
+    used = graph.select("u", "vs", "ss", F.transform("new", lambda _: F.lit(False)).alias("new"))
+    return best_of(used.unionByName(offers), K, parts)
+
+
+def build(vecs: DataFrame, n: int, stages: Stages, seed: int = 5) -> DataFrame:
+    """The neighbour graph (u, vs, ss, new) of nodes (id, shard, vec)."""
+    parts = max(1, -(-n // NODES_PER_TASK))
+    graph, r = stages.keep(best_of(first_lists(vecs, n, seed), K, parts), "graph"), 0
+    while True:
+        better = stages.keep(descend(graph, vecs, parts, seed + r), "graph")
+        stages.drop(graph)
+        graph, r = better, r + 1
+        sizes = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))).alias("new"), F.sum(F.size("new")).alias("all")).first()
+        if (sizes["new"] or 0) <= DELTA * (sizes["all"] or 0):
+            return graph
 
 
 def with_vectors(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> DataFrame:
     """(v, ids, vecs): every node with its neighbours both ways, packed."""
-    rows = both_ways(graph, seed).join(vecs.withColumnRenamed("id", "member"), "member").select("center", "member", "vec")
+    rows = both_ways(graph, seed).select("center", F.explode("members.member").alias("member"))
+    rows = rows.join(vecs.select(F.col("id").alias("member"), "vec"), "member").select("center", "member", "vec")
 
     def run(batches):
         for g in groups(batches):
@@ -245,94 +312,100 @@ def with_vectors(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> Da
             packed = b"".join(raw[i] for i in at)
             yield pa.RecordBatch.from_arrays([pa.array([g[0].column(0)[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["v", "ids", "vecs"])
 
-    return rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(run, fields(("v", LONG), ("ids", T.BinaryType()), ("vecs", T.BinaryType())))
+    return rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(run, fields(("v", LONG), ("ids", BYTES), ("vecs", BYTES)))
 
 
-STATE = fields(("q", LONG), ("vec", T.BinaryType()), ("vs", T.ArrayType(LONG)), ("ss", T.ArrayType(FLOAT)), ("done", T.ArrayType(T.BooleanType())))
-FOUND = fields(("q", LONG), ("vs", T.ArrayType(LONG)), ("ss", T.ArrayType(FLOAT)))
+def scored(x: bytes, many: bytes) -> np.ndarray:
+    x = np.frombuffer(x, np.float16).astype(np.float32)
+    return np.frombuffer(many, np.float16).reshape(-1, len(x)).astype(np.float32) @ x
+
+
+def starts(queries: DataFrame, pilots: list, shard: int) -> DataFrame:
+    """Where the queries (q, vec, own: shard of their node) enter a shard: its best pilots, and their own node if it is there."""
+    ids, packed = np.array([p["id"] for p in pilots], np.int64), b"".join(bytes(p["vec"]) for p in pilots)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for q, vec, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = scored(vec, packed)
+                at = np.argsort(-s, kind="stable")[:STARTS]
+                v, s = ids[at], s[at]
+                if own == shard:
+                    v, s = np.append(v, q), np.append(s, np.float32(np.inf))  # expanded first; scored exactly at the end
+                rows.append((np.full(len(v), q), v, s, np.ones(len(v), bool)))
+            if rows:
+                yield lists(*(np.concatenate(x) for x in zip(*rows, strict=True)), BEAM)
+
+    return queries.select("q", "vec", "own").mapInArrow(run, LISTS)
 
 
-def hop(state: DataFrame, adjacency: DataFrame, parts: int) -> DataFrame:
+def hop(state: DataFrame, queries: DataFrame, adjacency: DataFrame, parts: int) -> DataFrame:
     """Expand the best WIDTH unexpanded nodes of every query and merge what they give into its beam."""
     full = F.when(F.size("ss") >= BEAM, F.element_at("ss", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-    open_ = F.slice(F.expr("filter(vs, (v, i) -> NOT done[i])"), 1, WIDTH)
-    asked = state.select("q", "vec", full.alias("worst"), F.explode(open_).alias("v"))
+    next_ = F.slice(F.filter("vs", lambda v, i: F.get(F.col("new"), i)), 1, WIDTH)
+    state = state.withColumn("next", next_)
+    asked = state.select(F.col("u").alias("q"), full.alias("worst"), "next").join(queries.select("q", "vec"), "q").select("q", "vec", "worst", F.explode("next").alias("v"))
 
     def score(batches):
         for b in batches:
             q, worst = b.column("q").to_numpy(), b.column("worst").to_numpy()
-            out_v, out_s, ends = [], [], [0]
+            out_v, out_s, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [0]
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column("vec")[i].as_buffer(), np.float16).astype(np.float32)
                 ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)
-                s = np.frombuffer(b.column("vecs")[i].as_buffer(), np.float16).reshape(len(ids), -1).astype(np.float32) @ x
+                s = scored(b.column("vec")[i].as_buffer(), b.column("vecs")[i].as_buffer())
                 good = s > worst[i]
                 out_v.append(ids[good])
                 out_s.append(s[good])
                 ends.append(ends[-1] + int(good.sum()))
             if len(q):
-                offs = pa.array(np.array(ends, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("q"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(out_v))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(out_s)))], names=FOUND.names)
-
-    found = asked.join(adjacency, "v").select("q", "vec", "worst", "ids", "vecs").mapInArrow(score, FOUND)
-    rows = state.unionByName(found, allowMissingColumns=True)
-
-    def merge(batches):
-        for g in groups(batches):
-            t = pa.Table.from_batches(g)
-            mine = next(r for r in t.to_pylist() if r["vec"] is not None)
-            v = np.concatenate([b.column(2).flatten().to_numpy() for b in g])
-            s = np.concatenate([b.column(3).flatten().to_numpy() for b in g])
-            _, _, v, s = lists(np.zeros(len(v), np.int64), v, s, BEAM)
-            taken = [x for x, d in zip(mine["vs"], mine["done"], strict=True) if not d][:WIDTH]
-            done = {x for x, d in zip(mine["vs"], mine["done"], strict=True) if d} | set(taken)
-            yield pa.RecordBatch.from_arrays([pa.array([mine["q"]], pa.int64()), pa.array([mine["vec"]], pa.binary()), pa.array([v.tolist()], pa.list_(pa.int64())), pa.array([s.tolist()], pa.list_(pa.float32())), pa.array([[x in done for x in v.tolist()]], pa.list_(pa.bool_()))], names=STATE.names)
+                v = np.concatenate(out_v)
+                yield list_batch(q, np.array(ends[1:]), v, np.concatenate(out_s), np.ones(len(v), bool))
 
-    return rows.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(merge, STATE)
-
-
-def build(vecs: DataFrame, n: int, stages: Stages, seed: int = 5) -> DataFrame:
-    """The neighbour graph (u, vs, ss) of nodes (id, vec)."""
-    parts = max(1, -(-n // NODES_PER_TASK))
-    graph = stages.keep(best_of(first_lists(vecs, n, seed), K, parts), "graph")
-    for r in range(ROUNDS if n > CHUNK else 0):
-        better = stages.keep(descend(graph, vecs, parts, seed + r), "graph")
-        stages.drop(graph)
-        graph = better
-    return graph
+    found = asked.join(adjacency, "v").select("q", "vec", "worst", "ids", "vecs").mapInArrow(score, LISTS)
+    old = F.transform("vs", lambda v, i: F.get(F.col("new"), i) & ~F.array_contains("next", v)).alias("new")
+    return best_of(state.select("u", "vs", "ss", old).unionByName(found), BEAM, parts)
 
 
 def search(df: DataFrame, stages: Stages, queries, id: str = "vec_id", vector: str = "embedding", top: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows of each row whose id fulfils ``queries``."""
-    spark = df.sparkSession
     rows = stages.keep(usable(df, id, vector), "rows")
     nodes = stages.keep(nodes_of(rows, top), "nodes")
-    n = nodes.count()
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    scale = nodes.agg(F.max(F.sqrt(norm)).alias("m")).first()["m"] or 1.0
-    vecs = stages.keep(halves(nodes, scale), "vecs")
+    n, tops = nodes.count(), shards_of(nodes)
+    vecs = stages.keep(halves(nodes, tops), "vecs")
     graph = build(vecs, n, stages)
-
     parts = max(1, -(-n // NODES_PER_TASK))
-    name = f"geomill_graph_{uuid.uuid4().hex[:12]}"
-    with_vectors(graph, vecs, parts, 99).write.bucketBy(parts, "v").sortBy("v").saveAsTable(name)
-    try:
-        asked = stages.keep(rows.filter(queries(F.col("vec_id"))).join(nodes.select("id", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
-        state = asked.select("q").distinct().join(vecs.withColumnRenamed("id", "q"), "q").select("q", "vec", F.array("q").alias("vs"), F.array(F.lit(1.0).cast("float")).alias("ss"), F.array(F.lit(False)).alias("done"))
-        state = stages.keep(plain_queries(state), "beam")
-        for _ in range(HOPS):
-            if state.filter(F.exists("done", lambda d: ~d)).isEmpty():
-                break
-            after = stages.keep(hop(state, spark.table(name), max(1, parts // 4)), "beam")
+    adjacency = stages.keep_bucketed(with_vectors(graph, vecs, parts, 99), "v", "adjacency")
+    stages.drop(graph)
+
+    asked = rows.filter(queries(F.col("vec_id"))).join(nodes.select("id", "embedding"), "embedding")
+    asked = stages.keep(asked.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "asked")
+    own = asked.select("q").distinct().join(nodes.select(F.col("id").alias("q"), "embedding", "length"), "q")
+    unit = stages.keep(halves(own.select(F.col("q").alias("id"), F.transform("embedding", lambda v: v / F.col("length")).alias("embedding"), F.lit(1.0).alias("length")), [-1]).select(F.col("id").alias("q"), "vec"), "unit")
+    live = stages.keep(unit.join(vecs.select(F.col("id").alias("q"), F.col("shard").alias("own")), "q"), "live")
+    beams: DataFrame | None = None
+    for shard, step in enumerate(tops):
+        pilots = vecs.filter(F.col("shard") == shard).orderBy(F.xxhash64("id"), "id").limit(PILOTS).collect()
+        state = stages.keep(starts(live, pilots, shard), "beam")
+        while not state.filter(F.exists("new", lambda x: x)).isEmpty():
+            after = stages.keep(hop(state, live, adjacency, parts), "beam")
             stages.drop(state)
             state = after
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    # half floats have chosen the beam; its best part is scored again exactly
-    near = state.select("q", F.explode(F.slice("vs", 1, top + BEAM // 2)).alias("id"))
+        # half floats have chosen the beam; its best part is scored again exactly
+        hits = state.select(F.col("u").alias("q"), F.explode(F.slice(F.arrays_zip("vs", "ss"), 1, top + BEAM // 2)).alias("h"))
+        hits = hits.select("q", F.col("h.vs").alias("id"), (F.col("h.ss") * scale_of(step)).alias("near"))
+        beams = hits if beams is None else beams.unionByName(hits)
+        if shard + 1 < len(tops):
+            # a score of the next shard is at most its length; 2 in 100 more for half floats, one more for the query itself
+            reached = beams.filter("near < double('infinity')").groupBy("q").agg(F.get(F.sort_array(F.collect_list("near"), False), F.lit(top)).alias("least"))
+            still = live.join(reached, "q", "left").filter(F.coalesce(F.col("least"), F.lit(float("-inf"))) < 1.02 * scale_of(tops[shard + 1]))
+            live = stages.keep(still.select("q", "vec", "own"), "live")
+            if live.isEmpty():
+                break
+    if beams is None:
+        beams = df.sparkSession.createDataFrame([], "q long, id long")
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    near = near.join(nodes.select("id", F.col("embedding").alias("y"), "members"), "id").join(nodes.select(F.col("id").alias("q"), F.col("embedding").alias("x")), "q")
+    near = beams.select("q", "id").join(nodes.select("id", F.col("embedding").alias("y"), "members"), "id").join(nodes.select(F.col("id").alias("q"), F.col("embedding").alias("x")), "q")
     near = near.select("q", exact.alias("score"), "members")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     near = near.withColumn("first", F.col("members")[0]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top + 1)
@@ -340,23 +413,11 @@ def search(df: DataFrame, stages: Stages, queries, id: str = "vec_id", vector: s
     best = near.select("q", "score", F.explode("members").alias("vec_id"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = stages.keep(best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rn", "vec_id", "score"))).alias("hits")), "best")
+    stages.drop(adjacency)
     out = asked.join(best, "q").select("query_id", F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, top).alias("hits"))
     return out.select("query_id", F.posexplode("hits").alias("pos", "h")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))
 
 
-def plain_queries(state: DataFrame) -> DataFrame:
-    """The states with the added component of their vectors set to 0: scores are inner products."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                at = b.schema.get_field_index("vec")
-                vec = pa.array([x[:-2] + b"\0\0" for x in b.column(at).to_pylist()], pa.binary())
-                yield b.set_column(at, "vec", vec)
-
-    return state.mapInArrow(run, STATE)
-
-
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """Share of the pairs (query_id, vec_id) of ``truth`` that ``found`` has."""
     total = truth.count()
