@@ -299,9 +299,12 @@ def classify(docs: DataFrame, trusted: DataFrame, stages: Stages, quantile: floa
     stages.drop(texts, found)
     perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("total") / F.col("n_bytes")), 6))
     score = score.select("doc_id", "lang", "trusted", "held", "n_bytes", perplexity.alias("perplexity"))
-    good = score.filter("trusted")
-    cut = lambda d, name: d.agg(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), quantile, 10_000).alias(name), F.percentile_approx("perplexity", quantile, 10_000).alias(f"{name}_seen"))
-    langs = score.select("lang").distinct().join(cut(good.groupBy("lang"), "own"), "lang", "left").crossJoin(cut(good, "any"))  # a row a language and one row
-    limits = langs.select("lang", F.coalesce(F.when(F.col("lang") != ANY, F.col("own")), "any", F.when(F.col("lang") != ANY, F.col("own_seen")), "any_seen").alias("threshold"))
+    # a row a language and one (null) for all
+    held = F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), quantile, 10_000)
+    cuts = {r["lang"]: (r["held"], r["seen"]) for r in score.filter("trusted").rollup("lang").agg(held.alias("held"), F.percentile_approx("perplexity", quantile, 10_000).alias("seen")).collect()}
+    every = cuts.get(None, (None, None))
+    first = lambda *x: next((v for v in x if v is not None), None)
+    of = lambda x: first(cuts.get(x, (None, None))[0], every[0], cuts.get(x, (None, None))[1], every[1]) if x != ANY else first(*every)
+    limits = docs.sparkSession.createDataFrame([(x, of(x)) for x in [*known, ANY]], "lang string, threshold double")
     out = score.join(F.broadcast(limits), "lang", "left")
     return out.select("doc_id", "lang", "trusted", "held", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
