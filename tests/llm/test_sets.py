@@ -167,6 +167,50 @@ def test_nearest(spark):
     assert all(q not in v for q, v in got.items())
 
 
+@pytest.mark.parametrize("kind", ["long", "norms"])
+def test_nearest_at_any_length(spark, kind):
+    """One very long vector, or lengths over six orders of magnitude, don't make the others look alike."""
+    r = np.random.default_rng(3)
+    n = 4000
+    x = r.normal(size=(n, 32))
+    if kind == "long":
+        x[7] *= 1e4
+    else:
+        x *= 10 ** r.uniform(-3, 3, n)[:, None]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for h in ann.search(df, Stages(spark), lambda c: c % 20 == 0).collect():
+        got.setdefault(h.query_id, set()).add(h.vec_id)
+    x = x.astype(float)
+    hit = []
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.95 and min(hit) >= 0.7
+
+
+def test_shards_and_descent(spark):
+    """Shards span a factor of four; descent mends lists that begin at random and ends by itself."""
+    nodes = spark.createDataFrame([(1.0,), (1.1,), (3.9,), (1e-200,), (1e200,)], "length double")
+    tops = ann.shards_of(nodes)
+    assert tops == sorted(tops, reverse=True) and len(tops) == 3
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 8))
+    vecs = ann.halves(spark.createDataFrame([(i, v.tolist(), float(np.linalg.norm(v))) for i, v in enumerate(x)], "id bigint, embedding array<double>, length double"), [int(np.floor(np.log2(np.linalg.norm(x, axis=1).max()) * ann.STEPS))])
+    start = [(i, r.choice([j for j in range(600) if j != i], ann.K, replace=False).tolist(), [-1.0] * ann.K, [True] * ann.K) for i in range(600)]
+    graph, stages = spark.createDataFrame(start, ann.LISTS), Stages(spark)
+    for k in range(6):
+        graph = stages.keep(ann.descend(graph, vecs.filter("true"), 2, k), "graph")
+    rows = {v.id: np.frombuffer(v.vec, np.float16).astype(np.float32) for v in vecs.collect()}
+    m = ann.matrix([rows[i].astype(np.float16).tobytes() for i in range(600)])
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    want = {i: set(np.argsort(-s[i])[: ann.K].tolist()) for i in range(600)}
+    assert np.mean([len(want[g.u] & set(g.vs)) / ann.K for g in graph.collect()]) > 0.9
+
+
 def test_nearest_small_and_empty(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], schema)
