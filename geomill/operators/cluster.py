@@ -73,8 +73,8 @@ def medoids(points: DataFrame, group: str, top: int = 1) -> DataFrame:
     return points.join(mid, group).withColumn("d", d).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(group, "id", "rank")
 
 
-def label_components(images: DataFrame, height: int, width: int) -> DataFrame:
-    """(tile, label, pixels): 4-connected regions of images given as arrays ``on`` of coloured pixels (y, x).
+def pixel_labels(images: DataFrame, height: int, width: int) -> DataFrame:
+    """(tile, y, x, label): 4-connected regions of images given as arrays ``on`` of coloured pixels (y, x).
 
     A tile has a fixed number of pixels, so one is labelled whole; labels count regions by their first pixel.
     """
@@ -95,7 +95,13 @@ def label_components(images: DataFrame, height: int, width: int) -> DataFrame:
                     if (new == label).all():
                         break
                     label = new
-                _, sizes = np.unique(label[mask], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(sizes), pa.string()), pa.array(np.arange(len(sizes)), pa.int64()), pa.array(sizes, pa.int64())], names=["tile", "label", "pixels"])
+                y, x = np.nonzero(mask)
+                _, number = np.unique(label[y, x], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(y), pa.string()), pa.array(y - 1, pa.int32()), pa.array(x - 1, pa.int32()), pa.array(number, pa.int64())], names=["tile", "y", "x", "label"])
+
+    return images.select("tile", "on").mapInArrow(run, "tile string, y int, x int, label bigint")
 
-    return images.select("tile", "on").mapInArrow(run, "tile string, label bigint, pixels bigint")
+
+def label_components(images: DataFrame, height: int, width: int) -> DataFrame:
+    """(tile, label, pixels): the regions of ``pixel_labels`` with their sizes."""
+    return pixel_labels(images, height, width).groupBy("tile", "label").agg(F.count("*").alias("pixels"))

@@ -68,11 +68,6 @@ def l13(t: Tables) -> DataFrame:
     return changes.typed(t.poi.select("id", "number", "phone"), {"number": "int", "phone": "date", "absent": "int"})
 
 
-both("l14_coherence", "SELECT p.id FROM poi p JOIN door d ON d.id = p.id WHERE d.city <> p.city")
-both("l15_coordinate_audit", "SELECT p.id, p.street <> d.street AS differs FROM poi p JOIN door d ON d.id = p.id")
-both("l16_reload_links", "SELECT DISTINCT o_custkey AS k, 'order' AS kind FROM orders UNION SELECT c_custkey, 'customer' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-
-
 @query("a07_load_ledger", "SELECT source, id % 50 AS ref FROM poi WHERE NOT (source = 'src0' AND id % 50 < 25) GROUP BY source, id % 50")
 def a07(t: Tables) -> DataFrame:
     files = t.poi.select("source", (F.col("id") % 50).alias("ref")).distinct()

@@ -89,8 +89,6 @@ def i09(t: Tables) -> DataFrame:
 
 both("i08_source_links", "SELECT DISTINCT id AS poi, source, concat(source, ':', CAST(id AS VARCHAR(20))) AS source_id FROM poi UNION SELECT id, 'src9', concat('src9:', CAST(id AS VARCHAR(20))) FROM poi WHERE id % 3 = 0")
 both("i11_unique_live_rows", "SELECT name, street, count(*) AS n FROM poi WHERE id % 7 <> 0 GROUP BY name, street HAVING count(*) > 1")
-both("i12_review_links", "SELECT id, CASE WHEN number = '' THEN 'no_number' WHEN evidence < 1 THEN 'no_evidence' END AS dropped FROM poi WHERE number = '' OR evidence < 1")
-both("i13_street_evidence", "SELECT p.id, min(q.number) AS number FROM poi p JOIN poi q ON q.street = p.street AND q.name = p.name AND q.number <> '' WHERE p.number = '' GROUP BY p.id")
 
 
 @query("i14_reuse", "SELECT id AS old_id, 5000 + row_number() OVER (ORDER BY id) - 1 AS new_id FROM poi WHERE id % 4 = 1 AND phone NOT IN (SELECT phone FROM poi WHERE id % 40 = 0)")
@@ -123,9 +121,6 @@ def j02(t: Tables) -> DataFrame:
     return address.fuzzy_street(rows, t.door.select(F.col("postcode").alias("block"), "street"), 80.0)
 
 
-both("j03_area_choice", "SELECT id, coalesce(CASE WHEN id % 4 = 0 THEN 'published' END, CASE WHEN id % 3 = 0 THEN 'reverse' END, 'sieve') AS chosen, id % 4 = 0 AND id % 3 = 0 AND evidence < 2 AS doubt FROM poi")
-
-
 @query(
     "j04_match_address",
     """WITH r AS (SELECT id, postcode, street, city, number FROM door), p AS (SELECT id, postcode, street, city, try_cast(nullif(number, '') AS BIGINT) AS number FROM poi),
@@ -154,9 +149,6 @@ def j07(t: Tables) -> DataFrame:
     return address.reverse_door(t.poi, t.door).withColumn("m", F.round("m", 3))
 
 
-both("j06_preference_order", "SELECT id, door FROM (SELECT p.id, d.id AS door, row_number() OVER (PARTITION BY p.id ORDER BY CASE WHEN d.street = p.street THEN 0 ELSE 1 END, d.id) AS rn FROM poi p JOIN door d ON d.postcode = p.postcode ) q WHERE rn = 1")
-
-
 @query("j09_conformity", "SELECT id, CASE WHEN id % 7 = 0 THEN 'unknown' WHEN id % 100 <= 3 * (evidence + 1) * 5 THEN 'confirmed' ELSE 'disagrees' END AS verdict FROM poi")
 def j09(t: Tables) -> DataFrame:
     i = F.col("id")
@@ -182,10 +174,6 @@ def j13(t: Tables) -> DataFrame:
     return joins.in_polygons(t.poi.groupBy(F.col("postcode").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), polygons(t))
 
 
-both("j14_search_text", "SELECT concat(street, ', ', min(number), ' - Canoas') AS search FROM poi WHERE number <> '' GROUP BY street")
-both("j10_move_with_proof", "SELECT p.id, d.id AS door FROM poi p JOIN door d ON d.street = p.street AND CAST(d.number AS VARCHAR(10)) = p.number AND d.city = p.city WHERE d.postcode = p.postcode OR p.evidence = 4")
-
-
 # ---- clusters ----------------------------------------------------------------------------------
 @query("h509_hulls")
 def h509(t: Tables) -> DataFrame:

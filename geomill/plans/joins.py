@@ -101,7 +101,6 @@ def c08(t: Tables) -> DataFrame:
     return joins.within(t.poi, t.door, 25.0).withColumn("m", F.round("m", 3))
 
 
-both("c10_exact_address", "SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.city <> b.city THEN 'other_city' WHEN a.category = 'saude' THEN 'unfit' END AS reason FROM poi a JOIN door b ON a.street = b.street AND a.number = CAST(b.number AS VARCHAR(10)) AND a.postcode = b.postcode")
 both("c11_shared_document", "SELECT a.id AS a_id, d.id AS d_id FROM poi a JOIN poi b ON a.phone = b.phone AND a.id <> b.id AND a.source = 'src0' AND b.source = 'src1' JOIN door d ON d.id = b.id * 5")
 
 

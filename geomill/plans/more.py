@@ -172,10 +172,6 @@ def h607(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.explode(F.from_json(j, "map<string,string>")).alias("field", "value"))
 
 
-both("h707_structure_score", "SELECT id, least(12, CASE WHEN number <> '' THEN 4 ELSE 0 END + CASE WHEN site <> 'nan' THEN 3 ELSE 0 END + CASE WHEN evidence > 2 THEN 5 ELSE 0 END + CASE WHEN category = 'saude' THEN 2 ELSE 0 END) AS score FROM poi")
-both("h711_business_decision", "SELECT id, CASE WHEN site = 'nan' AND number = '' THEN 'REJECT' WHEN evidence >= 3 AND number <> '' THEN 'ACCEPT' WHEN evidence >= 3 THEN 'VISIT' ELSE 'HOLD' END AS decision FROM poi")
-
-
 @query("h714_segments", "SELECT id, list_sort(list_distinct([CASE WHEN regexp_matches(lower(name), 'farmacia') THEN 'health' WHEN regexp_matches(lower(name), 'padaria|bar') THEN 'food' ELSE 'other' END, CASE WHEN category = 'saude' THEN 'health' ELSE 'other' END])) AS segments FROM poi")
 def h714(t: Tables) -> DataFrame:
     ladder = [("farmacia|saude", "health"), ("padaria|bar", "food")]
@@ -183,10 +179,6 @@ def h714(t: Tables) -> DataFrame:
     return t.poi.select("id", F.array_sort(F.array_distinct(F.array(a, b))).alias("segments"))
 
 
-both("h717_late_signal", "SELECT id, (count(*) OVER (PARTITION BY phone) >= 5) AND (count(*) OVER (PARTITION BY street, number) >= 4) AS s5 FROM poi")
-both("j08_geocoder_order", "SELECT id, CASE WHEN id % 5 = 0 THEN 'exact' WHEN id % 3 = 0 THEN 'street' WHEN id % 2 = 0 THEN 'area' ELSE 'city' END AS precision_class, CASE WHEN id % 5 = 0 THEN 10 WHEN id % 3 = 0 THEN 100 WHEN id % 2 = 0 THEN 1000 ELSE 10000 END AS metres FROM poi")
-
-
 @query("l09_output_validation", "SELECT 'rows' AS rule, 0::BIGINT AS broken UNION ALL SELECT 'domain', count(*) FILTER (WHERE category NOT IN ('comida', 'compras', 'saude')) FROM poi UNION ALL SELECT 'filled', count(*) FILTER (WHERE number = '') FROM poi")
 def l09(t: Tables) -> DataFrame:
     return changes.expectations(t.poi, {"rows": F.col("id").isNotNull(), "domain": F.col("category").isin("comida", "compras", "saude"), "filled": F.col("number") != ""})
@@ -211,9 +203,6 @@ def c09(t: Tables) -> DataFrame:
     return joins.lateral_nearest(t.poi, t.door, 60.0, ["street"]).withColumn("m", F.round("m", 3))
 
 
-both("h513_same_roof", "SELECT a.id AS a, b.id AS b FROM (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) a JOIN (SELECT id, floor(lat * 2000) AS y, floor(lng * 2000) AS x FROM poi) b ON a.y = b.y AND a.x = b.x AND a.id < b.id")
-
-
 @query("h514_image_components")
 def h514(t: Tables) -> DataFrame:
     # rasters made from the points: tiles of 200 x 200 cells of about 20 m, coloured where a point falls

@@ -43,8 +43,6 @@ def b05(t: Tables) -> DataFrame:
     return t.poi.filter(~edge & geo.in_ring(lat, lng, geo.ring_literal(RINGS["centre"]))).select("id")
 
 
-both("b06_one_side_inside", "SELECT a.id AS a, b.id AS b FROM poi a JOIN poi b ON a.street = b.street AND a.number = b.number AND a.id < b.id WHERE a.lat > -29.99 OR b.lat > -29.99")
-both("b07_area_label", "SELECT id, coalesce(CASE WHEN id % 6 = 0 THEN lat END, lat + 1) AS used_lat, NOT (lat BETWEEN -29.995 AND -29.985) AS outside FROM poi")
 both("b08_plain_equality", "SELECT n_nationkey FROM nation WHERE upper(translate(lower(n_name), 'aeiou', 'AEIOU')) = upper(n_name)")
 
 

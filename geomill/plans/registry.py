@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
 
 def _load() -> None:
-    from . import aggregates, changes, fusion, joins, more, projections, rules, scalars, sets, sources, streams  # noqa: F401
+    from . import aggregates, changes, decisions, fusion, joins, more, projections, rules, scalars, sets, sources, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

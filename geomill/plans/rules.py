@@ -63,12 +63,6 @@ def h706(t: Tables) -> DataFrame:
     return t.poi.select("id", score.cast("int").alias("score"), why.alias("why")).withColumn("band", rules.bands(F.col("score"), [(9, "certain"), (6, "likely"), (4, "possible")], "weak"))
 
 
-both("h708_profile_by_code", "SELECT p_partkey, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'basic' END, CASE WHEN p_size < 10 THEN 'small' END, 'other') AS profile FROM part")
-both("h709_company_class", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 2500 THEN 'small' WHEN c_acctbal < 7500 THEN 'middle' ELSE 'large' END AS size_class, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS branches FROM customer")
-both("h710_address_route", "SELECT id, CASE WHEN number = '' AND postcode LIKE '900%' THEN 'a' WHEN number = '' THEN 'b' WHEN site = 'nan' THEN 'c' ELSE 'd' END AS route FROM poi")
-both("h712_reliability", "SELECT id, CASE WHEN v > 75 THEN 'high' WHEN v > 55 THEN 'good' WHEN v > 35 THEN 'fair' ELSE 'low' END AS band FROM (SELECT id, CASE WHEN number <> '' THEN 40 ELSE 10 END + CASE WHEN site <> 'nan' THEN 30 ELSE 5 END + evidence * 6 AS v FROM poi) q")
-
-
 @query("h713_keyword_class", "SELECT id, CASE WHEN regexp_matches(lower(name), 'padaria|bar') THEN 'food' WHEN regexp_matches(lower(name), 'farmacia') THEN 'health' ELSE 'other' END AS sector FROM poi")
 def h713(t: Tables) -> DataFrame:
     return t.poi.select("id", rules.keyword_class(F.col("name"), [("padaria|bar", "food"), ("farmacia", "health")], "other").alias("sector"))
@@ -84,8 +78,6 @@ def h716(t: Tables) -> DataFrame:
     return rules.anomaly_signals(r).select("id", "s1", "s2", "s3", "s4")
 
 
-both("h718_declared_vs_counted", "SELECT street, count(*) AS counted, max(evidence) AS declared, CASE WHEN count(*) = max(evidence) THEN 'agrees' WHEN count(*) > max(evidence) THEN 'more' ELSE 'fewer' END AS verdict FROM poi GROUP BY street")
-
 _UNITS = "SELECT city AS building, CAST((id % 6 + 1) * 100 + id % 5 + 1 AS INT) AS unit FROM poi WHERE id % 8 = 3"
 
 
@@ -101,19 +93,9 @@ def h720(t: Tables) -> DataFrame:
     return v.select("street", F.explode(nested.gaps(F.col("v"))).alias("number"), F.lit(None).cast("double").alias("lat"))
 
 
-both("h721_mixed_use", "SELECT street, number, bool_or(category = 'comida') AND bool_or(category <> 'comida') AS mixed FROM poi GROUP BY street, number")
-both("h722_group_thresholds", "SELECT postcode, count(*) >= 20 AND count(DISTINCT street) <= 11 AND avg(evidence) > 1.5 AS compound FROM poi GROUP BY postcode")
-both("h723_probable_address", "SELECT id, concat(street, ', ', CASE WHEN number <> '' THEN number ELSE 'S/N' END, CASE WHEN number = '' THEN ' (inferred)' ELSE '' END) AS address FROM poi")
-both("h724_checked_decision", "SELECT id, CASE WHEN id % 6 = 0 THEN 'REVIEW' WHEN bool_or_ok AND n >= 3 THEN 'YES' ELSE 'NO' END AS decision FROM (SELECT id, count(*) OVER (PARTITION BY phone) AS n, max(CASE WHEN evidence >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY phone) = 1 AS bool_or_ok FROM poi) q")
-
-
 @query("h725_exclusivity", "WITH v AS (SELECT id % 200 AS poi, id AS connection, id % 5 = 0 AS unit_match, CASE WHEN id % 200 < 50 THEN 'x' ELSE street END AS address FROM poi), g AS (SELECT poi, count(*) AS n, sum(unit_match::INT) AS m, count(DISTINCT address) AS a FROM v GROUP BY poi) SELECT poi, connection, CASE WHEN n = 1 THEN true WHEN m = 1 THEN unit_match WHEN a = 1 THEN true ELSE false END AS kept FROM v JOIN g USING (poi)")
 def h725(t: Tables) -> DataFrame:
     i = F.col("id")
     return rules.exclusivity(t.poi.select((i % 200).alias("poi"), i.alias("connection"), (i % 5 == 0).alias("unit_match"), F.when(i % 200 < 50, "x").otherwise(F.col("street")).alias("address")))
 
 
-both("h726_vacant_after_proof", "SELECT user_id, max(CASE WHEN event_type = 'error' THEN ts END) > max(CASE WHEN event_type <> 'error' THEN ts END) AS vacant FROM events GROUP BY user_id")
-both("h727_document_confidence", "SELECT id, CASE WHEN site <> 'nan' THEN 2 ELSE 0 END + CASE WHEN number <> '' THEN 1 ELSE 0 END + CASE WHEN city = 3 THEN 1 ELSE 0 END AS confidence FROM poi")
-both("h728_graded_flags", "SELECT id, CASE WHEN evidence >= 4 THEN 'confirmed' WHEN evidence >= 2 THEN 'probable' ELSE 'doubtful' END AS flag FROM poi")
-both("h729_consistency_checks", "SELECT id, concat_ws('; ', CASE WHEN number = '' AND street LIKE 'Rua%' THEN 'street without number' END, CASE WHEN category = 'saude' AND name NOT LIKE 'Farmacia%' THEN 'name and kind' END) AS warnings FROM poi")

@@ -262,9 +262,6 @@ def h305(t: Tables) -> DataFrame:
     return t.poi.select("id", identifiers.stable_id(F.concat_ws("|", "name", "street", "number")).alias("key"))
 
 
-both("h306_entity_key", "SELECT id, coalesce('site:' || nullif(site, 'nan'), 'place:' || place, concat('row:', CAST(id AS VARCHAR(20)))) AS entity FROM poi")
-
-
 @query("h307_fingerprint", "SELECT o_orderkey, sha256(coalesce(o_orderstatus, chr(0)) || chr(31) || coalesce(o_orderpriority, chr(0)) || chr(31) || o_custkey) AS print FROM orders")
 def h307(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", identifiers.fingerprint("o_orderstatus", "o_orderpriority", "o_custkey").alias("print"))
@@ -277,7 +274,6 @@ def h309(t: Tables) -> DataFrame:
 
 both("h310_id_audit", "SELECT count(*) AS n, count(DISTINCT md5(concat(name, '|', street, '|', number, '|', CAST(id AS VARCHAR(20))))) AS kinds FROM poi")
 both("h311_place_kind", "SELECT id, place <> '' AND place NOT LIKE '%:%' AS own FROM poi")
-both("h312_masked", "SELECT c_custkey, concat(substring(c_name, 1, 3), '***') AS name FROM customer")
 
 # ---- values ------------------------------------------------------------------------------------
 
@@ -430,4 +426,3 @@ def h609(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", F.explode(z).alias("z")).select("n_nationkey", "z.a", "z.b")
 
 
-both("h610_reconcile_fields", "SELECT street, name FROM (SELECT street, name, row_number() OVER (PARTITION BY street ORDER BY evidence DESC, nullif(number, '') DESC NULLS LAST, id) AS rn FROM poi) q WHERE rn = 1")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, similarity, text
+from geomill.operators import decisions
 from geomill.plans import registry
 from geomill.plans.inputs import Tables
 
@@ -187,6 +188,32 @@ def test_image_components(spark, poi):
     assert sorted((r.tile, r.label, r.pixels) for r in run(spark, "h514_image_components")) == sorted(want)
 
 
+def test_same_roof(spark, poi):
+    at = defaultdict(list)
+    for p in poi:
+        at[math.floor((p.lat + 30) * 5000), math.floor((p.lng + 51.2) * 5000)].append(p.id)
+    tile = lambda q: (q[0] // 200, q[1] // 200)
+    region = {}
+    for q in at:
+        todo = [q] if q not in region else []
+        while todo:
+            y, x = todo.pop()
+            region[y, x] = q
+            todo += [n for n in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if n in at and n not in region and tile(n) == tile(q)]
+    want = {(a, b) for q, u in at.items() for r, v in at.items() if region[q] == region[r] for a in u for b in v if a < b}
+    assert {(r.a, r.b) for r in run(spark, "h513_same_roof")} == want and want
+
+
+def test_street_evidence_steps(spark):
+    signs = [(1, "rua a", "Bar Sol", [10]), (2, "rua a", "Loja Um", [50]), (3, "rua b", "Casa Verde", [10]), (4, "rua b", "Casa Verde", [16]), (5, "rua b", "Outra Casa", []), (6, "rua b", "Nada Aqui", [10])]
+    s = spark.createDataFrame(signs, "id int, street string, name string, seen array<bigint>")
+    named = spark.createDataFrame([("rua a", "Bar do Sol", 12), ("rua b", "Bar Sol", 99), ("rua a", "Loja Dois", None)], "street string, name string, number bigint")
+    doors = spark.createDataFrame([("rua a", 47), ("rua a", 90), ("rua b", 8), ("rua b", 13), ("rua b", 20), ("rua b", 13)], "street string, number bigint")
+    out = decisions.street_evidence(s, named, doors).collect()
+    assert sorted(map(tuple, out)) == [(1, 12, "name"), (2, 47, "scene"), (3, 13, "sightings"), (4, 13, "sightings")]
+    assert decisions.street_evidence(s.limit(0), named, doors).count() == 0
+
+
 def far(a, b):
     y, x = map(math.radians, (b.lat - a.lat, b.lng - a.lng))
     return 2 * 6371000 * math.asin(math.sqrt(math.sin(y / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(x / 2) ** 2))
