@@ -28,6 +28,32 @@ STREET_TYPES = {
 }
 STREET_WORDS = tuple(dict.fromkeys(STREET_TYPES.values()))
 
+# All street types, with the forms that stand for them.
+ALL_TYPES = {
+    "r": "rua", "rua": "rua", "av": "avenida", "avn": "avenida", "avenida": "avenida", "tv": "travessa", "trav": "travessa", "trv": "travessa", "travessa": "travessa",
+    "est": "estrada", "estr": "estrada", "estrada": "estrada", "rod": "rodovia", "rodovia": "rodovia", "al": "alameda", "alameda": "alameda", "pc": "praca", "pca": "praca", "praca": "praca",
+    "viela": "viela", "beco": "beco", "via": "via", "vl": "vila", "vila": "vila", "parque": "parque", "pq": "parque", "distrito": "distrito", "linha": "linha", "servidao": "servidao",
+    "condominio": "condominio", "cond": "condominio", "loteamento": "loteamento", "lot": "loteamento", "passagem": "passagem", "quadra": "quadra", "qd": "quadra", "setor": "setor", "st": "setor",
+    "largo": "largo", "lgo": "largo", "jardim": "jardim", "jd": "jardim", "nucleo": "nucleo", "chacara": "chacara", "sitio": "sitio", "fazenda": "fazenda",
+}
+
+# Titles in street names and their short forms.
+TITLES = {
+    "dr": "doutor", "dra": "doutora", "eng": "engenheiro", "prof": "professor", "profa": "professora", "cor": "coronel", "cel": "coronel", "pe": "padre", "fr": "frei", "dep": "deputado",
+    "ver": "vereador", "maj": "major", "cap": "capitao", "tte": "tenente", "gen": "general", "gov": "governador", "pres": "presidente", "brig": "brigadeiro", "alm": "almirante", "visc": "visconde",
+    "sto": "santo", "sta": "santa", "nsa": "nossa", "sr": "senhor", "sra": "senhora",
+}
+
+# Words that don't tell a street from others.
+NUCLEUS_STOP = (
+    "de", "da", "do", "das", "dos", "e", "doutor", "doutora", "professor", "professora", "coronel", "padre", "general", "capitao", "major", "presidente", "governador", "deputado", "vereador",
+    "visconde", "frei", "tenente", "brigadeiro", "almirante", "senhor", "senhora",
+)
+
+# The months, and short forms that are words of their own.
+MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
+HOMOGRAPHS = ("mar", "bar")
+
 # Words of a neighbourhood's name that don't tell it from others.
 COMMON_AREA_WORDS = ("nossa", "senhora", "sao", "santa", "santo", "vila", "jardim", "parque", "bairro", "nova", "novo", "das", "dos", "de", "da", "do")
 
@@ -319,6 +345,53 @@ def tidy_street(c: Column) -> Column:
     return F.regexp_replace(x, r"^(\w+) \1 ", "$1 ")
 
 
+def _small_numerals() -> dict[str, str]:
+    """The numerals up to twenty as digits."""
+    return {w: str(n) for w, n in NUMERALS.items() if n <= 20} | {"catorze": "14"}
+
+
+def canonical_street(c: Column, hint: Column | None = None) -> Column:
+    """Struct (kind, base, whole, nucleus, status) of a street name.
+
+    The type comes from ``hint``, which is binding, else from the first word; titles and small numerals are
+    spelt out or turned to digits wherever they stand; the nucleus lacks titles and particles."""
+    w, kinds = words(c), lookup(ALL_TYPES)
+    first = F.try_element_at(kinds, F.try_element_at(w, F.lit(1)))
+    hinted = F.try_element_at(kinds, F.regexp_replace(F.trim(strip_accents(hint)), r"\.", "")) if hint is not None else F.lit(None).cast("string")
+    kind = F.coalesce(hinted, first, F.lit(""))
+    rest = F.when(first == kind, F.slice(w, 2, 1000)).otherwise(w)  # a first word of another type belongs to the name
+    table = lookup(TITLES | _small_numerals())
+    rest = F.transform(rest, lambda t: F.coalesce(F.try_element_at(table, t), t))
+    base = F.array_join(rest, " ")
+    nucleus = F.array_join(F.filter(rest, lambda t: ~t.isin(*NUCLEUS_STOP)), " ")
+    status = F.when(base == "", "missing").when(F.length(base) < 3, "short").otherwise("valid")
+    return F.struct(kind.alias("kind"), base.alias("base"), F.trim(F.concat_ws(" ", kind, base)).alias("whole"), nucleus.alias("nucleus"), status.alias("status"))
+
+
+def contextual_street(c: Column) -> Column:
+    """Struct (text, tier): a street name with its type spelt out once, a title spelt out only in its place (right
+    after the type, or first without one, and before a name), and numerals as digits only in dates.
+
+    Tiers: certain; high after a title, a repeated type or a date; review if a part in parentheses went; human if
+    nothing is left.  Words that are also short forms of titles elsewhere stay."""
+    cut = F.regexp_replace(c, r"\([^)]*\)?", " ")
+    w, kinds = words(cut), lookup(ALL_TYPES)
+    kind = F.try_element_at(kinds, F.try_element_at(w, F.lit(1)))
+    after = F.when(kind.isNotNull(), F.slice(w, 2, 1000)).otherwise(w)
+    again = F.when(kind.isNull(), F.lit(0)).otherwise(F.aggregate(after, F.lit(0), lambda n, t: F.when((n >= 0) & (F.try_element_at(kinds, t) == kind), n + 1).otherwise(F.when(n >= 0, -n - 1).otherwise(n)), lambda n: F.when(n < 0, -n - 1).otherwise(n)))
+    after = F.slice(after, again + 1, F.lit(1000))
+    head, titles = F.try_element_at(after, F.lit(1)), lookup(TITLES)
+    spelt_out = F.when((F.size(after) > 1) & ~head.isin(*HOMOGRAPHS), F.try_element_at(titles, head))
+    named = F.when(spelt_out.isNotNull(), F.concat(F.array(spelt_out), F.slice(after, 2, 1000))).otherwise(after)
+    numerals = lookup(_small_numerals())
+    date = lambda i: (F.try_element_at(named, i + 2) == "de") & F.try_element_at(named, i + 3).isin(*MONTHS)
+    dated = F.transform(named, lambda t, i: F.when(F.coalesce(date(i), F.lit(False)), F.coalesce(F.try_element_at(numerals, t), t)).otherwise(t))
+    out = F.concat_ws(" ", kind, F.array_join(dated, " "))
+    high = spelt_out.isNotNull() | (again > 0) | (dated != named)
+    tier = F.when(F.trim(out) == "", "human").when(F.trim(cut) != F.trim(c), "review").when(high, "high").otherwise("certain")
+    return F.struct(F.trim(out).alias("text"), tier.alias("tier"))
+
+
 def without_document(c: Column) -> Column:
     """A name without the document number glued to it."""
     return F.trim(F.regexp_replace(c, r"[0-9][0-9.\-/]{7,}", ""))

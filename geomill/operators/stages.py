@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder is set only where that is unset."""
+    """spark.checkpoint.dir of the session; a local folder is set only where that is unset and the master is local,
+    as on a cluster each machine would write to its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geomill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

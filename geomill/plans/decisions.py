@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.functions import identifiers
+from geomill.functions import identifiers, text
 from geomill.operators import cluster, decisions, joins
 
 from .inputs import Tables, with_ctes
@@ -322,6 +322,40 @@ def l16(t: Tables) -> DataFrame:
     return decisions.reloaded(target, [kind(t.orders, "o_custkey", "order"), kind(t.customer, "c_custkey", "customer")], ["k"])
 
 
+# ---- street names ------------------------------------------------------------------------------
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+def _picked(options, index: str) -> str:
+    return f"split_part('{','.join(options)}', ',', CAST(({index}) % {len(options)} + 1 AS INT))"
+
+
+_NUM = {w: str(n) for w, n in text.NUMERALS.items() if n <= 20}
+#: Every type with every title, and a numeral behind them.
+NAMED = f"SELECT id, concat({_picked(text.ALL_TYPES, 'id')}, CASE WHEN id % 3 = 0 THEN '. ' ELSE ' ' END, {_picked(text.TITLES, f'CAST(FLOOR(id / {len(text.ALL_TYPES)}) AS BIGINT)')}, ' ', {_picked(_NUM, 'id * 3')}, ' de ', {_picked(('maio', 'Souza', 'setembro'), 'id')}) AS name, CASE WHEN id % 5 = 0 THEN 'Av.' ELSE '' END AS hint FROM poi"
+_SPLIT = "list_filter(string_split_regex(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> '')"
+
+
+@query(
+    "h107_canonical_street",
+    f"""WITH n AS (SELECT id, hint, {_SPLIT} AS w FROM ({NAMED}) q), k AS (SELECT *, {_map(text.ALL_TYPES)}[w[1]] AS first, CASE WHEN hint = 'Av.' THEN 'avenida' ELSE {_map(text.ALL_TYPES)}[w[1]] END AS kind FROM n),
+b AS (SELECT id, kind, list_transform(CASE WHEN first = kind THEN w[2:] ELSE w END, lambda t: coalesce({_map(text.TITLES | _NUM)}[t], t)) AS r FROM k)
+SELECT id, kind, array_to_string(r, ' ') AS base, kind || ' ' || array_to_string(r, ' ') AS whole, array_to_string(list_filter(r, lambda t: NOT list_contains({list(text.NUCLEUS_STOP)}, t)), ' ') AS nucleus, 'valid' AS status FROM b""",
+)
+def h107b(t: Tables) -> DataFrame:
+    return rows(t, NAMED).select("id", text.canonical_street(F.col("name"), F.col("hint")).alias("s")).select("id", "s.*")
+
+
+@query(
+    "h109_contextual_street",
+    f"""WITH n AS (SELECT id, {_SPLIT} AS w FROM ({NAMED}) q), k AS (SELECT id, {_map(text.ALL_TYPES)}[w[1]] AS kind, coalesce({_map(text.TITLES)}[w[2]], w[2]) AS title, CASE WHEN w[5] IN ('maio', 'setembro') THEN {_map(_NUM)}[w[3]] ELSE w[3] END AS n, w[5] AS last FROM n)
+SELECT id, concat_ws(' ', kind, title, n, 'de', last) AS text, 'high' AS tier FROM k""",
+)
+def h109b(t: Tables) -> DataFrame:
+    return rows(t, NAMED).select("id", text.contextual_street(F.col("name")).alias("s")).select("id", "s.*")
+
+
 # ---- identifiers -------------------------------------------------------------------------------
 @query("h306_entity_key", "SELECT id, CASE WHEN site <> 'nan' THEN 'site:' || site WHEN id % 4 = 0 AND id % 3 > 0 THEN 'place:' || place ELSE 'row:' || id END AS entity FROM poi")
 def h306(t: Tables) -> DataFrame:

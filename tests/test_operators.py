@@ -253,3 +253,14 @@ def test_equivalences_cover_the_table(spark):
 
     want = sorted((a, b, 2 if m(at[a], at[b]) <= 300 else 1) for a in at for b in at if a < b and a // 20 == b // 20 and a % 2 != b % 2)
     assert sorted(map(tuple, registry.queries()["k06_equivalences"](spark, sf).collect())) == want
+
+
+def test_street_names(spark):
+    from geomill.functions import text
+
+    rows = ["Rua Rua Dr. Silva", "R. Silva Dr", "Dr Flores", "Rua Sete de Setembro", "Rua Sete Lagoas", "Av. Mar Azul (fundos)", "(x)", "Rua Dr", "Vila Nova", "rua vila nova", None, "Rua Gen. Cap. Mor"]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, c string").select("id", text.contextual_street(F.col("c")).alias("s")).orderBy("id").collect()
+    assert [(r.s.text, r.s.tier) for r in d][:10] == [("rua doutor silva", "high"), ("rua silva dr", "certain"), ("doutor flores", "high"), ("rua 7 de setembro", "high"), ("rua sete lagoas", "certain"), ("avenida mar azul", "review"), ("", "human"), ("rua dr", "certain"), ("vila nova", "certain"), ("rua vila nova", "certain")]
+    assert d[11].s.text == "rua general cap mor"
+    c = spark.createDataFrame([("VILA NOVA", "RUA"), ("Rua Vila Nova", "R."), ("Vila Nova", ""), ("Pça. Sto. Antônio", ""), ("A", "")], "c string, h string").select(text.canonical_street(F.col("c"), F.col("h")).alias("s")).collect()
+    assert [(r.s.kind, r.s.base, r.s.status) for r in c] == [("rua", "vila nova", "valid"), ("rua", "vila nova", "valid"), ("vila", "nova", "valid"), ("praca", "santo antonio", "valid"), ("", "a", "short")]
