@@ -221,3 +221,11 @@ def a28(t: Tables) -> DataFrame:
     # the engine supplies ordered result sets; a spreadsheet writer is the caller's
     n = t.nation.select(F.lit("nations").alias("sheet"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
     return n.unionByName(t.region.select(F.lit("regions").alias("sheet"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).orderBy("sheet", "k")
+
+
+@query("a21_workbook_rows", "SELECT concat(source, '.xlsx') AS path, CAST(id AS VARCHAR) AS id, name, street, lat, lng FROM (SELECT id, source, '=' || name AS name, CASE WHEN number <> '' THEN street END AS street, CASE WHEN id % 4 > 0 THEN round(lat, 5) END AS lat, CASE WHEN id % 4 > 0 THEN round(lng, 5) END AS lng FROM poi) q")
+def a21(t: Tables) -> DataFrame:
+    where = F.when(F.col("id") % 4 > 0, F.concat(F.format_string("%.5f", "lat"), F.lit(" , "), F.format_string("%.5f", "lng"))).otherwise("?")
+    p = t.poi.select("source", F.col("category").alias("sheet"), "id", F.concat(F.lit("="), "name").alias("Nome"), F.when(F.col("number") != "", F.col("street")).alias("ENDEREÇO"), where.alias("coordenada"))
+    got = readers.read_workbooks(writers.workbooks(p, "source", "sheet", "id"), {"id": [], "name": ["nome"], "street": ["endereco", "logradouro"], "place": ["coordenada", "coord"], "phone": ["fone"]})
+    return got.withColumn("c", readers.coordinate_text(F.col("place"))).select("path", "id", "name", "street", "c.lat", "c.lng")

@@ -1,11 +1,13 @@
-"""Readers: raw CSV, CSV in archives, aliased columns, layouts of several generations, JSON, GeoJSON, tabular HTML."""
+"""Readers: raw CSV, spreadsheets, CSV in archives, aliased columns, layouts of several generations, JSON, GeoJSON, tabular HTML."""
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from xml.etree.ElementTree import iterparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +85,80 @@ def _batch(rows: list[list[str | None]], schema: T.StructType) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=schema.names)
 
 
+_TAG = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(book: zipfile.ZipFile) -> Iterator[tuple[str, int, dict[int, str]]]:
+    """(sheet file, row number, cells by column) of a workbook's sheets, read as a stream."""
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as f:
+            for _, e in iterparse(f):
+                if e.tag == f"{_TAG}si":
+                    shared.append("".join(t.text or "" for t in e.iter(f"{_TAG}t")))
+                    e.clear()
+    for name in sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+        with book.open(name) as f:
+            row = 0
+            for _, e in iterparse(f):
+                if e.tag != f"{_TAG}row":
+                    continue
+                row, cells, at = int(e.get("r", row + 1)), {}, 0
+                for c in e.iter(f"{_TAG}c"):
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) if letters else at + 1
+                    v = c.find(f"{_TAG}v")
+                    raw = "".join(t.text or "" for t in c.iter(f"{_TAG}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
+                    if raw:
+                        cells[at] = shared[int(raw)] if c.get("t") == "s" else raw
+                yield name, row, cells
+                e.clear()
+
+
+def read_workbooks(files: DataFrame, wanted: dict[str, Sequence[str]], rows_a_batch: int = 20_000) -> DataFrame:
+    """(path, sheet, row, the wanted columns as text) of workbooks (path, content), as ``binaryFile`` gives them.
+
+    A sheet's first filled row is its header; a wanted column is found by its name or a synonym, whatever the
+    case and the accents, and is null in sheets without it.  Workbooks that aren't ZIP files give no rows."""
+    import unicodedata
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sheet", T.StringType()), T.StructField("row", T.LongType())] + [T.StructField(c, T.StringType()) for c in wanted])
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x.strip().lower()) if not unicodedata.combining(c))
+    names = {plain(n): k for k, v in wanted.items() for n in (k, *v)}
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f.name == "row" else pa.string()) for c, f in zip(cols, schema.fields, strict=True)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not content.is_valid or not zipfile.is_zipfile(io.BytesIO(content.as_buffer())):
+                    continue
+                held, header, sheet = [], {}, None
+                for name, row, cells in sheet_rows(zipfile.ZipFile(io.BytesIO(content.as_buffer()))):
+                    if name != sheet:
+                        header, sheet = {}, name
+                    if not header:
+                        header = {names[plain(v)]: i for i, v in cells.items() if plain(v) in names}
+                        continue
+                    held.append([path, name.rsplit("/", 1)[-1].removesuffix(".xml"), row, *[cells.get(header.get(c, 0)) for c in wanted]])
+                    if len(held) == rows_a_batch:
+                        yield batch(held)
+                        held = []
+                if held:
+                    yield batch(held)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def coordinate_text(c: Column) -> Column:
+    """Struct (lat, lng) from texts such as ``-29.91, -51.18``; null if there aren't two decimal numbers."""
+    pair = r"(-?[0-9]+\.[0-9]+)\s*[,;]\s*(-?[0-9]+\.[0-9]+)"
+    lat, lng = (F.regexp_extract(c, pair, i) for i in (1, 2))
+    return F.when(lat != "", F.struct(lat.cast("double").alias("lat"), lng.cast("double").alias("lng")))
+
+
 def with_aliases(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
     """Canonical columns from the first filled synonym; missing ones are null."""
     have = {c.lower(): c for c in df.columns}

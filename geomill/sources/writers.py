@@ -69,6 +69,53 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, name: str)
     return parents.join(kids, key, "left").withColumn(name, F.coalesce(name, F.lit("[]")))
 
 
+def workbook(sheets: dict[str, tuple[Sequence[str], Sequence[Sequence]]]) -> bytes:
+    """A workbook of sheets (columns, rows); texts that a program would take for formulas stay texts, as all cells are inline strings or numbers."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, int | float) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, (columns, rows) in enumerate(sheets.values(), 1):
+            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [columns, *rows])
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def workbooks(df: DataFrame, book: str, sheet: str, order: str, most: int = 100_000) -> DataFrame:
+    """(path, content): one workbook for each value of ``book``, with a sheet for each value of ``sheet``, rows by ``order``.
+
+    A report has at most ``most`` rows, which is checked before any is gathered."""
+    big = df.groupBy(book).count().filter(F.col("count") > most)
+    if not big.isEmpty():
+        raise ValueError(f"a workbook would have more than {most} rows")
+    columns = [c for c in df.columns if c not in (book, sheet)]
+
+    def make(p):
+        import pandas as pd
+
+        p = p.sort_values([sheet, order])
+        sheets = {str(k): (columns, g[columns].astype(object).where(g[columns].notna(), None).values.tolist()) for k, g in p.groupby(sheet)}
+        return pd.DataFrame({"path": [f"{p[book].iloc[0]}.xlsx"], "content": [workbook(sheets)]})
+
+    return df.groupBy(book).applyInPandas(make, "path string, content binary")
+
+
 def write_text(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 
