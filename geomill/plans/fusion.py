@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import text
-from geomill.operators import address, cluster, fusion, joins, lexicon
+from geomill.operators import address, cluster, dedup, fusion, joins, lexicon
 from geomill.operators.stages import keeper
 
 from .inputs import Tables
@@ -80,6 +80,11 @@ def i07(t: Tables) -> DataFrame:
     return d.filter(far & (F.col("a_phone_key") != F.col("b_phone_key"))).select("a", "b")
 
 
+@query("i07_dedup_by_evidence")
+def i07b(t: Tables) -> DataFrame:
+    return dedup.dedup(t.poi.select("id", "name", F.col("category").alias("segment"), F.lit(None).cast("string").alias("brand"), "phone", "site", "lat", "lng"), keeper(t.spark))
+
+
 @query("i09_upsert", "WITH t AS (SELECT id, name, site FROM poi WHERE id % 3 <> 1), n AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE upper(name) END AS name, CASE WHEN id % 2 = 0 THEN 'new' END AS site FROM poi WHERE id % 4 <> 1) SELECT coalesce(n.id, t.id) AS id, coalesce(nullif(trim(n.name), ''), t.name) AS name, coalesce(n.site, t.site) AS site FROM t FULL OUTER JOIN n ON t.id = n.id")
 def i09(t: Tables) -> DataFrame:
     p = t.poi.select("id", "name", "site")
