@@ -76,18 +76,10 @@ def m05(t: Tables) -> DataFrame:
 @query("m07_incremental_upsert", "SELECT user_id, count(DISTINCT event_type) AS kinds, max(event_id) AS last FROM events GROUP BY user_id")
 def m07(t: Tables) -> DataFrame:
     out, mark = folder(t.spark), folder(t.spark)
-
-    def merge(batch: DataFrame, i: int) -> None:
-        # a table a batch, overwritten if the batch runs again; the newest table holds the state
-        now = batch.select("user_id", "event_type", "event_id")
-        if i:
-            now = now.unionByName(batch.sparkSession.read.parquet(f"{out}/{i - 1}"))
-        now.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id")).write.mode("overwrite").parquet(f"{out}/{i}")
-
-    q = flows.upsert_sink(stream(t), mark, merge)
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
-    return t.spark.read.parquet(f"{out}/{last}").groupBy("user_id").agg(F.count("*").alias("kinds"), F.max("event_id").alias("last"))
+    combine = lambda d: d.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    rows = stream(t).select("user_id", "event_type", "event_id")
+    flows.log_sink(rows, mark, out, combine).awaitTermination()
+    return flows.log_state(t.spark, out, rows.schema, combine).groupBy("user_id").agg(F.count("*").alias("kinds"), F.max("event_id").alias("last"))
 
 
 @query("m07_first_seen", "SELECT DISTINCT user_id, event_type FROM events")

@@ -47,6 +47,20 @@ def upsert_sink(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame,
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_sink(stream: DataFrame, checkpoint: str, path: str, combine: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keep a keyed state as a log: every micro-batch appends its own aggregate (``combine``), a folder a batch that is
+    overwritten if the batch runs again.  A batch costs what it holds, whatever the state's size."""
+    return upsert_sink(stream, checkpoint, lambda batch, i: combine(batch).write.mode("overwrite").parquet(f"{path}/batch={i}"))
+
+
+def log_state(spark: SparkSession, path: str, schema: T.StructType, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state: the log's rows combined again; empty if no batch came.  Written elsewhere, it replaces the log."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    rows = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return combine(rows.select(*[f.name for f in schema.fields]))
+
+
 def overdue(beats: DataFrame, key: str, at: str, timeout_s: int, delay: str) -> DataFrame:
     """(key, last_seen): keys without a beat for ``timeout_s`` of event time; state is one time a key and goes on timeout."""
     schema = T.StructType([f for f in beats.schema.fields if f.name == key] + [T.StructField("last_seen", T.TimestampType())])
