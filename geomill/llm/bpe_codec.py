@@ -177,7 +177,10 @@ def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
                 back_sha.append(hashlib.sha256(back).hexdigest())
                 same.append(back == t.encode())
             out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
-            return out | ({"ids": pa.array(arrays, pa.list_(pa.int32()))} if with_ids else {})
+            if with_ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
+            return out
 
         return each
 

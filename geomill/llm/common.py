@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -140,6 +141,14 @@ def small_batches(df: DataFrame) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def hand_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and what it keeps counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with state made once for each task by ``make``."""
 
@@ -148,6 +157,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for b in batches:
             if b.num_rows:
                 yield each(b)
+        del each
+        hand_back()
 
     small_batches(df)
     return df.mapInArrow(run, schema)
