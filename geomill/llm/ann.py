@@ -115,7 +115,33 @@ def matrix(rows: list[bytes]) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", x, x)))[:, None]], 1)
 
 
-def lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, k: int) -> pa.RecordBatch:
+#: Edges on their way to their owners' lists: one row for each part of the owners, not one for each owner.
+PACKED = fields(("part", LONG), ("data", BYTES))
+KINDS = (np.dtype(np.int64), np.dtype(np.int64), np.dtype(np.float32), np.dtype(bool))
+
+
+def packed(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The edges in one row for each part that owns some."""
+    part = ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+    o = np.argsort(part, kind="stable")
+    cols = [np.ascontiguousarray(c[o].astype(k, copy=False)) for c, k in zip((u, v, s, new), KINDS, strict=True)]
+    numbers, starts = np.unique(part[o], return_index=True)
+    data = [b"".join(c[lo:hi].tobytes() for c in cols) for lo, hi in zip(starts, np.append(starts[1:], len(o)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(data, pa.binary())], names=PACKED.names)
+
+
+def unpacked(data: list[bytes]) -> list[np.ndarray]:
+    """(u, v, s, new) of packed rows."""
+    width, cols = sum(k.itemsize for k in KINDS), [[] for _ in KINDS]
+    for d in data:
+        n, at = len(d) // width, 0
+        for c, k in zip(cols, KINDS, strict=True):
+            c.append(np.frombuffer(d, k, n, at))
+            at += n * k.itemsize
+    return [np.concatenate(c) for c in cols]
+
+
+def lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k best different v of each u, best first; of equal ones that which isn't new counts."""
     o = np.lexsort((new, v, u))
     u, v, s, new = u[o], v[o], s[o], new[o]
@@ -124,14 +150,15 @@ def lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, k: int)
     u, v, s, new = u[first], v[first], s[first], new[first]
     o = np.lexsort((v, -s, u))
     u, v, s, new = u[o], v[o], s[o], new[o]
-    owners, starts = np.unique(u, return_index=True)
+    _, starts = np.unique(u, return_index=True)
     rank = np.arange(len(u)) - np.repeat(starts, np.diff(np.append(starts, len(u))))
-    u, v, s, new = u[rank < k], v[rank < k], s[rank < k], new[rank < k]
-    return list_batch(owners, np.searchsorted(u, owners, side="right"), v, s, new)
+    return u[rank < k], v[rank < k], s[rank < k], new[rank < k]
 
 
-def list_batch(owners: np.ndarray, ends: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-    offs = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+def list_batch(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+    """A row of lists for each owner, from edges in order of their owners."""
+    owners = np.unique(u)
+    offs = pa.array(np.concatenate([[0], np.searchsorted(u, owners, side="right")]).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(owners), *(pa.ListArray.from_arrays(offs, pa.array(x)) for x in (v, s.astype(np.float32), new))], names=LISTS.names)
 
 
@@ -160,36 +187,53 @@ def groups(batches, key: int = 0):
         yield held
 
 
-def whole(batches, most: int):
-    """Lists of sorted batches that hold about ``most`` list elements, and all rows of every key they hold."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if size >= most:
-            u = b.column(0).to_numpy()
-            cut = int(np.searchsorted(u, held[-1].column(0)[-1].as_py(), side="right"))
-            if cut < len(u):
-                yield [*held, b.slice(0, cut)] if cut else held
-                held, size, b = [], 0, b.slice(cut)
-        held.append(b)
-        size += len(b.column(1).flatten())
-    if held:
-        yield held
+class Sender:
+    """Gathers edges and packs them; when ``ELEMENTS`` are held, only each owner's k best are kept, and they go on their way."""
+
+    def __init__(self, k: int, parts: int):
+        self.k, self.parts, self.held, self.n = k, parts, [], 0
+
+    def add(self, u, v, s, new):
+        self.held.append((u, v, s, new))
+        self.n += len(u)
+        if self.n >= ELEMENTS:
+            yield from self.send()
 
+    def send(self):
+        if self.n:
+            yield packed(*lists(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.k), self.parts)
+        self.held, self.n = [], 0
 
-def best_of(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """The k best of each node or query from rows of lists; a task holds about ELEMENTS list elements at once."""
+
+def sent(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """Rows of lists, packed."""
+
+    def run(batches):
+        out = Sender(k, parts)
+        for b in batches:
+            if b.num_rows:
+                yield from out.add(*flat(b))
+        yield from out.send()
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def best_of(edges: DataFrame, k: int, tasks: int) -> DataFrame:
+    """The k best of each owner as rows of lists, from packed edges; a task takes one part after the other."""
 
     def run(batches):
-        for some in whole(batches, ELEMENTS):
-            yield lists(*(np.concatenate(x) for x in zip(*map(flat, some), strict=True)), k)
+        for g in groups(batches):
+            yield list_batch(*lists(*unpacked([x for b in g for x in b.column(1).to_pylist()]), k))
+
+    return edges.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, LISTS)
+
 
-    return rows.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(run, LISTS)
+def parts_of(tasks: int) -> int:
+    """Parts of the owners: a few for each task, so that a hash deals them out evenly."""
+    return 8 * tasks
 
 
-def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
+def first_lists(vecs: DataFrame, n: int, tasks: int, seed: int) -> DataFrame:
     """Edges within runs of CHUNK nodes of each shard in each random ordering."""
     bits = max(0, min(40, int(np.log2(max(1, n / CHUNK)))))
 
@@ -208,17 +252,17 @@ def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
                 run = pa.array(b.column(1).to_numpy() * ORDERINGS + t)
                 yield pa.RecordBatch.from_arrays([run, pa.array(code), pa.array(z[:, bits]), b.column(0), b.column(2)], names=["run", "code", "z", "id", "vec"])
 
-    def near(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def near(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
         ids = np.concatenate([b.column(3).to_numpy() for b in rows])
         x = matrix([v for b in rows for v in b.column(4).to_pylist()])
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         k = min(K, len(ids) - 1)
         at = np.argpartition(-s, k - 1, 1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
-        return list_batch(ids, np.arange(1, len(ids) + 1) * k, ids[at].ravel(), np.take_along_axis(s, at, 1).ravel(), np.ones(at.size, bool))
+        return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel(), np.ones(at.size, bool)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        out, held = Sender(K, parts_of(tasks)), []
         size, now = 0, None
         for b in batches:
             t = b.column(0).to_numpy()
@@ -226,18 +270,19 @@ def first_lists(vecs: DataFrame, n: int, seed: int) -> DataFrame:
             while lo < b.num_rows:
                 if t[lo] != now or size == CHUNK:
                     if size:
-                        yield near(held)
+                        yield from out.add(*near(held))
                     held, size, now = [], 0, t[lo]
                 hi = min(int(np.searchsorted(t, now, side="right")), lo + CHUNK - size)
                 held.append(b.slice(lo, hi - lo))
                 size, lo = size + hi - lo, hi
         if size:
-            yield near(held)
+            yield from out.add(*near(held))
+        yield from out.send()
 
     rows = vecs.mapInArrow(keyed, fields(("run", LONG), ("code", LONG), ("z", FLOAT), ("id", LONG), ("vec", BYTES)))
     parts = max(1, -(-ORDERINGS * n // (4 * CHUNK)))
     order = ["run", "code", "z", "id"]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, LISTS)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, PACKED)
 
 
 def both_ways(graph: DataFrame, seed: int) -> DataFrame:
@@ -253,7 +298,7 @@ def both_ways(graph: DataFrame, seed: int) -> DataFrame:
     return own.join(back, "center", "left").select("center", F.when(F.col("back").isNull(), F.col("ahead")).otherwise(F.concat("ahead", "back")).alias("members"))
 
 
-def descend(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> DataFrame:
+def descend(graph: DataFrame, vecs: DataFrame, tasks: int, seed: int) -> DataFrame:
     """One round of NN-descent over the pairs with a new edge."""
     worst = graph.select(F.col("u").alias("member"), F.when(F.size("ss") >= K, F.element_at("ss", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     own = vecs.select(F.col("id").alias("member"), "vec").join(worst, "member")
@@ -261,7 +306,7 @@ def descend(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> DataFra
     rows = around.select("center", F.explode("members").alias("m")).select("center", "m.member", "m.new").join(own, "member").select("center", "member", "worst", "new", "vec")
 
     def run(batches):
-        held, n = [], 0
+        out = Sender(K, parts_of(tasks))
         for g in groups(batches):
             ids = np.concatenate([b.column(1).to_numpy() for b in g])
             low = np.concatenate([b.column(2).to_numpy() for b in g])
@@ -273,25 +318,20 @@ def descend(graph: DataFrame, vecs: DataFrame, parts: int, seed: int) -> DataFra
             p = x @ x.T
             np.fill_diagonal(p, -np.inf)
             i, j = np.nonzero((p > low[:, None]) & (new[:, None] | new[None]))
-            held.append((ids[i], ids[j], p[i, j], np.ones(len(i), bool)))
-            n += len(i)
-            if n > ELEMENTS:
-                yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)), K)
-                held, n = [], 0
-        if n:
-            yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)), K)
-
-    offers = rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(run, LISTS)
+            yield from out.add(ids[i], ids[j], p[i, j], np.ones(len(i), bool))
+        yield from out.send()
+
+    offers = rows.repartition(tasks, "center").sortWithinPartitions("center").mapInArrow(run, PACKED)
     used = graph.select("u", "vs", "ss", F.transform("new", lambda _: F.lit(False)).alias("new"))
-    return best_of(used.unionByName(offers), K, parts)
+    return best_of(sent(used, K, parts_of(tasks)).unionByName(offers), K, tasks)
 
 
 def build(vecs: DataFrame, n: int, stages: Stages, seed: int = 5) -> DataFrame:
     """The neighbour graph (u, vs, ss, new) of nodes (id, shard, vec)."""
-    parts = max(1, -(-n // NODES_PER_TASK))
-    graph, r = stages.keep(best_of(first_lists(vecs, n, seed), K, parts), "graph"), 0
+    tasks = max(1, -(-n // NODES_PER_TASK))
+    graph, r = stages.keep(best_of(first_lists(vecs, n, tasks, seed), K, tasks), "graph"), 0
     while True:
-        better = stages.keep(descend(graph, vecs, parts, seed + r), "graph")
+        better = stages.keep(descend(graph, vecs, tasks, seed + r), "graph")
         stages.drop(graph)
         graph, r = better, r + 1
         sizes = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))).alias("new"), F.sum(F.size("new")).alias("all")).first()
@@ -335,12 +375,12 @@ def starts(queries: DataFrame, pilots: list, shard: int) -> DataFrame:
                     v, s = np.append(v, q), np.append(s, np.float32(np.inf))  # expanded first; scored exactly at the end
                 rows.append((np.full(len(v), q), v, s, np.ones(len(v), bool)))
             if rows:
-                yield lists(*(np.concatenate(x) for x in zip(*rows, strict=True)), BEAM)
+                yield list_batch(*lists(*(np.concatenate(x) for x in zip(*rows, strict=True)), BEAM))
 
     return queries.select("q", "vec", "own").mapInArrow(run, LISTS)
 
 
-def hop(state: DataFrame, queries: DataFrame, adjacency: DataFrame, parts: int) -> DataFrame:
+def hop(state: DataFrame, queries: DataFrame, adjacency: DataFrame, tasks: int) -> DataFrame:
     """Expand the best WIDTH unexpanded nodes of every query and merge what they give into its beam."""
     full = F.when(F.size("ss") >= BEAM, F.element_at("ss", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     next_ = F.slice(F.filter("vs", lambda v, i: F.get(F.col("new"), i)), 1, WIDTH)
@@ -348,23 +388,21 @@ def hop(state: DataFrame, queries: DataFrame, adjacency: DataFrame, parts: int)
     asked = state.select(F.col("u").alias("q"), full.alias("worst"), "next").join(queries.select("q", "vec"), "q").select("q", "vec", "worst", F.explode("next").alias("v"))
 
     def score(batches):
+        out = Sender(BEAM, parts_of(tasks))
         for b in batches:
             q, worst = b.column("q").to_numpy(), b.column("worst").to_numpy()
-            out_v, out_s, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [0]
             for i in range(b.num_rows):
                 ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)
                 s = scored(b.column("vec")[i].as_buffer(), b.column("vecs")[i].as_buffer())
                 good = s > worst[i]
-                out_v.append(ids[good])
-                out_s.append(s[good])
-                ends.append(ends[-1] + int(good.sum()))
-            if len(q):
-                v = np.concatenate(out_v)
-                yield list_batch(q, np.array(ends[1:]), v, np.concatenate(out_s), np.ones(len(v), bool))
-
-    found = asked.join(adjacency, "v").select("q", "vec", "worst", "ids", "vecs").mapInArrow(score, LISTS)
+                n = int(good.sum())
+                if n:
+                    yield from out.add(np.full(n, q[i]), ids[good], s[good], np.ones(n, bool))
+        yield from out.send()
+
+    found = asked.join(adjacency, "v").select("q", "vec", "worst", "ids", "vecs").mapInArrow(score, PACKED)
     old = F.transform("vs", lambda v, i: F.get(F.col("new"), i) & ~F.array_contains("next", v)).alias("new")
-    return best_of(state.select("u", "vs", "ss", old).unionByName(found), BEAM, parts)
+    return best_of(sent(state.select("u", "vs", "ss", old), BEAM, parts_of(tasks)).unionByName(found), BEAM, tasks)
 
 
 def search(df: DataFrame, stages: Stages, queries, id: str = "vec_id", vector: str = "embedding", top: int = 20) -> DataFrame:
