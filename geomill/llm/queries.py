@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, language_id, license_scan, mixing, near_dedup, ogg_media, quality_lm, token_counts, toxicity
+from . import ann, bpe_codec, language_id, license_scan, mixing, near_dedup, ogg_media, quality_lm, sharding, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -81,4 +81,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.shard_documents(docs, Stages(spark), drop=True)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_words")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup, op11_sharding)}
