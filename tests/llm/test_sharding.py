@@ -60,10 +60,13 @@ def test_groups_stay_whole_unless_beyond_a_shard(spark):
     rows = sharding.shard_documents(spark.createDataFrame(docs, SCHEMA), Stages(spark)).collect()
     sums = check_rows(rows, docs)
     assert sums[:, 0].max() / sums[:, 0].mean() < 1.05 and sums[:, 2].max() / sums[:, 2].mean() < 1.3
-    text, where = dict(docs), {}
+    text, where, loads = dict(docs), {}, {}
     for x in rows:
         where.setdefault(text[x.doc_id], set()).add(x.shard)
-    assert {t for t, s in where.items() if len(s) > 1} == {"the same words again"}
+        loads[text[x.doc_id]] = loads.get(text[x.doc_id], 0) + np.array([x.size, x.n_words, 1])
+    beyond = {t for t, v in loads.items() if (v / sums.sum(0)).max() > 1 / 16}
+    assert "the same words again" in beyond and len(beyond) < 10
+    assert {t for t, s in where.items() if len(s) > 1} == beyond
 
 
 def test_edges(spark):
