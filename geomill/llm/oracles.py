@@ -50,4 +50,25 @@ m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON m.id = doc_id
 """
 
-ORACLES = {"op1_mix_sources": MIX, "op10_near_dedup": NEAR}
+RANKED = r"""
+WITH q AS (
+  SELECT row_number() OVER () AS q, item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT q, item_id, t, count(*)::BIGINT AS times FROM q GROUP BY ALL),
+d AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+m AS (SELECT d, doc_id, 25 + (75 * len(w)::BIGINT * n.n) // n.l AS m FROM d, n WHERE len(w) > 0),
+p AS (SELECT d, t, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, n GROUP BY t),
+s AS (
+  SELECT a.q, a.item_id, m.doc_id, p.d, sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM asked a JOIN p USING (t) JOIN w USING (t) JOIN m USING (d) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 10
+"""
+
+ORACLES = {"op1_mix_sources": MIX, "op10_near_dedup": NEAR, "op12_ranked_search": RANKED}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, language_id, license_scan, mixing, near_dedup, ogg_media, quality_lm, sharding, token_counts, toxicity
+from . import ann, bpe_codec, language_id, lexical, license_scan, mixing, near_dedup, ogg_media, quality_lm, sharding, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -87,4 +87,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup, op11_sharding)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark)
+    index = lexical.build(table(spark, sf_dir, "documents"), stages)
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), stages)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup, op11_sharding, op12_ranked_search)}
