@@ -71,4 +71,34 @@ SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::
 FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 10
 """
 
-ORACLES = {"op1_mix_sources": MIX, "op10_near_dedup": NEAR, "op12_ranked_search": RANKED}
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT d, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::BIGINT AS c FROM t GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+lang AS (SELECT lang, count(*)::BIGINT AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (
+  SELECT g.lang, g.source, coalesce(sum(c.c), 0)::BIGINT AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.c, 0) AS c, k.c AS lc, l.n AS ln, l.v AS v,
+    1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (gn.n + l.v) AS p
+  FROM gn JOIN lang l USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  WHERE a.lang NOT IN (SELECT lang FROM lang)),
+q AS (SELECT lang, source, term AS item, p, 1 + (1000000000 * (lc + 1)) // (ln + v) AS q FROM p WHERE c > 0),
+term AS (SELECT lang, source, item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM q WHERE p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+UNION ALL
+SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200
+"""
+
+ORACLES = {"op1_mix_sources": MIX, "op10_near_dedup": NEAR, "op12_ranked_search": RANKED, "op13_source_divergence": DIVERGENCE}

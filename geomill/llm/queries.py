@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, language_id, lexical, license_scan, mixing, near_dedup, ogg_media, quality_lm, sharding, token_counts, toxicity
+from . import ann, bpe_codec, divergence, language_id, lexical, license_scan, mixing, near_dedup, ogg_media, quality_lm, sharding, token_counts, toxicity
 from .common import Stages, fold, table
 from .oracles import ORACLES
 
@@ -93,4 +93,8 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, table(spark, sf_dir, "benchmark"), stages)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup, op11_sharding, op12_ranked_search)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Stages(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_quality_lm, op4_ogg_media, op5_toxicity, op6_token_counts, op7_language_id, op8_bpe_codec, op9_nearest, op10_near_dedup, op11_sharding, op12_ranked_search, op13_source_divergence)}
