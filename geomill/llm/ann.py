@@ -11,8 +11,11 @@ runs of ``CHUNK`` nodes of a shard give each other's best.  NN-descent: each nod
 neighbours and up to ``REVERSE`` nodes that name it, new ones first, with their vectors, and
 offers those pairs of them to each other that hold a new edge; a node keeps the best ``K`` of
 what it has and is offered.  Rounds go on until one changes less than ``DELTA`` of all edges.
-Search: shards are taken from the longest on.  A query starts at its own node and at the best
-of ``PILOTS`` nodes of the shard and keeps the best ``BEAM`` nodes seen; in each round the
+Search: shards are taken from the longest on.  Where vectors form clusters, the graph is a set of islands, so
+a query needs entry points in all that matter.  It starts at its own node, at the best of a drawn set of the
+shard's nodes (as many as the square root of their number, ``PILOTS`` at least), and at the best it meets
+in ``ENTRIES`` further orderings, by direction alone, in which the queries stand among the nodes and meet
+the run of ``CHUNK`` nodes around them.  It keeps the best ``BEAM`` nodes seen; in each round the
 neighbours of its best unexpanded ones are scored, until all are expanded.  A query is done
 with when no vector of the next shard is long enough to reach its nearest ones.
 
@@ -42,6 +45,8 @@ from .common import Stages
 
 K, REVERSE, CHUNK, ORDERINGS, DELTA = 32, 16, 2048, 6, 0.005
 BEAM, WIDTH, PILOTS, STARTS = 192, 64, 256, 16
+#: Orderings for entry points, and the most queries that wait for the end of their run of nodes.
+ENTRIES, WAITING = 6, 4096
 NODES_PER_TASK, ELEMENTS = 8_000, 500_000
 #: Lengths are counted in steps of a quarter of an octave; a shard spans so many of them.
 STEPS, SPAN = 4, 8
@@ -380,6 +385,71 @@ def starts(queries: DataFrame, pilots: list, shard: int) -> DataFrame:
     return queries.select("q", "vec", "own").mapInArrow(run, LISTS)
 
 
+def directions(rows: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-30)[:, None]
+
+
+def entries(queries: DataFrame, vecs: DataFrame, n: int, tasks: int, seed: int) -> DataFrame:
+    """Packed edges from queries (q, vec) to the best ``STARTS`` of the ``n`` nodes (id, vec) around them, in each ordering by direction."""
+    bits = max(0, min(40, int(np.log2(max(1, n / CHUNK)))))
+
+    def keyed(batches):
+        planes = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = directions(b.column(2).to_pylist())
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(ENTRIES, x.shape[1], bits + 1)).astype(np.float32)
+            for t in range(ENTRIES):
+                z = x @ planes[t]
+                code = ((z[:, :bits] > 0) * (1 << np.arange(bits))).sum(1).astype(np.int64)
+                run = pa.array(np.full(len(x), t))
+                yield pa.RecordBatch.from_arrays([run, pa.array(code), pa.array(z[:, bits]), *b.columns], names=["run", "code", "z", "id", "asks", "vec"])
+
+    def near(nodes: tuple[np.ndarray, np.ndarray], asking: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        q, s = np.concatenate([a[0] for a in asking]), np.concatenate([a[1] for a in asking]) @ nodes[1].T
+        k = min(STARTS, s.shape[1])
+        at = np.argpartition(-s, k - 1, 1)[:, :k]
+        return np.repeat(q, k), nodes[0][at].ravel(), np.take_along_axis(s, at, 1).ravel(), np.ones(at.size, bool)
+
+    def run(batches):
+        out = Sender(BEAM, parts_of(tasks))
+        now, held, asking, size, waiting = None, [], [], 0, 0
+
+        def meet():
+            if held and waiting:
+                yield from out.add(*near(tuple(np.concatenate(c) for c in zip(*held, strict=True)), asking))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, ids, asks = b.column(0).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+            x = np.frombuffer(b"".join(b.column(5).to_pylist()), np.float16).reshape(len(t), -1).astype(np.float32)
+            cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if t[lo] != now:
+                    yield from meet()
+                    now, held, asking, size, waiting = t[lo], [], [], 0, 0
+                mine, other = np.arange(lo, hi)[~asks[lo:hi]], np.arange(lo, hi)[asks[lo:hi]]
+                held.append((ids[mine], x[mine]))
+                asking.append((ids[other], x[other]))
+                size, waiting = size + len(mine), waiting + len(other)
+                if size >= CHUNK or (waiting >= WAITING and size):
+                    yield from meet()
+                    asking, waiting = [], 0
+                    if size >= CHUNK:
+                        held, size = [], 0
+        yield from meet()
+        yield from out.send()
+
+    rows = vecs.select("id", F.lit(False).alias("asks"), "vec").unionByName(queries.select(F.col("q").alias("id"), F.lit(True).alias("asks"), "vec"))
+    rows = rows.mapInArrow(keyed, fields(("run", LONG), ("code", LONG), ("z", FLOAT), ("id", LONG), ("asks", T.BooleanType()), ("vec", BYTES)))
+    order = ["run", "code", "z", "id"]
+    return rows.repartitionByRange(max(1, -(-ENTRIES * n // (4 * CHUNK))), *order).sortWithinPartitions(*order).mapInArrow(run, PACKED)
+
+
 def hop(state: DataFrame, queries: DataFrame, adjacency: DataFrame, tasks: int) -> DataFrame:
     """Expand the best WIDTH unexpanded nodes of every query and merge what they give into its beam."""
     full = F.when(F.size("ss") >= BEAM, F.element_at("ss", -1)).otherwise(F.lit(float("-inf"))).cast("float")
@@ -423,8 +493,14 @@ def search(df: DataFrame, stages: Stages, queries, id: str = "vec_id", vector: s
     live = stages.keep(unit.join(vecs.select(F.col("id").alias("q"), F.col("shard").alias("own")), "q"), "live")
     beams: DataFrame | None = None
     for shard, step in enumerate(tops):
-        pilots = vecs.filter(F.col("shard") == shard).orderBy(F.xxhash64("id"), "id").limit(PILOTS).collect()
-        state = stages.keep(starts(live, pilots, shard), "beam")
+        mine = vecs.filter(F.col("shard") == shard)
+        size = mine.count()
+        # a small shard is met whole; else the square root, at most some tens of thousands of vectors
+        pilots = mine.orderBy(F.xxhash64("id"), "id").limit(CHUNK if size <= CHUNK else max(PILOTS, int(size**0.5))).collect()
+        state = starts(live, pilots, shard)
+        if size > CHUNK:
+            state = best_of(sent(state, BEAM, parts_of(parts)).unionByName(entries(live, mine, size, parts, shard)), BEAM, parts)
+        state = stages.keep(state, "beam")
         while not state.filter(F.exists("new", lambda x: x)).isEmpty():
             after = stages.keep(hop(state, live, adjacency, parts), "beam")
             stages.drop(state)

@@ -191,6 +191,27 @@ def test_nearest_at_any_length(spark, kind):
     assert np.mean(hit) >= 0.95 and min(hit) >= 0.7
 
 
+@pytest.mark.parametrize(("size", "lengths"), [(40, (1, 2)), (20, (1, 2, 8)), (200, (1, 2))])
+def test_nearest_among_islands(spark, size, lengths):
+    """Tight clusters, smaller and larger than K, in several lengths: the graph falls apart, and a query's nearest lie on another island."""
+    r = np.random.default_rng(size)
+    n = max(1, 5600 // (size * len(lengths)))
+    at = r.normal(size=(n, 32))
+    at /= np.linalg.norm(at, axis=1)[:, None]
+    x = np.concatenate([k * (np.repeat(at, size, 0) + 0.02 * r.normal(size=(n * size, 32))) for k in lengths]).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for h in ann.search(df, Stages(spark), lambda c: c % 20 == 0).collect():
+        got.setdefault(h.query_id, set()).add(h.vec_id)
+    x, hit = x.astype(float), {}
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.setdefault(round(np.linalg.norm(x[q])), []).append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert all(np.mean(v) >= 0.97 and min(v) >= 0.8 for v in hit.values())
+
+
 def test_shards_and_descent(spark):
     """Shards span a factor of four; descent mends lists that begin at random and ends by itself."""
     nodes = spark.createDataFrame([(1.0,), (1.1,), (3.9,), (1e-200,), (1e200,)], "length double")
