@@ -48,6 +48,8 @@ K1_TIMES, LENGTH_SHARE, SCALE = 8, 75, 1_000_000_000
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Most documents and postings of a block, and queries that are searched at once.
 BLOCK_DOCS, BLOCK_POSTINGS, QUERIES_AT_ONCE = 4096, 250_000, 512
+#: Postings that a task sorts into blocks, on average (rows are dealt evenly by number, and the longest documents lie together).
+PART_POSTINGS = 1_000_000
 #: Blocks of an Arrow batch.
 BATCH_BLOCKS = 8
 #: Strata that a query visits in the first wave; each later wave visits so many times more.
@@ -108,12 +110,10 @@ class Index:
 
 def build(docs: DataFrame, stages: Stages, text: str = "text", doc_id: str = "doc_id") -> Index:
     """The index over all rows of ``docs``."""
-    spark = docs.sparkSession
     rows = stages.keep(counted(docs, text, doc_id), "counted")
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, total, postings = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     m = (100 - LENGTH_SHARE + F.expr(f"({LENGTH_SHARE} * n * {n}L) div {max(total, 1)}L")).alias("m")
-    # rows are dealt evenly by number, and the longest documents lie together: smaller parts bound what a task sorts
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-postings // PART_POSTINGS))
     # the hash deals equal rows (a third of the table may be one document's copies) over partitions
     rows_m = rows.select(m, "doc_id", "terms", "tfs", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("mix"))
     dealt = rows_m.repartitionByRange(parts, "m", "mix").sortWithinPartitions("m", F.asc_nulls_last("doc_id")).select("m", "doc_id", "terms", "tfs")
