@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +103,141 @@ def resolve_chains(merged: DataFrame, keep: Callable[[DataFrame], DataFrame], ro
     raise ValueError("merges form a cycle")
 
 
+#: Merges in order (see ``fuse_in_order``): ``id`` went into ``into`` by the decision (a, b) of this confidence.
+LOG = "id long, into long, a long, b long, confidence double"
+
+
+def oriented(decisions: DataFrame, records: DataFrame) -> DataFrame:
+    """(confidence, a, b, alive, dead) of decisions (a, b, confidence): which of the two records would survive.
+
+    A place id wins, then more evidence, then the smaller id as text.  Records: id, place, evidence.
+    """
+    rank = F.struct((~identifiers.is_place_id(F.col("place"))).alias("p"), (-F.col("evidence")).alias("e"), F.col("id").cast("string").alias("t"))
+    r = records.select("id", rank.alias("rank"))
+    side = lambda c: r.select(F.col("id").alias(c), F.col("rank").alias(f"r{c}"))
+    d = decisions.filter("a <> b").groupBy("a", "b").agg(F.max(F.col("confidence").cast("double")).alias("confidence")).join(side("a"), "a").join(side("b"), "b")
+    first = F.col("ra") < F.col("rb")
+    return d.select("confidence", "a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("alive"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dead"))
+
+
+def fuse_in_order(decisions: DataFrame, records: DataFrame, keep: Callable[[DataFrame], DataFrame], apart: Sequence[str] = (), same: Sequence[str] = (), most: int = 20_000) -> DataFrame:
+    """The merges (``LOG``) of decisions (a, b, confidence) taken one after another, by confidence desc, a, b.
+
+    A decision merges the groups that its records are in by then: the group of the record that dies goes into
+    that of the one that survives (``oriented``); records of one group already are left.  A merge is
+    refused if the two groups would share a value of a column of ``apart`` (one record a source) or differ
+    in a column of ``same`` (different documents); nulls don't count.
+
+    Decisions of one connected group are independent of all others.  Groups of up to ``most`` decisions go through
+    their list in a task each; larger ones by rounds: a decision that is the best one left for both its groups is
+    next in its neighbourhood whatever happens elsewhere, so all such decisions are taken, or refused, at once.
+    """
+    d = keep(oriented(decisions, records))
+    label = components(d.select("a", "b"), keep)
+    d = keep(d.join(label.select(F.col("id").alias("a"), "component"), "a"))
+    n = d.groupBy("component").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > most)
+    d = keep(d.join(n.drop("n"), "component"))
+    rules = records.select("id", *apart, *same).dropDuplicates(["id"])
+    log = keep(_fuse_small(d.filter("NOT large"), rules, list(apart), list(same)))
+    large = d.filter("large").drop("large", "component")
+    return log if large.isEmpty() else log.unionByName(_fuse_rounds(large, rules, list(apart), list(same), keep))
+
+
+def _fuse_small(d: DataFrame, rules: DataFrame, apart: list[str], same: list[str]) -> DataFrame:
+    ends = d.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().join(rules, "id")
+    rows = d.select("component", "confidence", "a", "b", "alive", "dead")
+    rows = rows.unionByName(ends.select("component", F.col("id").alias("a"), *apart, *same), allowMissingColumns=True) if apart or same else rows
+
+    def go(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_pylist() for c in table.column_names}
+        held = {c: {} for c in apart + same}  # of each group's first record, the values of the group
+        for i, alive in enumerate(cols["alive"]):
+            if alive is None:
+                for c in held:
+                    held[c][cols["a"][i]] = {cols[c][i]} - {None}
+        short: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while top in short:
+                top = short[top]
+            while x != top:
+                short[x], x = top, short.get(x, top)
+            return top
+
+        out = []
+        order = sorted((i for i, x in enumerate(cols["alive"]) if x is not None), key=lambda i: (-cols["confidence"][i], cols["a"][i], cols["b"][i]))
+        for i in order:
+            x, y = find(cols["alive"][i]), find(cols["dead"][i])
+            if x == y or any(held[c].get(x, set()) & held[c].get(y, set()) for c in apart) or any(len(held[c].get(x, set()) | held[c].get(y, set())) > 1 for c in same):
+                continue
+            short[y] = x
+            for c in held:
+                held[c][x] = held[c].get(x, set()) | held[c].get(y, set())
+            out.append((y, x, cols["a"][i], cols["b"][i], cols["confidence"][i]))
+        names = ("id", "into", "a", "b", "confidence")
+        kinds = (pa.int64(),) * 4 + (pa.float64(),)
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return rows.groupBy("component").applyInArrow(go, LOG)
+
+
+def _fuse_rounds(d: DataFrame, rules: DataFrame, apart: list[str], same: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    sets = [F.when(F.col(c).isNotNull(), F.array(F.col(c))).otherwise(F.expr(f"array() :: array<{dict(rules.dtypes)[c]}>")).alias(c) for c in apart + same]
+    ends = d.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    groups, log = keep(ends.join(rules.select("id", *sets), "id")), None
+    left = keep(d.withColumns({"x": F.col("alive"), "y": F.col("dead")}))
+    while not left.isEmpty():
+        order = F.struct((-F.col("confidence")).alias("c"), "a", "b")
+        every = left.select(order.alias("o"), F.explode(F.array("x", "y")).alias("g")).groupBy("g").agg(F.min("o").alias("best"))
+        best = lambda c: every.select(F.col("g").alias(c), F.col("best").alias(f"best{c}"))  # noqa: B023, E731
+        now = keep(left.join(best("x"), "x").join(best("y"), "y").filter((F.col("bestx") == F.col("besty")) & (F.col("bestx") == order)).drop("bestx", "besty"))
+        side = lambda c: groups.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in apart + same])  # noqa: B023, E731
+        met = now.join(side("x"), "x").join(side("y"), "y")
+        fits = F.lit(True)
+        for k in apart:
+            fits &= ~F.arrays_overlap(f"x_{k}", f"y_{k}")
+        for k in same:
+            fits &= F.size(F.array_union(f"x_{k}", f"y_{k}")) <= 1
+        met = keep(met.withColumn("fits", fits))
+        merged = keep(met.filter("fits"))
+        part = keep(merged.select(F.col("y").alias("id"), F.col("x").alias("into"), "a", "b", "confidence"))
+        log = part if log is None else log.unionByName(part)
+        joined = merged.select(F.col("x").alias("id"), *[F.array_union(f"x_{k}", f"y_{k}").alias(k) for k in apart + same])
+        groups = keep(groups.join(merged.select(F.explode(F.array("x", "y")).alias("id")), "id", "left_anti").unionByName(joined))
+        moved = part.select("id", "into")
+        to = lambda c: moved.select(F.col("id").alias(c), F.col("into").alias(f"to{c}"))  # noqa: B023, E731
+        rest = left.join(now.select("a", "b", "confidence"), ["a", "b", "confidence"], "left_anti").join(to("x"), "x", "left").join(to("y"), "y", "left")
+        rest = rest.withColumns({"x": F.coalesce("tox", "x"), "y": F.coalesce("toy", "y")}).drop("tox", "toy").filter("x <> y")
+        left = keep(rest.select("confidence", "a", "b", "alive", "dead", "x", "y"))
+    return log
+
+
+def destinations(log: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, into): where every merged record ends up."""
+    return resolve_chains(log, keep)
+
+
+def without(decisions: DataFrame, dropped: DataFrame, log: DataFrame, records: DataFrame, keep: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """The log after the decisions ``dropped`` (a, b) are withdrawn; groups that none of them formed stay as they are.
+
+    A decision that is in no merge of the log has formed nothing, so only groups with a withdrawn merge are
+    taken apart and fused again from their remaining decisions (``how`` as for ``fuse_in_order``).  Without ``apart`` and ``same``
+    those are the connected groups of the log; with them a withdrawn merge may free one that was refused, and the groups are
+    those that decisions connect.
+    """
+    gone = dropped.select("a", "b").distinct()
+    if how.get("apart") or how.get("same"):
+        label = components(decisions.select("a", "b"), keep)
+    else:
+        label = components(log.select(F.col("id").alias("a"), F.col("into").alias("b")), keep)
+    at = label.select(F.col("id").alias("a"), "component")
+    hit = keep(log.join(gone, ["a", "b"], "left_semi").join(at, "a").select("component").distinct())
+    touched = keep(label.join(hit, "component", "left_semi").select(F.col("id").alias("a")))
+    again = decisions.join(touched, "a", "left_semi").join(gone, ["a", "b"], "left_anti")
+    return log.join(touched, "a", "left_anti").select(log.columns).unionByName(fuse_in_order(again, records, keep, **how))
+
+
 def same_source(rows: DataFrame, keep: Callable[[DataFrame], DataFrame], block: Sequence[str]) -> DataFrame:
     """(id, into): duplicates of one block, merged into their group's smallest id only if directly similar to it.
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from geomill.functions import geo, similarity, text
 
+from . import areas
+from .stages import keeper
+
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 #: Half of the plane, the own cell included: each unordered pair of cells once.
 HALF_STEPS = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -122,18 +125,12 @@ def key_pairs(rows: DataFrame, keys: Sequence[str], block: int = 10_000, id: str
     return pairs.select("a", "b", *[f"{p}_{c}" for p in "ab" for c in columns])
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, max_polygons: int = 10_000) -> DataFrame:
+def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """The first polygon (smallest name) that holds each point: (id, name); points outside get none.
 
-    Polygons (name, ring) are broadcast if counted to be few; they meet points by whole-degree cells,
-    then by box, then exactly.
+    Polygons (name, ring) meet points by the cells of their quadtree covers.
     """
-    span = lambda f, k: F.floor(f(F.transform("ring", lambda p: p[k])))
-    boxes = polygons.withColumn("cy", F.explode(F.sequence(span(F.array_min, "lat"), span(F.array_max, "lat")))).withColumn("cx", F.explode(F.sequence(span(F.array_min, "lng"), span(F.array_max, "lng"))))
-    small = polygons.count() <= max_polygons
-    p = points.withColumn("cy", F.floor("lat")).withColumn("cx", F.floor("lng"))
-    hits = p.join(F.broadcast(boxes) if small else boxes, ["cy", "cx"]).filter(geo.in_ring(F.col("lat"), F.col("lng"), F.col("ring")))
-    return hits.groupBy("id").agg(F.min("name").alias("name"))
+    return areas.points_in_polygons(points, polygons, keeper(points.sparkSession)).groupBy("id").agg(F.min("name").alias("name"))
 
 
 def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -166,23 +163,39 @@ def cascade(left: DataFrame, right: DataFrame, steps: Sequence[tuple[str, Sequen
     return out
 
 
-def greedy_one_to_one(proposals: DataFrame, keep, rounds: int = 50) -> DataFrame:
-    """Greedy assignment by (strength desc, m asc, a, b), each a and b used once.
+def greedy_one_to_one(proposals: DataFrame, keep) -> DataFrame:
+    """Greedy assignment by (strength desc, m asc, a, b), each a and b used once; of repeated pairs the best counts.
 
-    A proposal that is the best left for both its ends is taken; with a total order, rounds of such mutual
-    choices give the same result as going through the sorted list.  ``keep`` writes a round's table.
+    The result of going through the sorted list, in rounds.  A proposal waits for the better ones at its two ends.
+    One that waits for none is taken.  One that waits for a single other is taken if that one isn't, so
+    along paths of such proposals the fates alternate; pointer doubling finds how far each is from the head
+    of its path, and a chain of any length is settled in one round.  ``keep`` writes a round's
+    table; rounds go on until nothing is left.
     """
-    order = F.struct((-F.col("strength")).alias("s"), "m", "a", "b")
-    left, taken = keep(proposals.select("a", "b", "strength", "m")), None
-    for _ in range(rounds):
-        best = left.withColumn("o", order)
-        best = best.withColumn("ba", F.min("o").over(Window.partitionBy("a"))).withColumn("bb", F.min("o").over(Window.partitionBy("b"))).filter("o = ba AND o = bb").select("a", "b", "strength", "m")
-        best = keep(best)
-        taken = best if taken is None else taken.unionByName(best)
-        left = keep(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
-        if left.isEmpty():
-            return taken
-    raise RuntimeError("the assignment isn't done after so many rounds")
+    best = F.min(F.struct((-F.col("strength")).alias("s"), "m"))
+    left = keep(proposals.groupBy("a", "b").agg(best.alias("o")).select("a", "b", (-F.col("o.s")).alias("strength"), "o.m"))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        won = keep(_settled(left, keep))
+        taken = taken.unionByName(won)
+        left = keep(left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
+    return taken
+
+
+def _settled(left: DataFrame, keep) -> DataFrame:
+    """The proposals that are sure to be taken: those that wait for none, and those at even places of a path from one."""
+    order, ends = F.struct((-F.col("strength")).alias("s"), "m", "a", "b"), {}
+    for c in "ab":
+        w = Window.partitionBy(c)
+        ends |= {f"n{c}": F.row_number().over(w.orderBy("o")) - 1, f"top{c}": F.min("o").over(w)}
+    r = left.withColumn("o", order).withColumns(ends).withColumn("waits", F.col("na") + F.col("nb"))
+    for_ = F.when(F.col("waits") != 1, F.struct("a", "b")).when(F.col("na") == 1, F.struct("topa.a", "topa.b")).otherwise(F.struct("topb.a", "topb.b"))
+    now = keep(r.select("a", "b", "strength", "m", for_.alias("to"), (F.col("waits") == 1).cast("int").alias("odd"), (F.col("waits") == 0).alias("sure"), F.lit(True).alias("moved")))
+    while not now.filter("moved AND odd IS NOT NULL AND NOT (to.a = a AND to.b = b)").isEmpty():
+        far = now.select(F.struct("a", "b").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"), F.col("sure").alias("head"))
+        step = now.join(far, "to").select("a", "b", "strength", "m", F.col("next").alias("to"), ((F.col("odd") + F.col("more")) % 2).alias("odd"), (F.col("sure") | F.col("head")).alias("sure"), (F.col("next") != F.col("to")).alias("moved"))
+        now = keep(step)
+    return now.filter("sure AND odd = 0").select("a", "b", "strength", "m")
 
 
 def rare_token_pairs(a: DataFrame, b: DataFrame, most: int, at_least: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, nested, similarity, text
-from geomill.operators import address, changes, cluster, fusion, joins, lexicon
+from geomill.operators import address, changes, cluster, fusion, joins, lexicon, numbering
 
 from .inputs import Tables
 from .joins import RINGS
@@ -157,6 +157,27 @@ both("e06_first_by_order", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey,
 both("e07_best_link", "SELECT city, id FROM (SELECT city, id, row_number() OVER (PARTITION BY city ORDER BY evidence DESC, nullif(number, '') NULLS LAST, id) AS rn FROM poi) q WHERE rn = 1")
 both("e09_sequence_per_group", "SELECT id, 100 + row_number() OVER (PARTITION BY city ORDER BY id) AS seq FROM poi")
 both("e10_order_agreement", "SELECT street, count(*) FILTER (WHERE dn * dy > 0) AS up, count(*) FILTER (WHERE dn * dy < 0) AS down, count(*) FILTER (WHERE number % 2 = 0) AS even FROM (SELECT street, number, number - lag(number) OVER (PARTITION BY street ORDER BY number, id) AS dn, lat - lag(lat) OVER (PARTITION BY street ORDER BY number, id) AS dy FROM door) q GROUP BY street")
+@query(
+    "e10_numbering_score",
+    """WITH d AS (SELECT id, city, street, CASE WHEN id % 97 = 0 THEN 0 ELSE number END::DOUBLE AS n, lat, lng FROM door),
+u AS (SELECT *, count(*) OVER s AS size, lng * 111320 * cos(radians(avg(lat) OVER s)) AS x, lat * 110900.0 AS y, n % 2 AS odd, count(*) OVER (PARTITION BY city, street, n) AS same, lag(n) OVER o AS before, lead(n) OVER o AS after
+  FROM d WHERE n > 0 WINDOW s AS (PARTITION BY city, street), o AS (PARTITION BY city, street ORDER BY n, id)),
+e AS (SELECT *, first_value(x) OVER f AS x0, first_value(y) OVER f AS y0, last_value(x) OVER f AS x1, last_value(y) OVER f AS y1 FROM u WINDOW f AS (PARTITION BY city, street ORDER BY n, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+l AS (SELECT *, greatest(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 1e-9) AS len FROM e),
+a AS (SELECT *, (x - x0) * (x1 - x0) / len + (y - y0) * (y1 - y0) / len AS along FROM l),
+g AS (SELECT *, CASE WHEN before IS NOT NULL THEN ((n - before > 0) = (along - lag(along) OVER (PARTITION BY city, street ORDER BY n, id) > 0))::INT END AS agree, n - before AS gap, round_even(avg(odd) OVER s, 0) AS most FROM a WINDOW s AS (PARTITION BY city, street)),
+h AS (SELECT *, sum(agree) OVER s AS agreeing, median(gap) OVER s AS med, round_even(25 * avg((odd = most)::INT) OVER s, 0)::INT AS base FROM g WINDOW s AS (PARTITION BY city, street)),
+r AS (SELECT *, CASE WHEN same > 1 THEN 0 ELSE least(n - before, after - n) END / greatest(med, 1) AS ratio FROM h),
+p AS (SELECT id, size = 1 AS lone, CASE WHEN size = 1 THEN 30 ELSE round_even(30 * agreeing / (size - 1), 0)::INT END AS o, CASE WHEN size = 1 THEN 25 WHEN odd = most THEN base ELSE greatest(0, base - 15) END AS p,
+  CASE WHEN size = 1 OR med = 0 OR ratio <= 2 THEN 25 WHEN ratio <= 4 THEN 15 WHEN ratio <= 8 THEN 8 ELSE 0 END AS g FROM r),
+t AS (SELECT d.id, coalesce(o, 0) AS o, coalesce(p.p, 0) AS p, coalesce(g, 0) AS g, CASE WHEN lone THEN 100 ELSE coalesce(o + p.p + g, 0) END AS score FROM d LEFT JOIN p USING (id))
+SELECT id, o AS order_part, p AS parity_part, g AS gap_part, score, CASE WHEN score >= 60 THEN 'ALTA' WHEN score >= 40 THEN 'MEDIA' WHEN score >= 20 THEN 'BAIXA' ELSE 'INCONSISTENTE' END AS grade FROM t""",
+)
+def e10b(t: Tables) -> DataFrame:
+    d = t.door.withColumn("number", F.when(F.col("id") % 97 == 0, 0).otherwise(F.col("number")))
+    return numbering.numbering_score(d, ["city", "street"])
+
+
 both("e11_tied_winners", "SELECT id, city FROM (SELECT id, city, evidence, max(evidence) OVER (PARTITION BY city) AS best FROM poi) q WHERE best - evidence <= 1")
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import text
-from geomill.operators import address, cluster, dedup, fusion, joins, lexicon
+from geomill.operators import address, areas, cluster, dedup, fusion, joins, lexicon
 from geomill.operators.stages import keeper
 
 from .inputs import Tables
-from .joins import METRES, NEAR, WORDS, core
+from .joins import IN_AREAS, METRES, NEAR, WORDS, core, quarter_areas
 from .registry import both, query
 
 _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
@@ -60,6 +60,30 @@ def i04(t: Tables) -> DataFrame:
     return fusion.unmerge(p.filter("id % 6 = 1"), p.filter("id % 6 = 0"), F.col("evidence") >= 2).select("id")
 
 
+def ordered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    d = decided(t).filter("decision = 'merge'").select("a", "b", F.col("points").alias("confidence"))
+    return d, t.poi.select("id", "place", "evidence", "source", F.nullif("phone", F.lit("")).alias("phone"))
+
+
+@query("i03_ordered_fusion")
+def i03b(t: Tables) -> DataFrame:
+    keep = keeper(t.spark)
+    return fusion.destinations(fusion.fuse_in_order(*ordered(t), keep), keep)
+
+
+@query("i03_constrained_fusion")
+def i03c(t: Tables) -> DataFrame:
+    return fusion.fuse_in_order(*ordered(t), keeper(t.spark), apart=["source"], same=["phone"])
+
+
+@query("i04_withdrawn_decisions")
+def i04b(t: Tables) -> DataFrame:
+    keep = keeper(t.spark)
+    d, records = ordered(t)
+    d, log = keep(d), fusion.fuse_in_order(d, records, keep)
+    return fusion.without(d, d.filter("(a + b) % 7 = 0"), log, records, keep)
+
+
 @query("i05_same_source", "WITH e AS (SELECT a.id AS a, b.id AS b FROM poi a JOIN poi b ON a.source = b.source AND a.phone = b.phone AND a.id < b.id AND lower(a.name) = lower(b.name)), f AS (SELECT b AS id, min(a) AS m FROM e GROUP BY b) SELECT e.b AS id, e.a AS dest FROM e JOIN f ON f.id = e.b AND f.m = e.a")
 def i05(t: Tables) -> DataFrame:
     return fusion.same_source(t.poi, keeper(t.spark), ["source", "phone"]).select("id", F.col("into").alias("dest"))
@@ -179,6 +203,12 @@ def j13(t: Tables) -> DataFrame:
     return joins.in_polygons(t.poi.groupBy(F.col("postcode").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")), polygons(t))
 
 
+@query("j13_all_areas_of_point", f"SELECT i.name, count(DISTINCT p.postcode) AS postcodes FROM ({IN_AREAS}) i JOIN poi p ON p.id = i.id WHERE i.name NOT LIKE 'slope%' GROUP BY i.name")
+def j13b(t: Tables) -> DataFrame:
+    inside = areas.points_in_polygons(t.poi.select("id", "lat", "lng"), quarter_areas(t).filter("name NOT LIKE 'slope%'"), keeper(t.spark))
+    return inside.join(t.poi.select("id", "postcode"), "id").groupBy("name").agg(F.countDistinct("postcode").alias("postcodes"))
+
+
 # ---- clusters ----------------------------------------------------------------------------------
 @query("h509_hulls")
 def h509(t: Tables) -> DataFrame:

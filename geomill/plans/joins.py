@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import text
-from geomill.operators import joins
+from geomill.operators import areas, joins
 from geomill.operators.stages import keeper
 
-from .inputs import Tables
+from .inputs import Tables, with_ctes
 from .registry import both, query
 
 NEAR = """
@@ -146,6 +146,44 @@ def c16(t: Tables) -> DataFrame:
     return joins.in_polygons(t.poi.filter(~edge).select("id", "lat", "lng"), polygons(t))
 
 
+#: Four areas in each quarter, as offsets in degrees: two blocks that touch, one inside the first, and a triangle over all.  Edges lie
+#: between the points, whose offsets are whole steps of 0.00001.
+QUARTER_AREAS = {
+    "block": [(0.002005, 0.002005), (0.002005, 0.010005), (0.010005, 0.010005), (0.010005, 0.002005)], "beside": [(0.002005, 0.010005), (0.002005, 0.018005), (0.010005, 0.018005), (0.010005, 0.010005)],
+    "inner": [(0.004005, 0.004005), (0.004005, 0.006005), (0.006005, 0.006005), (0.006005, 0.004005)], "slope": [(0.000005, 0.000005), (0.000005, 0.016), (0.016, 0.000005)],
+}
+_Q = "CAST(FLOOR(id / 500) AS BIGINT)"
+ORIGINS = f"SELECT DISTINCT q, CAST(-30 AS DOUBLE) + CAST(3000 * (q % 50) AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lat0, CAST(-51.2 AS DOUBLE) + CAST(3000 * (CAST(FLOOR(q / 50) AS BIGINT) % 600) AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS lng0 FROM (SELECT {_Q} AS q FROM poi) z"
+#: The points of every area, by conditions on the offsets from each area's origin.
+IN_AREAS = (
+    "SELECT p.id, concat(a.area, ' ', CAST(a.q AS VARCHAR(10))) AS name FROM poi p JOIN (SELECT o.*, v.area FROM (" + ORIGINS + ") o CROSS JOIN (VALUES ('block'), ('beside'), ('inner'), ('slope')) AS v(area)) a "
+    "ON p.lat - a.lat0 BETWEEN -0.001 AND 0.03 AND p.lng - a.lng0 BETWEEN -0.001 AND 0.03 AND CASE a.area "
+    "WHEN 'block' THEN p.lat - a.lat0 BETWEEN 0.002005 AND 0.010005 AND p.lng - a.lng0 BETWEEN 0.002005 AND 0.010005 "
+    "WHEN 'beside' THEN p.lat - a.lat0 BETWEEN 0.002005 AND 0.010005 AND p.lng - a.lng0 BETWEEN 0.010005 AND 0.018005 "
+    "WHEN 'inner' THEN p.lat - a.lat0 BETWEEN 0.004005 AND 0.006005 AND p.lng - a.lng0 BETWEEN 0.004005 AND 0.006005 "
+    "ELSE p.lat - a.lat0 > 0.000005 AND p.lng - a.lng0 > 0.000005 AND p.lat - a.lat0 + p.lng - a.lng0 < 0.016005 END"
+)
+
+
+def quarter_areas(t: Tables) -> DataFrame:
+    """(name, ring) of all quarters that hold a point."""
+    origins = t.sql(with_ctes(ORIGINS))
+    ring = lambda corners: F.array(*[F.struct((F.col("lat0") + a).alias("lat"), (F.col("lng0") + b).alias("lng")) for a, b in corners])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("area"), ring(v).alias("ring")) for k, v in QUARTER_AREAS.items()]))
+    return origins.select("q", each.alias("e")).select(F.concat_ws(" ", "e.area", F.col("q").cast("string")).alias("name"), "e.ring")
+
+
+@query("c16_points_in_areas", IN_AREAS)
+def c16b(t: Tables) -> DataFrame:
+    return areas.points_in_polygons(t.poi.select("id", "lat", "lng"), quarter_areas(t), keeper(t.spark))
+
+
+@query("c16_area_totals", f"SELECT i.name, count(*) AS n, sum(p.evidence)::BIGINT AS evidence, count(DISTINCT p.category) AS categories FROM ({IN_AREAS}) i JOIN poi p ON p.id = i.id GROUP BY i.name")
+def c16c(t: Tables) -> DataFrame:
+    inside = areas.points_in_polygons(t.poi.select("id", "lat", "lng"), quarter_areas(t), keeper(t.spark))
+    return inside.join(t.poi.select("id", "evidence", "category"), "id").groupBy("name").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"), F.countDistinct("category").alias("categories"))
+
+
 @query("c17_many_to_one", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def c17(t: Tables) -> DataFrame:
     n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from geomill.functions import geo, identifiers, nested, similarity, text, values
 
-from geomill.operators import joins
+from geomill.operators import joins, names
 
-from .inputs import Tables
+from .inputs import Tables, with_ctes
 from .joins import METRES, PLAIN, WORDS, core
 from .registry import both, query
 
@@ -174,6 +174,33 @@ def h203(t: Tables) -> DataFrame:
     return p.select("a", "b", F.round("shared_weight", 5).alias("shared_weight"))
 
 
+#: Names of even ids are shortened: two words become their initials.
+SHORTENED = "SELECT id, street, CASE WHEN id % 2 = 0 THEN replace(replace(replace(name, 'Nova Era', 'NE'), 'Bom Dia', 'BD'), 'do Porto', 'DP') ELSE name END AS name FROM poi"
+
+
+def _spelt(short: str, long: str, known: str) -> str:
+    runs = f"list_transform(range(1, len({long}) - length(s) + 2), lambda i: {long}[i:i + length(s) - 1])"
+    first = f"list_filter({runs}, lambda r: array_to_string(list_transform(r, lambda u: u[1]), '') = s)[1]"
+    return f"list_distinct(flatten(list_transform(list_filter(list_distinct({short}), lambda s: length(s) BETWEEN 2 AND 4 AND NOT list_contains({known}, s)), lambda s: coalesce({first}, []))))"
+
+
+@query(
+    "h203_acronyms",
+    f"""WITH n AS ({SHORTENED}), t AS (SELECT id, street, list_filter({WORDS.format('name')}, lambda x: length(x) > 1) AS w FROM n),
+k AS (SELECT token, ln((SELECT count(*) FROM t)::DOUBLE / (1 + count(*))) AS weight FROM (SELECT unnest(list_distinct(w)) AS token FROM t) GROUP BY token),
+p AS (SELECT a.id AS a, b.id AS b, a.w AS x, b.w AS y, list_intersect(list_distinct(a.w), list_distinct(b.w)) AS c FROM t a JOIN t b ON a.street = b.street AND a.id < b.id),
+q AS (SELECT *, list_filter({_spelt('x', 'y', 'c')}, lambda u: NOT list_contains(c, u)) AS one FROM p WHERE len(c) > 0),
+r AS (SELECT a, b, c, list_distinct(list_concat(one, list_filter({_spelt('y', 'x', 'list_concat(c, one)')}, lambda u: NOT list_contains(c, u)))) AS spelt FROM q),
+u AS (SELECT a, b, unnest(list_concat(c, spelt)) AS token FROM r), s AS (SELECT a, b, sum(weight) AS weight FROM u JOIN k USING (token) GROUP BY a, b)
+SELECT a, b, round(weight, 5) AS weight, array_to_string(list_sort(spelt), ' ') AS spelt FROM r JOIN s USING (a, b)""",
+)
+def h203b(t: Tables) -> DataFrame:
+    rows = t.sql(with_ctes(SHORTENED))
+    words = rows.select("id", "street", F.filter(text.words(F.col("name")), lambda w: F.length(w) > 1).alias("words"))
+    out = names.weighted_overlap(words, similarity.idf(rows, "name"), ["street"])
+    return out.select("a", "b", F.round("weight", 5).alias("weight"), F.array_join("spelt", " ").alias("spelt"))
+
+
 _IDF = f"w AS (SELECT id, unnest(list_distinct(list_filter({WORDS.format('name')}, lambda x: length(x) > 1))) AS token FROM poi), i AS (SELECT token, ln((SELECT count(*) FROM poi)::DOUBLE / (1 + count(*))) AS weight FROM w GROUP BY token)"
 
 
