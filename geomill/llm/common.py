@@ -93,6 +93,23 @@ class Stages:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Remove all tables but the ``kept`` ones, for an operator whose result reads only those."""
+        stay = {p.rsplit("/", 1)[1] for t in kept if (p := getattr(t, "_geomill_path", None))}
+        sc = self.spark.sparkContext
+        root = sc._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(root):
+            for f in fs.listStatus(root):
+                if f.getPath().getName() not in stay:
+                    fs.delete(f.getPath(), True)
+
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether ``df`` still reads a table of these stages."""
+        folder = self.root.rsplit("/", 1)[1]
+        return any(f"/{folder}/" in f for f in df.inputFiles())
+
+
 #: A side is broadcast only if a count shows it has no more rows than this (8-byte keys: 4 MB).
 SMALL_ROWS = 500_000
 

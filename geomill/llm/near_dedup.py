@@ -347,9 +347,12 @@ def one_of_each(docs: DataFrame, stages: Stages, percent: int = 80) -> DataFrame
     again = stages.keep(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     n_again = again.count()
     kept = semi(docs, dropped, "doc_id", dropped.count(), "left_anti")
+    read = [dropped, again]
     if n_again:  # a row of a repeated id is known by its set as well
         stay = stages.keep(semi(rows.filter("stays"), again, "doc_id", n_again).select("doc_id", *PRINT).distinct(), "stay")
+        read.append(stay)
         known = prints(semi(docs, again, "doc_id", n_again).select("doc_id", "text", F.struct(*docs.columns).alias("row"))).join(stay, ["doc_id", *PRINT])
         once = known.groupBy("doc_id", *PRINT).agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
         kept = semi(kept, again, "doc_id", n_again, "left_anti").unionByName(once)
+    stages.clear(*read)
     return kept.select(*docs.columns)
