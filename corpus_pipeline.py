@@ -29,6 +29,19 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None
 
 
+#: Scratch of the stages that have run; a stage removes that of earlier ones, whose output is written by then.
+_SCRATCH: list[Stages] = []
+
+
+def _stages(spark: SparkSession, docs: DataFrame) -> Stages:
+    """Scratch for a stage on ``docs``; what earlier stages of this session left goes, unless ``docs`` still reads it."""
+    for old in [s for s in _SCRATCH if s.spark is spark and not s.read_by(docs)]:
+        old.clear()
+        _SCRATCH.remove(old)
+    _SCRATCH.append(Stages(spark))
+    return _SCRATCH[-1]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(language_id.training_rows(docs))
     if not model.labels:  # nothing to learn a language from: only texts without a letter go
@@ -43,15 +56,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs, Stages(spark), percent=80).select(*docs.columns)
+    return near_dedup.one_of_each(docs, _stages(spark, docs), percent=80).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stages = Stages(spark)
+    stages = _stages(spark, docs)
     # ids may be null or repeat; a row's number depends on how the files are split, so it is stored with the row
     rows = stages.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     plan = mixing.draw(mixing.with_sizes(rows.select("doc_id", "source", "text", "__row")).select("doc_id", "source", "size", "__row"), stages)
     plan = stages.keep(plan.filter("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "plan")
+    stages.clear(rows, plan)
     out = rows.join(F.broadcast(plan) if plan.count() <= SMALL_ROWS else plan, "__row")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("__taken") / F.col("__size")).cast("int"))
     part = F.col("__taken") % F.col("__size")
@@ -65,6 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _stages(spark, docs)
     vocabulary, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
     out = bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True, with_ids=True)
     return out.select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")
