@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomill.operators.stages import folder
-from geomill.sources import readers, writers
+from geomill.functions import geo
+from geomill.operators import rings
+from geomill.operators.stages import folder, keeper
+from geomill.sources import maps, readers, writers
 
 from .inputs import Tables
+from .joins import ORIGINS, QUARTER_AREAS, quarter_areas
 from .registry import both, query
 
 
@@ -229,3 +232,45 @@ def a21(t: Tables) -> DataFrame:
     p = t.poi.select("source", F.col("category").alias("sheet"), "id", F.concat(F.lit("="), "name").alias("Nome"), F.when(F.col("number") != "", F.col("street")).alias("ENDEREÇO"), where.alias("coordenada"))
     got = readers.read_workbooks(writers.workbooks(p, "source", "sheet", "id"), {"id": [], "name": ["nome"], "street": ["endereco", "logradouro"], "place": ["coordenada", "coord"], "phone": ["fone"]})
     return got.withColumn("c", readers.coordinate_text(F.col("place"))).select("path", "id", "name", "street", "c.lat", "c.lng")
+
+
+def map_elements(t: Tables) -> DataFrame:
+    """The points as nodes; the areas' corners as nodes, their sides as ways of changing direction, the areas as relations."""
+    null = lambda kind: F.lit(None).cast(kind)
+    tags, refs, members = "map<string,string>", "array<bigint>", "array<struct<kind:string,ref:bigint,role:string>>"
+    points = t.poi.select(F.lit("node").alias("kind"), "id", "lat", "lng", F.create_map(F.lit("name"), F.col("name"), F.lit("shop"), F.col("category")).alias("tags"), null(refs).alias("refs"), null(members).alias("members"))
+    base = F.xxhash64("name").bitwiseAND(F.lit((1 << 40) - 1)) * 100 + (1 << 50)
+    a = quarter_areas(t).withColumn("base", base).withColumn("n", F.size("ring"))
+    side = a.select("base", "n", F.posexplode("ring").alias("i", "p"))
+    one, two = F.col("base") + F.col("i"), F.col("base") + (F.col("i") + 1) % F.col("n")
+    corners = side.select(F.lit("node").alias("kind"), one.alias("id"), "p.lat", "p.lng", null(tags).alias("tags"), null(refs).alias("refs"), null(members).alias("members"))
+    ways = side.select(F.lit("way").alias("kind"), one.alias("id"), null("double").alias("lat"), null("double").alias("lng"), null(tags).alias("tags"), F.when(F.col("i") % 2 == 0, F.array(one, two)).otherwise(F.array(two, one)).alias("refs"), null(members).alias("members"))
+    parts = F.transform(F.sequence(F.col("n") - 1, F.lit(0)), lambda i: F.struct(F.lit("way").alias("kind"), (F.col("base") + i).alias("ref"), F.lit("outer").alias("role")))
+    areas = a.select(F.lit("relation").alias("kind"), F.col("base").alias("id"), null("double").alias("lat"), null("double").alias("lng"), F.create_map(F.lit("type"), F.lit("multipolygon"), F.lit("name"), F.col("name")).alias("tags"), null(refs).alias("refs"), parts.alias("members"))
+    return points.unionByName(corners).unionByName(ways).unionByName(areas)
+
+
+def written_map(t: Tables) -> DataFrame:
+    path = folder(t.spark)
+    maps.write_map(map_elements(t), path)
+    return maps.read_map(t.spark, path, 100_000)
+
+
+@query("a18_map_nodes", "SELECT id, round(lat, 6) AS lat, round(lng, 6) AS lng, name, category AS shop FROM poi")
+def a18(t: Tables) -> DataFrame:
+    m = written_map(t).filter("kind = 'node' AND tags['name'] IS NOT NULL")
+    return m.select("id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.col("tags")["name"].alias("name"), F.col("tags")["shop"].alias("shop"))
+
+
+_CORNERS = ", ".join(f"('{k}', {len(v)}, {sum(p[0] for p in v)!r}::DOUBLE, {sum(p[1] for p in v)!r}::DOUBLE)" for k, v in QUARTER_AREAS.items())
+
+
+@query("a18_map_areas", f"SELECT concat(v.area, ' ', CAST(o.q AS VARCHAR(10))) AS name, v.n AS corners, round(v.n * o.lat0 + v.lats, 5) AS lats, round(v.n * o.lng0 + v.lngs, 5) AS lngs FROM ({ORIGINS}) o CROSS JOIN (VALUES {_CORNERS}) AS v(area, n, lats, lngs)")
+def a18b(t: Tables) -> DataFrame:
+    m = keeper(t.spark)(written_map(t))
+    member = m.filter("kind = 'relation' AND tags['type'] = 'multipolygon'").select(F.col("id").alias("area"), F.explode("members").alias("m")).filter("m.kind = 'way'")
+    ways = member.join(m.filter("kind = 'way'").select(F.col("id").alias("way"), "refs"), F.col("m.ref") == F.col("way")).select("area", "way", "refs")
+    found = rings.with_points(rings.assemble(ways, keeper(t.spark)), m.filter("kind = 'node'").select("id", "lat", "lng"))
+    total = lambda c: F.round(F.aggregate(F.slice("corners", F.lit(1), F.size("corners") - 1), F.lit(0.0), lambda s, p: s + p[c]), 5)
+    named = found.join(m.filter("kind = 'relation'").select(F.col("id").alias("area"), F.col("tags")["name"].alias("name")), "area")
+    return named.filter(geo.ring_area(F.col("corners")) > 0).select("name", (F.size("corners") - 1).alias("corners"), total("lat").alias("lats"), total("lng").alias("lngs"))
