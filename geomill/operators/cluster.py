@@ -105,3 +105,25 @@ def pixel_labels(images: DataFrame, height: int, width: int) -> DataFrame:
 def label_components(images: DataFrame, height: int, width: int) -> DataFrame:
     """(tile, label, pixels): the regions of ``pixel_labels`` with their sizes."""
     return pixel_labels(images, height, width).groupBy("tile", "label").agg(F.count("*").alias("pixels"))
+
+
+def plane_regions(pixels: DataFrame, keep: Callable[[DataFrame], DataFrame], side: int = 200) -> DataFrame:
+    """(y, x, region): 4-connected regions of the coloured pixels (y, x) of a plane; a region is named by its first pixel, as (y, x).
+
+    The plane is cut into tiles of ``side`` x ``side``; each is labelled by itself, labels that touch across a
+    border are links between (tile, label) pairs, and their components join the pieces.
+    """
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    p = pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    tiles = p.groupBy(F.concat_ws("/", at("y"), at("x")).alias("tile")).agg(F.collect_list(F.struct(F.pmod("y", F.lit(side)).cast("int").alias("y"), F.pmod("x", F.lit(side)).cast("int").alias("x"))).alias("on"))  # side * side pixels at most
+    n = F.split("tile", "/")
+    labels = pixel_labels(tiles, side, side).select((n[0].cast("long") * side + F.col("y")).alias("y"), (n[1].cast("long") * side + F.col("x")).alias("x"), F.concat_ws("/", "tile", "label").alias("piece"))
+    labels = keep(labels)
+    edge = labels.filter((F.pmod("y", F.lit(side)).isin(0, side - 1)) | (F.pmod("x", F.lit(side)).isin(0, side - 1)))
+    steps = F.explode(F.array(F.struct((F.col("y") + 1).alias("y"), F.col("x").alias("x")), F.struct(F.col("y").alias("y"), (F.col("x") + 1).alias("x"))))
+    next_ = edge.select(F.col("piece").alias("a"), steps.alias("s")).select("a", "s.y", "s.x")
+    links = next_.join(edge.select("y", "x", F.col("piece").alias("b")), ["y", "x"]).filter("a <> b").select("a", "b")
+    whole = fusion.components(links, keep).withColumnsRenamed({"id": "piece", "component": "whole"})
+    named = labels.join(whole, "piece", "left").withColumn("whole", F.coalesce("whole", "piece"))
+    first = named.groupBy("whole").agg(F.min(F.struct("y", "x")).alias("region"))
+    return named.join(first, "whole").select("y", "x", "region")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, identifiers, similarity, text, values
-from geomill.operators import changes, cluster, joins, rules
+from geomill.operators import audit, changes, cluster, joins, rules, tablefunctions, tagger
 from geomill.operators.stages import keeper
 
-from .inputs import Tables
+from .inputs import Tables, with_ctes
 from .joins import METRES, core, polygons
 from .registry import both, query
 
@@ -210,3 +210,50 @@ def h514(t: Tables) -> DataFrame:
     pixels = t.poi.select(F.concat_ws("/", F.floor(y / 200).cast("int"), F.floor(x / 200).cast("int")).alias("tile"), (y % 200).alias("y"), (x % 200).alias("x")).distinct()
     images = pixels.groupBy("tile").agg(F.collect_list(F.struct("y", "x")).alias("on"))  # a tile has 40,000 pixels at most
     return cluster.label_components(images, 200, 200)
+
+
+PIXELS = "SELECT DISTINCT CAST(FLOOR((lat + 30) * 1000) AS BIGINT) AS y, CAST(FLOOR((lng + 51.2) * 1000) AS BIGINT) AS x FROM poi"
+
+
+@query("h514_plane_regions", f"WITH RECURSIVE p AS ({PIXELS}), s AS (SELECT a.y, a.x, b.y AS v, b.x AS u FROM p a JOIN p b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), r(y, x, i, j) AS (SELECT y, x, y, x FROM p UNION SELECT s.v, s.u, r.i, r.j FROM r JOIN s ON s.y = r.y AND s.x = r.x), m AS (SELECT y, x, min(i * 10000000 + j) AS region FROM r GROUP BY y, x) SELECT region // 10000000 AS first_y, region % 10000000 AS first_x, count(*) AS pixels, max(y) - min(y) AS height, max(x) - min(x) AS width FROM m GROUP BY region")
+def h514b(t: Tables) -> DataFrame:
+    # tiles of 8 x 8, so that regions lie over many borders
+    r = cluster.plane_regions(t.sql(with_ctes(PIXELS)), keeper(t.spark), 8)
+    return r.groupBy("region").agg(F.count("*").alias("pixels"), (F.max("y") - F.min("y")).alias("height"), (F.max("x") - F.min("x")).alias("width")).select(F.col("region.y").alias("first_y"), F.col("region.x").alias("first_x"), "pixels", "height", "width")
+
+
+def addresses(t: Tables) -> DataFrame:
+    """Addresses in several orders and spellings, with the part of every word, from doors and points."""
+    rows = "SELECT id, street, CAST(number AS VARCHAR(10)) AS number, concat('Jardim ', split_part(street, ' ', 3)) AS area, concat('Vila ', CAST(city AS VARCHAR(10))) AS city, 'RS' AS state, postcode FROM door UNION ALL SELECT -id - 1, street, number, concat('Parque ', split_part(name, ' ', 2)) AS area, concat('Porto ', split_part(name, ' ', 1)) AS city, 'SC' AS state, postcode FROM poi"
+    return tagger.composed(t.sql(with_ctes(rows)))
+
+
+@query("n05_tagged_addresses")
+def n05b(t: Tables) -> DataFrame:
+    a = addresses(t)
+    model = tagger.learn(a.filter(F.crc32(F.col("id").cast("string")) % 5 != 0))
+    return tagger.tag(a.select("id", "address"), model).select("id", *tagger.TAGS[:-1])
+
+
+CHANGED = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END AS price, o_orderpriority AS priority FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT -o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 103 = 0"
+
+
+@query("l08_artefact_differences", f"WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders), n AS ({CHANGED}), j AS (SELECT coalesce(o.k, n.k) AS k, o.k IS NULL AS added, n.k IS NULL AS removed, o.status IS DISTINCT FROM n.status AS s, o.price IS DISTINCT FROM n.price AS p FROM o FULL OUTER JOIN n ON o.k = n.k) SELECT k, CASE WHEN added THEN 'ADDED' WHEN removed THEN 'REMOVED' ELSE 'CHANGED' END AS event, CASE WHEN added OR removed THEN '' ELSE concat_ws(' ', CASE WHEN s THEN 'status' END, CASE WHEN p THEN 'price' END) END AS changed FROM j WHERE added OR removed OR s OR p")
+def l08b(t: Tables) -> DataFrame:
+    old = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    return audit.differences(old, t.sql(CHANGED), ["k"], ["status", "price", "priority"], keeper(t.spark)).withColumn("changed", F.array_join("changed", " "))
+
+
+@query("d31_metrics_in_tolerance", f"WITH n AS ({CHANGED}), g AS (SELECT 'rows' AS metric, count(*)::DOUBLE AS golden FROM orders UNION ALL SELECT concat('status ', o_orderstatus), count(*) FROM orders GROUP BY o_orderstatus), m AS (SELECT 'rows' AS metric, count(*)::DOUBLE AS now FROM n UNION ALL SELECT concat('status ', status), count(*) FROM n GROUP BY status) SELECT coalesce(g.metric, m.metric) AS metric, golden, now, CASE WHEN now IS NULL THEN 'MISSING' WHEN golden IS NULL THEN 'NEW' WHEN abs(now - golden) > golden * CASE coalesce(g.metric, m.metric) WHEN 'rows' THEN 0.01 ELSE 0.02 END THEN 'OFF' ELSE 'OK' END AS verdict FROM g FULL OUTER JOIN m ON g.metric = m.metric")
+def d31b(t: Tables) -> DataFrame:
+    def metrics(d: DataFrame, status: str) -> DataFrame:
+        each = d.groupBy(F.concat_ws(" ", F.lit("status"), status).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+        return d.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), "value").unionByName(each)
+
+    return audit.within_tolerance(metrics(t.orders, "o_orderstatus"), metrics(t.sql(CHANGED), "status"), {"rows": 0.01}, 0.02).drop("tolerance")
+
+
+@query("n01_number_runs", "WITH d AS (SELECT id, street, number, CASE WHEN number - lag(number) OVER (PARTITION BY street ORDER BY number, id) <= 1 THEN 0 ELSE 1 END AS fresh FROM door), g AS (SELECT *, sum(fresh) OVER (PARTITION BY street ORDER BY number, id ROWS UNBOUNDED PRECEDING) AS run FROM d) SELECT street, min(number) AS first, max(number) AS last, count(*) AS doors FROM g GROUP BY street, run")
+def n01b(t: Tables) -> DataFrame:
+    tablefunctions.register(t.spark)
+    return t.spark.sql("SELECT street, first, last, doors FROM number_runs(TABLE(SELECT street, number FROM {doors}), 1)", doors=t.door)
