@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from geomill.functions import geo
 from geomill.operators import rings
 from geomill.operators.stages import folder, keeper
-from geomill.sources import maps, readers, writers
+from geomill.sources import archives, maps, readers, writers
 
 from .inputs import Tables
 from .joins import ORIGINS, QUARTER_AREAS, quarter_areas
@@ -186,11 +186,55 @@ def a09(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).filter("city IN (0, 1)").groupBy("city").agg(F.count("*").alias("n"), F.min("number").alias("lo"))
 
 
+def member_lines(rows: DataFrame, archive, member: str, header: str, cells: list) -> DataFrame:
+    """(archive, member, at, line): a member's header and a line a row."""
+    text = F.array_join(F.array(*[F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]), ";")
+    body = rows.select(archive.alias("archive"), F.lit(member).alias("member"), F.col("id").cast("long").alias("at"), text.alias("line"))
+    return body.unionByName(body.select("archive").distinct().select("archive", F.lit(member).alias("member"), F.lit(-(1 << 60)).cast("long").alias("at"), F.lit(header).alias("line"))) if header else body
+
+
 @query("a13_projected_member", "SELECT n_name FROM nation")
 def a13(t: Tables) -> DataFrame:
     path = folder(t.spark)
-    t.nation.write.csv(path, header=True, sep=";")
-    return t.spark.read.csv(path, header=True, sep=";").select("n_name")
+    n = t.nation.withColumn("id", F.col("n_nationkey"))
+    archives.write_archives(member_lines(n, F.lit("n.zip"), "nations.csv", "n_nationkey;n_name;n_comment", [F.col("n_nationkey"), F.col("n_name"), F.lit("x;y")]), path)
+    return archives.read_archives(t.spark, path, ["n_name"]).select("n_name")
+
+
+@query("a13_member_by_header", "SELECT concat('part', CAST(id % 5 AS VARCHAR(10)), '.zip') AS archive, CAST(id AS VARCHAR(20)) AS id, name, CASE WHEN id % 5 < 3 THEN nullif(phone, '') END AS phone FROM poi")
+def a13b(t: Tables) -> DataFrame:
+    # two layouts in one folder, each archive with another table beside the wanted one
+    path = folder(t.spark)
+    p = t.poi.withColumn("archive", F.concat(F.lit("part"), (F.col("id") % 5).cast("string"), F.lit(".zip")))
+    one = member_lines(p.filter("id % 5 < 3"), F.col("archive"), "b/pontos.csv", "COD;Nome;Rua;Telefone", [F.col(c) for c in ("id", "name", "street", "phone")])
+    two = member_lines(p.filter("id % 5 >= 3"), F.col("archive"), "dados.txt", "lat;RAZÃO;ID", [F.col(c) for c in ("lat", "name", "id")])
+    other = member_lines(p.filter("id < 500"), F.col("archive"), "a/leia.csv", "COD;texto", [F.col("id"), F.lit("x")])
+    archives.write_archives(one.unionByName(two).unionByName(other), path)
+    return archives.read_archives(t.spark, path, {"id": ["cod"], "name": ["nome", "razao"], "phone": ["telefone"]}, required=["id", "name"]).drop("member")
+
+
+@query("a08_registry_archives", "SELECT CAST(p.id AS VARCHAR(20)) AS root, p.name, n.n_name AS city FROM poi p JOIN nation n ON n.n_nationkey = p.city WHERE p.city IN (0, 1, 2)")
+def a08b(t: Tables) -> DataFrame:
+    # several archives of establishments without a header, and one of municipalities, read by position and joined
+    path, codes = folder(t.spark), folder(t.spark)
+    archives.write_archives(member_lines(t.poi, F.concat(F.lit("estab"), (F.col("id") % 4).cast("string"), F.lit(".zip")), "K3241.ESTABELE.txt", "", [F.col("id"), F.col("name"), F.lit("02"), F.col("city")]), path)
+    archives.write_archives(member_lines(t.nation.withColumn("id", F.col("n_nationkey")), F.lit("munic.zip"), "F.MUNIC.txt", "", [F.col("id"), F.col("n_name")]), codes)
+    e = archives.read_archives(t.spark, path, ["root", "name", "city_code"], names=["root", "name", "status", "city_code"]).filter("city_code IN ('0', '1', '2')")
+    m = archives.read_archives(t.spark, codes, ["code", "city"], names=["code", "city"])
+    return e.join(F.broadcast(m) if m.count() <= 100_000 else m, F.col("code") == F.col("city_code")).select("root", "name", "city")
+
+
+@query("a09_census_archives", "SELECT city, count(*) AS n, min(number) AS lo, max(number) AS hi FROM door GROUP BY city")
+def a09b(t: Tables) -> DataFrame:
+    # an archive a city, each with its own header
+    path = folder(t.spark)
+    d = t.door.withColumn("archive", F.concat(F.lit("uf"), F.col("city").cast("string"), F.lit(".zip")))
+    even = member_lines(d.filter("city % 2 = 0"), F.col("archive"), "uf.csv", "COD_UNICO;COD_MUNICIPIO;NUM_ENDERECO", [F.col("id"), F.col("city"), F.col("number")])
+    odd = member_lines(d.filter("city % 2 = 1"), F.col("archive"), "uf.csv", "NUM_ENDERECO;LATITUDE;COD_MUNICIPIO", [F.col("number"), F.col("lat"), F.col("city")])
+    archives.write_archives(even.unionByName(odd), path)
+    got = archives.read_archives(t.spark, path, {"city": ["cod_municipio"], "number": ["num_endereco"]})
+    got = got.select(F.col("city").cast("int").alias("city"), F.col("number").cast("long").alias("number"))
+    return got.groupBy("city").agg(F.count("*").alias("n"), F.min("number").alias("lo"), F.max("number").alias("hi"))
 
 
 @query("a24_consolidated", "SELECT source, id FROM poi WHERE id % 2 = 0")
