@@ -62,10 +62,11 @@ UNIT_KINDS = {"cs": "casa", "apartamento": "ap", "apto": "ap", "apt": "ap", "sl"
 
 # Portuguese numerals.
 NUMERALS = {
-    "um": 1, "dois": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "nove": 9, "dez": 10, "onze": 11, "doze": 12, "treze": 13,
-    "quatorze": 14, "quinze": 15, "dezesseis": 16, "dezessete": 17, "dezoito": 18, "dezenove": 19, "vinte": 20, "trinta": 30, "quarenta": 40,
-    "cinquenta": 50, "sessenta": 60, "setenta": 70, "oitenta": 80, "noventa": 90, "cem": 100, "cento": 100, "duzentos": 200, "trezentos": 300,
-    "quatrocentos": 400, "quinhentos": 500, "seiscentos": 600, "setecentos": 700, "oitocentos": 800, "novecentos": 900, "mil": 1000,
+    "zero": 0, "um": 1, "uma": 1, "dois": 2, "duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "nove": 9, "dez": 10, "onze": 11, "doze": 12, "treze": 13,
+    "quatorze": 14, "catorze": 14, "quinze": 15, "dezesseis": 16, "dezasseis": 16, "dezessete": 17, "dezoito": 18, "dezenove": 19, "vinte": 20, "trinta": 30, "quarenta": 40,
+    "cinquenta": 50, "cincoenta": 50, "sessenta": 60, "setenta": 70, "oitenta": 80, "noventa": 90, "cem": 100, "cento": 100, "duzentos": 200, "duzentas": 200,
+    "trezentos": 300, "trezentas": 300, "quatrocentos": 400, "quatrocentas": 400, "quinhentos": 500, "quinhentas": 500, "seiscentos": 600, "seiscentas": 600,
+    "setecentos": 700, "setecentas": 700, "oitocentos": 800, "oitocentas": 800, "novecentos": 900, "novecentas": 900, "mil": 1000,
 }
 
 
@@ -317,18 +318,33 @@ def house_number(c: Column) -> Column:
     return F.struct(F.when(kind != "none", base).alias("base"), suffix.alias("suffix"), kind.alias("kind"))
 
 
-#: Layers of a complement and the names that stand for them, in the order in which they are tried.
-LAYERS = {"block": ("BLOCO", "TORRE", "PREDIO"), "unit": ("APARTAMENTO", "CASA", "SALA", "LOJA"), "floor": ("ANDAR", "PAVIMENTO"), "lot": ("LOTE", "QUADRA"), "back": ("FUNDOS", "SUBSOLO")}
+#: Layers of a complement, from the whole to the part, and the words that stand for them (fixed values).
+LAYERS = {
+    "agrupamento": ("PREDIO", "EDIFICIO", "RESIDENCIAL", "QUADRA", "GALERIA", "PAVILHAO", "CONJUNTO", "GRUPO", "ALA"),
+    "via_interna": ("ALAMEDA INTERNA", "RUA INTERNA", "AVENIDA INTERNA", "TRAVESSA INTERNA"),
+    "bloco": ("BLOCO", "TORRE", "ENTRADA", "PORTAO"),
+    "pavimento": ("ANDAR", "TERREO", "SUBSOLO", "COBERTURA", "SOBRELOJA", "LAJE", "PAVIMENTO"),
+    "unidade": (
+        "APARTAMENTO", "SALA", "LOJA", "QUITINETE", "QUARTO", "SUITE", "COMODO", "BOX", "BANCA", "BARRACA", "CABINE", "MODULO", "HABITACAO", "PECA", "PORTA",
+        "DEPOSITO", "ARMAZEM", "SEDE", "GARAGEM", "CHALE", "HANGAR", "BARRACAO",
+    ),
+    "moradia": ("CASA", "LOTE", "SOBRADO", "SITIO", "CHACARA", "FAZENDA", "ESTANCIA", "GRANJA", "MANSAO", "CAIS"),
+    "posicao": ("FUNDOS", "FRENTE", "LADO", "ANEXO", "DEPENDENCIA", "PORAO", "ESQ", "DIR", "MEIO", "LATERAL"),
+}
 
 
 def complement_layers(names: Column, contents: Column) -> Column:
-    """Struct of layers from arrays of names and values; the first pair of a layer counts."""
+    """Struct of a (kind, value) for each layer, from arrays of names and values; the first pair of a layer counts.
+
+    So BLOCO A, APARTAMENTO 101 is the same whichever of the pairs hold it."""
     pairs = F.arrays_zip(names.alias("n"), contents.alias("v"))
+    plain = F.transform(pairs, lambda p: F.struct(F.upper(F.trim(F.coalesce(p["n"], F.lit("")))).alias("kind"), F.trim(F.coalesce(p["v"].cast("string"), F.lit(""))).alias("value")))
+    return F.struct(*[F.get(F.filter(plain, lambda p: p["kind"].isin(*known)), F.lit(0)).alias(layer) for layer, known in LAYERS.items()])  # noqa: B023
 
-    def first(known: tuple[str, ...]) -> Column:
-        return F.get(F.filter(pairs, lambda p: F.upper(p["n"]).isin(*known)), F.lit(0))["v"]
 
-    return F.struct(*[first(known).alias(layer) for layer, known in LAYERS.items()])
+def complement_form(layers: Column) -> Column:
+    """The filled layers of ``complement_layers`` in order, such as ``BLOCO A → APARTAMENTO 101``; empty without any."""
+    return F.concat_ws(" → ", *[F.nullif(F.concat_ws(" ", layers[n]["kind"], F.nullif(layers[n]["value"], F.lit(""))), F.lit("")) for n in LAYERS])
 
 
 def block_lot(number: Column, block: Column, lot: Column, house: Column) -> Column:
@@ -347,7 +363,7 @@ def tidy_street(c: Column) -> Column:
 
 def _small_numerals() -> dict[str, str]:
     """The numerals up to twenty as digits."""
-    return {w: str(n) for w, n in NUMERALS.items() if n <= 20} | {"catorze": "14"}
+    return {w: str(n) for w, n in NUMERALS.items() if n <= 20}
 
 
 def canonical_street(c: Column, hint: Column | None = None) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,32 +38,100 @@ def dbscan(points: DataFrame, eps_m: float, least: int, keep: Callable[[DataFram
 def hulls(members: DataFrame, group: str) -> DataFrame:
     """(group, hull): WKT of each group's convex hull.
 
-    Points are first thinned to the extremes of thin latitude strips (a point strictly inside a strip's span
-    is never a corner), which bounds what one group collects by its number of strips, not of points.
+    The corners of a whole are among the corners of its parts: each batch of rows is thinned to the corners of its groups,
+    dealt by group and a hash of the point, thinned again, and only what is left meets in one row a group.
     """
-    strip = F.floor(F.col("lat") * 1e4)
-    ends = members.groupBy(group, strip.alias("s"), "lat").agg(F.min("lng").alias("w"), F.max("lng").alias("e"))
-    pts = ends.select(group, "lat", F.explode(F.array_distinct(F.array("w", "e"))).alias("lng"))
+    kind = dict(members.dtypes)[group]
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: dict = {}
+            for g, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of.setdefault(g, []).append((x, y))
+            rows = [(g, *p) for g, points in of.items() for p in geo.hull(points)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], names=[group, "lng", "lat"])
+
+    schema = f"`{group}` {kind}, lng double, lat double"
+    thin = members.filter("lat IS NOT NULL AND lng IS NOT NULL").select(group, F.col("lng").cast("double").alias("lng"), F.col("lat").cast("double").alias("lat")).mapInArrow(corners, schema)
+    dealt = thin.repartition(F.col(group), F.pmod(F.xxhash64("lng", "lat"), F.lit(32))).sortWithinPartitions(group)
+    pts = dealt.mapInArrow(corners, schema)
     return pts.groupBy(group).agg(F.collect_list(F.struct("lng", "lat")).alias("p")).select(group, geo.hull_wkt(F.col("p.lng"), F.col("p.lat")).alias("hull"))
 
 
-def path_order(points: DataFrame, region: str) -> DataFrame:
-    """(id, region, step): greedy nearest-neighbour chain of each region (a work list of bounded size), from its smallest id."""
+#: Most points of a piece of a path, and bits of a coordinate on the Hilbert curve.
+PIECE, BITS = 4000, 16
+
+
+def hilbert(y: np.ndarray, x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places of cells (y, x) of a 2^bits square on the Hilbert curve."""
+    y, x, d = y.astype(np.int64).copy(), x.astype(np.int64).copy(), np.zeros(len(y), np.int64)
+    for k in range(bits - 1, -1, -1):
+        s = 1 << k
+        ry, rx = (y & s) > 0, (x & s) > 0
+        d += s * s * ((3 * rx.astype(np.int64)) ^ ry.astype(np.int64))
+        flip = ~ry & rx
+        x[flip], y[flip] = s - 1 - (x[flip] & (s - 1)), s - 1 - (y[flip] & (s - 1))
+        x[~ry], y[~ry] = y[~ry], x[~ry].copy()
+        x, y = x & (s - 1), y & (s - 1)
+    return d
+
+
+def path_order(points: DataFrame, region: str, keep: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> DataFrame:
+    """(id, region, step): a walk through each region: greedy nearest-neighbour chains, one piece after the other.
+
+    A region of up to ``piece`` points is one chain from its smallest id.  A larger one is cut along the Hilbert curve
+    of its box, into the largest cells that hold no more than ``piece`` points (points on one place beyond that are dealt by
+    hash), and the pieces follow each other along the curve, each from its first point on it.  Successive cells share a side
+    or lie apart by empty cells only, so a step between pieces is no longer than the diagonal of the two cells and
+    the empty ones between; no task holds more than a piece.
+    """
+    kind = dict(points.dtypes)
+    box = points.groupBy(region).agg(F.count("*").alias("n"), F.min("lat").alias("s"), F.max("lat").alias("t"), F.min("lng").alias("w"), F.max("lng").alias("e"), F.avg("lat").alias("mid"))
+    p = points.select("id", region, "lat", "lng").join(box, region)
+    unit = lambda c, lo, hi: F.floor(F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0) * ((1 << BITS) - 1)).cast("long")
+
+    @F.pandas_udf("long")
+    def on_curve(y: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(hilbert(y.to_numpy(), x.to_numpy()))
+
+    p = keep(p.withColumn("h", F.when(F.col("n") <= piece, F.lit(0)).otherwise(on_curve(unit("lat", "s", "t"), unit("lng", "w", "e")))).select("id", region, "lat", "lng", "mid", "n", "h"))
+    open_, done = p, None
+    for level in range(0, BITS + 1, 2):
+        cell = F.shiftright("h", 2 * (BITS - level)) if level else F.lit(0).cast("long")
+        at = open_.withColumn("cell", cell)
+        sizes = at.groupBy(region, "cell").agg(F.count("*").alias("m"))
+        at = keep(at.join(sizes, [region, "cell"]))
+        fits = F.col("m") <= piece
+        if level == BITS:  # one place: by hash
+            at, fits = at.withColumn("cell", F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / piece))), F.lit(True)
+            start = F.shiftright("cell", 20)
+        else:
+            start = F.shiftleft("cell", 2 * (BITS - level))
+        part = at.filter(fits).select("id", region, "lat", "lng", "mid", "n", "h", start.alias("start"), F.lit(level).alias("level"), "cell")
+        done = part if done is None else done.unionByName(part)
+        open_ = at.filter(~fits).drop("cell", "m")
+        if open_.isEmpty():
+            break
+    done = keep(done)
+    order = ["start", "level", "cell"]
+    pieces = done.groupBy(region, *order).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(region).orderBy(*order)
+    pieces = pieces.withColumn("before", F.sum("m").over(w) - F.col("m"))  # a row a piece
 
     def chain(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id").reset_index(drop=True)
+        p = p.sort_values(["h", "id"]).reset_index(drop=True)
         y = p["lat"].to_numpy() * geo.DEGREE_M
-        x = p["lng"].to_numpy() * geo.DEGREE_M * np.cos(np.radians(p["lat"].mean()))
+        x = p["lng"].to_numpy() * geo.DEGREE_M * np.cos(np.radians(p["mid"].iloc[0]))
         left, now, step = np.ones(len(p), bool), 0, np.zeros(len(p), np.int64)
         for k in range(len(p)):
             left[now], step[now] = False, k
             if left.any():
                 d = np.where(left, np.hypot(x - x[now], y - y[now]), np.inf)
                 now = int(d.argmin())
-        return pd.DataFrame({"id": p["id"], region: p[region], "step": step})
+        return pd.DataFrame({"id": p["id"], region: p[region], "step": p["before"].iloc[0] + step})
 
-    kind = dict(points.dtypes)
-    return points.select("id", region, "lat", "lng").groupBy(region).applyInPandas(chain, f"id {kind['id']}, {region} {kind[region]}, step bigint")
+    rows = done.join(pieces.drop("m"), [region, *order]).select("id", region, "lat", "lng", "mid", "h", *order, "before")
+    return rows.groupBy(region, *order).applyInPandas(chain, f"id {kind['id']}, {region} {kind[region]}, step bigint")
 
 
 def medoids(points: DataFrame, group: str, top: int = 1) -> DataFrame:
@@ -78,8 +147,6 @@ def pixel_labels(images: DataFrame, height: int, width: int) -> DataFrame:
 
     A tile has a fixed number of pixels, so one is labelled whole; labels count regions by their first pixel.
     """
-    import pyarrow as pa
-
     def run(batches):
         for b in batches:
             for tile, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

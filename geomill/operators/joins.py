@@ -206,6 +206,11 @@ def rare_token_pairs(a: DataFrame, b: DataFrame, most: int, at_least: int = 1) -
     return a.select(F.col("id").alias("a_id"), F.explode("words").alias("token")).join(post, "token").groupBy("a_id", "b_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= at_least)
 
 
+def common_tokens(b: DataFrame, most: int) -> DataFrame:
+    """(token, n): the words that ``rare_token_pairs`` leaves out, with the rows that hold them."""
+    return b.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+
+
 def offset_block_pairs(rows: DataFrame, radius_m: float, cap: int, across: str | None = None) -> DataFrame:
     """Pairs of rows with the same number within the radius: blocks by (number, cell), half-plane steps.
 

@@ -114,10 +114,11 @@ def unit_grid(rows: DataFrame) -> DataFrame:
     """Missing units of buildings: (building, unit, grade).  Columns: building, unit (floor * 100 + position).
 
     A: within the floor's own range; B: on a floor without units between two with; positions up to the largest seen.
+    Buildings of any size are looked at; rows grow with the missing units.
     """
     u = rows.select("building", F.floor(F.col("unit") / 100).cast("int").alias("floor"), (F.col("unit") % 100).cast("int").alias("pos")).distinct()
     span = u.groupBy("building").agg(F.min("floor").alias("f0"), F.max("floor").alias("f1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    grid = span.filter("f1 - f0 < 60 AND p1 - p0 < 40").withColumn("floor", F.explode(F.sequence("f0", "f1"))).withColumn("pos", F.explode(F.sequence("p0", "p1")))
+    grid = span.withColumn("floor", F.explode(F.sequence("f0", "f1"))).withColumn("pos", F.explode(F.sequence("p0", "p1")))
     own = u.groupBy("building", "floor").agg(F.min("pos").alias("q0"), F.max("pos").alias("q1"))
     miss = grid.join(u, ["building", "floor", "pos"], "left_anti").join(own, ["building", "floor"], "left")
     grade = F.when(F.col("q0").isNull(), "B").when(F.col("pos").between(F.col("q0"), F.col("q1")), "A").otherwise("C")

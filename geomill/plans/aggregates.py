@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from geomill.functions import geo, nested, similarity, text
 from geomill.operators import address, changes, cluster, fusion, joins, lexicon, numbering
 
+from geomill.operators.stages import keeper
+
 from .inputs import Tables
 from .joins import RINGS
 from .registry import both, query
@@ -198,7 +200,7 @@ both("f06_total_order", "SELECT source, id, row_number() OVER (PARTITION BY sour
 
 @query("f07_path_order")
 def f07(t: Tables) -> DataFrame:
-    return cluster.path_order(t.poi, "city")
+    return cluster.path_order(t.poi, "city", keeper(t.spark))
 
 
 both("f08_batches", "SELECT id, (row_number() OVER (PARTITION BY city ORDER BY id) - 1 - (row_number() OVER (PARTITION BY city ORDER BY id) - 1) % 12) / 12 AS batch FROM poi")

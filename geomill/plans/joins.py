@@ -47,6 +47,19 @@ def c02b(t: Tables) -> DataFrame:
     return joins.capped_key_pairs(t.poi, ["street"], 10)[1]
 
 
+_GROUPED = "SELECT id, category, street, count(*) OVER (PARTITION BY category, street) AS n FROM poi"
+
+
+@query("c02_pairs_within_cap", f"WITH k AS ({_GROUPED}) SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.category = b.category AND a.street = b.street AND a.id < b.id WHERE a.n <= 12")
+def c02c(t: Tables) -> DataFrame:
+    return joins.capped_key_pairs(t.poi, ["category", "street"], 12)[0]
+
+
+@query("c02_groups_left_out", "SELECT category, street, count(*) AS n FROM poi GROUP BY category, street HAVING count(*) > 12")
+def c02d(t: Tables) -> DataFrame:
+    return joins.capped_key_pairs(t.poi, ["category", "street"], 12)[1]
+
+
 @query("c03_candidate_union", f"SELECT * FROM ({NEAR}) UNION SELECT a.id AS a, b.id AS b FROM poi a JOIN poi b ON a.name = b.name AND a.street = b.street AND a.id < b.id")
 def c03(t: Tables) -> DataFrame:
     p = t.poi
@@ -146,6 +159,12 @@ def c16(t: Tables) -> DataFrame:
     return joins.in_polygons(t.poi.filter(~edge).select("id", "lat", "lng"), polygons(t))
 
 
+@query("c15_common_tokens", f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct({WORDS.format('name')})) AS token FROM poi WHERE id % 2 = 1) GROUP BY token HAVING count(*) > 80")
+def c15b(t: Tables) -> DataFrame:
+    p = t.poi.select("id", F.array_distinct(text.words(F.col("name"))).alias("words"))
+    return joins.common_tokens(p.filter("id % 2 = 1"), 80)
+
+
 #: Four areas in each quarter, as offsets in degrees: two blocks that touch, one inside the first, and a triangle over all.  Edges lie
 #: between the points, whose offsets are whole steps of 0.00001.
 QUARTER_AREAS = {

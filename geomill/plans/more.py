@@ -72,10 +72,16 @@ def h123(t: Tables) -> DataFrame:
     return t.poi.select("id", text.units(c).alias("units"), (F.col("id") % 50 == F.col("id") % 9).alias("same"))
 
 
-@query("h126_complement_layers", "SELECT id, 'B' AS block, id::VARCHAR AS unit, NULL::VARCHAR AS floor FROM poi")
+#: Five pairs of a point's complement: words of all layers, others among them, some with blanks or in lower case.
+PAIRS = "SELECT id, i, split_part('casa,BLOCO,Sala ,QUADRA,subsolo,LOTE,FUNDOS,Torre,APARTAMENTO,Rua Interna,CAIXA,', ',', CAST((id * i * i + 5 * i + id / 13) % 12 AS INT) + 1) AS n, CASE WHEN (id + i) % 6 = 0 THEN NULL ELSE concat(' ', CAST((id * 7 + i) % 40 AS VARCHAR(10))) END AS v FROM (SELECT CAST(id AS BIGINT) AS id FROM poi) p CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS k(i)".replace("id / 13", "CAST(FLOOR(id / 13) AS BIGINT)")
+_LAYER = "CASE upper(trim(n)) WHEN 'QUADRA' THEN 1 WHEN 'RUA INTERNA' THEN 2 WHEN 'BLOCO' THEN 3 WHEN 'TORRE' THEN 3 WHEN 'SUBSOLO' THEN 4 WHEN 'SALA' THEN 5 WHEN 'APARTAMENTO' THEN 5 WHEN 'CASA' THEN 6 WHEN 'LOTE' THEN 6 WHEN 'FUNDOS' THEN 7 END"
+
+
+@query("h126_complement_layers", f"WITH p AS (SELECT *, {_LAYER} AS layer FROM ({PAIRS}) q), r AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY i) AS rn FROM p WHERE layer IS NOT NULL), f AS (SELECT id, string_agg(trim(upper(trim(n)) || ' ' || trim(coalesce(v, ''))), ' → ' ORDER BY layer) AS form, max(CASE WHEN layer = 3 THEN upper(trim(n)) || ':' || trim(coalesce(v, '')) END) AS block FROM r WHERE rn = 1 GROUP BY id) SELECT poi.id, coalesce(form, '') AS form, block FROM poi LEFT JOIN f ON f.id = poi.id")
 def h126(t: Tables) -> DataFrame:
-    n, v = F.array(F.lit("casa"), F.lit("BLOCO"), F.lit("SALA")), F.array(F.col("id").cast("string"), F.lit("B"), F.lit("9"))
-    return t.poi.select("id", text.complement_layers(n, v).alias("l")).select("id", "l.block", "l.unit", "l.floor")
+    five = t.sql(with_ctes(PAIRS)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "n", "v"))).alias("p"))
+    layers = five.select("id", text.complement_layers(F.col("p.n"), F.col("p.v")).alias("l"))
+    return layers.select("id", text.complement_form(F.col("l")).alias("form"), F.concat_ws(":", "l.bloco.kind", "l.bloco.value").alias("block")).withColumn("block", F.nullif("block", F.lit("")))
 
 
 @query("h127_block_lot", "SELECT id, CASE WHEN id % 3 > 0 THEN (id % 3)::VARCHAR WHEN id % 2 = 0 THEN 'Q' || id || '/L8' ELSE 'L8' END AS key FROM poi")

@@ -14,16 +14,24 @@ from .inputs import Tables
 from .registry import both, query
 
 
+#: Rows of a file of the stream, on average, where there are enough.
+ROWS_A_FILE = 100_000
+
+
 def stream(t: Tables) -> DataFrame:
     """The events as a file stream: written to the shared folder in four steps of time, so that there are several batches."""
     path = folder(t.spark)
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts")
     cuts = [None, *events.select(at.cast("double").alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01), None]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # one after the other, as a stream takes older files first
-        step = F.lit(True) if lo is None else at >= F.lit(int(lo))
-        events.filter(step if hi is None else step & (at < F.lit(int(hi)))).coalesce(1).write.mode("append").parquet(path)
-    return flows.file_stream(t.spark, path, events.schema, files_a_trigger=1)
+    step = lambda lo, hi: (F.lit(True) if lo is None else at >= F.lit(int(lo))) & (F.lit(True) if hi is None else at < F.lit(int(hi)))
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    sizes = events.agg(*[F.count(F.when(step(*s), 1)).alias(f"n{i}") for i, s in enumerate(spans)]).first()
+    # each step has as many files, none of them empty, so a batch is a step and no row of it is late
+    files = max(1, min(min(sizes) // ROWS_A_FILE, t.spark.sparkContext.defaultParallelism))
+    for s in spans:  # one after the other, as a stream takes older files first
+        events.filter(step(*s)).repartition(files).write.mode("append").parquet(path)
+    return flows.file_stream(t.spark, path, events.schema, files_a_trigger=files)
 
 
 def drained(t: Tables, df: DataFrame, mode: str) -> DataFrame:

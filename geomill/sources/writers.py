@@ -98,22 +98,22 @@ def workbook(sheets: dict[str, tuple[Sequence[str], Sequence[Sequence]]]) -> byt
 
 
 def workbooks(df: DataFrame, book: str, sheet: str, order: str, most: int = 100_000) -> DataFrame:
-    """(path, content): one workbook for each value of ``book``, with a sheet for each value of ``sheet``, rows by ``order``.
+    """(path, content): a workbook for each value of ``book``, with a sheet for each value of ``sheet``, rows by ``order``.
 
-    A report has at most ``most`` rows, which is checked before any is gathered."""
-    big = df.groupBy(book).count().filter(F.col("count") > most)
-    if not big.isEmpty():
-        raise ValueError(f"a workbook would have more than {most} rows")
+    A book of more than ``most`` rows becomes several, numbered ones of about that size, by a hash of its rows."""
+    sizes = df.groupBy(book).agg(F.ceil(F.count("*") / most).cast("int").alias("_books"))
+    rows = df.join(sizes, book).withColumn("_book", F.pmod(F.xxhash64(*df.columns), F.col("_books")).cast("int"))
     columns = [c for c in df.columns if c not in (book, sheet)]
 
     def make(p):
         import pandas as pd
 
         p = p.sort_values([sheet, order])
+        name = f"{p[book].iloc[0]}.xlsx" if p["_books"].iloc[0] == 1 else f"{p[book].iloc[0]}-{p['_book'].iloc[0] + 1}.xlsx"
         sheets = {str(k): (columns, g[columns].astype(object).where(g[columns].notna(), None).values.tolist()) for k, g in p.groupby(sheet)}
-        return pd.DataFrame({"path": [f"{p[book].iloc[0]}.xlsx"], "content": [workbook(sheets)]})
+        return pd.DataFrame({"path": [name], "content": [workbook(sheets)]})
 
-    return df.groupBy(book).applyInPandas(make, "path string, content binary")
+    return rows.groupBy(book, "_book").applyInPandas(make, "path string, content binary")
 
 
 def write_text(df: DataFrame, path: str) -> None:
