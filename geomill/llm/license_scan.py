@@ -8,9 +8,12 @@ aligned by the longest common subsequence, whatever its size (a window is at mos
 and four words long, so memory is bounded).  Coverage is the share of the template's words that
 are aligned.
 
-A window can only reach the coverage sought if it holds that share of the template's words,
-so windows with fewer are passed over without loss.  Windows go on behind each find; a text
-may hold a license several times.
+A window can only reach the coverage sought if it holds that share of the template's words, each
+no oftener than the template does; this number is kept for all windows by sliding counts, and windows with
+fewer are passed over without loss.  Of the others the longest common subsequence is measured
+in bits before any alignment.  It bounds the alignment, and it grows by no more than one from a
+window to the next, so a window that lacks k words is followed by that k places on.  Windows go on
+behind each find; a text may hold a license several times.
 
 Cases: null or empty text, or one without words, has no license: a row with n_licenses 0 and
 nulls; ties of coverage go to the template listed first, then to the earlier place; an empty
@@ -151,6 +154,47 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def places_of(template: list[str]) -> dict[str, int]:
+    """Word -> its places in the template, as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_length(text: list[str], places: dict[str, int], m: int) -> int:
+    """Length of the longest common subsequence with a template of ``m`` words (``places_of``)."""
+    full = (1 << m) - 1
+    row = full
+    for w in text:
+        at = places.get(w)
+        if at:
+            u = row & at
+            row = (row + u | row - u) & full
+    return m - row.bit_count()
+
+
+def overlaps(words: list[str], counts: dict[str, int], width: int) -> np.ndarray:
+    """For the window at each place: its words that the template has, each no oftener than there.
+
+    The k-th occurrence of a word that the template has c times counts for the windows that begin behind
+    the (k - c)-th one, and hold it."""
+    n = len(words)
+    change = np.zeros(n + 1, np.int64)
+    where: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        if w in counts:
+            where.setdefault(w, []).append(i)
+    for w, at in where.items():
+        p = np.array(at)
+        first = np.maximum(p - width + 1, 0)
+        c = counts[w]
+        first[c:] = np.maximum(first[c:], p[:-c] + 1)
+        np.add.at(change, first, 1)
+        np.add.at(change, p + 1, -1)
+    return np.cumsum(change[:n])
+
+
 class Find(NamedTuple):
     license: str
     coverage: float
@@ -165,6 +209,8 @@ class Scanner:
         self.least = least
         self.templates = {k: words_of(v) for k, v in templates.items()}
         self.sets = {k: set(v) for k, v in self.templates.items()}
+        self.counts = {k: Counter(v) for k, v in self.templates.items()}
+        self.places = {k: places_of(v) for k, v in self.templates.items()}
         self.distinct = {k: self.missing(v) for k, v in self.templates.items()}
 
     def missing(self, template: list[str]) -> int:
@@ -183,13 +229,15 @@ class Scanner:
             m = len(template)
             width, need = m + m // 2 + 4, -(-int(self.least * m * 1000) // 1000)
             hit = np.fromiter((w in vocabulary for w in words), bool, len(words))
-            total = np.concatenate([[0], np.cumsum(hit)])
-            ends = np.minimum(np.arange(len(words)) + width, len(words))
-            able = np.flatnonzero(hit & (total[ends] - total[:-1] >= need))
+            able = np.flatnonzero(hit & (overlaps(words, self.counts[name], width) >= need))
             past = 0
             for i in able.tolist():
                 if i < past:
                     continue
+                lack = need - common_length(words[i : i + width], self.places[name], m)
+                if lack > 0:
+                    past = i + lack
+                    continue
                 pairs = align(words[i : i + width], template)
                 while pairs and pairs[0][0]:  # the window may have cut off the end: start at the find itself
                     i += pairs[0][0]

@@ -1,6 +1,8 @@
 """Near-dedup, mixing, nearest neighbours, licenses, pipeline."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -258,6 +260,30 @@ def test_rising_and_alignment():
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
+def test_windows_are_bounded_without_loss():
+    """The sliding bound is the multiset's, the bits' length is the subsequence's, and hard texts are read in little time."""
+    r = random.Random(6)
+    template = [r.choice("abcdefgh") for _ in range(20)]
+    counts, places = Counter(template), license_scan.places_of(template)
+    words = [r.choice("abcdefghxyz") for _ in range(300)]
+    got = license_scan.overlaps(words, counts, 34)
+    for i in range(300):
+        window = words[i : i + 34]
+        assert got[i] == sum((Counter(window) & counts).values())
+        t = np.zeros((len(window) + 1, 21), int)
+        for a, x in enumerate(window, 1):
+            for b, y in enumerate(template, 1):
+                t[a, b] = t[a - 1, b - 1] + 1 if x == y else max(t[a - 1, b], t[a, b - 1])
+        assert license_scan.common_length(window, places, 20) == t[-1, -1]
+    scanner = license_scan.Scanner()
+    mit = scanner.templates["MIT"]
+    for hard in ([r.choice(mit) for _ in range(40_000)], [w for _ in range(200) for w in r.sample(mit, len(mit))]):
+        began = time.process_time()
+        assert not [f for f in scanner.scan(" ".join(hard)) if f.license == "MIT"]
+        assert time.process_time() - began < 30  # by aligning every window: minutes
+    assert [f.coverage for f in scanner.scan(" ".join([*hard[:3000], *mit, *hard[3000:6000]])) if f.license == "MIT"] == [1.0]
+
+
 def plain_alignment(a, b):
     """Length of the patience alignment of two word lists, by the definition and without speed."""
     n = 0
