@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import identifiers, text
-from geomill.operators import cluster, decisions, joins
+from geomill.operators import cluster, decisions, joins, verdicts
 
 from .inputs import Tables, with_ctes
 from .joins import METRES, RINGS, core
@@ -134,6 +134,46 @@ def h723(t: Tables) -> DataFrame:
 VOTES = "SELECT CAST(FLOOR(id / 4) AS BIGINT) AS connection, CASE WHEN id % 10 = 0 THEN id - id % 20 ELSE id END AS poi, source, id % 7 <> 0 AS valid, id % 900 AS age FROM poi"
 
 
+CITED = "SELECT CAST(FLOOR(id / 3) AS BIGINT) AS connection, CASE WHEN id % 10 = 0 THEN id - id % 20 ELSE id END AS poi, CASE WHEN id % 23 = 0 THEN 'Different ' END AS seen_number FROM poi"
+LISTED = "SELECT CAST(FLOOR(id / 3) AS BIGINT) AS connection, CASE WHEN id % 10 = 0 THEN id - id % 20 ELSE id END AS poi FROM poi WHERE id % 29 <> 0"
+CONNECTIONS = "SELECT DISTINCT CAST(FLOOR(id / 3) AS BIGINT) AS connection, CASE WHEN CAST(FLOOR(id / 3) AS BIGINT) % 4 = 0 THEN 'casa 2' ELSE '' END AS unit, CAST(CAST(FLOOR(id / 3) AS BIGINT) % 22 + 1 AS VARCHAR(10)) AS number, CASE CAST(FLOOR(id / 3) AS BIGINT) % 7 WHEN 0 THEN 'SIM_COM_ANALISE_HUMANA' ELSE 'SIM' END AS qualification, CAST(FLOOR(id / 3) AS BIGINT) % 2 = 0 AS light, CAST(FLOOR(id / 3) AS BIGINT) % 11 = 0 AS abandoned, CASE WHEN CAST(FLOOR(id / 3) AS BIGINT) % 9 = 0 THEN 'Igreja local' ELSE 'loja' END AS use FROM poi"
+RECORDS = "SELECT id AS poi, CASE WHEN id % 31 = 0 THEN 'religious' END AS not_commerce, CASE WHEN id % 8 = 1 THEN 'casa 3' WHEN id % 8 = 2 THEN 'casa 2' END AS unit, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN CAST(id % 22 + 1 AS VARCHAR(10)) ELSE CAST(CAST(FLOOR(id / 3) AS BIGINT) % 22 + 1 AS VARCHAR(10)) END AS number FROM poi"
+PROOFS = "SELECT id AS poi, source, split_part('street_photo,review,photo,social,web,register', ',', CAST(id * 5 % 6 AS INT) + 1) AS kind, CASE WHEN id % 12 > 0 THEN id * 37 % 1500 END AS age FROM poi UNION ALL SELECT id, 'maps', split_part('review,photo,comment,register', ',', CAST(id % 4 AS INT) + 1), id * 91 % 1100 FROM poi WHERE id % 3 = 0"
+_REASON = f"""c AS (SELECT connection, poi, max(CASE WHEN seen_number IS NOT NULL THEN 1 ELSE 0 END) AS seen FROM ({CITED}) q GROUP BY connection, poi),
+v AS (SELECT c.connection, c.poi, CASE WHEN l.poi IS NULL THEN 'not_listed' WHEN not_commerce IS NOT NULL THEN 'not_commerce' WHEN k.unit = 'casa 2' AND r.unit = 'casa 3' THEN 'other_unit' WHEN r.number <> '' AND r.number <> k.number THEN 'other_number' WHEN seen = 1 THEN 'other_number_seen' END AS reason
+  FROM c LEFT JOIN (SELECT DISTINCT connection, poi FROM ({LISTED}) q) l ON l.connection = c.connection AND l.poi = c.poi LEFT JOIN ({CONNECTIONS}) k ON k.connection = c.connection LEFT JOIN ({RECORDS}) r ON r.poi = c.poi)"""
+
+
+def cited(t: Tables) -> DataFrame:
+    return verdicts.cited_records(rows(t, CITED), rows(t, LISTED), rows(t, CONNECTIONS), rows(t, RECORDS))
+
+
+@query("h724_cited_records", f"WITH {_REASON} SELECT connection, poi, reason FROM v")
+def h724b(t: Tables) -> DataFrame:
+    return cited(t)
+
+
+@query(
+    "h724_final_verdicts",
+    f"""WITH {_REASON}, g AS (SELECT connection, poi, count(*) OVER (PARTITION BY poi) AS claims FROM v WHERE reason IS NULL),
+f AS (SELECT *, TIMESTAMP '2026-01-01' - to_days(age::INT) AS day, CASE WHEN age IS NULL THEN NULL ELSE (DATE '2026-01-01' - age::INT) END AS d FROM ({PROOFS}) q),
+m AS (SELECT *, CASE WHEN day(d) = 1 THEN (2026 - year(d)) * 12 + 1 - month(d) ELSE (2026 - year(d)) * 12 + 1 - month(d) + (1 - day(d)) / 31.0 END AS months FROM f),
+p AS (SELECT g.connection, count(DISTINCT CASE WHEN kind = 'street_photo' OR (kind <> 'web' AND months <= 24) THEN source END) AS sources,
+  max((kind = 'street_photo' OR (kind <> 'web' AND coalesce(months <= 24, false)))::INT) AS proven, max((kind = 'street_photo' OR coalesce((kind = 'review' AND months <= 12) OR (kind IN ('photo', 'comment') AND months < 12), false))::INT) AS strong, max((kind = 'social' AND coalesce(months <= 24, false))::INT) AS post
+  FROM g LEFT JOIN m ON m.poi = g.poi WHERE claims = 1 GROUP BY g.connection),
+d AS (SELECT DISTINCT connection FROM g WHERE claims > 1),
+w AS (SELECT k.connection, CASE WHEN proven IS NULL THEN CASE WHEN d.connection IS NOT NULL THEN 'in_doubt' ELSE 'no_record' END
+  WHEN proven = 0 AND NOT (post = 1 AND qualification = 'SIM' AND NOT abandoned AND use = 'loja') THEN 'no_recent_proof' WHEN light AND abandoned THEN 'abandoned'
+  WHEN light AND sources < 2 AND strong = 0 AND NOT (post = 1 AND qualification = 'SIM' AND NOT abandoned AND use = 'loja') THEN 'one_source' WHEN qualification <> 'SIM' THEN 'qualification' END AS why
+  FROM ({CONNECTIONS}) k LEFT JOIN p ON p.connection = k.connection LEFT JOIN d ON d.connection = k.connection)
+SELECT connection, CASE WHEN why IS NULL THEN 'approved' ELSE 'review' END AS verdict, why FROM w""",
+)
+def h724c(t: Tables) -> DataFrame:
+    today = F.lit("2026-01-01").cast("date")
+    proofs = rows(t, PROOFS).withColumn("day", F.date_sub(today, F.col("age").cast("int")))
+    return verdicts.final_verdicts(cited(t), rows(t, CONNECTIONS), proofs, today)
+
+
 @query("h724_checked_decision", f"WITH v AS ({VOTES}), g AS (SELECT * FROM v WHERE valid), o AS (SELECT poi, count(DISTINCT connection) AS claims FROM g GROUP BY poi), s AS (SELECT connection, count(DISTINCT CASE WHEN claims = 1 THEN source END) AS sources, min(age) AS age FROM g JOIN o USING (poi) GROUP BY connection) SELECT connection, coalesce(sources, 0) AS sources, CASE WHEN sources IS NULL THEN 'NO' WHEN sources < 2 OR age > 365 THEN 'REVIEW' ELSE 'YES' END AS decision FROM (SELECT DISTINCT connection FROM v) c LEFT JOIN s USING (connection)")
 def h724(t: Tables) -> DataFrame:
     today = F.lit("2026-01-01").cast("date")
