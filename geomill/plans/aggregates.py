@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, nested, similarity, text
-from geomill.operators import address, changes, cluster, fusion, joins, lexicon, numbering
+from geomill.operators import address, blocks, changes, cluster, fusion, joins, lexicon, numbering
 
 from geomill.operators.stages import keeper
 
-from .inputs import Tables
+from .inputs import Tables, with_ctes
 from .joins import RINGS
 from .registry import both, query
 
@@ -76,6 +76,27 @@ def d16(t: Tables) -> DataFrame:
 
 
 both("d17_block_aggregate", f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS plain, min(l_linenumber) AS first_line, {_MONEY.format('l_extendedprice')} AS price FROM lineitem GROUP BY l_orderkey")
+_USES = "RESIDENCIAL,COMERCIO_VAREJO,COMERCIO_SERVICO,BELEZA_ESTETICA,INDUSTRIAL,ALIMENTACAO,SERVICO_PROF,SERVICO_AUTO,MANUFATURA,SAUDE,EDUCACAO,RELIGIOSO,HOSPEDAGEM,VAGO,LAZER,DIVERSOS,RURAL"
+UNITS = f"""SELECT id, concat(street, '|', CAST(number AS VARCHAR(10))) AS key, concat('C', street, CAST(number AS VARCHAR(10))) AS collective, id % 6 < 4 AS is_collective,
+  split_part(',A,B,C', ',', CAST(id % 4 AS INT) + 1) AS block, split_part(', ,TORRE,BLOCO', ',', CAST(CAST(FLOOR(id / 2) AS BIGINT) % 4 AS INT) + 1) AS block_kind, CASE WHEN id % 5 > 0 THEN CAST(id % 7 AS VARCHAR(10)) ELSE '' END AS floor,
+  CASE WHEN id % 3 > 0 THEN CAST(id % 31 AS VARCHAR(10)) END AS unit, CASE WHEN id % 7 = 0 THEN CAST(id % 3 AS VARCHAR(10)) ELSE '' END AS house, split_part('{_USES}', ',', CAST(id * 5 % 17 AS INT) + 1) AS use,
+  street, CASE WHEN number = 4 THEN 0 ELSE number END AS number, concat('area ', CAST(city AS VARCHAR(10))) AS area, postcode, concat('kind ', CAST(id % 2 AS VARCHAR(10))) AS kind, CAST(id % 4 AS BIGINT) AS confidence_code, lat, lng, CASE WHEN id % 9 > 0 THEN CAST(id % 8 AS VARCHAR(10)) END AS establishments FROM door"""
+_COUNTED = ", ".join(f"count(*) FILTER (WHERE use IN ({', '.join(repr(x) for x in v)})) AS n_{k}" for k, v in blocks.USES.items())
+_FIRST = "collective, street, number, area, postcode, kind, confidence_code"
+
+
+@query(
+    "d17_block_profile",
+    f"""WITH r AS (SELECT * REPLACE (coalesce(nullif(block, ''), '-') AS block) FROM ({UNITS}) q WHERE is_collective AND number > 0),
+g AS (SELECT key, block, {", ".join(f"min_by({c}, id) AS {c}" for c in _FIRST.split(", "))}, coalesce(min_by(block_kind, id) FILTER (WHERE trim(block_kind) <> ''), '-') AS block_kind, count(*) AS n, count(DISTINCT nullif(floor, '')) AS n_floors, count(DISTINCT nullif(unit, '')) AS n_units, count(DISTINCT nullif(house, '')) AS n_houses,
+  {_COUNTED}, avg(lat) AS lat, avg(lng) AS lng, max(establishments::DOUBLE) AS most_declared FROM r GROUP BY key, block)
+SELECT * EXCLUDE (key) REPLACE (round(lat + 3.3e-8::DOUBLE, 6) AS lat, round(lng + 3.3e-8::DOUBLE, 6) AS lng), (sum(n) OVER (PARTITION BY collective))::BIGINT AS total, count(*) FILTER (WHERE block <> '-') OVER (PARTITION BY collective) AS n_blocks FROM g""",
+)
+def d17b(t: Tables) -> DataFrame:
+    # means of steps of 0.00001 are often halves of the last digit, where engines round apart: both are moved off them
+    return blocks.block_profile(t.sql(with_ctes(UNITS))).withColumns({c: F.round(F.col(c) + 3.3e-8, 6) for c in ("lat", "lng")})
+
+
 both("d18_group_transform", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 
 

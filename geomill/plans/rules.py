@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import nested
-from geomill.operators import rules
+from geomill.operators import gaps, rules
 
 from .inputs import Tables
 from .registry import both, query
@@ -87,6 +87,44 @@ def h719(t: Tables) -> DataFrame:
     return rules.unit_grid(t.poi.filter("id % 8 = 3").select(F.col("city").alias("building"), ((i % 6 + 1) * 100 + i % 5 + 1).cast("int").alias("unit")))
 
 
+GRID = "SELECT o_custkey AS building, CAST((CAST(FLOOR(o_orderkey / 3) AS BIGINT) * 5 % 9 + 1) * 100 + o_orderkey * 7 % 5 AS BIGINT) AS unit FROM orders"
+
+
+@query(
+    "h719_graded_units",
+    f"""WITH u AS (SELECT DISTINCT building, unit, unit // 100 AS f, unit % 100 AS p FROM ({GRID}) q), b AS (SELECT building, count(*) AS n, count(DISTINCT f) AS nf, min(f) AS f0, max(f) AS f1 FROM u GROUP BY building HAVING count(*) >= 3),
+o AS (SELECT building, f, min(p) AS lo, max(p) AS hi FROM u JOIN b USING (building) GROUP BY building, f), pl AS (SELECT DISTINCT building, p FROM u WHERE p > 0),
+g AS (SELECT o.*, pl.p FROM o JOIN pl USING (building) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.building = o.building AND u.f = o.f AND u.p = pl.p)),
+k AS (SELECT *, count(*) OVER (PARTITION BY building) AS absent FROM g),
+ac AS (SELECT building, f * 100 + k.p AS unit, lo < k.p AND k.p < hi AS inside, CASE WHEN k.p > hi THEN k.p - hi ELSE lo - k.p END AS steps FROM k JOIN b USING (building) WHERE absent <= 3 * n)
+SELECT building, unit, CASE WHEN inside THEN 'A' ELSE 'C' END AS kind, CASE WHEN inside THEN 'SUSTENTADA' WHEN steps <= 2 THEN 'PLAUSIVEL' ELSE 'ESPECULATIVA' END AS grade, CASE WHEN NOT inside THEN steps END AS steps FROM ac
+UNION ALL SELECT x.building, (x.f + 1) * 100 + x.p, 'B', 'SUSTENTADA', NULL FROM u x JOIN u y ON y.building = x.building AND y.f = x.f + 2 AND y.p = x.p JOIN b ON b.building = x.building
+WHERE NOT EXISTS (SELECT 1 FROM u z WHERE z.building = x.building AND z.f = x.f + 1) AND b.f1 - b.f0 + 1 - b.nf <= greatest(1, floor(0.3 * b.nf))""",
+)
+def h719b(t: Tables) -> DataFrame:
+    return gaps.unit_gaps(t.sql(GRID))
+
+
+PLACES = "SELECT o_custkey AS address, o_orderkey AS id, CASE o_orderkey % 11 WHEN 0 THEN 'frente' WHEN 1 THEN 'FUNDOS' WHEN 2 THEN 'DIR' WHEN 3 THEN 'Lado Esquerdo' ELSE '' END AS word, o_custkey % 3 = 0 OR o_orderkey % 5 > 0 AS described FROM orders WHERE o_custkey % 2 = 0 OR o_orderkey % 11 < 3"
+
+
+@query("h719_positions", f"WITH r AS (SELECT address, upper(word) AS w, described FROM ({PLACES}) q), s AS (SELECT *, 'FRENTE' AS a, 'FUNDOS' AS b FROM r UNION ALL SELECT address, CASE w WHEN 'DIR' THEN 'LADO DIREITO' ELSE w END, described, 'LADO DIREITO', 'LADO ESQUERDO' FROM r), g AS (SELECT address, a, b, bool_or(w = a) AS x, bool_or(w = b) AS y, count(*) FILTER (WHERE w <> a) AS na, count(*) FILTER (WHERE w <> b) AS nb, count(*) FILTER (WHERE w <> a AND NOT described) AS ba, count(*) FILTER (WHERE w <> b AND NOT described) AS bb FROM s GROUP BY address, a, b), k AS (SELECT address, CASE WHEN x THEN b ELSE a END AS missing, CASE WHEN CASE WHEN x THEN na ELSE nb END = 0 THEN 'D' WHEN CASE WHEN x THEN ba ELSE bb END > 0 THEN 'F' ELSE 'E' END AS kind FROM g WHERE x <> y) SELECT *, CASE kind WHEN 'D' THEN 'SUSTENTADA' WHEN 'E' THEN 'PLAUSIVEL' ELSE 'ESPECULATIVA' END AS grade FROM k")
+def h719c(t: Tables) -> DataFrame:
+    return gaps.position_gaps(t.sql(PLACES).withColumn("positions", F.array("word")))
+
+
+LOTS = "SELECT CAST(FLOOR(o_custkey / 20) AS BIGINT) AS address, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_custkey % 5 * 2 AS VARCHAR(10)) END AS block, CASE WHEN o_orderkey % 17 > 0 THEN CAST(o_orderkey % 6 AS VARCHAR(10)) END AS lot, CAST(CAST(FLOOR(o_orderkey / 7) AS BIGINT) % 12 AS VARCHAR(10)) AS house FROM orders"
+
+
+def _linear(by: str, value: str) -> str:
+    return f"SELECT {by}, lo + unnest(range(1, gap)) AS missing FROM (SELECT {by}, v AS lo, lead(v) OVER (PARTITION BY {by} ORDER BY v) - v AS gap, count(*) OVER (PARTITION BY {by}) AS n, max(v) OVER (PARTITION BY {by}) - min(v) OVER (PARTITION BY {by}) + 1 AS span FROM (SELECT DISTINCT {by}, {value} AS v FROM r WHERE {value} IS NOT NULL) q) q WHERE gap > 1 AND span - n <= 3 * n"
+
+
+@query("h719_block_lot", f"WITH r AS (SELECT address, coalesce(block, '') AS block, coalesce(lot, '') AS lot, TRY_CAST(block AS BIGINT) AS b, TRY_CAST(lot AS BIGINT) AS l, TRY_CAST(house AS BIGINT) AS h FROM ({LOTS}) q) SELECT address, NULL::VARCHAR AS block, NULL::VARCHAR AS lot, 'block' AS level, missing FROM ({_linear('address', 'b')}) x UNION ALL SELECT address, block, NULL, 'lot', missing FROM ({_linear('address, block', 'l')}) y UNION ALL SELECT address, block, lot, 'house', missing FROM ({_linear('address, block, lot', 'h')}) z")
+def h719d(t: Tables) -> DataFrame:
+    return gaps.block_lot_gaps(t.sql(LOTS))
+
+
 @query("h720_inferred_rows", "WITH v AS (SELECT street, list_sort(list(DISTINCT number)) AS v FROM door GROUP BY street) SELECT street, unnest(list_filter(range(v[1], v[-1] + 1), lambda x: NOT list_contains(v, x))) AS number, NULL::DOUBLE AS lat FROM v WHERE len(v) > 1 AND v[-1] - v[1] + 1 <= 3 * len(v)")
 def h720(t: Tables) -> DataFrame:
     v = t.door.groupBy("street").agg(F.array_sort(F.collect_set("number")).alias("v"))
