@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Entries of a task's memo of matches, and bytes of a match that is memoised at most.
-MEMO, MEMO_BYTES = 200_000, 256
+MEMO, MEMO_BYTES = 50_000, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
