@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomill.functions import identifiers
@@ -77,6 +77,57 @@ def require(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows
 
 
+def fill_or_reject(rows: DataFrame, fills: dict[str, Column], lookup: DataFrame | None, on: str, required: list[str], unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected rows with ``reason``): what triggers before an insert do, for a whole load.
+
+    Empty or null columns of ``fills`` take their value; those of ``lookup`` (keyed by ``on``, unique) are filled from it.  A row that
+    still lacks a required column, or repeats a key of ``unique`` (the row of the smallest other columns counts), is rejected."""
+    empty = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    out = rows
+    if lookup is not None:
+        known = [c for c in lookup.columns if c != on]
+        out = out.join(lookup.select(on, *[F.col(c).alias(f"_{c}") for c in known]), on, "left")
+        out = out.withColumns({c: F.when(empty(c), F.col(f"_{c}")).otherwise(F.col(c)) for c in known}).drop(*[f"_{c}" for c in known])
+    out = out.withColumns({c: F.when(empty(c), v).otherwise(F.col(c)) for c, v in fills.items()}).select(*rows.columns)
+    lacks = F.concat_ws(",", *[F.when(empty(c), F.lit(c)) for c in required])
+    out = out.withColumn("_lacks", lacks)
+    w = Window.partitionBy(*unique, F.col("_lacks") == "").orderBy(*[c for c in rows.columns if c not in unique])
+    again = (F.col("_lacks") == "") & (F.row_number().over(w) > 1)
+    out = out.withColumn("_again", again)
+    reason = F.when(F.col("_lacks") != "", F.concat(F.lit("lacks "), F.col("_lacks"))).when(F.col("_again"), "repeats")
+    out = out.withColumn("reason", reason).drop("_lacks", "_again")
+    return out.filter("reason IS NULL").drop("reason"), out.filter("reason IS NOT NULL")
+
+
+def freshness(now: DataFrame, ledger: DataFrame, key: str, share: float = 0.0) -> DataFrame:
+    """(key, rows, done, verdict): rows of each part now against the last entry of a ledger (key, rows, at): NEW, FRESH, STALE (grown or
+    shrunk by more than ``share``) or GONE."""
+    last = ledger.groupBy(key).agg(F.max_by("rows", "at").alias("done"))
+    j = now.groupBy(key).agg(F.count("*").alias("rows")).join(last, key, "full_outer")
+    off = F.abs(F.col("rows") - F.col("done")) > F.col("done") * share
+    verdict = F.when(F.col("done").isNull(), "NEW").when(F.col("rows").isNull(), "GONE").when(off, "STALE").otherwise("FRESH")
+    return j.select(key, "rows", "done", verdict.alias("verdict"))
+
+
+def delivery_checks(rows: DataFrame, key: str, rules: dict[str, Column], columns: list[str], parents: dict[str, DataFrame], manifest: dict[str, float], metrics: dict[str, Column]) -> DataFrame:
+    """(rule, broken) of a delivery: columns that are missing, keys that are null or repeat, rows that break a rule, rows without a
+    parent (column -> table with that column), and metrics that differ from the manifest's.  No row of ``rows`` leaves its task but for keys."""
+    spark = rows.sparkSession
+    fixed = [(f"column {c}", int(c not in rows.columns)) for c in columns]
+    out = spark.createDataFrame(fixed, "rule string, broken long") if fixed else None
+    add = lambda d: d if out is None else out.unionByName(d)
+    out = add(rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)).alias("broken")).select(F.lit(f"key {key}").alias("rule"), "broken"))
+    out = add(expectations(rows, rules).select("rule", F.col("broken").cast("long").alias("broken"))) if rules else out
+    for c, parent in parents.items():
+        lone = rows.filter(F.col(c).isNotNull()).join(parent.select(c).distinct(), c, "left_anti").agg(F.count("*").alias("broken"))
+        out = add(lone.select(F.lit(f"parent {c}").alias("rule"), "broken"))
+    if manifest:
+        got = rows.agg(*[m.cast("double").alias(n) for n, m in metrics.items()])
+        each = F.array(*[F.struct(F.lit(f"manifest {n}").alias("rule"), F.coalesce((F.col(n) != F.lit(float(v))).cast("long"), F.lit(1).cast("long")).alias("broken")) for n, v in manifest.items()])
+        out = add(got.select(F.explode(each).alias("x")).select("x.*"))
+    return out
+
+
 def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
     """Columns cast to declared types; what doesn't fit is null."""
     return rows.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in rows.columns})

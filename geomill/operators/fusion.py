@@ -266,6 +266,16 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return t.join(n, on, "full_outer").select(*[F.coalesce(filled(F.col(f"n.{c}")), F.col(f"t.{c}")).alias(c) for c in target.columns])
 
 
+def link_sources(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (poi, source, source_id, confidence, name) after an upsert: one for each (poi, source, source_id); of several the most confident, then
+    the one that was there, then the greater name; an empty name never replaces one."""
+    key = ["poi", "source", "source_id"]
+    both = links.withColumn("_old", F.lit(1)).unionByName(new.withColumn("_old", F.lit(0)))
+    best = F.max(F.struct("confidence", "_old", F.coalesce("name", F.lit("")).alias("name"))).alias("best")
+    name = F.max(F.when(F.trim("name") != "", F.struct("confidence", "_old", "name"))).alias("named")
+    return both.groupBy(*key).agg(best, name).select(*key, "best.confidence", F.col("named.name").alias("name"))
+
+
 def comparable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a name or an address, those with neither)."""
     ok = F.coalesce(F.trim("name") != "", F.lit(False)) | F.coalesce(F.trim("address") != "", F.lit(False))

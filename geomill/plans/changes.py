@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geomill.operators import changes
 from geomill.sources.guard import read_only
 
-from .inputs import Tables
+from .inputs import Tables, with_ctes
 from .registry import both, query
 
 _EVENTS = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'SAME' WHEN o_orderkey % 7 = 0 THEN 'LEFT' WHEN o_orderkey % 11 = 0 THEN 'ENTERED' ELSE 'CHANGED' END AS event FROM orders"
@@ -127,3 +127,44 @@ def n12(t: Tables) -> DataFrame:
 
 
 both("b24_read_only", "SELECT count(*) AS n FROM region")
+
+
+INCOMING = "SELECT id % 1400 AS id, CASE WHEN id % 19 = 0 THEN NULL ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '' ELSE category END AS category, CASE WHEN id % 7 = 0 THEN NULL ELSE city END AS city, postcode, number FROM poi"
+
+
+@query("n02_filled_or_rejected", f"WITH n AS ({INCOMING}), k AS (SELECT postcode, min(city) AS city FROM door GROUP BY postcode), f AS (SELECT n.id, n.name, coalesce(nullif(n.category, ''), 'none') AS category, coalesce(n.city, k.city) AS city, n.postcode, coalesce(nullif(n.number, ''), 'S/N') AS number FROM n LEFT JOIN k ON k.postcode = n.postcode), l AS (SELECT *, concat_ws(',', CASE WHEN name IS NULL THEN 'name' END, CASE WHEN city IS NULL THEN 'city' END) AS lacks FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY id, lacks = '' ORDER BY name, category, city, postcode, number) AS rn FROM l) SELECT id, name, category, city, number, CASE WHEN lacks <> '' THEN 'lacks ' || lacks WHEN rn > 1 THEN 'repeats' END AS reason FROM r")
+def n02b(t: Tables) -> DataFrame:
+    owners = t.door.groupBy("postcode").agg(F.min("city").alias("city"))
+    good, bad = changes.fill_or_reject(t.sql(with_ctes(INCOMING)), {"category": F.lit("none"), "number": F.lit("S/N")}, owners, "postcode", ["name", "city"], ["id"])
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).drop("postcode")
+
+
+@query("l11_ledger_freshness", "WITH n AS (SELECT city, count(*) AS rows FROM poi WHERE city <> 3 GROUP BY city), d AS (SELECT city, count(*) + city % 3 * 5 AS done FROM poi WHERE city % 5 > 0 GROUP BY city) SELECT coalesce(n.city, d.city) AS city, rows, done, CASE WHEN done IS NULL THEN 'NEW' WHEN rows IS NULL THEN 'GONE' WHEN abs(rows - done) > done * 0.1::DOUBLE THEN 'STALE' ELSE 'FRESH' END AS verdict FROM n FULL OUTER JOIN d ON d.city = n.city")
+def l11b(t: Tables) -> DataFrame:
+    count = t.poi.filter("city % 5 > 0").groupBy("city").agg(F.count("*").alias("n"))
+    ledger = count.select("city", (F.col("n") + F.col("city") % 3 * 5).alias("rows"), F.lit(2).alias("at")).unionByName(count.select("city", F.lit(0).cast("long").alias("rows"), F.lit(1).alias("at")))
+    return changes.freshness(t.poi.filter("city <> 3"), ledger, "city", 0.1)
+
+
+@query(
+    "l06_delivery_checks",
+    """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 > 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 400 = 1)
+SELECT 'column o_orderkey' AS rule, 0::BIGINT AS broken UNION ALL SELECT 'column o_missing', 1 UNION ALL SELECT 'column o_custkey', 0
+UNION ALL SELECT 'key o_orderkey', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM o GROUP BY o_orderkey)
+UNION ALL SELECT 'price', count(*) FILTER (WHERE NOT o_totalprice > 2000) FROM o UNION ALL SELECT 'status', count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) FROM o UNION ALL SELECT 'urgent', count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000) FROM o
+UNION ALL SELECT 'customer', count(*) FILTER (WHERE NOT o_custkey > 0) FROM o
+UNION ALL SELECT 'parent o_custkey', count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 30 > 0)
+UNION ALL SELECT 'manifest rows', (count(*) <> 12000)::BIGINT FROM o UNION ALL SELECT 'manifest statuses', (count(DISTINCT o_orderstatus) <> 3)::BIGINT FROM o UNION ALL SELECT 'manifest least', (min(o_orderkey) <> (SELECT min(o_orderkey) FROM o))::BIGINT FROM o""",
+)
+def l06b(t: Tables) -> DataFrame:
+    o = t.orders.filter("o_orderkey % 50 > 0").unionByName(t.orders.filter("o_orderkey % 400 = 1"))
+    rules = {"price": F.col("o_totalprice") > 2000, "status": F.col("o_orderstatus").isin("F", "O"), "urgent": ~((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)), "customer": F.col("o_custkey") > 0}
+    parents = {"o_custkey": t.customer.filter("c_custkey % 30 > 0").select(F.col("c_custkey").alias("o_custkey"))}
+    manifest = {"rows": 12000, "statuses": 3, "least": o.agg(F.min("o_orderkey")).first()[0] or 0}
+    return changes.delivery_checks(o, "o_orderkey", rules, ["o_orderkey", "o_missing", "o_custkey"], parents, manifest, {"rows": F.count("*"), "statuses": F.countDistinct("o_orderstatus"), "least": F.min("o_orderkey")})
+
+
+@query("l07_gated_output", "SELECT id, name FROM poi WHERE number <> ''")
+def l07b(t: Tables) -> DataFrame:
+    rows = t.poi.filter("number <> ''").select("id", "name", "number", "lat", "lng")
+    return changes.require(rows, {"id": F.col("id").isNotNull(), "name": F.trim("name") != "", "number": F.col("number").rlike("^[0-9]+$"), "place": F.col("lat").between(-34, 6)}).select("id", "name")

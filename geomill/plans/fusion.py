@@ -209,6 +209,12 @@ def j13b(t: Tables) -> DataFrame:
     return inside.join(t.poi.select("id", "postcode"), "id").groupBy("name").agg(F.countDistinct("postcode").alias("postcodes"))
 
 
+@query("i08_upserted_links", "WITH l AS (SELECT id % 500 AS poi, source, concat('k', CAST(id % 40 AS VARCHAR(10))) AS source_id, evidence AS confidence, CASE WHEN id % 6 = 0 THEN '' ELSE name END AS name, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS old FROM poi), r AS (SELECT *, row_number() OVER (PARTITION BY poi, source, source_id ORDER BY (name <> '') DESC, confidence DESC, old DESC, name DESC) AS rn, max(confidence) OVER (PARTITION BY poi, source, source_id) AS best FROM l) SELECT poi, source, source_id, best AS confidence, nullif(name, '') AS name FROM r WHERE rn = 1")
+def i08b(t: Tables) -> DataFrame:
+    links = t.poi.select((F.col("id") % 500).alias("poi"), "source", F.concat(F.lit("k"), (F.col("id") % 40).cast("string")).alias("source_id"), F.col("evidence").alias("confidence"), F.when(F.col("id") % 6 == 0, "").otherwise(F.col("name")).alias("name"), "id")
+    return fusion.link_sources(links.filter("id % 2 = 0").drop("id"), links.filter("id % 2 = 1").drop("id"))
+
+
 # ---- clusters ----------------------------------------------------------------------------------
 @query("h509_hulls")
 def h509(t: Tables) -> DataFrame:

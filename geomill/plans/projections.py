@@ -46,6 +46,14 @@ def b05(t: Tables) -> DataFrame:
 both("b08_plain_equality", "SELECT n_nationkey FROM nation WHERE upper(translate(lower(n_name), 'aeiou', 'AEIOU')) = upper(n_name)")
 
 
+@query("b08_plain_city", "SELECT id FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'São José' WHEN 1 THEN 'SAO JOSE' WHEN 2 THEN 'são josé ' WHEN 3 THEN 'Sao Jorge' END AS city FROM poi) q WHERE id % 5 < 3")
+def b08b(t: Tables) -> DataFrame:
+    i = F.col("id") % 5
+    city = F.when(i == 0, "São José").when(i == 1, "SAO JOSE").when(i == 2, "são josé ").when(i == 3, "Sao Jorge")
+    plain = lambda c: F.trim(text.strip_accents(F.lower(c)))
+    return t.poi.select("id", city.alias("city")).filter(plain(F.col("city")) == plain(F.lit("Sao José"))).select("id")
+
+
 @query("b09_null_safe", "SELECT a.o_orderkey, a.o_orderstatus IS DISTINCT FROM nullif(a.o_orderstatus, 'P') AS differs, nullif(a.o_orderstatus, 'P') IS NOT DISTINCT FROM NULL AS same FROM orders a")
 def b09(t: Tables) -> DataFrame:
     s, p = F.col("o_orderstatus"), F.nullif(F.col("o_orderstatus"), F.lit("P"))

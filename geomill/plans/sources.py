@@ -318,3 +318,15 @@ def a18b(t: Tables) -> DataFrame:
     total = lambda c: F.round(F.aggregate(F.slice("corners", F.lit(1), F.size("corners") - 1), F.lit(0.0), lambda s, p: s + p[c]), 5)
     named = found.join(m.filter("kind = 'relation'").select(F.col("id").alias("area"), F.col("tags")["name"].alias("name")), "area")
     return named.filter(geo.ring_area(F.col("corners")) > 0).select("name", (F.size("corners") - 1).alias("corners"), total("lat").alias("lats"), total("lng").alias("lngs"))
+
+
+@query("a28_workbook_sheets", "SELECT 'report.xlsx' AS path, CASE kind WHEN 'nations' THEN 'sheet1' ELSE 'sheet2' END AS sheet, CAST(k AS VARCHAR(10)) AS k, name FROM (SELECT 'nations' AS kind, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 'regions', r_regionkey, r_name FROM region) q")
+def a28b(t: Tables) -> DataFrame:
+    n = t.nation.select(F.lit("report").alias("book"), F.lit("nations").alias("sheet"), F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
+    r = t.region.select(F.lit("report").alias("book"), F.lit("regions").alias("sheet"), F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"))
+    return readers.read_workbooks(writers.workbooks(n.unionByName(r), "book", "sheet", "k"), {"k": [], "name": []}).drop("row")
+
+
+@query("a31_export_dictionary", "SELECT * FROM (SELECT 'id' AS \"column\", 'bigint' AS type, count(*) AS rows, count(*) AS filled, max(length(id::VARCHAR)) AS longest FROM poi UNION ALL SELECT 'name', 'string', count(*), count(*) FILTER (WHERE trim(name) <> ''), max(length(name)) FROM poi UNION ALL SELECT 'number', 'string', count(*), count(*) FILTER (WHERE trim(number) <> ''), max(length(number)) FROM poi UNION ALL SELECT 'evidence', 'int', count(*), count(*), max(length(evidence::VARCHAR)) FROM poi) q")
+def a31b(t: Tables) -> DataFrame:
+    return writers.export_with_dictionary(t.poi.select("id", "name", "number", "evidence"), folder(t.spark))

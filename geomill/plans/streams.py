@@ -121,3 +121,9 @@ def m09(t: Tables) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by(F.struct("total", "cooling"), "_batch").alias("s")).select("user_id", "s.total", "s.cooling")
 
 
+
+
+@query("m01_claimed_jobs", "WITH j AS (SELECT event_id AS id, event_type AS kind, CASE WHEN event_id % 4 = 0 THEN 'done' ELSE 'queued' END AS state, ts FROM events), m AS (SELECT id FROM j WHERE state = 'queued' AND kind IN ('click', 'view') ORDER BY ts, id LIMIT 20) SELECT id, kind, CASE WHEN id IN (SELECT id FROM m) THEN 'running' ELSE state END AS state, CASE WHEN id IN (SELECT id FROM m) THEN 'w1' END AS worker FROM j")
+def m01b(t: Tables) -> DataFrame:
+    jobs = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 4 == 0, "done").otherwise("queued").alias("state"), F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("worker"))
+    return flows.claim(jobs, ["click", "view"], 20, "w1").select("id", "kind", "state", "worker")

@@ -120,6 +120,16 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 
 
+def export_with_dictionary(df: DataFrame, path: str) -> DataFrame:
+    """Write a source's rows as CSV with a header and, beside them, their dictionary, which is returned: (column, type, rows, filled, longest)."""
+    export_csv(df, f"{path}/rows")
+    filled = lambda c: F.trim(F.col(c).cast("string")) != ""
+    one = df.agg(F.count("*").alias("_n"), *[f for c in df.columns for f in (F.count_if(filled(c)).alias(f"f_{c}"), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)).alias(f"l_{c}"))])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("rows"), F.col(f"f_{c}").alias("filled"), F.col(f"l_{c}").alias("longest")) for c, t in df.dtypes])
+    one.select(F.explode(each).alias("x")).select("x.*").write.mode("overwrite").parquet(f"{path}/dictionary")
+    return df.sparkSession.read.parquet(f"{path}/dictionary")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV whose texts a spreadsheet won't take for formulas."""
     from geomill.functions.text import formula_safe

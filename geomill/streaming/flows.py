@@ -112,3 +112,12 @@ def ready_tasks(tasks: DataFrame, needs: DataFrame) -> DataFrame:
 def next_jobs(jobs: DataFrame, kinds: list[str], n: int) -> DataFrame:
     """The n oldest queued jobs of these kinds, ties to the smaller id."""
     return jobs.filter((F.col("state") == "queued") & (F.lit(not kinds) | F.col("kind").isin(*kinds))).orderBy("created_at", "id").limit(n)
+
+
+def claim(jobs: DataFrame, kinds: list[str], n: int, worker: str) -> DataFrame:
+    """The jobs after a worker has taken its ``next_jobs``: those run under its name, all others are as they were.
+
+    Jobs: id, kind, state, created_at, worker.  The taken ones are at most ``n`` rows, so they are broadcast."""
+    mine = next_jobs(jobs, kinds, n).select("id", F.lit(True).alias("_mine"))
+    out = jobs.join(F.broadcast(mine), "id", "left")
+    return out.withColumns({"state": F.when(F.col("_mine"), "running").otherwise(F.col("state")), "worker": F.when(F.col("_mine"), worker).otherwise(F.col("worker"))}).select(*jobs.columns)
