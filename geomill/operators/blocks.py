@@ -30,7 +30,7 @@ def block_profile(rows: DataFrame) -> DataFrame:
     kind = F.min(F.when(F.trim("block_kind") != "", F.struct("id", "block_kind"))).alias("kind_")
     different = [F.countDistinct(F.nullif(c, F.lit(""))).alias(f"n_{c}s") for c in ("floor", "unit", "house")]
     uses = [F.count(F.when(F.col("use").isin(*v), 1)).alias(f"n_{k}") for k, v in USES.items()]
-    g = r.groupBy("key", "block").agg(head, kind, F.count("*").alias("n"), *different, *uses, F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.max(F.col("establishments").cast("double")).alias("most_declared"))
+    g = r.groupBy("key", "block").agg(head, kind, F.count("*").alias("n"), *different, *uses, F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.max(F.col("establishments").try_cast("double")).alias("most_declared"))
     g = g.select(*[F.col(f"head.{c}").alias(c) for c in have], F.coalesce("kind_.block_kind", F.lit("-")).alias("block_kind"), *[c for c in g.columns if c not in ("head", "kind_", "key")])
     w = Window.partitionBy("collective")
     return g.withColumns({"total": F.sum("n").over(w), "n_blocks": F.count(F.when(F.col("block") != "-", 1)).over(w)})
