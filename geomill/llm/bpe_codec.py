@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Entries of a task's memo of matches, and bytes of a match that is memoised at most.
-MEMO, MEMO_BYTES = 50_000, 256
+MEMO, MEMO_BYTES = 200_000, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +50,7 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Codec:
     """Encoder and decoder over a table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         import ahocorasick
         import regex
 
@@ -60,7 +60,7 @@ class Codec:
         for token in ranks:
             self.auto.add_word(token.decode("latin-1"), len(token))
         self.auto.make_automaton()
-        self.fits: dict[int, bool] = {}
+        self.memo, self.fits = memo, {}
         self.whole: dict[int, bool] = {}
 
     def reachable(self, token: int) -> bool:
@@ -76,7 +76,7 @@ class Codec:
             return self.reachable(right)
         key = left << 32 | right
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 2 * MEMO:
+            if len(self.fits) > 2 * self.memo:
                 self.fits.clear()
             pair = [self.bytes_of[left], self.bytes_of[right]]
             known = self.fits[key] = self.reachable(right) and merge_by_rank(pair[0] + pair[1], self.ranks) == pair
@@ -135,39 +135,39 @@ class _Memo(dict):
         ids = self.codec.encode_match(raw)
         made = ",".join(map(str, ids)), self.codec.decode(ids)
         if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO:
+            if len(self) >= self.codec.memo:
                 self.clear()
             self[match] = made
         return made
 
 
-_CODECS: dict[tuple[str, str], tuple[Codec, _Memo]] = {}
+_CODECS: dict[tuple[str, str, int], tuple[Codec, _Memo]] = {}
 
 
-def codec_of(file: str, pattern: str) -> tuple[Codec, _Memo]:
+def codec_of(file: str, pattern: str, memo: int = MEMO) -> tuple[Codec, _Memo]:
     """The worker process's codec of a vocabulary file that the job has distributed."""
-    if (file, pattern) not in _CODECS:
-        codec = Codec(read_ranks(SparkFiles.get(file)), pattern)
-        _CODECS[file, pattern] = codec, _Memo(codec)
-    return _CODECS[file, pattern]
+    if (file, pattern, memo) not in _CODECS:
+        codec = Codec(read_ranks(SparkFiles.get(file)), pattern, memo)
+        _CODECS[file, pattern, memo] = codec, _Memo(codec)
+    return _CODECS[file, pattern, memo]
 
 
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
 
 
-def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", drop: bool = False, with_ids: bool = False) -> DataFrame:
+def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", drop: bool = False, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """``docs`` with the token count, digests of ids and of decoded bytes, and whether they equal the text;
-    ``with_ids`` adds the ids themselves as an array."""
+    ``with_ids`` adds the ids themselves as an array; ``memo``: entries of a worker's memo tables (about 1 KB each)."""
     file = share_file(docs, vocabulary)
 
     def make():
-        codec, memo = codec_of(file, pattern)
+        codec, known = codec_of(file, pattern, memo)
 
         def each(arr: pa.Array) -> dict[str, pa.Array]:
             counts, ids_sha, back_sha, same, arrays = [], [], [], [], []
             for t in arr:
                 t = t.as_py() or ""
-                made = [memo[m] for m in codec.split(t)]
+                made = [known[m] for m in codec.split(t)]
                 ids = ",".join([m[0] for m in made])
                 back = b"".join([m[1] for m in made])
                 counts.append(ids.count(",") + 1 if ids else 0)
