@@ -26,6 +26,9 @@ from geomill.llm.queries import tokenizer_file, tokenizer_pattern
 #: A prediction whose share of the windows' weight is below this counts as "can't tell".
 LEAST_SCORE = 0.4
 
+#: Memo entries of the last stage's workers: a quarter of the operator's own, as they share executors that other stages have filled.
+MEMO = 50_000
+
 ORACLE_SQL = None
 
 
@@ -81,7 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _stages(spark, docs)
     vocabulary, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
-    out = bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True, with_ids=True)
+    out = bpe_codec.encode_digest(docs.select("doc_id", "source", "lang", "text"), vocabulary, pattern, drop=True, with_ids=True, memo=MEMO)
     return out.select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")
 
 
