@@ -100,14 +100,21 @@ def anomaly_signals(rows: DataFrame) -> DataFrame:
 
     s1: three or more streets at one coordinate; s2: a street's numbers are a perfect sequence of five or more;
     s3: a name ten times or more in a sector; s4: 99 of 100 rows of a sector have a number.
+    Each is counted once a group and joined back, so no row carries its group's set.
     """
-    by = Window.partitionBy
-    s1 = F.size(F.collect_set("street").over(by("place"))) >= 3
-    n, lo, hi, d = F.count("number").over(by("street")), F.min("number").over(by("street")), F.max("number").over(by("street")), F.size(F.collect_set("number").over(by("street")))
-    s2 = (n >= 5) & (hi - lo + 1 == n) & (d == n)
-    s3 = F.col("name").isNotNull() & (F.count("name").over(by("sector", "name")) >= 10)
-    s4 = F.count("number").over(by("sector")) * 100 >= F.count("*").over(by("sector")) * 99
-    return rows.withColumns({"s1": s1, "s2": F.coalesce(s2, F.lit(False)), "s3": s3, "s4": s4})
+    s1 = rows.groupBy("place").agg((F.countDistinct("street") >= 3).alias("s1"))
+    whole = (F.max("number") - F.min("number") + 1 == F.count("number")) & (F.countDistinct("number") == F.count("number"))
+    s2 = rows.groupBy("street").agg(F.coalesce((F.count("number") >= 5) & whole, F.lit(False)).alias("s2"))
+    s3 = rows.groupBy("sector", "name").agg((F.col("name").isNotNull() & (F.count("name") >= 10)).alias("s3"))
+    s4 = rows.groupBy("sector").agg((F.count("number") * 100 >= F.count("*") * 99).alias("s4"))
+    out = rows
+    for signal, keys in ((s1, ["place"]), (s2, ["street"]), (s3, ["sector", "name"]), (s4, ["sector"])):
+        of = signal.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:  # a group of nulls is a group
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(of, same).drop(*[f"_{k}" for k in keys])
+    return out
 
 
 def unit_grid(rows: DataFrame) -> DataFrame:
