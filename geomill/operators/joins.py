@@ -24,13 +24,16 @@ def with_offsets(df: DataFrame, cy: Column, cx: Column, steps: Sequence[tuple[in
 
 
 def near_pairs(points: DataFrame, cell: float, id: str = "id") -> DataFrame:
-    """(a, b) with a < b: points of the same or neighbouring grid cells (cells cut towards zero)."""
+    """(a, b) with a < b: points of the same or neighbouring grid cells (cells cut towards zero).
+
+    A merge join by hint, as in ``within``, so that pairs are made and told apart in as many tasks as the shuffle has.
+    """
     cy, cx = geo.cell(F.col("lat"), cell), geo.cell(F.col("lng"), cell)
     p = points.filter("lat IS NOT NULL AND lng IS NOT NULL")
     left = with_offsets(p.select(F.col(id).alias("a"), cy.alias("y"), cx.alias("x")), F.col("y"), F.col("x")).select("a", "_cy", "_cx")
     right = p.select(F.col(id).alias("b"), cy.alias("_cy"), cx.alias("_cx"))
     # int() makes the cells beside zero meet twice there; pairs are kept once
-    return left.join(right, ["_cy", "_cx"]).filter("a < b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), ["_cy", "_cx"]).filter("a < b").select("a", "b").distinct()
 
 
 def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres, on: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
@@ -38,6 +41,8 @@ def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres, on:
 
     Sides have id, lat and lng.  Cells are as high and, at the latitude's cosine, at least as wide as the
     radius, so neighbours suffice; the equi-join on cells shuffles both sides once and AQE splits hot cells.
+    It is a merge join by hint: by the size of a well packed file, with all its rows nine times, a side would
+    look small enough to broadcast, and a task that reads the other one would make all pairs.
     ``on`` names columns that must be equal and are part of the join's key; the columns ``carry`` of both
     sides come along with prefixes a_ and b_.
     """
@@ -55,7 +60,7 @@ def within(a: DataFrame, b: DataFrame, radius_m: float, distance=geo.metres, on:
     x = with_offsets(x, cy(F.col("a_lat")), cx(F.col("a_lng")))
     y = y.withColumn("_cy", cy(F.col("b_lat"))).withColumn("_cx", cx(F.col("b_lng")))
     m = distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    pairs = x.join(y, ["band", "_cy", "_cx", *on]).withColumn("m", m).filter(F.col("m") <= radius_m)
+    pairs = x.join(y.hint("merge"), ["band", "_cy", "_cx", *on]).withColumn("m", m).filter(F.col("m") <= radius_m)
     return pairs.select("a_id", "b_id", "m", *on, *[f"{p}_{c}" for p in "ab" for c in carry])
 
 
