@@ -270,7 +270,14 @@ def a28(t: Tables) -> DataFrame:
     return n.unionByName(t.region.select(F.lit("regions").alias("sheet"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).orderBy("sheet", "k")
 
 
-@query("a21_workbook_rows", "SELECT concat(source, '.xlsx') AS path, CAST(id AS VARCHAR) AS id, name, street, lat, lng FROM (SELECT id, source, '=' || name AS name, CASE WHEN number <> '' THEN street END AS street, CASE WHEN id % 4 > 0 THEN round(lat, 5) END AS lat, CASE WHEN id % 4 > 0 THEN round(lng, 5) END AS lng FROM poi) q")
+# a source's book of more than 100,000 rows is several, numbered by the MD5 of their rows, as in writers.workbooks
+@query(
+    "a21_workbook_rows",
+    """WITH q AS (SELECT id, source, category, '=' || name AS name, CASE WHEN number <> '' THEN street END AS street, CASE WHEN id % 4 > 0 THEN round(lat, 5) END AS lat, CASE WHEN id % 4 > 0 THEN round(lng, 5) END AS lng,
+CASE WHEN id % 4 > 0 THEN printf('%.5f , %.5f', lat, lng) ELSE '?' END AS place, CAST(ceil(count(*) OVER (PARTITION BY source) / 100000) AS BIGINT) AS books FROM poi),
+b AS (SELECT *, CAST('0x' || substring(md5(concat_ws(chr(31), source, category, CAST(id AS VARCHAR), name, street, place)), 1, 8) AS BIGINT) % books + 1 AS k FROM q)
+SELECT concat(source, CASE WHEN books > 1 THEN '-' || k ELSE '' END, '.xlsx') AS path, CAST(id AS VARCHAR) AS id, name, street, lat, lng FROM b""",
+)
 def a21(t: Tables) -> DataFrame:
     where = F.when(F.col("id") % 4 > 0, F.concat(F.format_string("%.5f", "lat"), F.lit(" , "), F.format_string("%.5f", "lng"))).otherwise("?")
     p = t.poi.select("source", F.col("category").alias("sheet"), "id", F.concat(F.lit("="), "name").alias("Nome"), F.when(F.col("number") != "", F.col("street")).alias("ENDEREÇO"), where.alias("coordenada"))

@@ -97,12 +97,17 @@ def workbook(sheets: dict[str, tuple[Sequence[str], Sequence[Sequence]]]) -> byt
     return out.getvalue()
 
 
+def book_number(columns: Sequence[str], books: Column) -> Column:
+    """The number from 0 of a row's book: the first 32 bits of the MD5 of its filled columns as text, modulo ``books``."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("long"), books).cast("int")
+
+
 def workbooks(df: DataFrame, book: str, sheet: str, order: str, most: int = 100_000) -> DataFrame:
     """(path, content): a workbook for each value of ``book``, with a sheet for each value of ``sheet``, rows by ``order``.
 
-    A book of more than ``most`` rows becomes several, numbered ones of about that size, by a hash of its rows."""
+    A book of more than ``most`` rows becomes several, numbered ones of about that size (``book_number``)."""
     sizes = df.groupBy(book).agg(F.ceil(F.count("*") / most).cast("int").alias("_books"))
-    rows = df.join(sizes, book).withColumn("_book", F.pmod(F.xxhash64(*df.columns), F.col("_books")).cast("int"))
+    rows = df.join(sizes, book).withColumn("_book", book_number(df.columns, F.col("_books")))
     columns = [c for c in df.columns if c not in (book, sheet)]
 
     def make(p):
