@@ -26,7 +26,8 @@ def unit_gaps(rows: DataFrame, least: int = 3) -> DataFrame:
     of = floors.groupBy("building").agg(
         F.sum("n").alias("units"), F.count("*").alias("floors"), F.count(F.when(F.col("floor") > 0, 1)).alias("above"), F.min("floor").alias("first"), F.max("floor").alias("last"))
     places = u.filter("pos > 0").groupBy("building").agg(F.collect_set("pos").alias("places"))
-    grid = floors.join(of.filter(F.col("units") >= least), "building").join(places, "building")
+    # a building with position 0 alone has no places, though floors between
+    grid = floors.join(of.filter(F.col("units") >= least), "building").join(places, "building", "left").withColumn("places", F.coalesce("places", F.array().cast("array<long>")))
     # of a building's grid, what is absent: counted before it is made
     kept = F.size(F.array_remove("held", 0))
     grid = grid.withColumn("absent", F.sum(F.size("places") - kept).over(Window.partitionBy("building")))
