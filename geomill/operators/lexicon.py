@@ -18,9 +18,30 @@ def context_frequency(names: DataFrame) -> DataFrame:
 
 
 def candidates(names: DataFrame, block: list[str]) -> DataFrame:
-    """Plausible substitutions (block, a, b, word_a, word_b) among the names of a block."""
-    p = joins.substitution_pairs(names, block)
-    return p.filter(similarity.plausible(F.col("word_a"), F.col("word_b")))
+    """Plausible substitutions (block, a, b, word_a, word_b) among the names of a block: names that differ in one word.
+
+    Names of one context (the other words) don't all meet: they meet by what ``similarity.plausible`` asks of their two words,
+    the same sound, one being the other's start, or one letter of difference, which leaves both the same text
+    without one letter.  So rows grow with the words' letters and the pairs found, and not with the square of a context."""
+    d = names.select(*block, "name").distinct().dropna().withColumn("w", text.words(F.col("name")))
+    d = d.select(*block, "name", "w", F.posexplode("w").alias("i", "word")).filter(~similarity.enumerator(F.col("word")))
+    context = F.array_join(F.transform("w", lambda t, i: F.when(i == F.col("i"), F.lit("{}")).otherwise(t)), " ")
+    d = d.select(*block, "name", "word", context.alias("context"))
+    several = d.groupBy(*block, "context").agg(F.min("word").alias("first"), F.max("word").alias("last")).filter("first <> last").select(*block, "context")
+    d = d.join(several, [*block, "context"], "left_semi")
+    word, n = F.col("word"), F.length("word")
+    starts = lambda lo, hi: F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.concat(F.lit("s:"), F.substring(word, F.lit(1), k)))).otherwise(F.array().cast("array<string>"))
+    lacking = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("l:"), F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, n)))
+    letter = F.when(word.rlike("^[a-z]{4,}$"), F.concat(F.array(F.concat(F.lit("l:"), word)), lacking)).otherwise(F.array().cast("array<string>"))
+    alike = F.concat(F.array(F.concat(F.lit("p:"), text.phonetic(word))), letter)
+    own = F.when(n >= 2, F.array(F.concat(F.lit("s:"), word))).otherwise(F.array().cast("array<string>"))
+    side = lambda p, keys: d.select(*block, "context", F.col("name").alias(f"_{p}"), F.col("word").alias(f"_word_{p}"), F.explode(F.array_distinct(keys)).alias("_key"))
+    p = side("a", F.concat(alike, own)).join(side("b", F.concat(alike, starts(F.lit(2), n - 1))).hint("merge"), [*block, "context", "_key"])
+    p = p.filter((F.col("_word_a") != F.col("_word_b")) & (F.col("_key").startswith("s:") | (F.col("_a") < F.col("_b"))))
+    swap = F.col("_a") > F.col("_b")
+    put = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    p = p.select(*block, put("_a", "_b").alias("a"), put("_b", "_a").alias("b"), put("_word_a", "_word_b").alias("word_a"), put("_word_b", "_word_a").alias("word_b"))
+    return p.filter(similarity.plausible(F.col("word_a"), F.col("word_b"))).distinct()
 
 
 def direction(authority_a: Column, authority_b: Column, freq_a: Column, freq_b: Column, least: int = 3, ratio: float = 3.0) -> Column:
