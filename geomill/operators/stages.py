@@ -37,3 +37,9 @@ def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     return keep
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, for work that costs more than moving them: well packed files have few splits."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geomill.functions.text import let
+
 TAGS = ("street", "number", "area", "city", "state", "postcode", "other")
 #: Labelled rows that are learned from, rounds over them, hashed features.
 SAMPLE, ROUNDS, SLOTS = 1500, 4, 1 << 16
 WORD = re.compile(r"[^\s,]+|,")
 MEMO = 100_000
+#: Words of texts that are decoded at once.
+BLOCK = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,6 +68,31 @@ def viterbi(score: np.ndarray, step: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def decoded(rows: list[list[list[int]]], w: np.ndarray, step: np.ndarray) -> list[list[int]]:
+    """The best paths of many texts, given by their words' features: ``viterbi`` for all texts of one length at once."""
+    out: list[list[int]] = [[] for _ in rows]
+    by: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        by.setdefault(len(r), []).append(i)
+    for n, at in by.items():
+        if n == 0:
+            continue
+        for k in range(0, len(at), BLOCK // n + 1):
+            part = at[k : k + BLOCK // n + 1]
+            score = w[np.array([rows[i] for i in part])].sum(2)  # texts x words x tags
+            best, back = score[:, 0] + step[-1], []
+            for j in range(1, n):
+                through = best[:, :, None] + step[:-1]
+                back.append(through.argmax(1))
+                best = through.max(1) + score[:, j]
+            path = [best.argmax(1)]
+            for b in reversed(back):
+                path.append(np.take_along_axis(b, path[-1][:, None], 1)[:, 0])
+            for i, p in zip(part, np.stack(path[::-1], 1).tolist(), strict=True):
+                out[i] = p
+    return out
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, id: str = "id") -> tuple[np.ndarray, np.ndarray]:
     """Weights (of features, of steps) from rows (id, words, tags); a bounded sample goes to the driver."""
     rows = labelled.orderBy(F.xxhash64(id), id).limit(sample).select("words", "tags").collect()
@@ -98,7 +127,7 @@ def tag(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "addres
         memo: dict[str, int] = {}
         for b in batches:
             words = [words_of(t) for t in b.column(1).to_pylist()]
-            paths = [viterbi(np.array([w[f].sum(0) for f in slots(x, memo)]).reshape(-1, len(TAGS)), s) for x in words]
+            paths = decoded([slots(x, memo) for x in words], w, s)
             tags = [[TAGS[k] for k in p] for p in paths]
             joined = [[" ".join(x for x, t in zip(ws, ts, strict=True) if t == p) or None for ws, ts in zip(words, tags, strict=True)] for p in parts]
             arrays = [b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.string())), *[pa.array(j, pa.string()) for j in joined]]
@@ -113,8 +142,8 @@ def composed(rows: DataFrame) -> DataFrame:
     kinds = {"^Rua ": ("R. ", "r "), "^Avenida ": ("Av. ", "AV "), "^Travessa ": ("Tv. ", "Trav. "), "^Alameda ": ("Al. ", "AL ")}
     street = F.col("street")
     for pattern, (one, two) in kinds.items():
-        street = F.when(pick(3, "k") == 1, F.regexp_replace(street, pattern, one)).when(pick(3, "k") == 2, F.regexp_replace(street, pattern, two)).otherwise(street)
-    street = F.when(pick(4, "u") == 0, F.upper(street)).otherwise(street)
+        street = let(street, lambda s: F.when(pick(3, "k") == 1, F.regexp_replace(s, pattern, one)).when(pick(3, "k") == 2, F.regexp_replace(s, pattern, two)).otherwise(s))  # noqa: B023
+    street = let(street, lambda s: F.when(pick(4, "u") == 0, F.upper(s)).otherwise(s))
     number = F.when(pick(3, "n") == 0, F.concat(F.lit("nº "), "number")).otherwise(F.col("number"))
     postcode = F.when(pick(3, "p") == 0, F.regexp_replace("postcode", "-", "")).when(pick(3, "p") == 1, F.concat(F.lit("CEP "), "postcode")).otherwise(F.col("postcode"))
     part = {n: F.struct(c.alias("text"), F.lit(n).alias("tag")) for n, c in {"street": street, "number": number, "area": F.col("area"), "city": F.col("city"), "state": F.col("state"), "postcode": postcode}.items()}
@@ -126,7 +155,9 @@ def composed(rows: DataFrame) -> DataFrame:
         [part["city"], comma, part["area"], comma, part["street"], part["number"], comma, part["postcode"]],
         [part["street"], part["number"], dash, part["city"]],
     ]
-    chosen = F.element_at(F.array(*[F.array(*o) for o in orders]), (pick(len(orders), "o") + 1).cast("int"))
+    chosen = F.array(*orders[-1])
+    for i, o in enumerate(orders[:-1]):  # only the drawn order is made
+        chosen = F.when(pick(len(orders), "o") == i, F.array(*o)).otherwise(chosen)
     chosen = F.filter(chosen, lambda p: F.coalesce(F.trim(p["text"]) != "", F.lit(False)))
     words = F.flatten(F.transform(chosen, lambda p: F.transform(F.regexp_extract_all(p["text"], F.lit(r"([^\s,]+|,)"), F.lit(1)), lambda x: F.struct(x.alias("w"), p["tag"].alias("t")))))
     out = rows.select("id", words.alias("all"))

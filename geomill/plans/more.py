@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geomill.functions import geo, identifiers, similarity, text, values
 from geomill.operators import audit, changes, cluster, joins, rules, tablefunctions, tagger
-from geomill.operators.stages import keeper
+from geomill.operators.stages import keeper, spread
 
 from .inputs import Tables, with_ctes
 from .joins import METRES, core, polygons
@@ -231,7 +231,7 @@ def h514b(t: Tables) -> DataFrame:
 def addresses(t: Tables) -> DataFrame:
     """Addresses in several orders and spellings, with the part of every word, from doors and points."""
     rows = "SELECT id, street, CAST(number AS VARCHAR(10)) AS number, concat('Jardim ', split_part(street, ' ', 3)) AS area, concat('Vila ', CAST(city AS VARCHAR(10))) AS city, 'RS' AS state, postcode FROM door UNION ALL SELECT -id - 1, street, number, concat('Parque ', split_part(name, ' ', 2)) AS area, concat('Porto ', split_part(name, ' ', 1)) AS city, 'SC' AS state, postcode FROM poi"
-    return tagger.composed(t.sql(with_ctes(rows)))
+    return tagger.composed(spread(t.sql(with_ctes(rows))))
 
 
 @query("n05_tagged_addresses")

@@ -5,11 +5,12 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from geomill.functions import identifiers, similarity, text
-from geomill.operators import gaps, joins, lexicon, rules
-from geomill.operators.stages import folder
+from geomill.operators import gaps, joins, lexicon, rules, tagger
+from geomill.operators.stages import folder, spread
 from geomill.sources import writers
 from geomill.streaming import flows
 
@@ -87,3 +88,21 @@ def test_candidates_meet_by_keys(spark):
     got = lexicon.candidates(names, ["city"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
     assert "plausible" not in got.columns and got.columns == want.columns
+
+
+def test_texts_decoded_together_as_alone():
+    r = np.random.default_rng(4)
+    w, step = r.normal(size=(tagger.SLOTS, len(tagger.TAGS))).astype(np.float32), r.normal(size=(len(tagger.TAGS) + 1, len(tagger.TAGS))).astype(np.float32)
+    rows = [r.integers(0, tagger.SLOTS, (n, 11)).tolist() for n in r.integers(0, 12, 300)]
+    want = [tagger.viterbi(np.array([w[f].sum(0) for f in x]).reshape(-1, len(tagger.TAGS)), step) for x in rows]
+    assert tagger.decoded(rows, w, step) == want
+    block, tagger.BLOCK = tagger.BLOCK, 7
+    try:
+        assert tagger.decoded(rows, w, step) == want
+    finally:
+        tagger.BLOCK = block
+
+
+def test_rows_are_spread_over_tasks(spark):
+    got = spread(spark.range(40).coalesce(1))
+    assert got.rdd.getNumPartitions() == 4 and sorted(r.id for r in got.collect()) == list(range(40))
