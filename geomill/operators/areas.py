@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from geomill.functions import geo
 
+from .stages import spread
+
 STEP, FINEST, ROUNDS = 2, 26, 3
 #: Tables of cells or rings up to this counted size are broadcast.
 SMALL = 100_000
@@ -21,39 +23,47 @@ SMALL = 100_000
 SLACK = 1e-9
 
 
-def _touches(e: Column, south: Column, west: Column, size: Column) -> Column:
-    """Whether the edge may touch the cell: boxes meet and the corners aren't all on one side of its line."""
-    north, east = south + size + SLACK, west + size + SLACK
-    south, west = south - SLACK, west - SLACK
-    box = (F.least(e["y1"], e["y2"]) <= north) & (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["x1"], e["x2"]) <= east) & (F.greatest(e["x1"], e["x2"]) >= west)
-    side = lambda y, x: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    corners = [side(y, x) for y in (south, north) for x in (west, east)]
-    return box & ~(F.least(*corners) > 1e-15) & ~(F.greatest(*corners) < -1e-15)
+def _touches(e: Column, y: Column, x: Column, half: Column) -> Column:
+    """Whether the edge may touch the cell around (y, x): boxes meet and the corners aren't all on one side of its line."""
+    half = half + SLACK
+    box = (e["south"] <= y + half) & (e["north"] >= y - half) & (e["west"] <= x + half) & (e["east"] >= x - half)
+    side = e["dx"] * (y - e["y1"]) - e["dy"] * (x - e["x1"])  # of the middle; a corner's differs by at most what follows
+    return box & (F.abs(side) <= (F.abs(e["dx"]) + F.abs(e["dy"])) * half + 1e-15)
 
 
 def cover(polygons: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(name, level, cy, cx, inner) of rings (name, ring); rings of fewer than three corners have no cells."""
-    n = F.size("ring")
-    edges = F.expr("transform(sequence(1, size(ring)), i -> struct(ring[i - 1].lat AS y1, ring[i - 1].lng AS x1, ring[i % size(ring)].lat AS y2, ring[i % size(ring)].lng AS x2))")
+    """(name, level, cy, cx, inner) of rings (name, ring); rings of fewer than three corners have no cells.
+
+    Rings are dealt to all tasks first, as a table of few rows with much work each comes in few partitions.  A step's cells are
+    made with their edges by the ``explode``, so that later filters and steps read them instead of repeating the expressions.
+    """
+    ends = "transform(sequence(1, size(ring)), i -> struct(ring[i - 1].lat AS y1, ring[i - 1].lng AS x1, ring[i % size(ring)].lat AS y2, ring[i % size(ring)].lng AS x2))"
+    edge = "struct(e.y1, e.x1, e.y2 - e.y1 AS dy, e.x2 - e.x1 AS dx, least(e.y1, e.y2) AS south, greatest(e.y1, e.y2) AS north, least(e.x1, e.x2) AS west, greatest(e.x1, e.x2) AS east)"
     low, high = (lambda k: F.array_min(F.transform("ring", lambda p: p[k]))), (lambda k: F.array_max(F.transform("ring", lambda p: p[k])))
-    p = polygons.filter(n >= 3).select("name", "ring", edges.alias("edges"), *[f(k).alias(f"{a}_{k}") for a, f in (("low", low), ("high", high)) for k in ("lat", "lng")])
+    p = spread(polygons.select("name", "ring")).filter(F.size("ring") >= 3)
+    p = p.select("name", "ring", F.expr(f"transform({ends}, e -> {edge})").alias("edges"), *[f(k).alias(f"{a}_{k}") for a, f in (("low", low), ("high", high)) for k in ("lat", "lng")])
     extent = F.greatest(F.col("high_lat") - F.col("low_lat"), F.col("high_lng") - F.col("low_lng"), F.lit(1e-7))
     level = F.least(F.floor(F.log2(360.0 / extent) / STEP) * STEP, F.lit(FINEST)).cast("int")
     p = p.withColumn("level", F.greatest(level, F.lit(0)))
-    size = lambda: 360.0 / F.pow(F.lit(2.0), F.col("level").cast("double"))
-    span = lambda k: F.sequence(F.floor((F.col(f"low_{k}") + 180.0) / size()), F.floor((F.col(f"high_{k}") + 180.0) / size()))
-    cells = p.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lng"))).select("name", "ring", "edges", "level", "cy", "cx", F.lit(False).alias("inner"))
+    size = lambda level: 360.0 / F.pow(F.lit(2.0), level.cast("double"))
+    span = lambda k: F.sequence(F.floor((F.col(f"low_{k}") + 180.0) / size(F.col("level"))), F.floor((F.col(f"high_{k}") + 180.0) / size(F.col("level"))))
     n_ = 1 << STEP
-    parts = F.expr(f"flatten(transform(sequence(0, {n_ - 1}), i -> transform(sequence(0, {n_ - 1}), j -> struct(level + {STEP} AS level, cy * {n_} + i AS cy, cx * {n_} + j AS cx))))")
+    square = lambda cys, cxs, level: F.flatten(F.transform(cys, lambda cy: F.transform(cxs, lambda cx: F.struct(level.alias("level"), cy.alias("cy"), cx.alias("cx")))))
+    split = lambda k: F.transform(F.sequence(F.lit(0), F.lit(n_ - 1)), lambda i: F.col(k) * n_ + i)
+    middle = lambda c, k: (c[k] + 0.5) * size(c["level"]) - 180.0
+
+    def tried(c: Column) -> Column:
+        return F.struct(c["level"].alias("level"), c["cy"].alias("cy"), c["cx"].alias("cx"), F.filter("edges", lambda e: _touches(e, middle(c, "cy"), middle(c, "cx"), size(c["level"]) / 2)).alias("edges"), F.lit(False).alias("inner"))
+
+    cells = p.select("name", "ring", F.explode(F.transform(square(span("lat"), span("lng"), F.col("level")), tried)).alias("c"))
     for k in range(rounds + 1):
-        south, west = F.col("cy") * size() - 180.0, F.col("cx") * size() - 180.0
-        near = F.filter("edges", lambda e: _touches(e, south, west, size()))  # noqa: B023
-        cells = cells.withColumn("edges", F.when(F.col("inner"), F.slice("edges", 1, 0)).otherwise(near))
-        cells = cells.filter(F.col("inner") | (F.size("edges") > 0) | geo.in_ring(south + size() / 2, west + size() / 2, F.col("ring")))
+        cells = cells.select("name", "ring", "c.*")
+        cells = cells.filter(F.col("inner") | (F.size("edges") > 0) | geo.in_ring(middle(F.struct("level", "cy"), "cy"), middle(F.struct("level", "cx"), "cx"), F.col("ring")))
         cells = cells.withColumn("inner", F.size("edges") == 0)
         if k < rounds:
-            split = ~F.col("inner") & (F.col("level") < FINEST)
-            cells = cells.withColumn("c", F.explode(F.when(split, parts).otherwise(F.array(F.struct("level", "cy", "cx"))))).select("name", "ring", "edges", "c.*", "inner")
+            parts = F.transform(square(split("cy"), split("cx"), F.col("level") + STEP), tried)
+            own = F.array(F.struct("level", "cy", "cx", "edges", "inner"))
+            cells = cells.select("name", "ring", F.explode(F.when(~F.col("inner") & (F.col("level") < FINEST), parts).otherwise(own)).alias("c"))
     return cells.select("name", "level", "cy", "cx", "inner")
 
 

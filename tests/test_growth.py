@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geomill.functions import identifiers, similarity, text
-from geomill.operators import gaps, joins, lexicon, rules, tagger
+from geomill.operators import areas, gaps, joins, lexicon, rules, tagger
 from geomill.operators.stages import folder, spread
 from geomill.sources import writers
 from geomill.streaming import flows
@@ -106,3 +106,11 @@ def test_texts_decoded_together_as_alone():
 def test_rows_are_spread_over_tasks(spark):
     got = spread(spark.range(40).coalesce(1))
     assert got.rdd.getNumPartitions() == 4 and sorted(r.id for r in got.collect()) == list(range(40))
+
+
+def test_cover_is_made_by_all_tasks_and_once(spark):
+    ring = [(-30.0, -51.0), (-30.0, -50.99), (-29.99, -50.99)]
+    cells = areas.cover(spark.createDataFrame([(str(i), ring) for i in range(40)], "name string, ring array<struct<lat:double,lng:double>>").coalesce(1))
+    sizes = [len(x) for x in cells.rdd.glom().collect()]
+    assert len(sizes) == 4 and min(sizes) > 0 and sum(sizes) == 40 * cells.filter("name = '7'").count()
+    assert plan(cells).count("filter(edges") == areas.ROUNDS + 1
