@@ -46,32 +46,42 @@ PASSES = [("exact", ["postcode", "street", "number"], False), ("core", ["postcod
 def match_address(rows: DataFrame, register: DataFrame, keep: Callable[[DataFrame], DataFrame], most_apart: int = 200) -> DataFrame:
     """(id, right_id, step, apart): eight passes of falling strictness; numbers at most so far apart where they may differ.
 
-    Both sides: id, postcode, street, core, city, number.  ``keep`` writes what each pass matched and left.  The register is
-    reduced to one row for each key (and number) first, and a row meets the next lower and the next
-    higher number of its key, so a pass grows with rows and doors and not with rows times the doors of a street.
+    Both sides: id, postcode, street, core, city, number.  ``keep`` writes both sides, which are derived once and not once a pass,
+    and what each pass matched and left.  The register is reduced to one row for each key and number first (once for the passes
+    that have these columns in common), and a row meets the next lower and the next higher number of its key, so a pass grows
+    with rows and doors and not with rows times the doors of a street.
     """
-    rest, out = rows, None
+    columns = ["id", "postcode", "street", "core", "city", "number"]
+    rest, register, out = keep(rows.select(*columns)), keep(register.select(*columns)), None
+    shared = [frozenset([*keys, "number"]) for _, keys, _ in PASSES]
+    doors: dict[frozenset[str], DataFrame] = {}
     for name, keys, loose in PASSES:
-        r = register.select(F.col("id").alias("right_id"), *keys, *([F.col("number").alias("rn")] if loose else [])).dropna()
+        which = frozenset([*keys, "number"])
+        if which not in doors:
+            by = sorted(which)
+            doors[which] = register.select(F.col("id").alias("right_id"), *by).dropna().groupBy(*by).agg(F.min("right_id").alias("right_id"))
+            if loose or shared.count(which) > 1:
+                doors[which] = keep(doors[which])
         able = rest.dropna(subset=keys)
         if loose:
-            hit = _nearest_number(able, r, keys, most_apart)
+            hit = _nearest_number(able, doors[which], keys, most_apart)
         else:
-            hit = able.select("id", *keys).join(r.groupBy(*keys).agg(F.min("right_id").alias("right_id")), keys).groupBy("id").agg(F.min("right_id").alias("right_id")).withColumn("apart", F.lit(0).cast("bigint"))
+            hit = able.select("id", *keys).join(doors[which], keys).groupBy("id").agg(F.min("right_id").alias("right_id")).withColumn("apart", F.lit(0).cast("bigint"))
         hit = keep(hit.select("id", "right_id", F.lit(name).alias("step"), "apart"))
         out = hit if out is None else out.unionByName(hit)
         rest = keep(rest.join(hit.select("id"), "id", "left_anti"))
     return out
 
 
-def _nearest_number(rows: DataFrame, register: DataFrame, keys: list[str], most_apart: int) -> DataFrame:
-    """(id, right_id, apart): the door of the nearest number under a row's key, ties to the smaller id; a row without a number takes the key's smallest id."""
-    doors = register.groupBy(*keys, "rn").agg(F.min("right_id").alias("right_id"))
+def _nearest_number(rows: DataFrame, doors: DataFrame, keys: list[str], most_apart: int) -> DataFrame:
+    """(id, right_id, apart): the door of the nearest number under a row's key, ties to the smaller id; a row without a number takes the key's smallest id.
+
+    Doors: one row (keys, number, right_id) for each key and number."""
     none = rows.filter("number IS NULL").select("id", *keys).join(doors.groupBy(*keys).agg(F.min("right_id").alias("right_id")), keys)
     none = none.select("id", "right_id", F.lit(None).cast("bigint").alias("apart"))
-    door = F.struct(F.col("rn").alias("n"), "right_id")
+    door = F.struct(F.col("number").alias("n"), "right_id")
     both = rows.filter("number IS NOT NULL").select(*keys, F.col("number").cast("bigint").alias("n"), "id", F.lit(None).cast(doors.select(door.alias("d")).schema["d"].dataType).alias("door"))
-    both = both.unionByName(doors.select(*keys, F.col("rn").cast("bigint").alias("n"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), door.alias("door")))
+    both = both.unionByName(doors.select(*keys, F.col("number").cast("bigint").alias("n"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), door.alias("door")))
     w = Window.partitionBy(*keys)
     frame = lambda order: w.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumns({"low": F.last("door", True).over(frame(F.col("n").asc())), "high": F.last("door", True).over(frame(F.col("n").desc()))}).filter("id IS NOT NULL")

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geomill.functions import identifiers, similarity, text
-from geomill.operators import areas, gaps, joins, lexicon, rules, tagger
-from geomill.operators.stages import folder, spread
+from geomill.operators import address, areas, gaps, joins, lexicon, rules, tagger
+from geomill.operators.stages import folder, keeper, spread
 from geomill.sources import writers
 from geomill.streaming import flows
 
@@ -114,3 +114,13 @@ def test_cover_is_made_by_all_tasks_and_once(spark):
     sizes = [len(x) for x in cells.rdd.glom().collect()]
     assert len(sizes) == 4 and min(sizes) > 0 and sum(sizes) == 40 * cells.filter("name = '7'").count()
     assert plan(cells).count("filter(edges") == areas.ROUNDS + 1
+
+
+def test_address_passes_derive_each_side_once(spark):
+    table = lambda rows: spark.createDataFrame(rows, "id long, postcode string, street string, city int, number long")
+    doors = table([(1, "a", "x", 1, 5), (2, "a", "x", 1, 5), (3, "a", "y", 1, 9), (4, None, "z", 2, 7), (5, "b", None, None, None), (6, "c", "z", 2, None), (None, "a", "x", 1, 4)]).withColumn("core", F.reverse("street"))
+    rows = table([(10, "a", "x", 1, 5), (11, "q", "y", 1, 9), (12, "a", "x", 1, 8), (13, "q", "z", 2, None), (14, "b", None, None, 1), (15, "a", None, None, 9)]).withColumn("core", F.reverse("street"))
+    keep, plans = keeper(spark), []
+    got = address.match_address(rows, doors, lambda df: plans.append(plan(df)) or keep(df))
+    assert {r.id: (r.right_id, r.step, r.apart) for r in got.collect()} == {10: (1, "exact", 0), 11: (3, "city_exact", 0), 12: (1, "near_number", 3), 13: (4, "city_near_number", None), 15: (3, "postcode_number", 0)}
+    assert sum("reverse(" in p for p in plans) == 2
