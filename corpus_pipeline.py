@@ -42,6 +42,7 @@ def _stages(spark: SparkSession, docs: DataFrame) -> Stages:
         old.clear()
         _SCRATCH.remove(old)
     _SCRATCH.append(Stages(spark))
+    _SCRATCH[-1].tidy()
     return _SCRATCH[-1]
 
 
@@ -54,6 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _stages(spark, docs)
     net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_texts(docs, net, score="__score").filter("__score < 0.5").select(*docs.columns)
 

@@ -92,6 +92,9 @@ class Stages:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def tidy(self) -> None:
+        """Let Spark's cleaner remove shuffle files and broadcasts of plans that are done: it does so once the driver has collected them."""
+        self.spark.sparkContext._jvm.System.gc()
 
     def clear(self, *kept: DataFrame) -> None:
         """Remove all tables but the ``kept`` ones, for an operator whose result reads only those."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, byte_view, map_arrow, unit_hash
+from .common import append_columns, byte_view, hand_back, map_arrow, unit_hash
 
 WINDOW, DIM, FILTERS, WIDTHS = 192, 8, 16, (2, 3, 4)
 PLACES = WINDOW - 3
@@ -199,6 +199,7 @@ def learn(labelled: DataFrame, docs_per_lang: int = 250, windows_per_doc: int =
             x[i, : len(piece)] = np.frombuffer(piece, np.uint8)
         y = np.array([labels.index(r[0]) for r in rows])
         model.fit(x, y, seed=seed)
+    hand_back()
     return model
 
 

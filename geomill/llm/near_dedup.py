@@ -13,8 +13,9 @@ Candidates must also be near in the b-bit signature (b = BITS bits of all SIZE v
 alike) and in set size; each is confirmed on the full sets of 64-bit shingle hashes.
 
 Copies (equal sets) are one class from the start; classes are numbered once, with their table.
-Keys of one class only are left out first, by partial counts.  Within a key not all pairs are
-tried.  Each member is first compared, by signature, with two members of
+Keys of one class only are left out by a window over the key, the one shuffle of the index, which
+also gives the key's two pivots.  Wide tables are dropped as soon as narrow ones hold what is left to
+read.  Within a key not all pairs are tried.  Each member is first compared, by signature, with two members of
 the key (the smallest number and one by hash), of which it keeps the nearest few; in waves its nearest one in another component is
 confirmed and components are merged.  At last just those pairs
 of a key whose components still differ are tried, each at the first key it shares.  Every
@@ -35,7 +36,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,35 +247,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.filter(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
-def grouped(docs: DataFrame, signed: DataFrame, stages: Stages, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
-    """Classes (n, h1, h2, rep, id: smallest doc_id) of ``signed`` and components (rep, comp) of those with links.
+def grouped(docs: DataFrame, signed: DataFrame, stages: Stages, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (n, h1, h2, rep, id: smallest doc_id) of ``signed``, components (rep, comp) of those with links, and the rows
+    (doc_id, n, h1, h2) of ``signed``, which itself is dropped.
 
     ``by_id`` links the classes of rows that repeat an id as well."""
     first = [F.first(c).alias(c) for c in ["sig", *PLANES]]
     whole = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = whole.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), *first).withColumn("rep", F.monotonically_increasing_id())
-    classes = stages.keep(classes, "classes")
+    full = stages.keep(classes, "full")
+    rows = stages.keep(signed.select("doc_id", *PRINT), "rows")
+    stages.drop(signed)
+    stages.tidy()
+
+    w = Window.partitionBy("key")
+    entries = keyed(full, chunks(percent)).withColumns({"members": F.count("*").over(w), "first": F.min("rep").over(w), "other": F.min_by("rep", F.xxhash64("rep", "key")).over(w)})
+    hits = stages.keep(entries.filter("members > 1").drop("members"), "hits")
+    classes = stages.keep(full.drop("sig"), "classes")
+    stages.drop(full)
+    stages.tidy()
     marks = classes.select("rep", "n", *PLANES)
-
-    entries = keyed(classes, chunks(percent))
-    busy = stages.keep(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "busy")
-    hits = stages.keep(semi(entries, busy, "key", busy.count()), "hits")
     active = stages.keep(hits.select("rep").distinct().join(classes.select("rep", "id", "h1", "h2"), "rep"), "active")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL")
     text = text.join(F.broadcast(active) if active.count() <= SMALL_ROWS else active, "id").select("rep", "h1", "h2", "text")
     sets = stages.keep(shingle_sets(text.dropDuplicates(["rep", "text"])), "sets")
 
-    other = F.min_by("rep", F.xxhash64("rep", "key"))
-    pivots = hits.groupBy("key").agg(F.array(F.min("rep"), other).alias("pivots"))
-    offers = hits.join(pivots, "key").select("rep", F.explode("pivots").alias("cand")).filter("rep <> cand").distinct().alias("o")
+    offers = hits.select("rep", F.explode(F.array("first", "other")).alias("cand")).filter("rep <> cand").distinct().alias("o")
     offers = offers.join(marks.alias("x"), F.col("o.rep") == F.col("x.rep")).join(marks.alias("y"), F.col("o.cand") == F.col("y.rep"))
     offers = offers.filter(near("x", "y", percent)).select("o.rep", distance("x", "y").alias("far"), "o.cand")
     best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cand"))), 1, NEAREST)  # of two a key at most
     offers = stages.keep(offers.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.cand", "b.far"), "offers")
+    stages.tidy()
     spark = docs.sparkSession
     links, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")
     tried = links
-    if by_id and not (same := stages.keep(same_ids(whole, classes, stages), "same")).isEmpty():
+    if by_id and not (same := stages.keep(same_ids(rows.filter("n > 0 AND doc_id IS NOT NULL"), classes, stages), "same")).isEmpty():
         links, comp = same, components(same, stages)
     for wave in range(WAVES):
         if wave:  # components only grow: what they have joined needs no further look
@@ -292,11 +299,14 @@ def grouped(docs: DataFrame, signed: DataFrame, stages: Stages, percent: int, by
         links = links.unionByName(new)
         comp = components(links, stages)
 
+    stages.tidy()
     placed = hits.select("key", "rep", "place").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "place", F.coalesce("comp", "rep").alias("comp"))
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_rows = stages.keep(placed.join(mixed_keys, "key"), "open")
     all_keys = open_rows.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("ks")).select("rep", F.col("ks.place").alias("places"), F.col("ks.key").alias("keys"))
-    open_rows = stages.keep(open_rows.join(all_keys, "rep").join(marks, "rep"), "wide")
+    open_keys, open_rows = open_rows, stages.keep(open_rows.join(all_keys, "rep").join(marks, "rep"), "wide")
+    stages.drop(open_keys)
+    stages.tidy()
     x, y = open_rows.alias("x"), open_rows.alias("y")
     earlier = lambda t: F.slice(f"{t}.keys", F.lit(1), F.array_position(f"{t}.places", F.col(f"{t}.place")).cast("int") - 1)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y", percent) & ~F.arrays_overlap(earlier("x"), earlier("y")))
@@ -304,8 +314,9 @@ def grouped(docs: DataFrame, signed: DataFrame, stages: Stages, percent: int, by
     more = stages.keep(confirmed(stages.keep(rest, "rest"), sets, percent), "more")
     if not more.isEmpty():
         comp = components(links.unionByName(more), stages)
-    stages.drop(busy, hits, active, sets, offers, open_rows)
-    return classes.select(*PRINT, "rep", "id"), comp.withColumnRenamed("id", "rep")
+    stages.drop(hits, active, sets, offers, open_rows)
+    stages.tidy()
+    return classes.select(*PRINT, "rep", "id"), comp.withColumnRenamed("id", "rep"), rows
 
 
 def same_ids(whole: DataFrame, classes: DataFrame, stages: Stages) -> DataFrame:
@@ -321,11 +332,11 @@ def same_ids(whole: DataFrame, classes: DataFrame, stages: Stages) -> DataFrame:
 def link(docs: DataFrame, stages: Stages, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     signed = stages.keep(signatures(docs), "signed")
-    classes, comp = grouped(docs, signed, stages, percent, by_id=True)
+    classes, comp, rows = grouped(docs, signed, stages, percent, by_id=True)
     named = comp.join(classes.select("rep", "id"), "rep").groupBy("comp").agg(F.min("id").alias("least"))
     least = comp.join(named, "comp").select("rep", "least")
     of = classes.join(least, "rep", "left").select(*PRINT, F.coalesce("least", "id").alias("comp"))
-    out = signed.select("doc_id", *PRINT).join(of, PRINT, "left")
+    out = rows.join(of, PRINT, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -336,11 +347,11 @@ def one_of_each(docs: DataFrame, stages: Stages, percent: int = 80) -> DataFrame
     Of a group the row with the smallest doc_id stays; of rows that repeat this id with the same
     set, the one with the smallest text.  Rows without an id all stay."""
     signed = stages.keep(signatures(docs.select("doc_id", "text")), "signed")
-    classes, comp = grouped(docs, signed, stages, percent, by_id=False)
+    classes, comp, rows = grouped(docs, signed, stages, percent, by_id=False)
     first = comp.join(classes.select("rep", "id"), "rep").groupBy("comp").agg(F.min(F.struct("id", "rep"))["rep"].alias("first"))
     gone = comp.join(first, "comp").filter("rep <> first").select("rep", F.lit(True).alias("gone"))
     of = classes.join(gone, "rep", "left").select(*PRINT, "id", F.coalesce("gone", F.lit(False)).alias("gone"))
-    rows = signed.filter("doc_id IS NOT NULL").select("doc_id", *PRINT).join(of, PRINT, "left")
+    rows = rows.filter("doc_id IS NOT NULL").join(of, PRINT, "left")
     rows = rows.select("doc_id", *PRINT, (~F.coalesce("gone", F.lit(False)) & F.coalesce(F.col("id") == F.col("doc_id"), F.lit(True))).alias("stays"))
     rows = stages.keep(rows, "rows")
     dropped = stages.keep(rows.filter("NOT stays").select("doc_id").distinct(), "dropped")

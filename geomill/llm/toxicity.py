@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, by_bytes, byte_view, fold, unit_hash
+from .common import append_columns, by_bytes, byte_view, fold, hand_back, unit_hash
 
 SPAN, STEP, HIDDEN, WORD_DIM, CHAR_DIM, ATTEND, LONGEST = 24, 12, 8, 6, 6, 8, 40
 ORDERS, BUCKETS, VOCABULARY = (3, 4, 5), 1 << 15, 20_000
@@ -341,7 +341,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     picked = y.filter(unit_hash(F.col("id"), F.lit(seed)) < share)
     d = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
     sample = sorted((int(r["id"]), r["text"], int(r["toxic"])) for r in d.join(F.broadcast(picked), "id").collect())
-    return fit(sample, rounds, epochs, seed)
+    net = fit(sample, rounds, epochs, seed)
+    del sample
+    hand_back()
+    return net
 
 
 def without_copies(lists: list[list[str]], hashes: int = 8, same: int = 4) -> list[int]:

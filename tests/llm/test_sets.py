@@ -67,6 +67,19 @@ def test_near_dedup_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (3, 1, False), (4, 4, True)]
 
 
+def test_index_is_shuffled_once_and_wide_tables_go(spark, monkeypatch):
+    kept, keep, stages = [], Stages.keep, Stages(spark)
+    monkeypatch.setattr(Stages, "keep", lambda self, df, name="t": kept.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(self, df, name))
+    docs = spark.createDataFrame(near_copies(5), "doc_id bigint, text string")
+    out = near_dedup.link(docs, stages, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_groups(near_copies(5), 85)
+    of = [(name, p.count("MapInArrow"), "Join" in p, "Aggregate" in p) for name, p in kept if "place#" in p and "MapInArrow" in p]
+    assert of == [("hits", 1, False, False)]  # keys are made by one plan, which joins nothing
+    folder = spark.sparkContext._jvm.java.io.File(stages.root.removeprefix("file://"))
+    left = {str(f).split("-", 1)[1] for f in folder.list()}
+    assert "signed" not in left and "full" not in left and {"rows", "classes"} <= left
+
+
 def test_repeated_ids_with_other_texts(spark):
     """Every text of a repeated id links; none is taken by chance."""
     r = random.Random(5)
