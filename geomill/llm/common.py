@@ -62,10 +62,11 @@ class Stages:
         self.spark, self.root = spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", **options: int) -> DataFrame:
+        """``options`` are those of the Parquet files."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._geomill_path = path
         return out

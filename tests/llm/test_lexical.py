@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from math import floor, log
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,26 @@ def test_edges(spark):
     items = [(1, "a"), (1, "b b"), (2, None), (3, ""), (4, "zzz"), (None, "X" * 100_000)]
     out = lexical.search(lexical.build(df, Stages(spark)), spark.createDataFrame(items, ITEMS), Stages(spark)).collect()
     assert sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in out), key=repr) == brute(docs, items)
+
+
+def test_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    """However many blocks a file has, neither the reader nor a row group holds them all at once; the session's settings come back."""
+    read, rows = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    files = getattr(lexical, "FILES", {}) | {"parquet.block.size": 4096}
+    monkeypatch.setattr(lexical, "FILES", files, raising=False)
+    seen = {}
+
+    class Seen(Stages):
+        def keep(self, df, name="t", **options):
+            seen[name] = int(spark.conf.get(read)), int(spark.conf.get(rows))
+            return super().keep(df, name, **options)
+
+    docs, items = corpus(9, 400)
+    before = spark.conf.get(read)
+    index = lexical.build(spark.createDataFrame(docs, DOCS), Seen(spark))
+    out = lexical.search(index, spark.createDataFrame(items, ITEMS), Seen(spark))
+    assert sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in out.collect()), key=repr) == brute(docs, items)
+    assert seen["index"][0] <= 256 and seen["tops"] == seen["scored"] == (1, 1) and spark.conf.get(read) == before
+    metas = [pq.read_metadata(f.removeprefix("file:")) for f in index.blocks.inputFiles()]
+    assert sum(m.num_rows for m in metas) > 100
+    assert max(m.row_group(g).num_rows for m in metas for g in range(m.num_row_groups)) < 20
