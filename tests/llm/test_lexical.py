@@ -112,3 +112,21 @@ def test_blocks_are_read_one_at_a_time(spark, monkeypatch):
     metas = [pq.read_metadata(f.removeprefix("file:")) for f in index.blocks.inputFiles()]
     assert sum(m.num_rows for m in metas) > 100
     assert max(m.row_group(g).num_rows for m in metas for g in range(m.num_row_groups)) < 20
+
+
+def test_tasks_get_equal_postings(spark, monkeypatch):
+    """The longest documents and many documents of one length are dealt over tasks by postings, not by rows."""
+    monkeypatch.setattr(lexical, "PART_POSTINGS", 5000)
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 1250)
+    docs = [(i, f"a{i}") for i in range(4000)] + [(4000 + i, " ".join(f"w{j}" for j in range(200 + i))) for i in range(100)] + [(5000 + i, " ".join(f"v{j}" for j in range(100))) for i in range(200)]
+    index = lexical.build(spark.createDataFrame(docs, DOCS).repartition(4), Stages(spark))
+    files = [sum(len(b.places) for b in rows) for rows in _by_file(index)]
+    assert sum(files) == 4000 + sum(range(200, 300)) + 20_000
+    assert len(files) >= 10 and max(files) < 3 * 5000
+
+
+def _by_file(index):
+    files = {}
+    for r in index.blocks.select("places", F.input_file_name().alias("f")).collect():
+        files.setdefault(r.f, []).append(r)
+    return files.values()
